@@ -1,0 +1 @@
+"""Kept empty on purpose: every analysis this library covers is a batch job."""
