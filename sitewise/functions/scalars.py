@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitewise.functions.binding import let
+
 # The texts that mean "not measured" in input files.
 MISSING_TOKENS = ("", "NULL", "NA", "N/A", "NaN", "nan", ".", "-999")
 # The list used where the empty text is a value of its own.
@@ -115,11 +117,11 @@ def clip(col: Column, low: float = 0.0, high: float = 1.0) -> Column:
 
 def nearest_edge_distance(pos: Column, edges: Column) -> Column:
     """Smallest distance to any edge; NULL when there is none."""
-    return F.array_min(F.transform(edges, lambda e: F.abs(pos - e)))
+    return let(pos, lambda p: F.array_min(F.transform(edges, lambda e: F.abs(p - e))))
 
 
 def near_edge(pos: Column, edges: Column, distance: int = 2) -> Column:
-    return F.coalesce(F.exists(edges, lambda e: F.abs(pos - e) <= distance), F.lit(False))
+    return let(pos, lambda p: F.coalesce(F.exists(edges, lambda e: F.abs(p - e) <= distance), F.lit(False)))
 
 
 def ratio_mismatch(observed: Column, numerator: Column, denominator: Column,
@@ -185,12 +187,12 @@ def bin_right_closed(x: Column, edges: Column) -> Column:
     last = F.size(edges) - 1
     inner = F.slice(edges, F.lit(2), F.greatest(last - 1, F.lit(0)))
     outside = (x < F.get(edges, F.lit(0))) | (x > F.get(edges, last))
-    return F.when(~outside, F.size(F.filter(inner, lambda e: e < x)) + 1)
+    return F.when(~outside, let(x, lambda v: F.size(F.filter(inner, lambda e: e < v))) + 1)
 
 
 def bin_left_closed(x: Column, inner_edges: Column) -> Column:
     """1-based bin of ``x``; bins are [low, high) and the outer ones are unbounded."""
-    return F.when(x.isNotNull(), F.size(F.filter(inner_edges, lambda e: e <= x)) + 1)
+    return F.when(x.isNotNull(), let(x, lambda v: F.size(F.filter(inner_edges, lambda e: e <= v))) + 1)
 
 
 def position_fraction(pos: Column, length: Column) -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sitewise.functions.binding import let
+
 # Fixed value: the alphabet, in feature order.
 BASES = "ACGT"
 
@@ -53,11 +55,11 @@ def base_at(seq: Column, pos: Column) -> Column:
 
 def kmers(seq: Column, k: int = 3) -> Column:
     """All overlapping k-letter pieces, in order."""
-    last = F.length(seq) - (k - 1)
-    return F.when(
-        last >= 1,
-        F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(seq, i, F.lit(k))),
-    ).otherwise(F.array().cast("array<string>"))
+    def pieces(letters: Column) -> Column:
+        joined = F.transform(letters, lambda x, i: F.concat(x, *[F.get(letters, i + j) for j in range(1, k)]))
+        return F.slice(joined, F.lit(1), F.greatest(F.size(letters) - (k - 1), F.lit(0)))
+
+    return F.when(F.length(seq) >= k, let(F.split(seq, ""), pieces)).otherwise(F.array().cast("array<string>"))
 
 
 def kmer_denominator(seq: Column, k: int = 3) -> Column:
@@ -103,10 +105,10 @@ def kmer_fractions(k: int = 3):
 
 def position_one_hot(seq: Column, width: int) -> Column:
     """``width * 4`` indicators, position-major in alphabet order."""
-    letters = F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: F.substring(seq, i, F.lit(1)))
     bases = F.array(*[F.lit(b) for b in BASES])
-    return F.flatten(F.transform(
-        letters, lambda s: F.transform(bases, lambda b: F.when(s == b, 1.0).otherwise(0.0))))
+    spots = F.sequence(F.lit(0), F.lit(width - 1))
+    return let(F.split(seq, ""), lambda letters: F.flatten(F.transform(spots, lambda i: F.transform(
+        bases, lambda b: F.when(F.get(letters, i) == b, 1.0).otherwise(0.0)))))
 
 
 def to_acgt(text: Column) -> Column:

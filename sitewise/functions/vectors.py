@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sitewise.functions.binding import let
+
 
 def _slice(values: Column, first: Column, last: Column) -> Column:
     """1-based inclusive slice, empty when ``last < first``; bounds are clamped."""
@@ -72,10 +74,10 @@ def main_window_valid(values: Column, pos: Column, k: int, min_fraction: float)
 
 def window_vector(values: Column, pos: Column, k: int, digits: int = 6) -> Column:
     """``2k+1`` values around ``pos``, NULL where unmeasured or outside."""
-    return F.transform(
+    return let(values, lambda v: F.transform(
         F.sequence(pos - k, pos + k),
-        lambda i: F.when(i >= 1, F.round(F.get(values, (i - 1).cast("int")).cast("double"), digits)),
-    )
+        lambda i: F.when(i >= 1, F.round(F.get(v, (i - 1).cast("int")).cast("double"), digits)),
+    ))
 
 
 def mask_of(window: Column) -> Column:

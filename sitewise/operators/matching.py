@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sitewise.functions.binding import let
 from sitewise.functions.vectors import flank_mean, valid_count
 
 
@@ -20,11 +21,13 @@ def eligible_positions(values: Column, letters: Column, excluded: Column, flank:
     need = math.ceil(flank * min_fraction)
     n = F.size(values)
     span = F.when(n >= 2 * flank + 1, F.sequence(F.lit(flank + 1), n - flank)).otherwise(F.array().cast("array<int>"))
-    ok = F.filter(span, lambda i: (
-        (valid_count(F.slice(values, i - flank, F.lit(flank))) >= need)
-        & (valid_count(F.slice(values, i + 1, F.lit(flank))) >= need)
-        & ~F.array_contains(excluded, i)))
-    return F.transform(ok, lambda i: F.struct(i.alias("pos"), F.substring(letters, i, F.lit(1)).alias("letter")))
+    def fits(v: Column, i: Column) -> Column:
+        left, right = F.slice(v, i - flank, F.lit(flank)), F.slice(v, i + 1, F.lit(flank))
+        return (valid_count(left) >= need) & (valid_count(right) >= need) & ~F.array_contains(excluded, i)
+
+    ok = let(values, lambda v: F.filter(span, lambda i: fits(v, i)))
+    return let(F.split(letters, ""), lambda text: F.transform(
+        ok, lambda i: F.named_struct(F.lit("pos"), i, F.lit("letter"), F.get(text, i - 1))))
 
 
 def eligibility(df: DataFrame, key: list[str], order: str, valid: Column, flank: int, min_fraction: float,
@@ -104,10 +107,10 @@ def match_nearest(df: DataFrame, tid: str, values: str, letters: str, sites: str
     controls = eligible_positions(F.col(values), F.col(letters), F.col(sites), flank, min_fraction)
     rows = df.select(tid, letters, controls.alias("_c"), F.explode(sites).alias("site_pos")) \
         .withColumn("letter", F.substring(F.col(letters), F.col("site_pos"), F.lit(1)))
-    options = F.transform(
-        F.filter("_c", lambda c: (c["letter"] == F.col("letter")) & (F.abs(c["pos"] - F.col("site_pos")) >= min_distance)),
-        lambda c: F.struct(F.abs(c["pos"] - F.col("site_pos")).alias("distance"), c["pos"].alias("control_pos")))
-    best = F.array_min(options)
+    site = F.named_struct(F.lit("letter"), F.col("letter"), F.lit("pos"), F.col("site_pos"))
+    best = let(site, lambda s: F.array_min(F.transform(
+        F.filter("_c", lambda c: (c["letter"] == s["letter"]) & (F.abs(c["pos"] - s["pos"]) >= min_distance)),
+        lambda c: F.named_struct(F.lit("distance"), F.abs(c["pos"] - s["pos"]), F.lit("control_pos"), c["pos"]))))
     return rows.select(tid, "site_pos", "letter", best.alias("b")).where("b is not null") \
         .select(tid, "site_pos", F.col("b.control_pos"), "letter", F.col("b.distance"))
 

@@ -8,7 +8,7 @@ import tarfile
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,19 +138,15 @@ def read_chain_blocks(spark: SparkSession, path) -> DataFrame:
     h = F.split(F.trim(F.get(lines, F.lit(0))), r"\s+")
     sizes = F.transform(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))),
                         lambda x: F.transform(F.split(F.trim(x), r"\s+"), lambda v: v.cast("long")))
-    parsed = rec.select(h.alias("h"), sizes.alias("s")).where((F.size("h") >= 12) & (F.size("s") > 0))
-    # Offsets run inside one record, so they are folded within its own row.
+    parsed = rec.select(h.alias("h"), F.posexplode(sizes).alias("i", "s")).where(F.size("h") >= 12)
+    # One record is one input row, so the running offsets of a record fit where the record did.
+    before = Window.partitionBy("h").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
-    step = F.aggregate(
-        "s",
-        F.struct(zero.alias("a"), zero.alias("b"),
-                 F.array().cast("array<struct<a:bigint,b:bigint,n:bigint>>").alias("out")),
-        lambda acc, r: F.struct(
-            (acc["a"] + r[0] + F.coalesce(F.get(r, F.lit(1)), zero)).alias("a"),
-            (acc["b"] + r[0] + F.coalesce(F.get(r, F.lit(2)), zero)).alias("b"),
-            F.array_append(acc["out"], F.struct(acc["a"].alias("a"), acc["b"].alias("b"), r[0].alias("n"))).alias("out")),
-        lambda acc: acc["out"])
-    blocks = parsed.select("h", F.explode(step).alias("k"))
+    n = F.get("s", F.lit(0))
+    gap_a, gap_b = (F.coalesce(F.get("s", F.lit(i)), zero) for i in (1, 2))
+    blocks = parsed.select("h", F.struct(
+        F.coalesce(F.sum(n + gap_a).over(before), zero).alias("a"),
+        F.coalesce(F.sum(n + gap_b).over(before), zero).alias("b"), n.alias("n")).alias("k"))
 
     def field(i, kind="long"):
         return F.get(F.col("h"), F.lit(i)).cast(kind)
