@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitewise.functions.binding import let
 from sitewise.functions.scalars import genome_to_tx
 from sitewise.functions.vectors import valid_count, valid_mean
 from sitewise.operators.ordering import running
@@ -178,10 +179,9 @@ def reference_bases(positions: DataFrame, sequences: DataFrame, chunk: int = 1 <
     Long sequences are cut into chunks, so a chromosome is many rows and the
     lookup is an equi-join on (chrom, chunk).
     """
-    pieces = sequences.select(
-        "chrom", F.posexplode(F.transform(
-            F.sequence(F.lit(0), F.greatest(F.ceil(F.length("seq") / chunk).cast("int") - 1, F.lit(0))),
-            lambda i: F.substring(F.col("seq"), i * chunk + 1, F.lit(chunk)))).alias("_chunk", "_text"))
+    pieces = sequences.select("chrom", F.posexplode(let(F.col("seq"), lambda s: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.ceil(F.length(s) / chunk).cast("int") - 1, F.lit(0))),
+        lambda i: F.substring(s, i * chunk + 1, F.lit(chunk))))).alias("_chunk", "_text"))
     wanted = positions.select("chrom", "pos").distinct() \
         .withColumn("_chunk", F.floor((F.col("pos") - 1) / chunk).cast("int"))
     at = ((F.col("pos") - 1) % chunk + 1).cast("int")
