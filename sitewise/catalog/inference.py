@@ -164,13 +164,12 @@ def _(t):
     return ci.select("replicates", r6(F.col("ci_low"), 7).alias("ci_low"), r6(F.col("ci_high"), 7).alias("ci_high"))
 
 
-_GRAM = "count(*) AS n, sum(x) AS sx, sum(z) AS sz, sum(y) AS sy, sum(x * x) AS sxx, sum(z * z) AS szz, sum(x * y) AS sxy, sum(z * y) AS szy"
+_GRAM = "count(*) AS k0, sum(x) AS sx, sum(z) AS sz, sum(y) AS sy, sum(x * x) AS sxx, sum(z * z) AS szz, sum(x * y) AS sxy, sum(z * y) AS szy"
 
 
 @query("bootstrap_coefficient_difference", f"""
 WITH {_D}, gs AS (SELECT g, {_GRAM} FROM d GROUP BY g), {_DRAWS.format(seed=9)},
-b AS (SELECT rep, (sum(w.sxy) - sum(w.sx) * sum(w.sy) / sum(k0)) / (sum(w.sxx) - sum(w.sx) * sum(w.sx) / sum(k0)) AS bx, (sum(w.szy) - sum(w.sz) * sum(w.sy) / sum(k0)) / (sum(w.szz) - sum(w.sz) * sum(w.sz) / sum(k0)) AS bz
-  FROM (SELECT w.*, c.k0 FROM w JOIN (SELECT g, count(*) AS k0 FROM d GROUP BY g) c USING (g)) w GROUP BY rep)
+b AS (SELECT rep, (sum(w.sxy) - sum(w.sx) * sum(w.sy) / sum(k0)) / (sum(w.sxx) - sum(w.sx) * sum(w.sx) / sum(k0)) AS bx, (sum(w.szy) - sum(w.sz) * sum(w.sy) / sum(k0)) / (sum(w.szz) - sum(w.sz) * sum(w.sz) / sum(k0)) AS bz FROM w GROUP BY rep)
 SELECT CAST(rep AS BIGINT) AS rep, round(bx, 6) AS beta_x, round(bx - bz, 6) AS difference FROM b""")
 def _(t):
     r = coefficient_bootstrap(_frame(t), {"bx": _line("x"), "bz": _line("z")}, "y", {"bx": "x", "bz": "z"}, "g", _REPS, 9)

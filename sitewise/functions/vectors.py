@@ -73,10 +73,15 @@ def main_window_valid(values: Column, pos: Column, k: int, min_fraction: float)
 
 
 def window_vector(values: Column, pos: Column, k: int, digits: int = 6) -> Column:
-    """``2k+1`` values around ``pos``, NULL where unmeasured or outside."""
+    """``2k+1`` values around ``pos``, NULL where unmeasured or outside.
+
+    Scaled ``rint`` instead of ``round``: the latter goes through decimals for
+    every element and takes most of the time of a dataset build.
+    """
+    scale = F.lit(float(10**digits))
     return let(values, lambda v: F.transform(
         F.sequence(pos - k, pos + k),
-        lambda i: F.when(i >= 1, F.round(F.get(v, (i - 1).cast("int")).cast("double"), digits)),
+        lambda i: F.when(i >= 1, F.rint(F.get(v, (i - 1).cast("int")).cast("double") * scale) / scale),
     ))
 
 

@@ -72,10 +72,10 @@ def joint_groups(df: DataFrame, node: str, shared: str, name: str = "joint_group
     A missing node counts as one named group. Labels are numbered in order of the
     component's smallest node.
     """
-    named = df.withColumn("node", F.coalesce(F.col(node).cast("string"), F.lit(MISSING_GROUP)))
-    comp = connected_components(named.select("node"), shared_value_edges(named, "node", shared))
-    labels = component_labels(comp, name, digits)
-    return named.join(labels.select("node", name), "node").drop("node")
+    named = df.withColumn("_node", F.coalesce(F.col(node).cast("string"), F.lit(MISSING_GROUP)))
+    comp = connected_components(named.select(F.col("_node").alias("node")), shared_value_edges(named, "_node", shared))
+    labels = component_labels(comp, name, digits).select(F.col("node").alias("_node"), name)
+    return named.join(labels, "_node").drop("_node")
 
 
 def component_labels(components: DataFrame, name: str = "label", digits: int = 5) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewise.operators.linear import (
-    Design, Fit, association_row, chi2_sf, constant_terms, fit_ols, gram, normal_p, rows_frame, solve_ols,
+    Design, Fit, association_row, chi2_sf, fit_ols, gram, normal_p, solve_ols, wald_joint,
 )
 from sitewise.operators.ordering import average_ranks, medians, quantile_array, running
 

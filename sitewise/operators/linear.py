@@ -29,7 +29,7 @@ def gram_names(p: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(p) for j in range(i, p)]
 
 
-def _unpack(values, p: int) -> np.ndarray:
+def unpack_gram(values, p: int) -> np.ndarray:
     out = np.zeros((p, p))
     for (i, j), v in zip(gram_names(p), values):
         out[i, j] = out[j, i] = v if v is not None else 0.0
@@ -42,9 +42,9 @@ def gram(df: DataFrame, columns: Sequence[Column], by: str | None = None) -> dic
     named = [c.cast("double").alias(f"_c{i}") for i, c in enumerate(columns)]
     work = df.select(*([by] if by else []), *named)
     if p <= MAX_SQL_COLUMNS:
-        aggs = [F.sum(F.col(f"_c{i}") * F.col(f"_c{j}")).alias(f"g{i}_{j}") for i, j in gram_names(p)]
+        aggs = [F.expr(f"sum(_c{i} * _c{j}) AS g{i}_{j}") for i, j in gram_names(p)]
         rows = (work.groupBy(by) if by else work.groupBy()).agg(*aggs).collect()
-        return {(r[by] if by else None): _unpack([r[f"g{i}_{j}"] for i, j in gram_names(p)], p) for r in rows}
+        return {(r[by] if by else None): unpack_gram([r[f"g{i}_{j}"] for i, j in gram_names(p)], p) for r in rows}
     feats = work.select(*([by] if by else []), F.array(*[f"_c{i}" for i in range(p)]).alias("_x"))
     return gram_arrays(feats, "_x", p, by)
 
@@ -178,13 +178,13 @@ def _cluster_meat(df, design, y, beta, cluster, weights):
                      *[c.cast("double").alias(f"_x{i}") for i, c in enumerate(design.columns)])
     p = len(design.columns)
     scores = base.groupBy("_cl").agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(F.col(f"_x{i}") * F.col("_e")).alias(f"_s{i}") for i in range(p)])
+        F.count(F.lit(1)).alias("_n"), *[F.expr(f"sum(_x{i} * _e) AS _s{i}") for i in range(p)])
     meat = None
     if p <= MAX_SQL_COLUMNS:
         pairs = gram_names(p)
         row = scores.agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("g"),
-                         *[F.sum(F.col(f"_s{i}") * F.col(f"_s{j}")).alias(f"m{i}_{j}") for i, j in pairs]).first()
-        meat = _unpack([row[f"m{i}_{j}"] for i, j in pairs], p)
+                         *[F.expr(f"sum(_s{i} * _s{j}) AS m{i}_{j}") for i, j in pairs]).first()
+        meat = unpack_gram([row[f"m{i}_{j}"] for i, j in pairs], p)
         return meat, int(row["n"]), int(row["g"])
     vec = scores.select(F.array(*[f"_s{i}" for i in range(p)], F.lit(1.0), F.sqrt(F.col("_n").cast("double"))).alias("_x"))
     full = gram_arrays(vec, "_x", p + 2)[None]

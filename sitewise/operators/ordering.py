@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from sitewise.session import checkpointed
 
+# Up to this many rows in total a plain window is cheaper, and one task can hold them all.
+SMALL_ROWS = 1_000_000
+
 _COMBINE = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
@@ -28,6 +31,10 @@ def _on_keys(left: str, right: str, keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, terms)
 
 
+def _small(df: DataFrame) -> bool:
+    return df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+
+
 def running(df: DataFrame, keys: Sequence[str], order: Sequence, totals: dict[str, tuple[str, Column]]) -> DataFrame:
     """Add running aggregates within ``keys`` in ``order``, this row included.
 
@@ -43,6 +50,10 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence, totals: dict[st
         .repartitionByRange(*[F.col(k) for k in keys], *order)
         .withColumn("_part", F.spark_partition_id())
     )
+    if _small(parts):
+        whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return parts.select(*[c for c in df.columns if c not in totals],
+                            *[_COMBINE[how](f"_in_{n}").over(whole).alias(n) for n, (how, _) in totals.items()])
     within = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = parts.withColumns({n: _COMBINE[how](f"_in_{n}").over(within) for n, (how, _) in totals.items()})
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -91,22 +102,39 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, f
     counts; no group is held in memory. ``weight`` is an integer frequency.
     """
     keys = list(keys)
-    counts = value_counts(df, keys, value, weight).where("_n > 0")
-    ranked = running(counts, keys, [value], {"_upto": ("sum", F.col("_n"))})
-    sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_size"))
-    if keys:
-        joined = ranked.alias("a").join(sizes.alias("b"), _on_keys("a", "b", keys)) \
-            .select("a.*", F.col("b._size"))
-    else:
-        joined = ranked.withColumn("_size", sizes.scalar())
-    aggs = []
-    for name, p in probs.items():
+    counts = value_counts(df, keys, value, weight).where("_n > 0").withColumnRenamed(value, "_value")
+    parts = checkpointed(
+        counts.repartitionByRange(*[F.col(k) for k in keys], F.col("_value")).withColumn("_part", F.spark_partition_id()))
+    if _small(parts):
+        return parts.groupBy(*keys).agg(*[F.percentile("_value", F.lit(float(p)), F.col("_n")).alias(n) for n, p in probs.items()])
+    # Totals per piece tell which piece holds each wanted rank; only those pieces are sorted.
+    whole = Window.partitionBy(*keys)
+    upto = F.sum("_c").over(whole.orderBy("_part"))
+    pieces = parts.groupBy(*keys, "_part").agg(F.sum("_n").alias("_c")).select(
+        *keys, "_part", "_c", (upto - F.col("_c")).alias("_before"), F.sum("_c").over(whole).alias("_size"))
+    wanted = []
+    for i, p in enumerate(probs.values()):
         h = (F.col("_size") - 1) * F.lit(float(p))
-        low = F.min(F.when(F.col("_upto") > F.floor(h), F.col(value)))
-        high = F.min(F.when(F.col("_upto") > F.ceil(h), F.col(value)))
-        part = F.max(h - F.floor(h))
-        aggs.append((low + (high - low) * part).alias(name))
-    return joined.groupBy(*keys).agg(*aggs)
+        wanted += [F.struct(F.lit(2 * i + j).alias("i"), (f(h) + 1).cast("long").alias("rank"))
+                   for j, f in enumerate((F.floor, F.ceil))]
+    targets = pieces.withColumn("_w", F.explode(F.array(*wanted))).where(
+        (F.col("_w.rank") > F.col("_before")) & (F.col("_w.rank") <= F.col("_before") + F.col("_c"))) \
+        .groupBy(*keys, "_part", "_before", "_size").agg(F.collect_list("_w").alias("_w"))
+    near = parts.alias("p").join(targets.alias("t"), _on_keys("p", "t", [*keys, "_part"])) \
+        .select(*[F.col(f"p.{k}") for k in keys], "p._value", "p._n", "p._part", "t._before", "t._size", "t._w")
+    within = Window.partitionBy(*keys, "_part").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = near.withColumn("_upto", F.col("_before") + F.sum("_n").over(within))
+
+    def here(w: Column) -> Column:
+        return (w["rank"] <= F.col("_upto")) & (w["rank"] > F.col("_upto") - F.col("_n"))
+
+    hits = ranked.select(*keys, "_value", "_size", F.explode(F.transform(F.filter("_w", here), lambda w: w["i"])).alias("_i"))
+    aggs = []
+    for i, (name, p) in enumerate(probs.items()):
+        h = F.max((F.col("_size") - 1) * F.lit(float(p)))
+        low, high = (F.min(F.when(F.col("_i") == at, F.col("_value"))) for at in (2 * i, 2 * i + 1))
+        aggs.append((low + (high - low) * (h - F.floor(h))).alias(name))
+    return hits.groupBy(*keys).agg(*aggs)
 
 
 def quantile_array(df: DataFrame, value: str, probs: Sequence[float]) -> Column:

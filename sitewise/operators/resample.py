@@ -53,7 +53,7 @@ def bootstrap_sums(groups: DataFrame, group: str, sums: Sequence[str], replicate
     else:
         indexed = numbered(groups, group)
         w = draw_counts(indexed, replicates, seed).join(indexed, "_g")
-    return w.groupBy("rep").agg(*[F.sum(F.col("weight") * F.col(s)).alias(s) for s in sums])
+    return w.groupBy("rep").agg(*[F.expr(f"sum(weight * `{s}`) AS `{s}`") for s in sums])
 
 
 def percentile_interval(replicates: DataFrame, keys: Sequence[str], stat: str, alpha: float = 0.05) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from sitewise.operators import inference as N
 from sitewise.operators.aggregates import group_size
-from sitewise.operators.linear import Design, gram_names, rows_frame, solve_ols
-from sitewise.operators.resample import bootstrap_fit, group_sums, percentile_interval
+from sitewise.operators.linear import Design, gram_names, rows_frame, solve_ols, unpack_gram
+from sitewise.operators.resample import bootstrap_fit, percentile_interval
 
 
 @dataclass(frozen=True)
@@ -38,27 +38,25 @@ def coefficient_bootstrap(df: DataFrame, designs: dict[str, Design], outcome: st
     solves. With two designs the difference of their columns is a paired contrast.
     """
     scale = scale or {}
-    sums: dict[str, Column] = {}
+    named: dict[str, Column] = {}
+    sums: list[str] = []
     where: dict[str, list[str]] = {}
-    y = F.col(outcome).cast("double")
     for name, d in designs.items():
-        cols = [*[c.cast("double") for c in d.columns], y]
-        where[name] = []
-        for i, j in gram_names(len(cols)):
-            key = f"{name}_{i}_{j}"
-            sums[key] = cols[i] * cols[j]
-            where[name].append(key)
-    order = list(sums)
+        cols = [*d.columns, F.col(outcome)]
+        named |= {f"{name}_{i}": c.cast("double") for i, c in enumerate(cols)}
+        where[name] = [f"{name}_{i}_{j}" for i, j in gram_names(len(cols))]
+        sums += [f"sum({name}_{i} * {name}_{j}) AS {name}_{i}_{j}" for i, j in gram_names(len(cols))]
+    order = [k for keys in where.values() for k in keys]
+    per_cluster = df.select(F.col(cluster).alias("_cluster"), *[c.alias(n) for n, c in named.items()]) \
+        .groupBy("_cluster").agg(*[F.expr(e) for e in sums])
     spots = {n: [order.index(k) for k in keys] for n, keys in where.items()}
     sizes = {n: len(d.names) for n, d in designs.items()}
     at = {n: designs[n].names.index(predictors[n]) for n in designs}
 
     def solve(values):
-        from sitewise.operators.linear import _unpack
+        return {n: solve_ols(unpack_gram(values[spots[n]], sizes[n] + 1), sizes[n])[0][at[n]] * scale.get(n, 1.0) for n in spots}
 
-        return {n: solve_ols(_unpack(values[spots[n]], sizes[n] + 1), sizes[n])[0][at[n]] * scale.get(n, 1.0) for n in spots}
-
-    return bootstrap_fit(group_sums(df, cluster, sums), cluster, order, solve, list(designs), replicates, seed, weights)
+    return bootstrap_fit(per_cluster, "_cluster", order, solve, list(designs), replicates, seed, weights)
 
 
 def run_association(df: DataFrame, p: AssociationParams) -> dict[str, DataFrame]:

@@ -55,15 +55,27 @@ def map_sites(sites: DataFrame, exons: DataFrame, vectors: DataFrame, params: Da
         j = j.join(sequences.select(F.col("name").alias("tid"), "seq"), "tid")
         if params.centre_base:
             j = j.where(Q.base_at(F.col("seq"), pos) == params.centre_base)
-    left, right, both = V.flank_coverage(v, pos, k)
-    window = V.window_vector(v, pos, params.display)
+    # Slices become columns first, so no feature below cuts the vector again.
+    n, d = F.size(v), params.display
+    j = j.withColumns({
+        "_pos": pos, "_left": V.left_flank(v, pos, k), "_right": V.right_flank(v, pos, k),
+        "signal_window": V.window_vector(v, pos, d), "signal_centre": F.round(F.get(v, pos - 1).cast("double"), 6),
+        "_has_left": pos > k, "_has_right": pos + k <= n, "_has_display": (pos > d) & (pos + d <= n),
+    }).drop("values")
+    j = j.withColumns({"valid_count_up": V.valid_count(F.col("_left")), "valid_count_down": V.valid_count(F.col("_right")),
+                       "valid_count_display": V.valid_count(F.col("signal_window"))})
+    pos = F.col("_pos")
+    up, down = F.col("valid_count_up"), F.col("valid_count_down")
+    left, right = F.when(F.col("_has_left"), up / k), F.when(F.col("_has_right"), down / k)
+    around = F.col("valid_count_display") - F.get("signal_window", F.lit(d)).isNotNull().cast("int")
     cols = {
-        "coverage_up": left, "coverage_down": right, "coverage_flank": both,
-        "coverage_display": V.flank_coverage(v, pos, params.display)[2],
-        "valid_count_up": V.valid_count(V.left_flank(v, pos, k)), "valid_count_down": V.valid_count(V.right_flank(v, pos, k)),
-        "signal_mean_up": V.valid_mean(V.left_flank(v, pos, k)), "signal_mean_down": V.valid_mean(V.right_flank(v, pos, k)),
-        "signal_mean_flank": V.flank_mean(v, pos, k), "main_window_valid": V.main_window_valid(v, pos, k, params.min_fraction),
-        "signal_centre": F.round(F.get(v, pos - 1).cast("double"), 6), "signal_window": window,
+        "coverage_up": left, "coverage_down": right,
+        "coverage_flank": F.when(F.col("_has_left") & F.col("_has_right"), (up + down) / (2 * k)),
+        "coverage_display": F.when(F.col("_has_display"), around / (2 * d)),
+        "signal_mean_up": V.valid_mean(F.col("_left")), "signal_mean_down": V.valid_mean(F.col("_right")),
+        "signal_mean_flank": V.valid_mean(F.concat("_left", "_right")),
+        "main_window_valid": F.coalesce((left >= params.min_fraction) & (right >= params.min_fraction), F.lit(False)),
+        "signal_mask": V.mask_of(F.col("signal_window")), "gene_match": S.list_contains(F.col("genes"), F.col("gene_name")),
     }
     if sequences is not None:
         seq = F.col("seq")
@@ -71,10 +83,7 @@ def map_sites(sites: DataFrame, exons: DataFrame, vectors: DataFrame, params: Da
         cols |= {"sequence_window": Q.seq_window(seq, pos, params.model_half), "motif": m5, "motif_class": Q.motif_class(m5),
                  "gc_fraction": Q.gc_fraction(local), "transcript_length": F.length(seq),
                  "position_fraction": S.position_fraction(pos, F.length(seq))}
-    out = j.withColumns(cols).drop("values", "seq")
-    return out.withColumns({
-        "valid_count_display": V.valid_count(F.col("signal_window")), "signal_mask": V.mask_of(F.col("signal_window")),
-        "gene_match": S.list_contains(F.col("genes"), F.col("gene_name"))})
+    return j.withColumns(cols).drop("seq", "_pos", "_left", "_right", "_has_left", "_has_right", "_has_display")
 
 
 def candidate_order() -> list:
