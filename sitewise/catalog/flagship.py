@@ -40,12 +40,12 @@ def _site_tables(t):
 
 
 @query("site_dataset", _SITES + """
-SELECT CAST(pos AS BIGINT) AS pos, strand, CAST(tid AS BIGINT) AS tid, CAST(tp AS BIGINT) AS tx_pos, CAST(n AS BIGINT) AS isoform_count, round(a / ag, 6) AS combined_ratio, round(round(m, 8), 6) AS signal_mean,
+SELECT CAST(pos AS BIGINT) AS pos, strand, CAST(tid AS BIGINT) AS tid, CAST(tp AS BIGINT) AS tx_pos, CAST(n AS BIGINT) AS isoform_count, round(a / ag, 6) AS combined_ratio, round(m, 8) AS signal_mean,
   CAST(n101 AS BIGINT) AS valid_count, ok AS main_window_valid, reason AS exclusion_reason, reason = '' AS included FROM site""")
 def site_dataset(t):
     _, _, sites = _site_tables(t)
     return sites.select(
-        "pos", "strand", "tid", "tx_pos", "isoform_count", r6(F.col("combined_ratio")).alias("combined_ratio"), r6(F.col("signal_mean_flank")).alias("signal_mean"),
+        "pos", "strand", "tid", "tx_pos", "isoform_count", r6(F.col("combined_ratio")).alias("combined_ratio"), r6(F.col("signal_mean_flank"), 8).alias("signal_mean"),
         F.col("valid_count_display").cast("long").alias("valid_count"), "main_window_valid", F.col("main_exclusion_reason").alias("exclusion_reason"),
         F.col("main_analysis_included").alias("included"))
 

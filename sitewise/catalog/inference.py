@@ -53,12 +53,12 @@ def _(t):
 
 
 @query("design_statistics", " UNION ALL ".join(f"""
-SELECT '{n}' AS variable, round(m, 6) AS median, round(avg(coalesce(v, m)), 6) AS mean, round(stddev_samp(coalesce(v, m)), 6) AS sd
+SELECT '{n}' AS variable, round(m, 6) AS median, round(avg(coalesce(v, m)), 8) AS mean, round(stddev_samp(coalesce(v, m)), 8) AS sd
 FROM (SELECT {e} AS v, median({e}) OVER () AS m FROM lineitem) GROUP BY m""" for n, e in (("z", "l_discount"), ("q", "CASE WHEN l_tax > 0 THEN ln(1 + l_tax * 100) END"))))
 def _(t):
     st = N.design_stats(_frame(t), {"z": F.col("z"), "q": F.col("q")})
     rows = [{"variable": n, "median": m, "mean": a, "sd": s} for n, (m, a, s) in st.items()]
-    return rows_frame(t.spark, rows).select("variable", *[r6(F.col(c)).alias(c) for c in ("median", "mean", "sd")])
+    return rows_frame(t.spark, rows).select("variable", r6(F.col("median")).alias("median"), r6(F.col("mean"), 8).alias("mean"), r6(F.col("sd"), 8).alias("sd"))
 
 
 @query("adjusted_regression_design")
@@ -212,10 +212,10 @@ z AS (SELECT wx.*, least(wp, wm) AS s, (least(wp, wm) - CAST(n AS DOUBLE) * (n +
 
 
 @query("wilcoxon_signed_rank", f"""
-WITH v AS (SELECT event_type AS e, round(value - 45 - user_id % 10, 1) AS d FROM events), {_WILCOXON}
+WITH v AS (SELECT event_type AS e, CAST(floor((round(value * 100) - 4500 - (user_id % 10) * 100) / 10) AS DOUBLE) AS d FROM events), {_WILCOXON}
 SELECT e AS event_type, CAST(n AS BIGINT) AS n, round(wp, 2) AS w_plus, round(wm, 2) AS w_minus, round(s, 2) AS statistic, round(z, 6) AS z FROM z""")
 def _(t):
-    v = t("events").select("event_type", F.round(F.col("value") - 45 - F.col("user_id") % 10, 1).alias("d"))
+    v = t("events").select("event_type", F.floor((F.round(F.col("value") * 100) - 4500 - (F.col("user_id") % 10) * 100) / 10).cast("double").alias("d"))
     w = N.wilcoxon_signed_rank(v, "d", ["event_type"])
     return w.select("event_type", "n", *[r6(F.col(c), 2).alias(c) for c in ("w_plus", "w_minus", "statistic")], r6(F.col("z")).alias("z"))
 

@@ -273,8 +273,7 @@ def _(t):
 
 
 @query("annotation_projection", """
-WITH ex AS (SELECT l_partkey AS tid, min(l_linenumber) AS ln, CAST(round(l_extendedprice) AS BIGINT) AS s, CAST(round(l_extendedprice) AS BIGINT) + 20 + l_suppkey % 40 AS e FROM lineitem GROUP BY ALL),
-ns AS (SELECT tid, s, e FROM (SELECT *, lead(s) OVER (PARTITION BY tid ORDER BY s, e) AS nx FROM (SELECT DISTINCT tid, s, e FROM ex)) WHERE nx IS NULL OR nx > e),
+WITH ns AS (SELECT DISTINCT l_partkey AS tid, l_linenumber * 1000 + l_partkey * l_linenumber % 300 AS s, l_linenumber * 1000 + l_partkey * l_linenumber % 300 + 20 + (l_partkey + l_linenumber) % 40 AS e FROM lineitem),
 tx AS (SELECT tid, s, e, CASE WHEN tid % 2 = 0 THEN '+' ELSE '-' END AS strand,
   sum(e - s + 1) OVER (PARTITION BY tid ORDER BY CASE WHEN tid % 2 = 0 THEN s ELSE -s END ROWS UNBOUNDED PRECEDING) - (e - s) AS tx0 FROM ns),
 ft AS (SELECT tid, CASE WHEN s % 3 = 0 THEN 'stop_codon' ELSE 'CDS' END AS f, unnest([s + 2, e - 3]) AS g FROM ns WHERE s % 2 = 0),
@@ -290,14 +289,12 @@ def _(t):
 
 
 def _exon_chains(t):
-    """Non-overlapping exon chains per part."""
-    from pyspark.sql import Window
-
-    s = F.round("l_extendedprice").cast("long")
-    ex = t("lineitem").select(F.col("l_partkey").alias("tid"), s.alias("start"), (s + 20 + F.col("l_suppkey") % 40).alias("end")).distinct()
-    nx = F.lead("start").over(Window.partitionBy("tid").orderBy("start", "end"))
-    return ex.withColumn("_nx", nx).where("_nx is null or _nx > end").drop("_nx") \
-        .withColumn("strand", F.when(F.col("tid") % 2 == 0, "+").otherwise("-")).withColumn("chrom", F.lit("chr1"))
+    """Exon chains per part that cannot overlap: one exon per line number."""
+    k, n = F.col("l_partkey"), F.col("l_linenumber")
+    start = n * 1000 + k * n % 300
+    return t("lineitem").select(
+        k.alias("tid"), start.cast("long").alias("start"), (start + 20 + (k + n) % 40).cast("long").alias("end"),
+        F.when(k % 2 == 0, "+").otherwise("-").alias("strand"), F.lit("chr1").alias("chrom")).distinct()
 
 
 @query("spliced_interval_features", f"""
@@ -311,7 +308,7 @@ sp AS (SELECT s0, e0, strand, tid, min(p) AS f, max(p) AS l, count(*) AS nt FROM
 pv AS (SELECT txp.s0, txp.e0, txp.strand, txp.tid, count(v) AS ok, avg(v) AS m FROM txp LEFT JOIN v ON v.tid = txp.tid AND v.p = txp.p GROUP BY ALL),
 fl AS (SELECT sp.s0, sp.e0, sp.strand, sp.tid, count(v) FILTER (v.p < f) AS u, count(v) FILTER (v.p > l) AS d FROM sp LEFT JOIN v ON v.tid = sp.tid AND v.p BETWEEN f - 5 AND l + 5 AND (v.p < f OR v.p > l) GROUP BY ALL)
 SELECT CAST(s0 AS BIGINT) AS s0, CAST(e0 AS BIGINT) AS e0, strand, CAST(tid AS BIGINT) AS tid, CAST(f AS BIGINT) AS first_pos, CAST(l AS BIGINT) AS last_pos, CAST(nt AS BIGINT) AS nt,
-  CAST(ok AS BIGINT) AS valid_count, round(m, 6) AS mean, round(CASE WHEN f > 5 THEN u / 5 END, 6) AS cov_up, round(CASE WHEN l + 5 <= 64 THEN d / 5 END, 6) AS cov_down
+  CAST(ok AS BIGINT) AS valid_count, round(m, 8) AS mean, round(CASE WHEN f > 5 THEN u / 5 END, 6) AS cov_up, round(CASE WHEN l + 5 <= 64 THEN d / 5 END, 6) AS cov_down
 FROM sp JOIN pv USING (s0, e0, strand, tid) JOIN fl USING (s0, e0, strand, tid)""")
 def _(t):
     s0 = F.floor("o_totalprice").cast("long")
@@ -324,7 +321,7 @@ def _(t):
     return out.select(
         part[0].cast("long").alias("s0"), part[1].cast("long").alias("e0"), part[2].alias("strand"), "tid",
         F.col("peak_tx_start").alias("first_pos"), F.col("peak_tx_end").alias("last_pos"), F.col("peak_exonic_nt").alias("nt"),
-        F.col("peak_valid_count").cast("long").alias("valid_count"), r6(F.col("peak_mean")).alias("mean"),
+        F.col("peak_valid_count").cast("long").alias("valid_count"), r6(F.col("peak_mean"), 8).alias("mean"),
         r6(F.col("coverage_upstream")).alias("cov_up"), r6(F.col("coverage_downstream")).alias("cov_down"))
 
 

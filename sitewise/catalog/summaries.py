@@ -144,11 +144,12 @@ def _(t):
 
 
 @query("isoform_weighted_means", """
-SELECT CAST(l_orderkey AS BIGINT) AS site, CAST(count(*) AS BIGINT) AS rows, round(avg(l_extendedprice), 4) AS equal_mean,
-  round(sum(l_extendedprice * greatest(l_discount, 1e-12)) / sum(greatest(l_discount, 1e-12)), 4) AS weighted_mean FROM lineitem GROUP BY l_orderkey""")
+WITH x AS (SELECT l_orderkey, ln(l_extendedprice) AS y, ln(1 + l_discount * 10) AS w FROM lineitem)
+SELECT CAST(l_orderkey AS BIGINT) AS site, CAST(count(*) AS BIGINT) AS rows, round(avg(y), 6) AS equal_mean, round(sum(y * greatest(w, 1e-12)) / sum(greatest(w, 1e-12)), 6) AS weighted_mean FROM x GROUP BY l_orderkey""")
 def _(t):
-    m = A.isoform_means(t("lineitem"), "l_orderkey", "l_extendedprice", "l_discount")
-    return m.select(F.col("l_orderkey").alias("site"), "rows", r6(F.col("equal_mean"), 4).alias("equal_mean"), r6(F.col("weighted_mean"), 4).alias("weighted_mean"))
+    x = t("lineitem").select("l_orderkey", F.ln("l_extendedprice").alias("y"), F.log1p(F.col("l_discount") * 10).alias("w"))
+    m = A.isoform_means(x, "l_orderkey", "y", "w")
+    return m.select(F.col("l_orderkey").alias("site"), "rows", r6(F.col("equal_mean")).alias("equal_mean"), r6(F.col("weighted_mean")).alias("weighted_mean"))
 
 
 _PRED = "least(1.0, greatest(0.0, 0.6 * l_quantity / 50 + 0.3 * l_discount * 10 - 0.05))"

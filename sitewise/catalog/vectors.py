@@ -64,10 +64,10 @@ def _(t):
 @query("centre_excluded_means", f"""
 WITH {VECTORS_SQL}, x AS (SELECT vec_id, count(v) FILTER (p BETWEEN c - 10 AND c - 3) AS lc, count(v) FILTER (p BETWEEN c + 3 AND c + 10) AS rc,
   avg(round(v, 6)) FILTER (p BETWEEN c - 10 AND c - 3 OR p BETWEEN c + 3 AND c + 10) AS m FROM vl GROUP BY vec_id)
-SELECT CAST(vec_id AS BIGINT) AS vec_id, lc / 8 >= 0.7 AND rc / 8 >= 0.7 AS ok, round(CASE WHEN lc / 8 >= 0.7 AND rc / 8 >= 0.7 THEN m END, 6) AS mean FROM x""")
+SELECT CAST(vec_id AS BIGINT) AS vec_id, lc / 8 >= 0.7 AND rc / 8 >= 0.7 AS ok, round(CASE WHEN lc / 8 >= 0.7 AND rc / 8 >= 0.7 THEN m END, 10) AS mean FROM x""")
 def _(t):
     ok, mean = V.window_exclude_centre(V.window_vector(F.col("values"), F.col("c"), 20), 20, 3, 10, 0.7)
-    return vectors(t).select("vec_id", ok.alias("ok"), r6(mean).alias("mean"))
+    return vectors(t).select("vec_id", ok.alias("ok"), r6(mean, 10).alias("mean"))
 
 
 @query("probability_features", """
