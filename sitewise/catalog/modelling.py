@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from sitewise.catalog.registry import query
-from sitewise.catalog.standins import r6
+from sitewise.catalog.standins import VECTORS_SQL, r6, vectors
 from sitewise.functions.sequences import to_acgt
 from sitewise.functions.vectors import valid_mean
 from sitewise.operators import models as M
@@ -58,6 +58,21 @@ def _(t):
     return rows_frame(t.spark, out).select("feature", r6(F.col("weight")).alias("weight"), r6(F.col("shift")).alias("shift"))
 
 
+@query("masked_block_scaler", f"""
+WITH {VECTORS_SQL}, m AS (SELECT p, median(v) AS md FROM vl WHERE p <= 8 GROUP BY p), f AS (SELECT vec_id, vl.p, v, coalesce(v, md) AS x FROM vl JOIN m ON m.p = vl.p),
+s AS (SELECT p, avg(x) AS a, stddev_pop(x) AS sd FROM f GROUP BY p)
+SELECT CAST(vec_id AS BIGINT) AS vec_id, 'R:p' || (f.p - 1) AS feature, round((x - a) / sd, 6) AS value FROM f JOIN s ON s.p = f.p
+UNION ALL SELECT CAST(vec_id AS BIGINT), 'R:missing_p' || (p - 1), CASE WHEN v IS NULL THEN 1.0 ELSE 0.0 END FROM f""")
+def _(t):
+    block = vectors(t).select("vec_id", F.slice("values", 1, 8).alias("r"))
+    names = [f"p{i}" for i in range(8)]
+    rows, layout, _ = raw_features(block, FeatureSpec(arrays={"R": (F.col("r"), names)}, masked=("R",)))
+    cross = gram_arrays(rows.select(F.concat(F.array(F.lit(1.0)), "raw").alias("_v")), "_v", len(layout.names) + 1)[None]
+    wide = block.select(*[F.get("r", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    enc = fit_encoder(cross, layout, {f"R:{r['variable']}": r["median"] for r in medians(wide, [], names).collect()})
+    return enc.apply(rows, "raw", "vec_id").withColumn("value", r6(F.col("value")))
+
+
 @query("grouped_cv_ridge_grid")
 def _(t):
     rows, _ = M.grid_cv(M.prepare(_grouped(t), _spec(), ["y"], "joint_group", 5), LADDER, ALPHAS)

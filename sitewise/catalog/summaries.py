@@ -130,17 +130,34 @@ def _(t):
     return b.select(F.col("bin").cast("long").alias("bin"), "sites", "units", r6(F.col("x_mean"), 3).alias("x_mean"), r6(F.col("y_mean"), 4).alias("y_mean"), r6(F.col("y_median"), 4).alias("y_median"), "x_min", "x_max")
 
 
-@query("positional_profile", f"""
+_QUARTILES = f"""
 WITH {VECTORS_SQL}, o AS (SELECT vec_id, sum(x) AS y FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY vec_id),
-e AS (SELECT quantile_cont(y, [0, 0.25, 0.5, 0.75, 1.0]) AS q FROM o), b AS (SELECT vec_id, len(list_filter(q[2:4], lambda x: x < y)) + 1 AS quartile FROM o, e)
-SELECT CAST(quartile AS BIGINT) AS quartile, CAST(p - c AS BIGINT) AS relative_position, round(avg(round(v, 6)), 6) AS mean, CAST(count(v) AS BIGINT) AS valid_sites, CAST(count(DISTINCT label) AS BIGINT) AS valid_units
-FROM vl JOIN b USING (vec_id) WHERE v IS NOT NULL AND p - c BETWEEN -20 AND 20 GROUP BY ALL""")
-def _(t):
+e AS (SELECT quantile_cont(y, [0, 0.25, 0.5, 0.75, 1.0]) AS q FROM o), b AS (SELECT vec_id, len(list_filter(q[2:4], lambda x: x < y)) + 1 AS quartile FROM o, e)"""
+
+
+def _quartile_windows(t):
     y = F.aggregate(F.transform("embedding", lambda x: x.cast("double")), F.lit(0.0), lambda s, x: s + x)
     binned = A.quantile_bin(t("embeddings").select("vec_id", y.alias("y")), "y", 4, "quartile").select("vec_id", F.col("quartile").cast("long").alias("quartile"))
-    w = vectors(t).join(binned, "vec_id").select("quartile", "label", window_vector(F.col("values"), F.col("c"), 20).alias("w"))
-    p = A.positional_profile(w, "quartile", "w", 20, "label")
-    return p.select("quartile", F.col("relative_position").cast("long").alias("relative_position"), r6(F.col("mean")).alias("mean"), "valid_sites", "valid_units")
+    return vectors(t).join(binned, "vec_id").select("quartile", "label", window_vector(F.col("values"), F.col("c"), 20, 12).alias("w"))
+
+
+@query("positional_profile", _QUARTILES + """
+SELECT CAST(quartile AS BIGINT) AS quartile, CAST(p - c AS BIGINT) AS relative_position, round(avg(v), 7) AS mean, CAST(count(v) AS BIGINT) AS valid_sites, CAST(count(DISTINCT label) AS BIGINT) AS valid_units
+FROM vl JOIN b USING (vec_id) WHERE v IS NOT NULL AND p - c BETWEEN -20 AND 20 GROUP BY ALL""")
+def _(t):
+    p = A.positional_profile(_quartile_windows(t), "quartile", "w", 20, "label")
+    return p.select("quartile", F.col("relative_position").cast("long").alias("relative_position"), r6(F.col("mean"), 7).alias("mean"), "valid_sites", "valid_units")
+
+
+@query("positional_profile_band", _QUARTILES + """,
+s AS (SELECT quartile, label, p - c AS rel, sum(v) AS s, count(v) AS n FROM vl JOIN b USING (vec_id) WHERE v IS NOT NULL AND p - c BETWEEN -20 AND 20 GROUP BY ALL),
+u AS (SELECT quartile, label, row_number() OVER (PARTITION BY quartile ORDER BY label) AS i, count(*) OVER (PARTITION BY quartile) AS k FROM (SELECT DISTINCT quartile, label FROM b JOIN vl USING (vec_id))),
+d AS (SELECT quartile, rep, ('0x' || substr(md5('8|' || rep || '|' || quartile || '|' || i), 1, 8))::BIGINT % k + 1 AS i FROM u, range(40) r(rep)),
+m AS (SELECT quartile, rel, rep, sum(s) / sum(n) AS m FROM d JOIN u USING (quartile, i) JOIN s USING (quartile, label) GROUP BY quartile, rel, rep)
+SELECT CAST(quartile AS BIGINT) AS quartile, CAST(rel AS BIGINT) AS relative_position, round(quantile_cont(m, 0.025), 7) AS ci_low, round(quantile_cont(m, 0.975), 7) AS ci_high FROM m GROUP BY quartile, rel""")
+def _(t):
+    p = A.profile_band(_quartile_windows(t), "quartile", "w", 20, "label", 40, 8)
+    return p.select("quartile", F.col("relative_position").cast("long").alias("relative_position"), r6(F.col("ci_low"), 7).alias("ci_low"), r6(F.col("ci_high"), 7).alias("ci_high"))
 
 
 @query("isoform_weighted_means", """

@@ -113,6 +113,17 @@ class Encoder:
     offset: np.ndarray
     medians: dict[str, float]
 
+    def apply(self, rows: DataFrame, raw: str, key: str) -> DataFrame:
+        """Encoded values in long form: key, feature, value."""
+        terms = []
+        for i, name in enumerate(self.names):
+            used = np.flatnonzero(self.weights[:, i])
+            value = F.lit(float(self.offset[i]))
+            for j in used:
+                value = value + F.lit(float(self.weights[j, i])) * F.get(raw, F.lit(int(j)))
+            terms.append(F.struct(F.lit(name).alias("feature"), value.alias("value")))
+        return rows.select(key, F.explode(F.array(*terms)).alias("_e")).select(key, "_e.*")
+
     def state(self, layout: RawLayout, levels: dict, clip: tuple[float, float] = (0.0, 1.0), **extra) -> dict:
         return {"features": self.names, "weights": self.weights.tolist(), "offset": self.offset.tolist(),
                 "medians": self.medians, "layout": asdict(layout), "levels": levels, "clip": list(clip), **extra}
