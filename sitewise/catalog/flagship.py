@@ -6,7 +6,7 @@ from sitewise.catalog.registry import query
 from sitewise.catalog.standins import EXONS_SQL, PRICE_BIN, exons, r6, unit_price_cents, vectors
 from sitewise.plans import dataset as D
 
-_PARAMS = D.DatasetParams(flank=10, display=50, min_fraction=0.7, bin_size=PRICE_BIN)
+_PARAMS = D.DatasetParams(flank=10, display=50, min_fraction=0.7, bin_size=PRICE_BIN, disjoint_exons=True)
 
 _SITES = f"""
 WITH {EXONS_SQL},
@@ -32,11 +32,14 @@ def _site_tables(t):
         F.concat(F.lit("Brand#"), F.min(F.col("l_partkey") % 25).cast("string")).alias("gene")).withColumn("chrom", F.lit("chr1"))
     # Keys come out of a group-by, so the uniqueness check would only repeat it.
     union = D.replicate_union(agg.where("l_linestatus = 'O'"), agg.where("l_linestatus = 'F'"), ["agcov", "acov"], "gene", check=False)
+    mapped = D.map_sites(union, exons(t), _vectors(t), _PARAMS)
+    return union, mapped, D.site_table(mapped, _PARAMS)
+
+
+def _vectors(t):
     n = t("embeddings").agg(F.count(F.lit(1)).alias("n")).scalar()
     long = vectors(t).select("vec_id", F.flatten(F.array_repeat("values", 8)).alias("values"))
-    vec = t("part").select(F.col("p_partkey").alias("tid"), (F.col("p_partkey") % n).alias("vec_id")).join(long, "vec_id").select("tid", "values")
-    mapped = D.map_sites(union, exons(t), vec, _PARAMS)
-    return union, mapped, D.site_table(mapped, _PARAMS)
+    return t("part").select(F.col("p_partkey").alias("tid"), (F.col("p_partkey") % n).alias("vec_id")).join(long, "vec_id").select("tid", "values")
 
 
 @query("site_dataset", _SITES + """
@@ -50,6 +53,17 @@ def site_dataset(t):
         F.col("main_analysis_included").alias("included"))
 
 
+@query("site_windows", _SITES + """
+SELECT CAST(x.pos AS BIGINT) AS pos, x.strand, CAST(count(v) AS BIGINT) AS measured, round(coalesce(sum(round(v, 6) * (p - tp + 51)), 0), 3) AS weighted
+FROM site x LEFT JOIN v ON v.vec_id = tid % (SELECT count(*) FROM embeddings) AND p BETWEEN tp - 50 AND tp + 50 WHERE reason = '' GROUP BY x.pos, x.strand""")
+def _(t):
+    _, _, sites = _site_tables(t)
+    w = D.add_windows(sites.where("main_analysis_included"), _vectors(t), D.DatasetParams(flank=10, display=50))
+    moment = F.aggregate(F.transform("signal_window", lambda x, i: F.coalesce(x, F.lit(0.0)) * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    measured = F.aggregate("signal_mask", F.lit(0).cast("long"), lambda a, x: a + x)
+    return w.select("pos", "strand", measured.alias("measured"), r6(moment, 3).alias("weighted"))
+
+
 @query("site_isoform_table", _SITES + """
 SELECT CAST(pos AS BIGINT) AS pos, strand, CAST(tid AS BIGINT) AS tid, CAST(rn AS BIGINT) AS isoform_rank, CAST(n AS BIGINT) AS isoform_count, rn = 1 AS representative FROM k""")
 def _(t):

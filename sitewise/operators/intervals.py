@@ -90,10 +90,15 @@ def with_tx_offsets(exons: DataFrame, tid: str = "tid") -> DataFrame:
 
 
 def map_to_transcripts(points: DataFrame, exons: DataFrame, point_keys: Sequence[str], pos: str = "pos",
-                       bin_size: int = BIN) -> DataFrame:
-    """Points to transcript positions, one hit per (point, transcript)."""
+                       bin_size: int = BIN, disjoint_exons: bool = False) -> DataFrame:
+    """Points to transcript positions, one hit per (point, transcript).
+
+    Where the exons of a transcript are known not to overlap, a point cannot hit
+    two of them; ``disjoint_exons`` then saves the shuffle of all hits.
+    """
     hits = point_in_interval(points, exons, ["chrom", "strand"], pos, bin_size=bin_size)
-    hits = first_hit_per(hits, [*point_keys, "tid"], ["tx_start"])
+    if not disjoint_exons:
+        hits = first_hit_per(hits, [*point_keys, "tid"], ["tx_start"])
     return hits.withColumn(
         "tx_pos", genome_to_tx(F.col("start"), F.col("end"), F.col("strand"), F.col("tx_start"), F.col(pos)))
 

@@ -29,6 +29,7 @@ class DatasetParams:
     min_fraction: float = 0.7
     bin_size: int = BIN
     centre_base: str | None = "A"
+    disjoint_exons: bool = False
     excluded_sites: tuple[str, ...] = ()
 
 
@@ -42,48 +43,63 @@ def lift_sites(sites: DataFrame, blocks: DataFrame, bin_size: int = BIN) -> Data
 
 
 def map_sites(sites: DataFrame, exons: DataFrame, vectors: DataFrame, params: DatasetParams,
-              sequences: DataFrame | None = None) -> DataFrame:
+              sequences: DataFrame | None = None, windows: bool = False) -> DataFrame:
     """One row per (site, transcript) with window features.
 
-    The vector join is followed at once by slicing, so only the window travels on.
-    With ``sequences`` a hit must carry the centre base, and sequence windows are added.
+    The vector join is followed at once by slicing, and only numbers travel on;
+    ``windows`` keeps the display window and sequences of every candidate too.
+    With ``sequences`` a hit must carry the centre base.
     """
-    hits = map_to_transcripts(sites, exons, KEY, bin_size=params.bin_size)
-    pos, v, k = F.col("tx_pos").cast("int"), F.col("values"), params.flank
+    hits = map_to_transcripts(sites, exons, KEY, bin_size=params.bin_size, disjoint_exons=params.disjoint_exons)
+    pos, v, k, d = F.col("tx_pos").cast("int"), F.col("values"), params.flank, params.display
     j = hits.join(vectors.select("tid", "values"), "tid")
     if sequences is not None:
         j = j.join(sequences.select(F.col("name").alias("tid"), "seq"), "tid")
         if params.centre_base:
             j = j.where(Q.base_at(F.col("seq"), pos) == params.centre_base)
     # Slices become columns first, so no feature below cuts the vector again.
-    n, d = F.size(v), params.display
+    n = F.size(v)
+    wide = _window_columns(pos, params, sequences is not None) if windows else {}
     j = j.withColumns({
-        "_pos": pos, "_left": V.left_flank(v, pos, k), "_right": V.right_flank(v, pos, k),
-        "signal_window": V.window_vector(v, pos, d), "signal_centre": F.round(F.get(v, pos - 1).cast("double"), 6),
-        "_has_left": pos > k, "_has_right": pos + k <= n, "_has_display": (pos > d) & (pos + d <= n),
-    }).drop("values")
-    j = j.withColumns({"valid_count_up": V.valid_count(F.col("_left")), "valid_count_down": V.valid_count(F.col("_right")),
-                       "valid_count_display": V.valid_count(F.col("signal_window"))})
-    pos = F.col("_pos")
+        "_left": V.left_flank(v, pos, k), "_right": V.right_flank(v, pos, k), "_near": V.left_flank(v, pos + d + 1, 2 * d + 1),
+        "_centre": F.get(v, pos - 1), "_has_left": pos > k, "_has_right": pos + k <= n, "_has_display": (pos > d) & (pos + d <= n), **wide,
+    })
+    if sequences is not None:
+        seq = F.col("seq")
+        m5, local = Q.seq_window(seq, pos, 2), Q.seq_window(seq, pos, 10)
+        full = (pos > params.model_half) & (pos <= F.length(seq) - params.model_half)
+        j = j.withColumns({"motif": m5, "motif_class": Q.motif_class(m5), "gc_fraction": Q.gc_fraction(local), "transcript_length": F.length(seq),
+                           "position_fraction": S.position_fraction(pos, F.length(seq)), "sequence_window_full": full}).drop("seq")
+    j = j.drop("values").withColumns({
+        "valid_count_up": V.valid_count(F.col("_left")), "valid_count_down": V.valid_count(F.col("_right")), "valid_count_display": V.valid_count(F.col("_near"))})
     up, down = F.col("valid_count_up"), F.col("valid_count_down")
     left, right = F.when(F.col("_has_left"), up / k), F.when(F.col("_has_right"), down / k)
-    around = F.col("valid_count_display") - F.get("signal_window", F.lit(d)).isNotNull().cast("int")
-    cols = {
+    around = F.col("valid_count_display") - F.col("_centre").isNotNull().cast("int")
+    return j.withColumns({
         "coverage_up": left, "coverage_down": right,
         "coverage_flank": F.when(F.col("_has_left") & F.col("_has_right"), (up + down) / (2 * k)),
         "coverage_display": F.when(F.col("_has_display"), around / (2 * d)),
         "signal_mean_up": V.valid_mean(F.col("_left")), "signal_mean_down": V.valid_mean(F.col("_right")),
-        "signal_mean_flank": V.valid_mean(F.concat("_left", "_right")),
+        "signal_mean_flank": V.valid_mean(F.concat("_left", "_right")), "signal_centre": F.round(F.col("_centre").cast("double"), 6),
         "main_window_valid": F.coalesce((left >= params.min_fraction) & (right >= params.min_fraction), F.lit(False)),
-        "signal_mask": V.mask_of(F.col("signal_window")), "gene_match": S.list_contains(F.col("genes"), F.col("gene_name")),
-    }
+        "gene_match": S.list_contains(F.col("genes"), F.col("gene_name")),
+    }).drop("_left", "_right", "_near", "_centre", "_has_left", "_has_right", "_has_display")
+
+
+def _window_columns(pos, params: DatasetParams, sequence: bool) -> dict:
+    window = V.window_vector(F.col("values"), pos, params.display)
+    cols = {"signal_window": window, "signal_mask": V.mask_of(window)}
+    if sequence:
+        cols["sequence_window"] = Q.seq_window(F.col("seq"), pos, params.model_half)
+    return cols
+
+
+def add_windows(sites: DataFrame, vectors: DataFrame, params: DatasetParams, sequences: DataFrame | None = None) -> DataFrame:
+    """Display window, mask and sequence window of rows that have been chosen already."""
+    j = sites.join(vectors.select("tid", "values"), "tid")
     if sequences is not None:
-        seq = F.col("seq")
-        m5, local = Q.seq_window(seq, pos, 2), Q.seq_window(seq, pos, 10)
-        cols |= {"sequence_window": Q.seq_window(seq, pos, params.model_half), "motif": m5, "motif_class": Q.motif_class(m5),
-                 "gc_fraction": Q.gc_fraction(local), "transcript_length": F.length(seq),
-                 "position_fraction": S.position_fraction(pos, F.length(seq))}
-    return j.withColumns(cols).drop("seq", "_pos", "_left", "_right", "_has_left", "_has_right", "_has_display")
+        j = j.join(sequences.select(F.col("name").alias("tid"), "seq"), "tid")
+    return j.withColumns(_window_columns(F.col("tx_pos").cast("int"), params, sequences is not None)).drop("values", "seq")
 
 
 def candidate_order() -> list:
@@ -112,7 +128,7 @@ def site_table(mapped: DataFrame, params: DatasetParams, num: str = "acov", den:
         (~F.col("detected_both_replicates"), "not_detected_in_both_replicates"),
         (~F.col("main_window_valid"), "insufficient_flank_coverage")])
     out = out.withColumn("main_exclusion_reason", reason).withColumn("main_analysis_included", F.col("main_exclusion_reason") == "")
-    full = F.length("sequence_window") > 0 if "sequence_window" in mapped.columns else F.lit(True)
+    full = F.col("sequence_window_full") if "sequence_window_full" in mapped.columns else F.lit(True)
     return out.withColumn("model_dataset_included", F.col("main_analysis_included") & full)
 
 
