@@ -140,3 +140,71 @@ def _(t):
 def _(t):
     scenarios = {"full": _spec(), "drop_size": FeatureSpec(categorical=("lang",), sequence="seq", dense={"R": {"v_mean": F.col("v_mean")}})}
     return rows_frame(t.spark, M.scenario_grid(_grouped(t), scenarios, {"M0": ("C",), "M3": ("C", "X", "R"), "M0R": ("C", "R")}, "y", "joint_group", 4, ALPHAS))
+
+
+# One-feature models have closed forms, so SQL can follow the same protocol to the digit.
+_ONE = """
+d AS (SELECT l_suppkey AS g, l_returnflag AS s, l_quantity / 50 AS x, least(1.0, l_extendedprice / 100000) AS y, l_discount * 10 AS y2, CASE WHEN l_tax > 0.005 THEN l_tax * 10 END AS w FROM lineitem)"""
+_FOLDS = """
+fs AS (SELECT g, row_number() OVER (ORDER BY count(*) DESC, g) - 1 AS i FROM d GROUP BY g),
+f AS (SELECT d.*, CASE WHEN (i // 5) % 2 = 0 THEN i % 5 ELSE 4 - i % 5 END + 1 AS fold FROM d JOIN fs USING (g))"""
+
+
+def _one(t):
+    return t("lineitem").select(
+        F.col("l_suppkey").alias("g"), F.col("l_returnflag").alias("s"), (F.col("l_quantity") / 50).alias("x"), F.least(F.lit(1.0), F.col("l_extendedprice") / 100000).alias("y"),
+        (F.col("l_discount") * 10).alias("y2"), F.when(F.col("l_tax") > 0.005, F.col("l_tax") * 10).alias("w"))
+
+
+def _one_prep(t, feature, responses):
+    from sitewise.operators.groups import snake_folds
+
+    df = _one(t)
+    table = checkpointed(snake_folds(df, "g", 5).select("g", "fold"))
+    return M.prepare(df, FeatureSpec(numeric={feature: F.col(feature)}), responses, "g", 5, fold_table=table)
+
+
+@query("ridge_cv_closed_form", f"""
+WITH {_ONE}, {_FOLDS}, a AS (SELECT unnest([1.0, 1000.0, 100000.0]) AS alpha),
+md AS (SELECT h.fold, median(f.w) AS md FROM (SELECT DISTINCT fold FROM f) h JOIN f ON f.fold <> h.fold GROUP BY h.fold),
+st AS (SELECT md.fold, any_value(md) AS md, count(*) AS n, avg(coalesce(w, md)) AS mx, stddev_pop(coalesce(w, md)) AS sd, avg(y) AS my, covar_pop(coalesce(w, md), y) AS cv FROM md JOIN f ON f.fold <> md.fold GROUP BY md.fold)
+SELECT alpha, CAST(f.fold AS BIGINT) AS fold, CAST(count(*) AS BIGINT) AS n, round(avg(abs(y - least(1.0, greatest(0.0, my + n * cv / sd / (n + alpha) * (coalesce(w, md) - mx) / sd)))), 7) AS mae
+FROM f JOIN st ON st.fold = f.fold CROSS JOIN a GROUP BY alpha, f.fold""")
+def _(t):
+    rows, _ = M.grid_cv(_one_prep(t, "w", ["y"]), {"M": ("C",)}, [1.0, 1000.0, 100000.0])
+    out = rows_frame(t.spark, [r for r in rows if r["fold"] != "mean"])
+    return out.select("alpha", F.col("fold").cast("long").alias("fold"), "n", r6(F.col("mae"), 7).alias("mae"))
+
+
+@query("cross_fitted_residual_products", f"""
+WITH {_ONE}, {_FOLDS}, st AS (SELECT h.fold, count(*) AS n, avg(x) AS mx, stddev_pop(x) AS sd, avg(y) AS my, covar_pop(x, y) AS cv, avg(y2) AS my2, covar_pop(x, y2) AS cv2 FROM (SELECT DISTINCT fold FROM f) h JOIN f ON f.fold <> h.fold GROUP BY h.fold),
+r AS (SELECT g, y - (my + n * cv / sd / (n + 10.0) * (x - mx) / sd) AS a, y2 - (my2 + n * cv2 / sd / (n + 10.0) * (x - mx) / sd) AS b FROM f JOIN st ON st.fold = f.fold),
+m AS (SELECT avg(a * b) AS m, count(*) AS n, corr(a, b) AS r FROM r), s AS (SELECT g, sum(a * b - m) AS s FROM r, m GROUP BY g), v AS (SELECT sum(s * s) AS v, count(*) AS k FROM s)
+SELECT CAST(n AS BIGINT) AS sites, CAST(k AS BIGINT) AS clusters, round(m, 8) AS mean_residual_product, round(sqrt(v / (n * n) * k / (k - 1) * (n - 1) / (n - 1)), 8) AS cluster_se, round(r, 7) AS residual_correlation FROM m, v""")
+def _(t):
+    row, _ = M.conditional_dependence(_one_prep(t, "x", ["y", "y2"]), ("C",), 10.0, "g", "g", 20, 1)
+    return rows_frame(t.spark, [row]).select("sites", "clusters", r6(F.col("mean_residual_product"), 8).alias("mean_residual_product"), r6(F.col("cluster_se"), 8).alias("cluster_se"),
+                                             r6(F.col("residual_correlation"), 7).alias("residual_correlation"))
+
+
+@query("frozen_transfer_closed_form", f"""
+WITH {_ONE}, m AS (SELECT median(w) AS md FROM d WHERE s = 'A'), st AS (SELECT any_value(md) AS md, count(*) AS n, avg(coalesce(w, md)) AS mx, stddev_pop(coalesce(w, md)) AS sd, avg(y) AS my, covar_pop(coalesce(w, md), y) AS cv FROM d, m WHERE s = 'A'),
+p AS (SELECT s, y, least(1.0, greatest(0.0, my + n * cv / sd / (n + 50.0) * (coalesce(w, md) - mx) / sd)) AS p FROM d, st WHERE s <> 'A')
+SELECT s, CAST(count(*) AS BIGINT) AS n, round(avg(abs(y - p)), 7) AS mae, round(sqrt(avg((y - p) * (y - p))), 7) AS rmse, round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) AS r2 FROM p GROUP BY s""")
+def _(t):
+    df = _one(t)
+    prep = M.prepare(df.where("s = 'A'"), FeatureSpec(numeric={"w": F.col("w")}), ["y"], "g", 5)
+    model = M.final_fit(prep, "M0", ("C",), 50.0)
+    scored = M.add_predictions(M.frozen_rows(df.where("s <> 'A'"), prep), [model])
+    from sitewise.operators.aggregates import regression_metrics
+
+    m = regression_metrics(scored, ["s"], "y", "prediction_M0", spearman=False)
+    return m.select("s", "n", r6(F.col("mae"), 7).alias("mae"), r6(F.col("rmse"), 7).alias("rmse"), r6(F.col("r2")).alias("r2"))
+
+
+@query("block_shuffle_preserves_margins", """
+SELECT CAST(event_id % 3 + 1 AS BIGINT) AS fold, CAST(count(*) AS BIGINT) AS n, round(sum(value), 2) AS total, round(max(value), 2) AS highest FROM events GROUP BY 1""")
+def _(t):
+    e = t("events").select("event_id", (F.col("event_id") % 3 + 1).alias("fold"), F.array(F.col("value"), F.col("user_id").cast("double")).alias("raw"))
+    s = M.permuted_block(e, "raw", "fold", "event_id", [0], 9)
+    return s.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), r6(F.sum(F.get("raw", F.lit(0))), 2).alias("total"), r6(F.max(F.get("raw", F.lit(0))), 2).alias("highest"))
