@@ -289,10 +289,7 @@ def calibration_table(df: DataFrame, keys: Sequence[str], y: str, prediction: st
 
 
 def inverse_variance_pool(df: DataFrame, effect: str, se: str) -> DataFrame:
-    """Fixed-effect and DerSimonian-Laird pooling of study rows, one row per model.
-
-    One pass of power sums is enough: Q = sum(w e^2) - (sum w e)^2 / sum w.
-    """
+    """Fixed-effect and DerSimonian-Laird pooling of study rows, one row per model."""
     e, w = F.col(effect), 1 / (F.col(se) * F.col(se))
     fixed = df.agg(F.count(F.lit(1)).alias("k"), F.sum(w).alias("sw"), F.sum(w * w).alias("sww"),
                    (F.sum(w * e) / F.sum(w)).alias("fixed"))

@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,17 +67,13 @@ def gram_arrays(df: DataFrame, features: str, p: int, by: str | None = None) ->
         for k, m in sums.items():
             yield pd.DataFrame({"_k": [k] * p, "_i": range(p), "_row": list(m)})
 
-    def total(pdf):
-        return pd.DataFrame({"_k": pdf["_k"].iloc[:1], "_i": pdf["_i"].iloc[:1],
-                             "_row": [np.vstack(pdf["_row"].to_numpy()).sum(axis=0)]})
-
     cols = df.select(*([by] if by else []), features)
-    schema = f"_k {key_type}, _i int, _row array<double>"
-    parts = cols.mapInPandas(partial, schema)
-    rows = parts.groupBy("_k", "_i").applyInPandas(total, schema).collect()
+    parts = cols.mapInPandas(partial, f"_k {key_type}, _i int, _row array<double>")
+    # Vector sums combine before the shuffle, so the number of tasks does not matter.
+    rows = parts.groupBy("_k", "_i").agg(Summarizer.sum(array_to_vector("_row")).alias("_row")).collect()
     out: dict = {}
     for r in rows:
-        out.setdefault(r["_k"] if by else None, np.zeros((p, p)))[r["_i"]] = r["_row"]
+        out.setdefault(r["_k"] if by else None, np.zeros((p, p)))[r["_i"]] = r["_row"].toArray()
     return out
 
 
