@@ -106,7 +106,7 @@ def group_folds(df: DataFrame, group: str, folds: int, max_greedy_groups: int =
     the groups are dealt in snake order instead.
     """
     sizes = checkpointed(group_sizes(df, group))
-    if sizes.limit(max_greedy_groups + 1).count() > max_greedy_groups:
+    if sizes.count() > max_greedy_groups:
         return snake_folds(df, group, folds)
     rows = sorted(((r["size"], r[group]) for r in sizes.collect()), key=lambda r: (-r[0], r[1]))
     if len(rows) < folds:
