@@ -280,7 +280,7 @@ def calibration_table(df: DataFrame, keys: Sequence[str], y: str, prediction: st
         F.avg(y).alias("mean_observed"), F.avg(F.col(prediction) - F.col(y)).alias("mean_signed_error"),
     )
     bins = F.explode(F.sequence(F.lit(1), F.lit(len(edges) - 1))).alias("bin_index")
-    spine = df.select(*keys).distinct().select(*keys, bins) if keys else df.limit(1).select(bins)
+    spine = df.select(*keys).distinct().select(*keys, bins) if keys else df.sparkSession.range(1).select(bins)
     lows = F.array(*[F.lit(float(e)) for e in edges])
     return spine.join(stats, [*keys, "bin_index"], "left").withColumns({
         "bin_count": F.coalesce("bin_count", F.lit(0)),

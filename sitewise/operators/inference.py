@@ -162,7 +162,9 @@ def stratified_fits(df: DataFrame, stratum: str, design: Design, outcome: str, p
                     min_rows: int = 200, min_clusters: int = 100) -> list[dict]:
     """One fit per large enough stratum, adjusted as one family."""
     sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(cluster).alias("g"))
-    use = sizes.where((F.col("n") >= min_rows) & (F.col("g") >= min_clusters)).orderBy(stratum).limit(MAX_LEVELS).collect()
+    use = sizes.where((F.col("n") >= min_rows) & (F.col("g") >= min_clusters)).orderBy(stratum).limit(MAX_LEVELS + 1).collect()
+    if len(use) > MAX_LEVELS:
+        raise ValueError(f"{stratum} has more than {MAX_LEVELS} strata to fit")
     if not use:
         return []
     y = F.col(outcome).cast("double")
