@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewise.llm import mixing, quality_rules, shard_table, sql
+from sitewise.llm import language_id, licences, mixing, near_dup, quality_rules, shard_table, sql, syncmers, token_scan, warc
+from sitewise.llm.common import scratch_folder
 
+END_OF_DOCUMENT = 50_256
 SHARDS = [f"shard-{i:03d}" for i in range(256)]
 
 
@@ -30,6 +32,28 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.verdict(measured, cutoffs).select("doc_id", *quality_rules.BASE, "n_upper", "n_lines", "base_failed", "kept")
 
 
+def _byte_pair_encoder():
+    """The public byte-level vocabulary; opened inside tasks."""
+    import public_tokenizers
+
+    return token_scan.byte_pair_encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op3_separator_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Token counts of every document, found in flat token files of all documents."""
+    files = scratch_folder(spark, "tokens")
+    written = token_scan.write_tokens(_table(spark, folder, "documents"), files, _byte_pair_encoder, END_OF_DOCUMENT)
+    counted = token_scan.scan(written.select("file", "bytes").distinct(), files, END_OF_DOCUMENT)
+    return written.join(counted, ["file", "ordinal"]).select("doc_id", "n_tokens")
+
+
+def op4_language_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every whole text, learned from the documents that are not held out."""
+    docs = _table(spark, folder, "documents").select("doc_id", "lang", "text")
+    said = language_id.classify(docs.select("doc_id", "text"), "text", language_id.fit(docs))
+    return said.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "_language.*")
+
+
 def op6_poisson_mix(spark: SparkSession, folder: str) -> DataFrame:
     """Documents repeated towards square-root source weights and globally shuffled, whole rows."""
     docs = _table(spark, folder, "documents")
@@ -38,7 +62,31 @@ def op6_poisson_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select(*docs.columns, F.col("_copy").alias("copy"), F.col("_order").alias("shuffle_key"))
 
 
-_QUERIES = {f.__name__: f for f in (op1_shard_table, op2_quality_rules, op6_poisson_mix)}
+def op7_licence_dice(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence notices in every whole text."""
+    return licences.scan(_table(spark, folder, "documents"))
+
+
+def op8_closed_syncmers(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every whole text and of its edit with the next document's text."""
+    return syncmers.fingerprints_with_neighbours(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def op9_lsh_forest(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate groups on two-word shingles at a similarity of 0.8."""
+    return near_dup.near_duplicates(_table(spark, folder, "documents").select("doc_id", "text"), near_dup.NearDupParams(words=2))
+
+
+def op10_warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page written to archives and read back."""
+    archives = scratch_folder(spark, "warc")
+    written = warc.write_archives(_table(spark, folder, "pages"), archives)
+    return warc.read_archives(written, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_QUERIES = {f.__name__: f for f in (
+    op1_shard_table, op2_quality_rules, op3_separator_scan, op4_language_centroids, op6_poisson_mix, op7_licence_dice,
+    op8_closed_syncmers, op9_lsh_forest, op10_warc_round_trip)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,5 +1,7 @@
 """The queries' SQL, named as the queries."""
 
+from sitewise.llm.licences import LEAST, TEMPLATES
+
 op2_quality_rules = r"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
 parts AS (
@@ -71,3 +73,60 @@ copies AS (SELECT doc_id, text, lang, source, n_chars, unnest(range(1, n + 1))::
 SELECT *, ('0x' || substr(md5('17/order|' || coalesce(doc_id::VARCHAR, '~') || '|' || copy), 1, 13))::BIGINT / 4503599627370496.0 AS shuffle_key
 FROM copies
 """
+
+op9_lsh_forest = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, ws[i] || ' ' || ws[i + 1] AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM docs WHERE len(ws) > 1)
+  UNION ALL SELECT DISTINCT doc_id, ws[1] FROM docs WHERE len(ws) = 1),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b),
+low AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, component_id = doc_id AS kept
+FROM documents LEFT JOIN sizes USING (doc_id) JOIN low USING (doc_id)
+"""
+
+op10_warc_round_trip = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, strlen(coalesce(html, '')) AS n FROM pages),
+top AS (SELECT t, max(page_id) AS top FROM p WHERE n >= 1000 GROUP BY t)
+SELECT page_id, n::BIGINT AS payload_bytes, sha1(p.t) AS payload_digest,
+       CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < top THEN top END AS refers_to
+FROM p LEFT JOIN top ON p.t = top.t AND n >= 1000
+"""
+
+_TEMPLATES = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in kv)) for kv in TEMPLATES.items())
+op7_licence_dice = rf"""
+WITH templates(name, t) AS (VALUES {_TEMPLATES}),
+docs AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+passages AS (
+  SELECT row_number() OVER () AS pid, rid, t FROM (
+    SELECT rid, unnest(string_split(text, chr(10))) AS t FROM docs
+    UNION ALL SELECT rid, text FROM docs WHERE contains(text, chr(10)))),
+texts AS (SELECT pid::VARCHAR AS id, t FROM passages UNION ALL SELECT name, t FROM templates),
+words AS (
+  SELECT id, list_filter(regexp_split_to_array(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> '') AS ws
+  FROM texts),
+pairs AS (SELECT DISTINCT id, ws[i] AS a, ws[i + 1] AS b FROM (SELECT id, ws, unnest(range(1, len(ws))) AS i FROM words WHERE len(ws) > 1)),
+sizes AS (SELECT id, count(*) AS n FROM pairs GROUP BY id),
+common AS (
+  SELECT p.id AS pid, q.id AS name, count(*) AS c
+  FROM pairs p JOIN pairs q ON p.a = q.a AND p.b = q.b JOIN templates ON q.id = templates.name
+  WHERE p.id NOT IN (SELECT name FROM templates) GROUP BY 1, 2),
+hits AS (
+  SELECT common.pid::BIGINT AS pid, name, 2 * c / (x.n + y.n)::DOUBLE AS dice
+  FROM common JOIN sizes x ON x.id = common.pid JOIN sizes y ON y.id = name WHERE 2 * c / (x.n + y.n)::DOUBLE >= {LEAST}),
+found AS (
+  SELECT rid, count(DISTINCT hits.pid) AS n_passages, string_agg(DISTINCT name, ';' ORDER BY name) AS licences, max(dice) AS dice,
+         min({{'d': -dice, 'name': name}}).name AS licence
+  FROM hits JOIN passages USING (pid) GROUP BY rid)
+SELECT doc_id, licence, dice, coalesce(licences, '') AS licences, coalesce(n_passages, 0)::BIGINT AS n_passages
+FROM docs LEFT JOIN found USING (rid)
+"""
