@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewise.llm import language_id, licences, mixing, near_dup, quality_rules, shard_table, sql, syncmers, token_scan, warc
+from sitewise.llm import language_id, licences, mixing, near_dup, packing, quality_rules, shard_table, sql, syncmers, token_scan, warc, word_ids
 from sitewise.llm.common import scratch_folder
 
 END_OF_DOCUMENT = 50_256
@@ -32,7 +32,7 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.verdict(measured, cutoffs).select("doc_id", *quality_rules.BASE, "n_upper", "n_lines", "base_failed", "kept")
 
 
-def _byte_pair_encoder():
+def byte_pair_encoder():
     """The public byte-level vocabulary; opened inside tasks."""
     import public_tokenizers
 
@@ -42,7 +42,7 @@ def _byte_pair_encoder():
 def op3_separator_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Token counts of every document, found in flat token files of all documents."""
     files = scratch_folder(spark, "tokens")
-    written = token_scan.write_tokens(_table(spark, folder, "documents"), files, _byte_pair_encoder, END_OF_DOCUMENT)
+    written = token_scan.write_tokens(_table(spark, folder, "documents"), files, byte_pair_encoder, END_OF_DOCUMENT)
     counted = token_scan.scan(written.select("file", "bytes").distinct(), files, END_OF_DOCUMENT)
     return written.join(counted, ["file", "ordinal"]).select("doc_id", "n_tokens")
 
@@ -54,9 +54,21 @@ def op4_language_centroids(spark: SparkSession, folder: str) -> DataFrame:
     return said.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "_language.*")
 
 
+def word_encoder():
+    """The public word-piece vocabulary; opened inside tasks."""
+    import public_tokenizers
+
+    return word_ids.word_ids(public_tokenizers.path("word_bpe_49k.json")).many
+
+
+def op5_best_fit(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into sequences of 4096 tokens."""
+    return packing.pack(packing.pieces(_table(spark, folder, "documents"), word_encoder))
+
+
 def op6_poisson_mix(spark: SparkSession, folder: str) -> DataFrame:
     """Documents repeated towards square-root source weights and globally shuffled, whole rows."""
-    docs = _table(spark, folder, "documents")
+    docs = _table(spark, folder, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     mass = mixing.source_mass(docs)
     mixed = mixing.mix(docs, mixing.repetition_rates(mass, mixing.tempered_targets(mass)))
     return mixed.select(*docs.columns, F.col("_copy").alias("copy"), F.col("_order").alias("shuffle_key"))
@@ -85,7 +97,7 @@ def op10_warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _QUERIES = {f.__name__: f for f in (
-    op1_shard_table, op2_quality_rules, op3_separator_scan, op4_language_centroids, op6_poisson_mix, op7_licence_dice,
+    op1_shard_table, op2_quality_rules, op3_separator_scan, op4_language_centroids, op5_best_fit, op6_poisson_mix, op7_licence_dice,
     op8_closed_syncmers, op9_lsh_forest, op10_warc_round_trip)}
 
 

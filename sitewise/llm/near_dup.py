@@ -10,9 +10,11 @@ all of them are met, where many do only those of longer prefixes. Prefixes of at
 sketches differ more than a pair at the threshold would (six standard deviations) is
 not a candidate.
 
-Candidates are confirmed on full sets. To read few texts, the best candidate of each
-class is confirmed first; candidates whose ends are then connected can change nothing
-and are left out, all others are confirmed as well. Groups are connected components.
+Candidates are confirmed on full sets. To read few texts, the nearest candidates of each
+class are confirmed first, then in some rounds one candidate for each two groups that
+candidates still lead between, and then all that is left. A candidate whose ends are
+already connected can change nothing and is left out; no other is. Groups are connected
+components.
 
 Rows are range partitioned by whole sort keys, so no prefix or group, however many
 share it, meets in one task, and no group is expanded into all its pairs. The rows at
@@ -36,7 +38,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitewise.operators.groups import connected_components
@@ -46,6 +48,8 @@ PIECES = 8  # MinHash values in a tree's key, 16 bits of each
 BITS = 256
 CHUNK = 2048
 CACHED_WORDS = 200_000
+FIRST = 4  # candidates of a class that are confirmed before any groups are known
+STEPS = 4  # rounds of confirmation before whatever is left is confirmed at once
 
 
 @dataclass(frozen=True)
@@ -219,6 +223,13 @@ def confirmed(pairs: DataFrame, texts: DataFrame, params: NearDupParams) -> Data
     return pairs.select("a", "b").join(b, "b").join(a, "a").where(linked("_ta", "_tb")).select("a", "b")
 
 
+def _best_of_each(pairs: DataFrame) -> DataFrame:
+    """The ``FIRST`` nearest candidates of every class; a class has at most two windows of them per tree to sort."""
+    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "differ").unionAll(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "differ"))
+    ranked = both.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("differ", "other"))).where(F.col("_n") <= FIRST)
+    return ranked.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
 def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return checkpointed(connected_components(nodes.select(F.col("id").alias("node")), edges.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
@@ -233,18 +244,25 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
     ids = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     near = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
     texts = checkpointed(near.groupBy("id").agg(F.min("text").alias("text")))
-    # First the best candidate of every class, then whatever could still join two groups.
-    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "differ").unionAll(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "differ"))
-    best = both.groupBy("id").agg(F.min(F.struct("differ", "other")).alias("_m")) \
-        .select(F.least("id", "_m.other").alias("a"), F.greatest("id", "_m.other").alias("b")).distinct()
-    first = checkpointed(confirmed(best, texts, params))
-    groups = _components(ids, first)
-    label = groups.select(F.col("node").alias("a"), F.col("component").alias("_ga"))
-    open_pairs = pairs.join(label, "a").join(label.toDF("b", "_gb"), "b").where("_ga <> _gb").select("a", "b").join(best, ["a", "b"], "left_anti")
-    second = checkpointed(confirmed(checkpointed(open_pairs), texts, params))
-    if not second.isEmpty():
-        joined = groups.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(second)
-        groups = _components(ids, joined)
+    groups = tested = None
+    for step in range(STEPS + 1):
+        if step == 0:  # a few best candidates of every class
+            wanted = _best_of_each(pairs)
+        else:
+            label = groups.select(F.col("node").alias("a"), F.col("component").alias("_ga"))
+            apart = pairs.join(label, "a").join(label.toDF("b", "_gb"), "b").where("_ga <> _gb").join(tested, ["a", "b"], "left_anti")
+            if step < STEPS:  # one candidate for each two groups
+                ends = F.least("_ga", "_gb").alias("_g"), F.greatest("_ga", "_gb").alias("_h")
+                apart = apart.groupBy(*ends).agg(F.min(F.struct("differ", "a", "b")).alias("_m")).select("_m.a", "_m.b")
+            wanted = apart.select("a", "b")
+        wanted = checkpointed(wanted)
+        if wanted.isEmpty():
+            break
+        tested = wanted if tested is None else checkpointed(tested.unionAll(wanted))
+        new = checkpointed(confirmed(wanted, texts, params))
+        stars = new if groups is None else new.unionAll(groups.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
+        groups = _components(ids, stars) if groups is None or not new.isEmpty() else groups
+    groups = groups if groups is not None else ids.select(F.col("id").alias("node"), F.col("id").alias("component"))
     of_class = classes.select("_c0", "_c1", "id").join(groups.withColumnRenamed("node", "id"), "id", "left") \
         .select("_c0", "_c1", F.coalesce("component", "id").alias("_component"))
     found = signed.select("doc_id", "n_shingles", "_c0", "_c1").join(of_class, ["_c0", "_c1"], "left")

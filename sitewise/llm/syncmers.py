@@ -13,7 +13,9 @@ only if its displacement agrees with the displacement most common anchors have,
 within ``slack`` code points or half of the text in between, whichever is larger. It is
 1 for equal fingerprints.
 
-Text shorter than k, or without a syncmer, uses one anchor, the hash of the whole text. Null text is empty; an
+A text of fewer than ``short`` code points also gives its anchors for ``short_k`` and
+``short_s``, which an edit of a few words leaves; one that has no anchor at all uses the
+hash of the whole text. Null text is empty; an
 empty text has an empty fingerprint, and two empty fingerprints have the likeness 1.
 """
 
@@ -37,6 +39,9 @@ class SyncmerParams:
     s: int = 5
     size: int = 128
     slack: int = 64
+    short: int = 128
+    short_k: int = 4
+    short_s: int = 2
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -90,8 +95,8 @@ def sketch(text: str, params: SyncmerParams) -> tuple[np.ndarray, np.ndarray]:
     """The smallest distinct anchor hashes in order, and their first positions."""
     if not text:
         return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    if len(text) < params.k:
-        return _whole(text)
+    if len(text) < params.short:
+        return _short(text, params)
     hashes, places = np.zeros(0, np.uint32), np.zeros(0, np.int64)
     for at in range(0, len(text) - params.k + 1, SLICE):
         points = np.frombuffer(text[at:at + SLICE + params.k - 1].encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -107,6 +112,15 @@ def sketch(text: str, params: SyncmerParams) -> tuple[np.ndarray, np.ndarray]:
     return (hashes, places) if len(hashes) else _whole(text)
 
 
+def _short(text: str, params: SyncmerParams) -> tuple[np.ndarray, np.ndarray]:
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    found = [anchors(points, k, s) for k, s in ((params.k, params.s), (params.short_k, params.short_s)) if len(text) >= k]
+    hashes, first = np.unique(np.concatenate([h for h, _ in found]), return_index=True) if found else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+    if not len(hashes):
+        return _whole(text)
+    return hashes[:params.size], np.concatenate([p for _, p in found])[first[:params.size]]
+
+
 def _whole(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()[:4], np.uint32), np.zeros(1, np.int64)
 
