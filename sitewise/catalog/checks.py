@@ -122,10 +122,10 @@ def _(t):
 
 @query("formula_consistency", """
 WITH s AS (SELECT l_suppkey AS k, stddev_samp(l_quantity) AS sd, avg(l_quantity) AS m FROM lineitem GROUP BY 1)
-SELECT 'scaled_slope' AS formula, CAST(0 AS BIGINT) AS violations UNION ALL SELECT 'delta', CAST(count(*) FILTER (k % 12 = 5) AS BIGINT) FROM s""")
+SELECT 'scaled_slope' AS formula, CAST(count(*) FILTER (k % 9 = 4) AS BIGINT) AS violations FROM s UNION ALL SELECT 'delta', CAST(count(*) FILTER (k % 12 = 5) AS BIGINT) FROM s""")
 def _(t):
     s = t("lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.stddev_samp("l_quantity").alias("sd"), F.avg("l_quantity").alias("m"))
-    s = s.withColumns({"per_sd": F.col("m") * F.col("sd"), "delta": F.col("m") - F.col("sd") + F.when(F.col("k") % 12 == 5, 1e-3).otherwise(0.0)})
+    s = s.withColumns({"per_sd": F.col("m") * F.col("sd") + F.when(F.col("k") % 9 == 4, 1e-3).otherwise(0.0), "delta": F.col("m") - F.col("sd") + F.when(F.col("k") % 12 == 5, 1e-3).otherwise(0.0)})
     f = K.formula_consistency(s, {"scaled_slope": (F.col("per_sd"), F.col("m") * F.col("sd")), "delta": (F.col("delta"), F.col("m") - F.col("sd"))})
     return f.select("formula", "violations")
 

@@ -260,7 +260,7 @@ SELECT ok, CAST(count(*) AS BIGINT) AS n FROM (
     SELECT CASE page_id % 5 WHEN 0 THEN replace(url, '://', ':/') WHEN 1 THEN 'ftp' || substring(url, 5) ELSE url END AS u FROM pages)) GROUP BY ok""")
 def _(t):
     k = F.col("page_id") % 5
-    u = F.when(k == 0, F.replace("url", F.lit("://"), F.lit(":/"))).when(k == 1, F.concat(F.lit("ftp"), F.substring("url", 5, 10000))).otherwise(F.col("url"))
+    u = F.when(k == 0, F.replace("url", F.lit("://"), F.lit(":/"))).when(k == 1, F.concat(F.lit("ftp"), F.substring(F.col("url"), F.lit(5), F.length("url")))).otherwise(F.col("url"))
     return t("pages").groupBy(S.is_http_url(u).alias("ok")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -147,10 +147,15 @@ def _(t):
     return G.snake_folds(t("events"), "user_id", 5).select("user_id", "size", F.col("fold").cast("long").alias("fold"))
 
 
-@query("balanced_group_folds")
-def _(t):
-    f = G.group_folds(t("lineitem"), "l_suppkey", 5)
-    return f.groupBy("fold").agg(F.sum("size").alias("rows"), F.count(F.lit(1)).alias("groups"))
+@query("balanced_group_folds", """
+WITH g AS (SELECT CASE WHEN l_suppkey % 13 <> 0 THEN l_suppkey END AS k, count(*) AS n FROM lineitem GROUP BY 1),
+r AS (SELECT n, row_number() OVER (ORDER BY n DESC, k NULLS FIRST) - 1 AS i FROM g)
+SELECT CAST(CASE WHEN (i // 5) % 2 = 0 THEN i % 5 ELSE 4 - i % 5 END + 1 AS BIGINT) AS fold, CAST(sum(n) AS BIGINT) AS rows, CAST(count(*) AS BIGINT) AS groups
+FROM r GROUP BY 1""")
+def _(t):
+    grouped = t("lineitem").withColumn("k", F.when(F.col("l_suppkey") % 13 != 0, F.col("l_suppkey")))
+    f = G.group_folds(grouped, "k", 5)
+    return f.groupBy(F.col("fold").cast("long").alias("fold")).agg(F.sum("size").alias("rows"), F.count(F.lit(1)).alias("groups"))
 
 
 @query("counts_in_order", """

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sitewise.functions.hashing import hash32
 from sitewise.functions.scalars import MISSING_TOKENS, bin_left_closed, bin_right_closed, lenient_double
 from sitewise.functions.vectors import valid_count
-from sitewise.operators.ordering import positions, quantile_array, quantiles, spearman_frame
+from sitewise.operators.ordering import on_keys, positions, quantile_array, quantiles, spearman_frame
 from sitewise.session import checkpointed
 
 # Fixed value: value counts are kept for columns with at most this many values.
@@ -230,7 +230,8 @@ def isoform_means(df: DataFrame, site: str, value: str, weight: str, floor: floa
 
 def regression_metrics(df: DataFrame, keys: Sequence[str], y: str, prediction: str,
                        spearman: bool = True) -> DataFrame:
-    """MAE, RMSE, R2 and (optionally) rank correlation per group."""
+    """MAE, RMSE, R2 and (optionally) rank correlation per group, all over rows with both values."""
+    df = df.where(F.col(y).isNotNull() & F.col(prediction).isNotNull())
     e, yc = F.col(prediction) - F.col(y), F.col(y)
     base = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
@@ -240,7 +241,7 @@ def regression_metrics(df: DataFrame, keys: Sequence[str], y: str, prediction: s
         return base
     rho = spearman_frame(df, keys, y, prediction)
     if keys:
-        return base.join(rho.select(*keys, "spearman"), list(keys), "left")
+        return base.alias("l").join(rho.alias("r"), on_keys("l", "r", keys), "left").select("l.*", "r.spearman")
     return base.withColumn("spearman", rho.select("spearman").scalar())
 
 
@@ -259,11 +260,12 @@ def error_diagnostics(df: DataFrame, keys: Sequence[str], y: str, prediction: st
     errors = quantiles(work, keys, "_abs", {"median_absolute_error": 0.5, "p90_absolute_error": 0.9})
     spread = quantiles(work, keys, prediction, {"prediction_q05": 0.05, "prediction_median": 0.5,
                                                 "prediction_q95": 0.95})
-    if keys:
-        return base.join(errors, list(keys)).join(spread, list(keys))
     for frame in (errors, spread):
-        for c in frame.columns:
-            base = base.withColumn(c, frame.select(c).scalar())
+        new = [c for c in frame.columns if c not in keys]
+        if keys:
+            base = base.alias("l").join(frame.alias("r"), on_keys("l", "r", keys), "left").select("l.*", *[f"r.{c}" for c in new])
+        else:
+            base = base.withColumn("_f", frame.select(F.struct(*new)).scalar()).select(*base.columns, "_f.*")
     return base
 
 
@@ -282,35 +284,40 @@ def calibration_table(df: DataFrame, keys: Sequence[str], y: str, prediction: st
     bins = F.explode(F.sequence(F.lit(1), F.lit(len(edges) - 1))).alias("bin_index")
     spine = df.select(*keys).distinct().select(*keys, bins) if keys else df.sparkSession.range(1).select(bins)
     lows = F.array(*[F.lit(float(e)) for e in edges])
-    return spine.join(stats, [*keys, "bin_index"], "left").withColumns({
+    new = [f"r.{c}" for c in stats.columns if c not in (*keys, "bin_index")]
+    return spine.alias("l").join(stats.alias("r"), on_keys("l", "r", [*keys, "bin_index"]), "left").select("l.*", *new).withColumns({
         "bin_count": F.coalesce("bin_count", F.lit(0)),
         "edge_low": F.get(lows, F.col("bin_index") - 1), "edge_high": F.get(lows, F.col("bin_index")),
     })
 
 
 def inverse_variance_pool(df: DataFrame, effect: str, se: str) -> DataFrame:
-    """Fixed-effect and DerSimonian-Laird pooling of study rows, one row per model."""
-    e, w = F.col(effect), 1 / (F.col(se) * F.col(se))
-    fixed = df.agg(F.count(F.lit(1)).alias("k"), F.sum(w).alias("sw"), F.sum(w * w).alias("sww"),
-                   (F.sum(w * e) / F.sum(w)).alias("fixed"))
-    centre = fixed.select("fixed").scalar()
-    q = df.agg(F.sum(w * (e - centre) * (e - centre)).alias("q"))
-    sums = fixed.withColumn("Q", q.scalar()).withColumn("Q_df", F.col("k") - 1)
-    c = F.col("sw") - F.col("sww") / F.col("sw")
-    sums = sums.withColumn("tau2", F.when(c > 0, F.greatest(F.lit(0.0), (F.col("Q") - F.col("Q_df")) / c))
-                           .otherwise(0.0)) \
-        .withColumn("I2_percent", F.when(F.col("Q") > 0, F.greatest(
-            F.lit(0.0), (F.col("Q") - F.col("Q_df")) / F.col("Q") * 100)).otherwise(0.0))
-    tau2 = sums.select("tau2").scalar()
-    wr = 1 / (F.col(se) * F.col(se) + tau2)
-    random = df.agg((F.sum(wr * e) / F.sum(wr)).alias("estimate"), F.sqrt(1 / F.sum(wr)).alias("standard_error"))
-    het = ["Q", "Q_df", "I2_percent", "tau2"]
-    fixed_row = sums.select(F.lit("fixed_effect").alias("model"), F.col("fixed").alias("estimate"),
-                            F.sqrt(1 / F.col("sw")).alias("standard_error"), *het)
-    random_row = random.select(F.lit("random_effect_DL").alias("model"), "estimate", "standard_error",
-                               *[sums.select(h).scalar().alias(h) for h in het])
+    """Fixed-effect and DerSimonian-Laird pooling of study rows, one row per model.
+
+    One pass sums what both models need, with effects measured from a value among them
+    so that the heterogeneity sum does not cancel; one more, with the between-study
+    variance known, sums the random-effect weights.
+    """
+    studies = df.select(F.col(effect).alias("_e"), F.col(se).alias("_s")).where("_e is not null and _s is not null")
+    origin = F.lit(studies.agg(F.min("_e").alias("o")).first()["o"]).cast("double")
+    e, w = F.col("_e") - origin, 1 / (F.col("_s") * F.col("_s"))
+    sums = studies.agg(
+        F.count(F.lit(1)).alias("k"), F.sum(w).alias("sw"), F.sum(w * w).alias("sww"), F.sum(w * e).alias("swe"), F.sum(w * e * e).alias("swee"))
+    q, more = F.col("swee") - F.col("swe") * F.col("swe") / F.col("sw"), F.col("sw") - F.col("sww") / F.col("sw")
+    first = sums.withColumns({"Q": F.greatest(q, F.lit(0.0)), "Q_df": F.col("k") - 1, "_c": more})
+    excess = F.col("Q") - F.col("Q_df")
+    first = checkpointed(first.select(
+        "Q", "Q_df", F.when(F.col("Q") > 0, F.greatest(F.lit(0.0), excess / F.col("Q") * 100)).otherwise(0.0).alias("I2_percent"),
+        F.when(F.col("_c") > 0, F.greatest(F.lit(0.0), excess / F.col("_c"))).otherwise(0.0).alias("tau2"),
+        (origin + F.col("swe") / F.col("sw")).alias("_fixed"), F.sqrt(1 / F.col("sw")).alias("_fixed_se")))
+    wr = 1 / (F.col("_s") * F.col("_s") + F.lit(first.first()["tau2"]))
+    random = studies.agg(F.struct((F.sum(wr * F.col("_e")) / F.sum(wr)).alias("_random"), F.sqrt(1 / F.sum(wr)).alias("_random_se"))).scalar()
+    models = F.array(*[F.struct(F.lit(n).alias("model"), F.col(f"_{m}").alias("estimate"), F.col(f"_{m}_se").alias("standard_error"))
+                       for n, m in (("fixed_effect", "fixed"), ("random_effect_DL", "random"))])
     est, s = F.col("estimate"), F.col("standard_error")
-    return fixed_row.unionByName(random_row).withColumns({
+    het = ["Q", "Q_df", "I2_percent", "tau2"]
+    both = first.withColumn("_r", random).select(*first.columns, "_r.*")
+    return both.select(F.inline(models), *het).select("model", "estimate", "standard_error", *het).withColumns({
         "ci95_low": est - 1.96 * s, "ci95_high": est + 1.96 * s, "z": est / s})
 
 
@@ -377,5 +384,5 @@ def field_audit(df: DataFrame, fields: Sequence[str]) -> DataFrame:
 def group_size(df: DataFrame, by: Sequence[str], name: str = "group_size") -> DataFrame:
     """Group size on every row: a combined count joined back, not a window over the group."""
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
-    return df.join(sizes, list(by))
+    return df.alias("l").join(sizes.alias("r"), on_keys("l", "r", by)).select("l.*", f"r.{name}")
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,31 +96,22 @@ def snake_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
     return ranked.select(group, "size", fold.cast("int").alias("fold"))
 
 
-def group_folds(df: DataFrame, group: str, folds: int, max_greedy_groups: int = 200_000) -> DataFrame:
-    """``group, size, fold`` with whole groups and balanced folds.
+def group_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
+    """``group, size, fold`` with whole groups and balanced folds, dealt in snake order.
 
-    Largest group first, each to the lightest fold. That deal is sequential, so
-    it only runs on the driver while the group table is small; beyond the bound
-    the groups are dealt in snake order instead.
+    The deal to the lightest fold is sequential over all groups, so it is not used at
+    any size; snake order differs from it by at most one group's rows a turn. A null
+    group is a group.
     """
-    sizes = checkpointed(group_sizes(df, group))
-    if sizes.count() > max_greedy_groups:
-        return snake_folds(df, group, folds)
-    rows = sorted(((r["size"], r[group]) for r in sizes.collect()), key=lambda r: (-r[0], r[1]))
-    if len(rows) < folds:
-        raise ValueError(f"{len(rows)} groups cannot fill {folds} folds")
-    load = [(0, f) for f in range(1, folds + 1)]
-    out = []
-    for size, g in rows:
-        total, fold = heapq.heappop(load)
-        out.append((g, size, fold))
-        heapq.heappush(load, (total + size, fold))
-    field = sizes.schema[group].dataType.simpleString()
-    return df.sparkSession.createDataFrame(out, f"`{group}` {field}, size long, fold int")
+    dealt = checkpointed(snake_folds(df, group, folds))
+    if (found := dealt.count()) < folds:
+        raise ValueError(f"{found} groups cannot fill {folds} folds")
+    return dealt
 
 
 def with_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
-    return df.join(group_folds(df, group, folds).select(group, "fold"), group)
+    table = group_folds(df, group, folds).select(F.col(group).alias("_g"), "fold")
+    return df.join(table, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
 
 
 def group_split(df: DataFrame, group: str, test_fraction: float, seed: int) -> DataFrame:

@@ -10,18 +10,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewise.operators.linear import (
-    Design, Fit, association_row, chi2_sf, fit_ols, gram, normal_p, solve_ols, wald_joint,
+    Design, Fit, association_row, chi2_sf, complete_rows, fit_ols, fit_ols_by, gram, normal_p, solve_ols, wald_joint,
 )
-from sitewise.operators.ordering import average_ranks, medians, quantile_array, running
-
-MAX_LEVELS = 1000
+from sitewise.operators.ordering import average_ranks, medians, on_keys, quantile_array, running
 
 
 def bh_adjust(df: DataFrame, families: Sequence[str], p: str, ids: Sequence[str], name: str = "q_value") -> DataFrame:
     """Benjamini-Hochberg within families: p*m/rank, running minimum from the top, capped at 1."""
     keys = list(families)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
-    sized = df.join(sizes, keys) if keys else df.withColumn("_m", sizes.scalar())
+    sized = df.alias("l").join(sizes.alias("r"), on_keys("l", "r", keys)).select("l.*", "r._m") if keys else df.withColumn("_m", sizes.scalar())
     ranked = running(sized, keys, [F.col(p), *ids], {"_rank": ("sum", F.lit(1).cast("long"))})
     raw = ranked.withColumn("_raw", F.col(p) * F.col("_m") / F.col("_rank"))
     low = running(raw, keys, [F.col("_rank").desc()], {"_min": ("min", F.col("_raw"))})
@@ -44,7 +42,7 @@ def wilcoxon_signed_rank(df: DataFrame, value: str, keys: Sequence[str] = ()) ->
     nz = df.where(F.col(value) != 0).select(*keys, F.abs(value).alias("_a"), (F.col(value) > 0).alias("_pos"))
     per_value = nz.groupBy(*keys, "_a").agg(F.count_if("_pos").alias("_p"), F.count_if(~F.col("_pos")).alias("_q"))
     ranks = average_ranks(per_value, keys, "_a", "_rank", F.col("_p") + F.col("_q"))
-    j = per_value.join(ranks, [*keys, "_a"])
+    j = per_value.alias("l").join(ranks.alias("r"), on_keys("l", "r", [*keys, "_a"])).select("l.*", "r._rank", "r.ties")
     t = F.col("ties").cast("double")
     s = j.groupBy(*keys).agg(
         F.sum("ties").alias("n"), F.sum(F.col("_p") * F.col("_rank")).alias("w_plus"),
@@ -80,15 +78,18 @@ def binomial_two_sided(k: int, n: int) -> float:
     return min(1.0, 2 * total)
 
 
-def levels_of(df: DataFrame, columns: Sequence[str], missing: str | None = None) -> dict[str, list[str]]:
-    """Sorted levels of categorical columns; refuses columns that are not categorical."""
+def levels_of(df: DataFrame, columns: Sequence[str], missing: str | None = None, most: int | None = None) -> dict[str, list[str]]:
+    """Sorted levels of categorical columns: as many as the design gets dummy columns.
+
+    ``most`` is the caller's bound on them; it is tested by a distinct count.
+    """
     out = {}
     for c in columns:
         col = F.col(c).cast("string")
         col = F.coalesce(col, F.lit(missing)) if missing is not None else col
-        found = [r["v"] for r in df.select(col.alias("v")).distinct().limit(MAX_LEVELS + 1).collect()]
-        if len(found) > MAX_LEVELS:
-            raise ValueError(f"{c} has more than {MAX_LEVELS} levels")
+        if most is not None and df.agg(F.count_distinct(col).alias("n")).first()["n"] > most:
+            raise ValueError(f"{c} has more than {most} levels")
+        found = [r["v"] for r in df.select(col.alias("v")).distinct().collect()]
         out[c] = sorted(v for v in found if v is not None)
     return out
 
@@ -162,34 +163,36 @@ def stratified_fits(df: DataFrame, stratum: str, design: Design, outcome: str, p
                     min_rows: int = 200, min_clusters: int = 100) -> list[dict]:
     """One fit per large enough stratum, adjusted as one family."""
     sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(cluster).alias("g"))
-    use = sizes.where((F.col("n") >= min_rows) & (F.col("g") >= min_clusters)).orderBy(stratum).limit(MAX_LEVELS + 1).collect()
-    if len(use) > MAX_LEVELS:
-        raise ValueError(f"{stratum} has more than {MAX_LEVELS} strata to fit")
+    use = sizes.where((F.col("n") >= min_rows) & (F.col("g") >= min_clusters)).orderBy(stratum).collect()
     if not use:
         return []
     y = F.col(outcome).cast("double")
     keep = [r[stratum] for r in use]
-    grams = gram(df.where(F.col(stratum).isin(keep)), [*design.columns, y], by=stratum)
-    spread = {r[stratum]: r["sd"] for r in df.groupBy(stratum).agg(F.stddev_samp(predictor).alias("sd")).collect()}
-    rows = []
-    for s in keep:
-        part = df.where(F.col(stratum) == s)
-        fit = fit_ols(part, design, y, cluster, cross=grams[s])
-        rows.append(association_row(f"{stratum}_{s}", part, fit, predictor, spread[s]))
+    part = complete_rows(df.join(use_frame(df.sparkSession, stratum, df.schema[stratum].dataType.simpleString(), keep), stratum, "left_semi"), [*design.columns, y])
+    fits = fit_ols_by(part, stratum, design, y, cluster)
+    spread = {r[stratum]: r["sd"] for r in part.groupBy(stratum).agg(F.stddev_samp(predictor).alias("sd")).collect()}
+    rows = [association_row(f"{stratum}_{s}", part, fits[s], predictor, spread[s]) for s in keep]
     for row, q in zip(rows, bh_list([r["p_value"] for r in rows])):
         row["q_value"] = q
     return rows
 
 
+def use_frame(spark, name: str, kind: str, values: Sequence) -> DataFrame:
+    """The chosen keys as a table; there are as many as result rows."""
+    return spark.createDataFrame([(v,) for v in values], f"`{name}` {kind}")
+
+
 def outcome_refits(df: DataFrame, design: Design, outcomes: Sequence[str], predictor: str, cluster: str) -> list[dict]:
     """Same design, several responses: one cross-product pass for all of them."""
-    g = gram(df, [*design.columns, *[F.col(o).cast("double") for o in outcomes]])[None]
-    p, sd = len(design.names), sample_sd(df, predictor)
     rows = []
+    stacked = df.withColumn("_o", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.col(o).cast("double").alias("y")) for i, o in enumerate(outcomes)])))
+    # Each response keeps the rows that are complete for it.
+    part = complete_rows(stacked.select("*", F.col("_o.i").alias("_i"), F.col("_o.y").alias("_y")), [*design.columns, F.col("_y")])
+    fits = fit_ols_by(part, "_i", design, F.col("_y"), cluster)
+    spread = {r["_i"]: r["sd"] for r in part.groupBy("_i").agg(F.stddev_samp(predictor).alias("sd")).collect()}
     for i, o in enumerate(outcomes):
-        idx = [*range(p), p + i]
-        fit = fit_ols(df, design, F.col(o).cast("double"), cluster, cross=g[np.ix_(idx, idx)])
-        rows.append(association_row(o, df, fit, predictor, sd, outcome=o))
+        rows.append(association_row(o, df, fits[i], predictor, spread[i], outcome=o))
     return rows
 
 
@@ -207,6 +210,7 @@ def predictor_grid(df: DataFrame, predictors: Sequence[str], outcome: str, clust
     for x in predictors:
         union[x] = F.col(x).cast("double")
     names, y = list(union), F.col(outcome).cast("double")
+    df = complete_rows(df, [*union.values(), y])  # one population for the whole grid, so its fits can be compared
     g = gram(df, [*union.values(), y])[None]
     where = {n: i for i, n in enumerate(names)}
     sds = df.agg(*[F.stddev_samp(x).alias(x) for x in predictors]).first()
@@ -226,7 +230,7 @@ def predictor_grid(df: DataFrame, predictors: Sequence[str], outcome: str, clust
 
 def residual_diagnostics(df: DataFrame, fit: Fit, y: Column, low: float = 0.0, high: float = 1.0) -> dict:
     """Moments of residuals, heteroscedasticity and functional-form tests, range counts, AIC."""
-    work = df.select(*[c.cast("double").alias(f"_x{i}") for i, c in enumerate(fit.design.columns)],
+    work = complete_rows(df, [*fit.design.columns, y]).select(*[c.cast("double").alias(f"_x{i}") for i, c in enumerate(fit.design.columns)],
                      fit.fitted().alias("_f"), y.alias("_y")).withColumn("_e", F.col("_y") - F.col("_f"))
     m = work.agg(F.avg("_e").alias("e1")).first()["e1"]
     d = F.col("_e") - F.lit(m)

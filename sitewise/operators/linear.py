@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,8 +20,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Z95 = 1.959963984540054
-# Wider matrices are summed in Arrow batches instead of one column per entry.
-MAX_SQL_COLUMNS = 14
 
 
 def normal_p(z: float) -> float:
@@ -38,17 +37,17 @@ def unpack_gram(values, p: int) -> np.ndarray:
     return out
 
 
+def complete_rows(df: DataFrame, columns: Sequence[Column]) -> DataFrame:
+    """Rows without a null in any of the columns: the one rule for missing values in fits."""
+    return df.where(reduce(lambda a, b: a & b, [c.isNotNull() for c in columns]))
+
+
 def gram(df: DataFrame, columns: Sequence[Column], by: str | None = None) -> dict:
-    """Cross products of ``columns``, per value of ``by`` (a small set) or under ``None``."""
+    """Cross products of ``columns`` over complete rows, per value of ``by`` (a small set) or under ``None``."""
     p = len(columns)
-    named = [c.cast("double").alias(f"_c{i}") for i, c in enumerate(columns)]
-    work = df.select(*([by] if by else []), *named)
-    if p <= MAX_SQL_COLUMNS:
-        aggs = [F.expr(f"sum(_c{i} * _c{j}) AS g{i}_{j}") for i, j in gram_names(p)]
-        rows = (work.groupBy(by) if by else work.groupBy()).agg(*aggs).collect()
-        return {(r[by] if by else None): unpack_gram([r[f"g{i}_{j}"] for i, j in gram_names(p)], p) for r in rows}
-    feats = work.select(*([by] if by else []), F.array(*[f"_c{i}" for i in range(p)]).alias("_x"))
-    return gram_arrays(feats, "_x", p, by)
+    feats = complete_rows(df, columns).select(*([by] if by else []), F.array(*[c.cast("double") for c in columns]).alias("_x"))
+    found = gram_arrays(feats, "_x", p, by)
+    return found if by or found else {None: np.zeros((p, p))}
 
 
 def gram_arrays(df: DataFrame, features: str, p: int, by: str | None = None) -> dict:
@@ -149,44 +148,66 @@ def fit_ols(df: DataFrame, design: Design, y: Column, cluster: str, weights: Col
             drop_constant: bool = True, cross: np.ndarray | None = None) -> Fit:
     """OLS or WLS with cluster-robust covariance (finite-cluster correction, normal inference).
 
-    ``cross`` is the Gram of ``[X, y]`` if a caller already has it.
+    Rows with a null in the design, the response or the weight take no part; ``Fit.n`` is
+    the number of rows that do. ``cross`` is the Gram of ``[X, y]`` over the same rows if a
+    caller already has it. A null cluster is a cluster.
     """
     root = F.sqrt(weights) if weights is not None else F.lit(1.0)
+    df = complete_rows(df, [*design.columns, y, root])
     if cross is None:
         cross = gram(df, [root * c for c in [*design.columns, y]])[None]
-    if drop_constant:
-        unweighted = cross
-        gone = constant_terms(unweighted, design.names)
-        keep = [i for i, n in enumerate(design.names) if n not in gone]
-        cross = cross[np.ix_([*keep, len(design.names)], [*keep, len(design.names)])]
-        design = design.without(gone)
+    design, cross = _varying(design, cross) if drop_constant else (design, cross)
+    beta, bread, sse, sst = solve_ols(cross, len(design.names))
+    score = (weights if weights is not None else F.lit(1.0)) * (y - _dot(beta, design.columns))
+    meat, n, g = _meats(df, design.columns, score, cluster)[None]
+    return _robust(design, beta, bread, sse, sst, meat, n, g)
+
+
+def fit_ols_by(df: DataFrame, by: str, design: Design, y: Column, cluster: str) -> dict:
+    """One OLS fit per value of ``by`` (a small set): two passes over the data for all of them."""
+    df = complete_rows(df, [*design.columns, y])
+    solved = {}
+    for key, cross in gram(df, [*design.columns, y], by).items():
+        own, cross = _varying(design, cross)
+        solved[key] = (own, *solve_ols(cross, len(own.names)))
+    every = {k: dict(zip(own.names, beta)) for k, (own, beta, *_) in solved.items()}
+    kind = df.schema[by].dataType.simpleString()
+    table = df.sparkSession.createDataFrame([(k, [float(b.get(n, 0.0)) for n in design.names]) for k, b in every.items()], f"_key {kind}, _beta array<double>")
+    joined = df.join(table, F.col(by).eqNullSafe(F.col("_key")))
+    fitted = sum((F.get("_beta", i) * c for i, c in enumerate(design.columns)), F.lit(0.0))
+    meats = _meats(joined, design.columns, y - fitted, cluster, by)
+    out = {}
+    for key, (own, beta, bread, sse, sst) in solved.items():
+        meat, n, g = meats[key]
+        at = [design.names.index(x) for x in own.names]
+        out[key] = _robust(own, beta, bread, sse, sst, meat[np.ix_(at, at)], n, g)
+    return out
+
+
+def _varying(design: Design, cross: np.ndarray) -> tuple[Design, np.ndarray]:
+    gone = constant_terms(cross, design.names)
+    keep = [*[i for i, n in enumerate(design.names) if n not in gone], len(design.names)]
+    return design.without(gone), cross[np.ix_(keep, keep)]
+
+
+def _dot(beta: np.ndarray, columns: Sequence[Column]) -> Column:
+    return sum((F.lit(float(b)) * c for b, c in zip(beta, columns)), F.lit(0.0))
+
+
+def _robust(design, beta, bread, sse, sst, meat, n, g) -> Fit:
     p = len(design.names)
-    beta, bread, sse, sst = solve_ols(cross, p)
-    meat, n, g = _cluster_meat(df, design, y, beta, cluster, weights)
-    cov = bread @ meat @ bread * (g / (g - 1)) * ((n - 1) / (n - p)) if g > 1 else bread * math.nan
+    cov = bread @ meat @ bread * (g / (g - 1)) * ((n - 1) / (n - p)) if g > 1 and n > p else bread * math.nan
     return Fit(design.names, beta, cov, n, g, 1 - sse / sst if sst else math.nan, sse, bread, design)
 
 
-def _cluster_meat(df, design, y, beta, cluster, weights):
-    """Sum over clusters of the outer product of their score sums."""
-    fitted = sum((F.lit(float(b)) * c for b, c in zip(beta[1:], design.columns[1:])),
-                 F.lit(float(beta[0])) * design.columns[0])
-    w = weights if weights is not None else F.lit(1.0)
-    base = df.select(F.col(cluster).alias("_cl"), (w * (y - fitted)).alias("_e"),
-                     *[c.cast("double").alias(f"_x{i}") for i, c in enumerate(design.columns)])
-    p = len(design.columns)
-    scores = base.groupBy("_cl").agg(
-        F.count(F.lit(1)).alias("_n"), *[F.expr(f"sum(_x{i} * _e) AS _s{i}") for i in range(p)])
-    meat = None
-    if p <= MAX_SQL_COLUMNS:
-        pairs = gram_names(p)
-        row = scores.agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("g"),
-                         *[F.expr(f"sum(_s{i} * _s{j}) AS m{i}_{j}") for i, j in pairs]).first()
-        meat = unpack_gram([row[f"m{i}_{j}"] for i, j in pairs], p)
-        return meat, int(row["n"]), int(row["g"])
-    vec = scores.select(F.array(*[f"_s{i}" for i in range(p)], F.lit(1.0), F.sqrt(F.col("_n").cast("double"))).alias("_x"))
-    full = gram_arrays(vec, "_x", p + 2)[None]
-    return full[:p, :p], round(full[p + 1, p + 1]), round(full[p, p])
+def _meats(df: DataFrame, columns: Sequence[Column], score: Column, cluster: str, by: str | None = None) -> dict:
+    """Per value of ``by``: sum over clusters of the outer product of their score sums, rows, clusters."""
+    p, keys = len(columns), [by] if by else []
+    base = df.select(*keys, F.col(cluster).alias("_cl"), score.alias("_e"), *[c.cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
+    scores = base.groupBy(*keys, "_cl").agg(F.count(F.lit(1)).alias("_n"), *[F.expr(f"sum(_x{i} * _e) AS _s{i}") for i in range(p)])
+    vec = scores.select(*keys, F.array(*[f"_s{i}" for i in range(p)], F.lit(1.0), F.sqrt(F.col("_n").cast("double"))).alias("_x"))
+    full = gram_arrays(vec, "_x", p + 2, by) or ({} if by else {None: np.zeros((p + 2, p + 2))})
+    return {k: (m[:p, :p], round(m[p + 1, p + 1]), round(m[p, p])) for k, m in full.items()}
 
 
 def association_row(name: str, df: DataFrame, fit: Fit, predictor: str, sd: float, z: float = Z95, **extra) -> dict:

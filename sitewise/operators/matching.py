@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from sitewise.functions.binding import let
 from sitewise.functions.vectors import flank_mean, valid_count
+from sitewise.operators.ordering import on_keys
 
 
 def eligible_positions(values: Column, letters: Column, excluded: Column, flank: int, min_fraction: float) -> Column:
@@ -42,12 +43,15 @@ def eligibility(df: DataFrame, key: list[str], order: str, valid: Column, flank:
     block = F.floor(F.col(order) / flank)
     here = base.withColumn("_b", block)
     near = base.where("_v = 1").select(*key, F.col(order).alias("_o"), F.explode(F.array(block - 1, block, block + 1)).alias("_b"))
-    counts = here.join(near, [*key, "_b"], "left").groupBy(*key, order).agg(
+    at = [F.col(f"h.{k}") for k in key] + [F.col(f"h.{order}").alias(order)]
+    met = here.alias("h").join(near.alias("n"), on_keys("h", "n", [*key, "_b"]), "left").select(*at, F.col("n._o").alias("_o"))
+    counts = met.groupBy(*key, order).agg(
         F.count_if(F.col("_o").between(F.col(order) - flank, F.col(order) - 1)).alias("valid_left"),
         F.count_if(F.col("_o").between(F.col(order) + 1, F.col(order) + flank)).alias("valid_right"))
     bounds = base.groupBy(*key).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
     inside = (F.col(order) - flank >= F.col("_lo")) & (F.col(order) + flank <= F.col("_hi"))
-    out = df.join(counts, [*key, order]).join(bounds, key)
+    out = df.alias("d").join(counts.alias("c"), on_keys("d", "c", [*key, order])).select("d.*", "c.valid_left", "c.valid_right")
+    out = out.alias("d").join(bounds.alias("b"), on_keys("d", "b", key)).select("d.*", "b._lo", "b._hi")
     return out.withColumn("eligible", inside & (F.col("valid_left") >= need) & (F.col("valid_right") >= need) & ~excluded) \
         .drop("_lo", "_hi")
 
@@ -61,10 +65,9 @@ def match_greedy(df: DataFrame, tid: str, values: str, letters: str, sites: str,
                  min_distance: int) -> DataFrame:
     """One unused control per site, sites taken in position order.
 
-    Each row is one vector with the array of its site positions, so the greedy
-    walk stays inside a row: its state is bounded by the vector's length and the
-    vectors spread over all tasks. From a site both sides are scanned outward in
-    step, the nearer candidate of a step first.
+    Each row is one vector with the array of its site positions, so the choice
+    stays inside a row: its state is bounded by the vector's length and the
+    vectors spread over all tasks.
     """
     prepared = df.select(tid, letters, F.array_sort(F.array_distinct(sites)).alias("_s"),
                          eligible_positions(F.col(values), F.col(letters), F.col(sites), flank, min_fraction).alias("_c"))
@@ -79,25 +82,25 @@ def match_greedy(df: DataFrame, tid: str, values: str, letters: str, sites: str,
 
 
 def _match_row(text, sites, positions, letters, min_distance):
-    pools = {}
-    positions, letters = np.asarray(positions), np.asarray(letters)
+    """The rule as array operations: every candidate gets its key, masked ones drop out, the least key wins.
+
+    The key of a candidate is its rank outward from the site among candidates of the
+    letter (both sides count alike), then distance, then position.
+    """
+    positions, letters = np.asarray(positions, dtype=np.int64), np.asarray(letters, dtype=object)
+    order = np.argsort(positions, kind="stable")
+    free = np.ones(len(order), dtype=bool)
     out = []
     for site in sites:
-        base = text[site - 1]
-        if base not in pools:
-            pools[base] = (positions[letters == base], set())
-        pool, used = pools[base]
-        left = int(np.searchsorted(pool, site)) - 1
-        right = left + 1
-        found = None
-        while found is None and (left >= 0 or right < len(pool)):
-            step = [int(pool[i]) for i in (left, right) if 0 <= i < len(pool)]
-            step.sort(key=lambda p: (abs(p - site), p))
-            found = next((p for p in step if abs(p - site) >= min_distance and p not in used), None)
-            left, right = left - 1, right + 1
-        if found is not None:
-            used.add(found)
-            out.append({"site_pos": int(site), "control_pos": found, "letter": base})
+        same = order[letters[order] == text[site - 1]]
+        away = positions[same] - site
+        before = int((away < 0).sum())
+        outward = np.where(away < 0, before - 1 - np.arange(len(same)), np.arange(len(same)) - before)
+        open_ = np.flatnonzero(free[same] & (np.abs(away) >= min_distance))
+        if len(open_):
+            best = open_[np.lexsort((away[open_], np.abs(away)[open_], outward[open_]))[0]]
+            free[same[best]] = False
+            out.append({"site_pos": int(site), "control_pos": int(positions[same[best]]), "letter": text[site - 1]})
     return out
 
 

@@ -386,9 +386,3 @@ def baseline_predictions(train: DataFrame, rows: DataFrame, y: str) -> DataFrame
     dev = quantiles(train, [], y, {"m": 0.5}).scalar()
     own = quantiles(rows, [], y, {"m": 0.5}).scalar()
     return rows.withColumns({"prediction_train_median": dev, "prediction_oracle_median": own})
-
-
-def adjust_family(rows: list[dict], p: str = "p_value", q: str = "q_value") -> list[dict]:
-    for row, value in zip(rows, bh_list([r[p] for r in rows])):
-        row[q] = value
-    return rows

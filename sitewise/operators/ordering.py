@@ -16,9 +16,6 @@ from pyspark.sql import functions as F
 
 from sitewise.session import checkpointed
 
-# Up to this many rows in total a plain window is cheaper, and one task can hold them all.
-SMALL_ROWS = 1_000_000
-
 _COMBINE = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
@@ -26,16 +23,14 @@ def _as_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _on_keys(left: str, right: str, keys: Sequence[str]) -> Column:
+def on_keys(left: str, right: str, keys: Sequence[str]) -> Column:
+    """Null-safe equality of the keys of two aliased frames; true without keys."""
+    if not keys:
+        return F.lit(True)
     terms = [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys]
     return reduce(lambda a, b: a & b, terms)
 
 
-def _small(df: DataFrame) -> bool:
-    # A count adds up in parallel; a limit would first send its rows to one task.
-    return df.count() <= SMALL_ROWS
-
-
 def running(df: DataFrame, keys: Sequence[str], order: Sequence, totals: dict[str, tuple[str, Column]]) -> DataFrame:
     """Add running aggregates within ``keys`` in ``order``, this row included.
 
@@ -51,10 +46,6 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence, totals: dict[st
         .repartitionByRange(*[F.col(k) for k in keys], *order)
         .withColumn("_part", F.spark_partition_id())
     )
-    if _small(parts):
-        whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return parts.select(*[c for c in df.columns if c not in totals],
-                            *[_COMBINE[how](f"_in_{n}").over(whole).alias(n) for n, (how, _) in totals.items()])
     within = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = parts.withColumns({n: _COMBINE[how](f"_in_{n}").over(within) for n, (how, _) in totals.items()})
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -64,7 +55,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence, totals: dict[st
         .select(*keys, "_part",
                 *[_COMBINE[how](f"_in_{n}").over(before).alias(f"_before_{n}") for n, (how, _) in totals.items()])
     )
-    joined = local.alias("l").join(pieces.alias("p"), _on_keys("l", "p", [*keys, "_part"]))
+    joined = local.alias("l").join(pieces.alias("p"), on_keys("l", "p", [*keys, "_part"]))
     out = []
     for n, (how, _) in totals.items():
         mine, earlier = F.col(f"l.{n}"), F.col(f"p._before_{n}")
@@ -106,8 +97,6 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, f
     counts = value_counts(df, keys, value, weight).where("_n > 0").withColumnRenamed(value, "_value")
     parts = checkpointed(
         counts.repartitionByRange(*[F.col(k) for k in keys], F.col("_value")).withColumn("_part", F.spark_partition_id()))
-    if _small(parts):
-        return parts.groupBy(*keys).agg(*[F.percentile("_value", F.lit(float(p)), F.col("_n")).alias(n) for n, p in probs.items()])
     # Totals per piece tell which piece holds each wanted rank; only those pieces are sorted.
     whole = Window.partitionBy(*keys)
     upto = F.sum("_c").over(whole.orderBy("_part"))
@@ -121,7 +110,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, f
     targets = pieces.withColumn("_w", F.explode(F.array(*wanted))).where(
         (F.col("_w.rank") > F.col("_before")) & (F.col("_w.rank") <= F.col("_before") + F.col("_c"))) \
         .groupBy(*keys, "_part", "_before", "_size").agg(F.collect_list("_w").alias("_w"))
-    near = parts.alias("p").join(targets.alias("t"), _on_keys("p", "t", [*keys, "_part"])) \
+    near = parts.alias("p").join(targets.alias("t"), on_keys("p", "t", [*keys, "_part"])) \
         .select(*[F.col(f"p.{k}") for k in keys], "p._value", "p._n", "p._part", "t._before", "t._size", "t._w")
     within = Window.partitionBy(*keys, "_part").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
     ranked = near.withColumn("_upto", F.col("_before") + F.sum("_n").over(within))
@@ -172,8 +161,8 @@ def spearman_frame(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFr
     ry = average_ranks(pairs, keys, "_y", "_ry", F.col("_c"))
     ranked = (
         pairs.alias("p")
-        .join(rx.alias("a"), _on_keys("p", "a", [*keys, "_x"]))
-        .join(ry.alias("b"), _on_keys("p", "b", [*keys, "_y"]))
+        .join(rx.alias("a"), on_keys("p", "a", [*keys, "_x"]))
+        .join(ry.alias("b"), on_keys("p", "b", [*keys, "_y"]))
         .select(*[F.col(f"p.{k}") for k in keys], "p._c", "a._rx", "b._ry")
     )
     c, a, b = F.col("_c"), F.col("_rx"), F.col("_ry")

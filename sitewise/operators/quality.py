@@ -165,17 +165,19 @@ def fingerprint_match(before: DataFrame, after: DataFrame, columns: Sequence[str
     return out.select("rows_before", "rows_after", F.when(same, "MATCH").otherwise("DIFFERENT").alias("result"))
 
 
-def ordered_set_digest(df: DataFrame, column: str, max_ids: int = 1_000_000) -> str:
-    """SHA-256 over the sorted ids, one per line with a trailing newline.
+def ordered_set_digest(df: DataFrame, column: str, prefix: int = 4) -> str:
+    """Tree digest of a set of ids, the same for any order or partitioning of the rows.
 
-    A single digest is sequential by nature, so the id list must be small; larger
-    sets raise and are compared with :func:`table_fingerprint` instead.
+    Every id's SHA-256 falls into the leaf of its first ``prefix`` hex digits; a leaf is the
+    SHA-256 of its sorted digests, one per line, and the root that of the leaves (``digits
+    digest`` lines in order). Repeated ids count each time, a NULL id as the text ``~null``.
+    Leaves spread over tasks: with n ids one holds about n / 16 ** prefix of them.
     """
-    ids = df.select(F.col(column).cast("string").alias("id"))
-    if ids.count() > max_ids:
-        raise GateError(f"more than {max_ids} ids; compare with table_fingerprint")
-    text = F.concat(F.array_join(F.array_sort(F.collect_list("id")), "\n"), F.lit("\n"))
-    return ids.agg(F.sha2(text, 256).alias("d")).first()["d"]
+    ids = df.select(F.sha2(F.coalesce(F.col(column).cast("string"), F.lit("~null")), 256).alias("d"))
+    lines = F.concat(F.array_join(F.array_sort(F.collect_list("d")), "\n"), F.lit("\n"))
+    leaves = ids.groupBy(F.substring("d", 1, prefix).alias("p")).agg(F.sha2(lines, 256).alias("leaf"))
+    rows = F.concat(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "p", "leaf"))), "\n"), F.lit("\n"))
+    return leaves.agg(F.sha2(rows, 256).alias("root")).first()["root"]
 
 
 def table_equivalence(left: DataFrame, right: DataFrame, on: Sequence[str], numeric: Sequence[str],

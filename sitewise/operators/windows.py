@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitewise.operators.intervals import first_hit_per
-from sitewise.operators.ordering import positions
+from sitewise.operators.ordering import on_keys, positions
 
 
 def rank_candidates(df: DataFrame, key: Sequence[str], order: Sequence[Column | str], rank: str = "rank",
@@ -16,7 +16,8 @@ def rank_candidates(df: DataFrame, key: Sequence[str], order: Sequence[Column |
     """Rank all candidates of each key, flag the first, and add the group size."""
     ranked = positions(df, key, order, rank)
     sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias(size))
-    return ranked.join(sizes, list(key)).withColumn(first, F.col(rank) == 1)
+    sized = ranked.alias("l").join(sizes.alias("r"), on_keys("l", "r", key)).select("l.*", f"r.{size}")
+    return sized.withColumn(first, F.col(rank) == 1)
 
 
 def representative(df: DataFrame, key: Sequence[str], order: Sequence[Column], size: str = "group_size") -> DataFrame:

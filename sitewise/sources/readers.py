@@ -32,7 +32,7 @@ def read_site_table(spark: SparkSession, path, schema: T.StructType = SITE_SCHEM
     """Tab-separated site table with a header; every column is read as text, then typed."""
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
     raw = spark.read.csv(path, sep="\t", header=True, schema=text, enforceSchema=False)
-    return raw.select(*[null_tokens(F.trim(f.name)).try_cast(f.dataType).alias(f.name) for f in schema])
+    return raw.select(*[null_tokens(F.trim(f.name)).cast(f.dataType).alias(f.name) for f in schema])
 
 
 def site_keys(df: DataFrame) -> DataFrame:
@@ -42,13 +42,16 @@ def site_keys(df: DataFrame) -> DataFrame:
 
 
 def parse_signal_lines(lines: DataFrame, col: str = "value", tokens: Sequence[str] = MISSING_TOKENS) -> DataFrame:
-    """``id, length, abundance, v1..vN`` lines to ``tid, length, abundance, values``."""
+    """``id, length, abundance, v1..vN`` lines to ``tid, length, abundance, values``.
+
+    Only the missing-value tokens become NULL; any other text that is no number fails (ANSI casts).
+    """
     f = F.split(F.regexp_replace(col, "[\r\n]+$", ""), "\t")
     values = F.transform(F.slice(f, F.lit(4), F.greatest(F.size(f) - 3, F.lit(0))),
-                         lambda x: null_tokens(x, tokens).try_cast("float"))
+                         lambda x: null_tokens(x, tokens).cast("float"))
     values = F.transform(values, lambda x: F.when(~F.isnan(x), x))
     return lines.where(F.length(F.trim(col)) > 0).select(
-        F.get(f, F.lit(0)).alias("tid"), F.get(f, F.lit(1)).try_cast("int").alias("length"),
+        F.get(f, F.lit(0)).alias("tid"), F.get(f, F.lit(1)).cast("int").alias("length"),
         F.get(f, F.lit(2)).alias("abundance"), values.alias("values"))
 
 
@@ -123,7 +126,10 @@ def read_annotation(spark: SparkSession, path, features: Sequence[str] = ("exon"
 
 def read_fasta(spark: SparkSession, path) -> DataFrame:
     """``name, seq``: first token of the header, letters joined and upper-cased."""
-    rec = spark.read.text(path, lineSep=">").where(F.length(F.trim("value")) > 0)
+    # A record starts with ">" at the start of a line; elsewhere it belongs to a description.
+    # Only the first record of a file still has its own ">".
+    rec = spark.read.text(path, lineSep="\n>").where(F.length(F.trim("value")) > 0) \
+        .select(F.regexp_replace("value", "^\\s*>", "").alias("value"))
     head = F.substring_index("value", "\n", 1)
     body = F.substring(F.col("value"), F.length(head) + 2, F.length("value"))
     return rec.select(F.split(F.trim(head), r"\s+", 2)[0].alias("name"),
@@ -218,10 +224,6 @@ def locus_mirror_mismatches(df: DataFrame, chrom: str, start: str, end: str, str
     return df.agg(F.count_if(F.col(chrom).isNotNull() & ~F.coalesce(same, F.lit(False))).alias("mismatches"))
 
 
-def mean_of(columns: Sequence[str]) -> Column:
-    """Row mean of several replicate columns."""
-    return sum((F.col(c) for c in columns[1:]), F.col(columns[0])) / len(columns)
-
 
 def read_result_table(spark: SparkSession, path, schema: str, columns: Sequence[str] | None = None) -> DataFrame:
     """CSV (plain or gzip) with a header, explicit types, only the columns asked for."""

@@ -8,13 +8,6 @@ from sitewise.operators import joins as J
 from sitewise.operators import ordering as O
 
 
-@pytest.fixture(params=["plain", "spread"])
-def path(request, monkeypatch):
-    """Both ways to the same result: the plain window and the spread one for hot keys."""
-    monkeypatch.setattr(O, "SMALL_ROWS", 10**6 if request.param == "plain" else 0)
-    return request.param
-
-
 @pytest.fixture(scope="module")
 def skewed(spark):
     """One key holds most rows; values repeat; one value is missing."""
@@ -25,7 +18,7 @@ def skewed(spark):
     return pdf, spark.createDataFrame(pdf).withColumn("x", F.when(F.col("i") != 5, F.col("x")))
 
 
-def test_running_and_positions(skewed, path):
+def test_running_and_positions(skewed):
     pdf, df = skewed
     got = O.running(df.drop("x"), ["k"], ["y", "i"], {"t": ("sum", F.col("i")), "m": ("min", F.col("i")), "n": ("sum", F.lit(1))}).toPandas()
     want = pdf.sort_values(["k", "y", "i"])
@@ -37,7 +30,7 @@ def test_running_and_positions(skewed, path):
         assert (both[c] == both[f"{c}_w"]).all()
 
 
-def test_quantiles_exact(skewed, path):
+def test_quantiles_exact(skewed):
     pdf, df = skewed
     part = pdf[pdf.i != 5]
     got = O.quantiles(df, ["k"], "x", {"a": 0.1, "b": 0.5, "c": 1.0}).toPandas().set_index("k")
@@ -47,13 +40,13 @@ def test_quantiles_exact(skewed, path):
     assert one == pytest.approx(part.x.quantile(0.37))
 
 
-def test_weighted_quantile_repeats_values(spark, path):
+def test_weighted_quantile_repeats_values(spark):
     df = spark.createDataFrame([(1.0, 3), (2.0, 0), (5.0, 2)], "x double, w int")
     assert O.quantiles(df, [], "x", {"m": 0.5}, weight=F.col("w")).first().m == 1.0
     assert O.quantiles(df, [], "x", {"m": 0.625}, weight=F.col("w")).first().m == pytest.approx(3.0)
 
 
-def test_spearman_with_ties(skewed, path):
+def test_spearman_with_ties(skewed):
     pdf, df = skewed
     part = pdf[pdf.i != 5]
     assert O.spearman_frame(df, [], "x", "y").first().spearman == pytest.approx(part[["x", "y"]].corr("spearman").iloc[0, 1])
@@ -98,7 +91,10 @@ def test_folds_and_split_never_part_a_group(spark):
     assert load.max() - load.min() <= f["size"].max()
     s = G.snake_folds(df, "g", 5).toPandas()
     assert s.g.is_unique and s["size"].sum() == 2000
-    assert G.group_folds(df, "g", 5, max_greedy_groups=3).count() == len(f)
+    nulls = df.unionAll(spark.createDataFrame([(None,)] * 9, "g int"))
+    assert G.with_folds(nulls, "g", 5).count() == 2009
+    with pytest.raises(ValueError):
+        G.group_folds(df.where("g < 2"), "g", 5)
     split = G.group_split(df, "g", 0.2, 1).toPandas()
     test = split[split.split == "test"]["size"].sum()
     assert abs(test - 400) <= split["size"].max()

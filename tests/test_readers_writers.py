@@ -120,14 +120,29 @@ def test_writers(spark, tmp_path):
         K.require_pass(W.run_status(spark, "s", "FAIL", now, now, {}, {}))
 
 
-def test_ordered_digest_matches_plain_hashing(spark):
+def test_tree_digest_matches_plain_hashing(spark):
     import hashlib
 
-    ids = ["b", "a", "c"]
+    def sha(text):
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    ids = ["b", "a", "c", None, "a"] + [f"x{i}" for i in range(300)]
+    leaves = {}
+    for d in sorted(sha("~null" if i is None else i) for i in ids):
+        leaves.setdefault(d[:1], []).append(d + "\n")
+    root = sha("".join(f"{p} {sha(''.join(ds))}\n" for p, ds in sorted(leaves.items())))
     df = spark.createDataFrame([(i,) for i in ids], "id string")
-    assert K.ordered_set_digest(df, "id") == hashlib.sha256(b"a\nb\nc\n").hexdigest()
-    with pytest.raises(K.GateError):
-        K.ordered_set_digest(df, "id", 2)
+    assert K.ordered_set_digest(df, "id", 1) == K.ordered_set_digest(df.orderBy(F.desc("id")), "id", 1) == root
+    assert K.ordered_set_digest(df, "id", 1) != K.ordered_set_digest(df.distinct(), "id", 1)
+
+
+def test_fasta_records_start_at_lines_and_bad_numbers_fail(spark, tmp_path):
+    (tmp_path / "s.fa").write_text(">t1 gene a->b len=3\nAC\ngt\n>t2\nNN\n")
+    got = {r["name"]: r["seq"] for r in R.read_fasta(spark, str(tmp_path / "s.fa")).collect()}
+    assert got == {"t1": "ACGT", "t2": "NN"}
+    lines = spark.createDataFrame([("t\t3\t*\t0.5\tabc\t0.2",)], "value string")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        R.parse_signal_lines(lines).collect()
 
 
 def test_schema_contract(spark):

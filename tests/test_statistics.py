@@ -41,9 +41,7 @@ def dense_fit(x, y, g, w=None):
     return beta, np.sqrt(np.diag(bread @ (scores.T @ scores) @ bread * c / (c - 1) * (n - 1) / (n - p)))
 
 
-@pytest.mark.parametrize("limit", [14, 0])
-def test_clustered_fit_matches_dense_algebra(frame, monkeypatch, limit):
-    monkeypatch.setattr(L, "MAX_SQL_COLUMNS", limit)
+def test_clustered_fit_matches_dense_algebra(frame):
     pdf, df = frame
     d = N.association_design(df, "x", {"z": F.col("z")}, ["z"], ["s"])
     fit = L.fit_ols(df, d, F.col("y"), "g")
@@ -56,6 +54,48 @@ def test_clustered_fit_matches_dense_algebra(frame, monkeypatch, limit):
     assert np.allclose(fit.beta, beta) and np.allclose(np.sqrt(np.diag(fit.cov)), se)
 
 
+def test_fits_use_complete_rows(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, float(x), None if i % 5 == 0 else float(2 * x + 1 + e), None if i % 7 == 0 else float(e), f"g{i % 40}")
+            for i, (x, e) in enumerate(zip(rng.normal(size=400), rng.normal(size=400) / 50))]
+    pdf = pd.DataFrame(rows, columns=["i", "x", "y", "y2", "g"])
+    df = spark.createDataFrame(rows, "i int, x double, y double, y2 double, g string")
+    design = L.Design(["Intercept", "x"], [F.lit(1.0), F.col("x")])
+    for response in ("y", "y2"):
+        part = pdf[pdf[response].notna()]
+        beta, se = dense_fit(np.column_stack([np.ones(len(part)), part.x]), part[response].to_numpy(), part.g.to_numpy())
+        fit = L.fit_ols(df, design, F.col(response), "g")
+        assert fit.n == len(part) and np.allclose(fit.beta, beta) and np.allclose(np.sqrt(np.diag(fit.cov)), se)
+        again = next(r for r in N.outcome_refits(df, design, ["y", "y2"], "x", "g") if r["outcome"] == response)
+        assert (again["sites"], again["clusters"]) == (len(part), part.g.nunique()) and np.allclose([again["beta_raw"], again["se_cluster"]], [beta[1], se[1]])
+
+
+def test_strata_in_one_pass_match_single_fits(frame):
+    pdf, df = frame
+    design = N.association_design(df, "x", {"z": F.col("z")}, ["z"])
+    rows = N.stratified_fits(df, "s", design, "y", "x", "g", 2, 2)
+    assert len(rows) == pdf.s.nunique()
+    for r in rows:
+        fit = L.fit_ols(df.where(F.col("s") == r["analysis"].removeprefix("s_")), design, F.col("y"), "g")
+        assert np.allclose([r["beta_raw"], r["se_cluster"], r["sites"]], [*fit.term("x"), fit.n])
+
+
+def test_null_keys_stay(spark):
+    from sitewise.operators import aggregates as A
+    from sitewise.operators import windows as W
+    df = spark.createDataFrame([("a", 1.0, 0.1), (None, 2.0, 0.04), (None, 3.0, 0.02), ("a", 0.5, None)], "k string, v double, p double")
+    assert {(r.k, r["rank"], r.group_size) for r in W.rank_candidates(df, ["k"], ["v"]).collect()} == {("a", 1, 2), ("a", 2, 2), (None, 1, 2), (None, 2, 2)}
+    assert sorted(r.group_size for r in A.group_size(df, ["k"]).collect()) == [2, 2, 2, 2]
+    some = df.where("p is not null")
+    assert {r.v: round(r.q_value, 6) for r in N.bh_adjust(some, ["k"], "p", ["v"]).collect()} == {1.0: 0.1, 2.0: 0.04, 3.0: 0.04}
+    assert {r.k: r.n for r in N.wilcoxon_signed_rank(df, "v", ["k"]).collect()} == {"a": 2, None: 2}
+    both = {r.k: (r.n, r.mae, r.spearman) for r in A.regression_metrics(df, ["k"], "v", "p").collect()}
+    assert both["a"][:2] == (1, 0.9) and both[None][0] == 2 and both[None][2] == pytest.approx(-1.0)
+    assert {r.k for r in A.error_diagnostics(some, ["k"], "v", "p").collect()} == {"a", None}
+    assert A.error_diagnostics(some, [], "v", "p").count() == 1
+    assert sum(r.bin_count for r in A.calibration_table(some, ["k"], "v", "p", [0.0, 0.03, 1.0]).collect()) == 3
+
+
 def test_constant_columns_are_dropped_and_all_null_stays_finite(frame):
     _, df = frame
     df = df.withColumns({"c": F.lit(2.0), "void": F.lit(None).cast("double")})
