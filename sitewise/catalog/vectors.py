@@ -162,8 +162,27 @@ def _(t):
     return m.select("vec_id", *[F.col(c).cast("long").alias(c) for c in ("site_pos", "control_pos")], "letter", F.col("distance").cast("long").alias("distance"))
 
 
-@query("greedy_matched_controls")
+@query("greedy_matched_controls", f"""
+WITH RECURSIVE {VECTORS_SQL}, {_ELIGIBLE},
+sites AS (SELECT vec_id, p, b, row_number() OVER (PARTITION BY vec_id ORDER BY p) AS i FROM cnt WHERE site),
+ranked AS (SELECT s.vec_id, s.i, s.p, e.p AS q, row_number() OVER (PARTITION BY s.vec_id, s.i, e.p < s.p ORDER BY abs(e.p - s.p)) AS step
+  FROM sites s JOIN el e ON e.vec_id = s.vec_id AND e.b = s.b),
+options AS (SELECT s.vec_id, s.i, list(q ORDER BY step, abs(q - s.p), q) FILTER (abs(q - s.p) >= 8) AS qs
+  FROM sites s LEFT JOIN ranked r ON r.vec_id = s.vec_id AND r.i = s.i GROUP BY 1, 2),
+walk AS (
+  SELECT DISTINCT vec_id, 0::BIGINT AS i, []::BIGINT[] AS used, NULL::BIGINT AS q FROM sites
+  UNION ALL
+  SELECT vec_id, i, CASE WHEN q IS NULL THEN used ELSE list_append(used, q) END, q
+  FROM (SELECT o.vec_id, o.i, w.used, list_filter(coalesce(o.qs, []), lambda x: NOT list_contains(w.used, x))[1] AS q
+        FROM walk w JOIN options o ON o.vec_id = w.vec_id AND o.i = w.i + 1)),
+flanks AS (SELECT vec_id, p, avg(v) OVER (PARTITION BY vec_id ORDER BY p ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING EXCLUDE CURRENT ROW) AS m FROM cnt)
+SELECT CAST(w.vec_id AS BIGINT) AS vec_id, CAST(s.p AS BIGINT) AS site_pos, CAST(w.q AS BIGINT) AS control_pos, s.b AS letter, CAST(abs(s.p - w.q) AS BIGINT) AS distance,
+  round(x.m, 6) AS site_mean, round(y.m, 6) AS control_mean
+FROM walk w JOIN sites s ON s.vec_id = w.vec_id AND s.i = w.i JOIN flanks x ON x.vec_id = w.vec_id AND x.p = s.p
+  JOIN flanks y ON y.vec_id = w.vec_id AND y.p = w.q""")
 def _(t):
     x = _matched(t)
     pairs = match_greedy(x, "vec_id", "values", "letters", "sites", 5, 0.7, 8)
-    return pair_differences(pairs, x, "vec_id", "values", 5)
+    return pair_differences(pairs, x, "vec_id", "values", 5).select(
+        "vec_id", *[F.col(c).cast("long").alias(c) for c in ("site_pos", "control_pos")], "letter", F.col("distance").cast("long").alias("distance"),
+        *[r6(F.col(c)).alias(c) for c in ("site_mean", "control_mean")])
