@@ -34,7 +34,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
         edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     before = _edge_state(edges)
     for _ in range(max_rounds):
-        edges = checkpointed(_small_star(_large_star(edges)))
+        edges = checkpointed(_small_star(_large_star(edges)), before[0])
         now = _edge_state(edges)
         if now == before:
             break

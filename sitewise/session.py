@@ -48,11 +48,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+ROWS_PER_FILE = 25_000
+
+
+def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the checkpoint folder and read it from there.
 
     Used where a plan must see one fixed copy of its input twice (range
-    partitions whose ids are joined back) and to cut the lineage of loops.
+    partitions whose ids are joined back) and to cut the lineage of loops. Given how many
+    narrow ``rows`` there are about, partitions are merged to that many rows each, so that
+    the rounds of a loop do not write a file per shuffle partition for a few rows.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(max(1, rows // ROWS_PER_FILE))).checkpoint(eager=True)
