@@ -71,7 +71,8 @@ def gram_counts(text: str | None, dims: int) -> np.ndarray | None:
             continue
         keep = is_letter.copy()
         keep[1:] |= is_letter[:-1]
-        c = np.concatenate(([32], np.where(is_letter, points, 32)[keep], [32])).astype(np.uint32)
+        kept = np.where(is_letter, points, 32)[keep]
+        c = np.concatenate(([32], kept, [32] if kept[-1] != 32 else [])).astype(np.uint32)
         pairs = c[:-1] * np.uint32(0x9E3779B1) ^ c[1:] * np.uint32(0x85EBCA6B)
         triples = pairs[:-1] * np.uint32(0x27D4EB2F) ^ c[2:] * np.uint32(0xC2B2AE35)
         places = np.concatenate((pairs, triples))

@@ -230,8 +230,8 @@ def _best_of_each(pairs: DataFrame) -> DataFrame:
     return ranked.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
-def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return checkpointed(connected_components(nodes.select(F.col("id").alias("node")), edges.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+def _components(nodes: DataFrame, edges: DataFrame, rows: int) -> DataFrame:
+    return checkpointed(connected_components(nodes.select(F.col("id").alias("node")), edges.select(F.col("a").alias("u"), F.col("b").alias("v"))), rows)
 
 
 def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) -> DataFrame:
@@ -241,7 +241,8 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
                            .agg(F.min(F.struct("doc_id", "_keys", "_bits")).alias("_m"))
                            .select("_c0", "_c1", F.col("_m.doc_id").alias("id"), "_m._keys", "_m._bits"))
     pairs = checkpointed(candidates(classes, params))
-    ids = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    many = pairs.count()
+    ids = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), many)
     near = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
     texts = checkpointed(near.groupBy("id").agg(F.min("text").alias("text")))
     groups = tested = None
@@ -255,13 +256,13 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
                 ends = F.least("_ga", "_gb").alias("_g"), F.greatest("_ga", "_gb").alias("_h")
                 apart = apart.groupBy(*ends).agg(F.min(F.struct("differ", "a", "b")).alias("_m")).select("_m.a", "_m.b")
             wanted = apart.select("a", "b")
-        wanted = checkpointed(wanted)
-        if wanted.isEmpty():
+        wanted = checkpointed(wanted, many)
+        if not (asked := wanted.count()):
             break
-        tested = wanted if tested is None else checkpointed(tested.unionAll(wanted))
+        tested = wanted if tested is None else checkpointed(tested.unionAll(wanted), many)
         new = checkpointed(confirmed(wanted, texts, params))
         stars = new if groups is None else new.unionAll(groups.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
-        groups = _components(ids, stars) if groups is None or not new.isEmpty() else groups
+        groups = _components(ids, stars, many) if groups is None or not new.isEmpty() else groups
     groups = groups if groups is not None else ids.select(F.col("id").alias("node"), F.col("id").alias("component"))
     of_class = classes.select("_c0", "_c1", "id").join(groups.withColumnRenamed("node", "id"), "id", "left") \
         .select("_c0", "_c1", F.coalesce("component", "id").alias("_component"))

@@ -44,7 +44,7 @@ class PackParams:
     capacity: int = 4096
     end_id: int = 1
     opened: float = 0.8
-    rows_per_part: int = 200_000
+    rows_per_part: int = 50_000
 
 
 def _cut(batches: Iterator[pd.DataFrame], encoder: Callable[[], Callable], params: PackParams) -> Iterator[pd.DataFrame]:
@@ -78,6 +78,7 @@ def _sweep(gaps: DataFrame, wanted: DataFrame, params: PackParams, rows: int) ->
     both = gaps.select("size", F.lit(0).alias("kind"), F.col("bin").alias("id")).unionAll(wanted.select(F.col("len").alias("size"), F.lit(1).alias("kind"), F.col("pid").alias("id")))
     order = [F.col("size").desc(), F.col("kind"), F.col("id")]
     ordered = both.repartitionByRange(max(1, rows // params.rows_per_part), *order).sortWithinPartitions(*order)
+    # Merging here would part the sorted run, so this copy keeps its partitions.
     swept = checkpointed(ordered.mapInPandas(_depths, "size int, kind int, id long, part int, at long, depth long"))
     totals = {r["part"]: r["t"] for r in swept.groupBy("part").agg(F.sum(1 - 2 * F.col("kind")).alias("t")).collect()}
     before, base = 0, []
@@ -114,7 +115,9 @@ def _openers(unmatched: DataFrame, params: PackParams) -> tuple[DataFrame, int]:
 def pack(cut: DataFrame, params: PackParams = PackParams()) -> DataFrame:
     """``cut`` (see ``pieces``) with ``sequence_id`` and ``offset``."""
     cut = checkpointed(cut.withColumn("pid", F.monotonically_increasing_id()))
-    left = checkpointed(cut.where(F.col("length") < params.capacity).select("pid", F.col("length").cast("int").alias("len")))
+    short = cut.where(F.col("length") < params.capacity).select("pid", F.col("length").cast("int").alias("len"))
+    every = short.count()
+    left, opened = checkpointed(short, every), 0
     placed = [cut.where(F.col("length") == params.capacity).select("pid", F.col("pid").alias("bin"), F.lit(0).alias("offset"))]
     bins, share = left.select(F.col("pid").alias("bin"), F.col("len").alias("free")).where("false"), 2
     while True:
@@ -125,18 +128,19 @@ def pack(cut: DataFrame, params: PackParams = PackParams()) -> DataFrame:
         ways = F.greatest(F.lit(1), F.floor(F.col("free") / most).cast("int"))
         gaps = bins.where(F.col("free") >= now["least"]).select("bin", "free", ways.alias("q"), F.explode(F.sequence(F.lit(1), ways)).alias("i")) \
             .select("bin", F.when(F.col("i") < F.col("q"), F.lit(most)).otherwise(F.col("free") - (F.col("q") - 1) * most).cast("int").alias("size"))
-        matched = checkpointed(_sweep(gaps, left.where(F.col("len") >= floor), params, now["n"]))
+        matched = checkpointed(_sweep(gaps, left.where(F.col("len") >= floor), params, now["n"]), now["n"])
         opening, without = _openers(matched.where("bin is null"), params)
-        opening = checkpointed(opening.select("pid", "len"))
+        opening = checkpointed(opening.select("pid", "len"), without)
+        opened += without
         taken = matched.where("bin is not null")
         ahead = F.sum("len").over(Window.partitionBy("bin").orderBy("pid").rowsBetween(Window.unboundedPreceding, 0))
         put = taken.select("pid", "bin", "len", (ahead - F.col("len")).alias("_ahead")).join(bins, "bin") \
             .select("pid", "bin", (params.capacity - F.col("free") + F.col("_ahead")).cast("int").alias("offset"))
-        placed += [checkpointed(put), opening.select("pid", F.col("pid").alias("bin"), F.lit(0).alias("offset"))]
+        placed += [checkpointed(put, now["n"]), opening.select("pid", F.col("pid").alias("bin"), F.lit(0).alias("offset"))]
         used = taken.groupBy("bin").agg(F.sum("len").cast("int").alias("_used"))
         bins = checkpointed(bins.join(used, "bin", "left").select("bin", (F.col("free") - F.coalesce("_used", F.lit(0))).alias("free")).where("free > 0")
-                            .unionAll(opening.select(F.col("pid").alias("bin"), (params.capacity - F.col("len")).alias("free"))))
-        left = checkpointed(left.where(F.col("len") < floor).unionAll(matched.where("bin is null").select("pid", "len").join(opening.select("pid"), "pid", "left_anti")))
+                            .unionAll(opening.select(F.col("pid").alias("bin"), (params.capacity - F.col("len")).alias("free"))), min(opened, every))
+        left = checkpointed(left.where(F.col("len") < floor).unionAll(matched.where("bin is null").select("pid", "len").join(opening.select("pid"), "pid", "left_anti")), now["n"])
         share = 2 if without else 8
     everywhere = placed[0]
     for some in placed[1:]:

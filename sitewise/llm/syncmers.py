@@ -126,7 +126,7 @@ def _whole(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def written(hashes: np.ndarray, places: np.ndarray) -> str:
-    return np.stack((hashes.astype(">u4"), places.astype(">u4")), 1).tobytes().hex()
+    return np.stack((hashes, places), 1).astype(">u4").tobytes().hex()
 
 
 def read(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:

@@ -91,7 +91,8 @@ def check_packed(out, documents):
         for start, length, crc in zip(mine["start"], mine["length"], mine["ids_crc32"]):
             part = ids[start:start + 4096]
             assert (len(part), zlib.crc32(np.array(part, "<u4").tobytes())) == (length, crc)
-    seq = out.sort_values(["sequence_id", "offset"]).groupby("sequence_id")
+    out = out.sort_values(["sequence_id", "offset"])
+    seq = out.groupby("sequence_id")
     assert ((seq["length"].cumsum() - out["length"]) == out["offset"]).all() and seq["length"].sum().max() <= 4096
     return seq.ngroups, math.ceil(out["length"].sum() / 4096)
 
