@@ -30,6 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitewise.functions.binding import let
 from sitewise.llm.common import checkpointed, lookup_join
 
 SPACE = r"[\x20\x09-\x0D]"
@@ -63,9 +64,11 @@ def with_metrics(df: DataFrame, text: str) -> DataFrame:
         .withColumn("_hash", F.transform("_words", lambda w: F.xxhash64(w))) \
         .withColumn("_lines", F.filter(F.split("_body", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     n = F.size("_words")
-    out = out.withColumn("_windows", F.when(n >= WINDOW, F.transform(
-        F.slice("_hash", F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(0))),
-        lambda h, i: F.xxhash64(h, *[F.get("_hash", i + d) for d in range(1, WINDOW)]))).otherwise(F.array().cast("array<bigint>")))
+    # The array is bound once: an optimiser that merges projections must not make it anew for each element.
+    runs = let(F.col("_hash"), lambda a: F.transform(
+        F.slice(a, F.lit(1), F.greatest(F.size(a) - (WINDOW - 1), F.lit(0))),
+        lambda h, i: F.xxhash64(h, *[F.get(a, i + d) for d in range(1, WINDOW)])))
+    out = out.withColumn("_windows", F.when(n >= WINDOW, runs).otherwise(F.array().cast("array<bigint>")))
     counts = {
         "n_words": n,
         "word_chars": F.char_length("_body") - F.regexp_count("_body", F.lit(SPACE)),
@@ -89,9 +92,7 @@ def _covered(windows: str) -> Column:
         return F.aggregate(steps, F.lit(0), lambda a, b: a + b)
 
     pairs = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    # A one-element array bound by a lambda lets an array be named once and used twice.
-    places = F.get(F.transform(F.array(pairs), repeated), 0)
-    return F.get(F.transform(F.array(places), total), 0)
+    return let(let(pairs, repeated), total)
 
 
 def base_failed() -> Column:
