@@ -38,7 +38,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitewise.operators.groups import connected_components
@@ -48,7 +48,6 @@ PIECES = 8  # MinHash values in a tree's key, 16 bits of each
 BITS = 256
 CHUNK = 2048
 CACHED_WORDS = 200_000
-FIRST = 4  # candidates of a class that are confirmed before any groups are known
 STEPS = 4  # rounds of confirmation before whatever is left is confirmed at once
 
 
@@ -224,10 +223,15 @@ def confirmed(pairs: DataFrame, texts: DataFrame, params: NearDupParams) -> Data
 
 
 def _best_of_each(pairs: DataFrame) -> DataFrame:
-    """The ``FIRST`` nearest candidates of every class; a class has at most two windows of them per tree to sort."""
+    """The nearest candidate of every class and the one of smallest id, as pairs.
+
+    Steps to smaller ids meet, so most of a group is one component after them; steps to
+    the nearest alone would leave it in many small ones.
+    """
     both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "differ").unionAll(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "differ"))
-    ranked = both.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("differ", "other"))).where(F.col("_n") <= FIRST)
-    return ranked.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    chosen = both.groupBy("id").agg(F.min(F.struct("differ", "other")).alias("_m"), F.min("other").alias("_low")) \
+        .select("id", F.explode(F.array_distinct(F.array("_m.other", "_low"))).alias("other"))
+    return chosen.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
 def _components(nodes: DataFrame, edges: DataFrame, rows: int) -> DataFrame:
@@ -251,15 +255,16 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
             wanted = _best_of_each(pairs)
         else:
             label = groups.select(F.col("node").alias("a"), F.col("component").alias("_ga"))
-            apart = pairs.join(label, "a").join(label.toDF("b", "_gb"), "b").where("_ga <> _gb").join(tested, ["a", "b"], "left_anti")
+            pairs = checkpointed(pairs.join(tested, ["a", "b"], "left_anti").join(label, "a").join(label.toDF("b", "_gb"), "b").where("_ga <> _gb"), many)
+            apart, pairs = pairs, pairs.select("a", "b", "differ")  # what is settled stays settled
             if step < STEPS:  # one candidate for each two groups
                 ends = F.least("_ga", "_gb").alias("_g"), F.greatest("_ga", "_gb").alias("_h")
                 apart = apart.groupBy(*ends).agg(F.min(F.struct("differ", "a", "b")).alias("_m")).select("_m.a", "_m.b")
             wanted = apart.select("a", "b")
         wanted = checkpointed(wanted, many)
-        if not (asked := wanted.count()):
+        if wanted.isEmpty():
             break
-        tested = wanted if tested is None else checkpointed(tested.unionAll(wanted), many)
+        tested = wanted  # earlier ones are no longer among the pairs
         new = checkpointed(confirmed(wanted, texts, params))
         stars = new if groups is None else new.unionAll(groups.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
         groups = _components(ids, stars, many) if groups is None or not new.isEmpty() else groups
