@@ -17,6 +17,7 @@ HEADLINE = [
     "clustered_regression", "association_analysis", "bootstrap_coefficient_difference", "paired_error_bootstrap",
     "inverse_variance_pooling", "kmer_profile_by_language", "joint_groups", "grouped_cv_ridge_grid", "block_comparison_cv",
     "frozen_model_transfer", "nested_cross_validation", "conditional_dependence", "keyed_enrichment",
+    "held_out_evaluation", "boosted_tree_grid", "block_permutation_importance", "greedy_matched_controls",
 ]
 
 
