@@ -10,11 +10,10 @@ all of them are met, where many do only those of longer prefixes. Prefixes of at
 sketches differ more than a pair at the threshold would (six standard deviations) is
 not a candidate.
 
-Candidates are confirmed on full sets. To read few texts, the nearest candidates of each
-class are confirmed first, then in some rounds one candidate for each two groups that
-candidates still lead between, and then all that is left. A candidate whose ends are
-already connected can change nothing and is left out; no other is. Groups are connected
-components.
+Candidates are confirmed on full sets. To read few texts, the nearest candidate of each
+class and that of smallest id are confirmed first. Of the others, those whose ends are
+then connected can change nothing and are left out; all the rest are confirmed too.
+Groups are connected components.
 
 Rows are range partitioned by whole sort keys, so no prefix or group, however many
 share it, meets in one task, and no group is expanded into all its pairs. The rows at
@@ -48,7 +47,6 @@ PIECES = 8  # MinHash values in a tree's key, 16 bits of each
 BITS = 256
 CHUNK = 2048
 CACHED_WORDS = 200_000
-STEPS = 4  # rounds of confirmation before whatever is left is confirmed at once
 
 
 @dataclass(frozen=True)
@@ -249,26 +247,16 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
     ids = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), many)
     near = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
     texts = checkpointed(near.groupBy("id").agg(F.min("text").alias("text")))
-    groups = tested = None
-    for step in range(STEPS + 1):
-        if step == 0:  # a few best candidates of every class
-            wanted = _best_of_each(pairs)
-        else:
-            label = groups.select(F.col("node").alias("a"), F.col("component").alias("_ga"))
-            pairs = checkpointed(pairs.join(tested, ["a", "b"], "left_anti").join(label, "a").join(label.toDF("b", "_gb"), "b").where("_ga <> _gb"), many)
-            apart, pairs = pairs, pairs.select("a", "b", "differ")  # what is settled stays settled
-            if step < STEPS:  # one candidate for each two groups
-                ends = F.least("_ga", "_gb").alias("_g"), F.greatest("_ga", "_gb").alias("_h")
-                apart = apart.groupBy(*ends).agg(F.min(F.struct("differ", "a", "b")).alias("_m")).select("_m.a", "_m.b")
-            wanted = apart.select("a", "b")
-        wanted = checkpointed(wanted, many)
-        if wanted.isEmpty():
-            break
-        tested = wanted  # earlier ones are no longer among the pairs
-        new = checkpointed(confirmed(wanted, texts, params))
-        stars = new if groups is None else new.unionAll(groups.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
-        groups = _components(ids, stars, many) if groups is None or not new.isEmpty() else groups
-    groups = groups if groups is not None else ids.select(F.col("id").alias("node"), F.col("id").alias("component"))
+    # First the nearest and the smallest candidate of every class, then whatever could still join two groups.
+    wanted = checkpointed(_best_of_each(pairs), many)
+    first = checkpointed(confirmed(wanted, texts, params))
+    groups = _components(ids, first, many)
+    label = groups.select(F.col("node").alias("a"), F.col("component").alias("_ga"))
+    apart = pairs.select("a", "b").join(wanted, ["a", "b"], "left_anti").join(label, "a").join(label.toDF("b", "_gb"), "b").where("_ga <> _gb")
+    second = checkpointed(confirmed(checkpointed(apart.select("a", "b")), texts, params))
+    if not second.isEmpty():
+        stars = groups.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        groups = _components(ids, second.unionAll(stars), many)
     of_class = classes.select("_c0", "_c1", "id").join(groups.withColumnRenamed("node", "id"), "id", "left") \
         .select("_c0", "_c1", F.coalesce("component", "id").alias("_component"))
     found = signed.select("doc_id", "n_shingles", "_c0", "_c1").join(of_class, ["_c0", "_c1"], "left")
