@@ -15,12 +15,20 @@ class and that of smallest id are confirmed first. Of the others, those whose en
 then connected can change nothing and are left out; all the rest are confirmed too.
 Groups are connected components.
 
+A region, the rows of a tree with a common prefix of ``least_depth``, may hold more rows
+than a window sees. Once the groups are known, all pairs of such a region that lie in
+different groups, have not been met and pass sketch and size are made and confirmed the
+same way, so a single link to one member of a large group is found like any other. These
+pairs grow with the product of the sizes of unlinked groups in one region; pairs inside a
+group are never made.
+
 Rows are range partitioned by whole sort keys, so no prefix or group, however many
 share it, meets in one task, and no group is expanded into all its pairs. The rows at
 both ends of each part are matched once more across the boundary.
 
 Two documents at the threshold share a prefix of ``d`` values in one of ``t`` trees with
-probability ``1 - (1 - 0.8 ** d) ** t``: 0.9999994 for 20 trees and depth 3.
+probability ``1 - (1 - 0.8 ** d) ** t``: 0.9999994 for 20 trees and depth 3, in full
+regions too.
 
 Words are runs of bytes other than the six ASCII blanks, A-Z lower-cased. A text with
 fewer words than a shingle is one shingle; null or empty text has none and is linked with
@@ -40,6 +48,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitewise.llm.common import BROADCAST_ROWS
 from sitewise.operators.groups import connected_components
 from sitewise.session import checkpointed
 
@@ -57,12 +66,18 @@ class NearDupParams:
     least_depth: int = 3
     window: int = 16
     rows_per_part: int = 100_000
+    rows_per_block: int = 1_000
 
     @property
     def most_differing(self) -> int:
         p = (1 - self.similarity) / 2
         return int(BITS * p + 6 * (BITS * p * (1 - p)) ** 0.5)
 
+    @property
+    def region_shift(self) -> int:
+        """Bits of a key's first long that are not part of the least prefix."""
+        return 16 * (4 - self.least_depth)
+
 
 def _multipliers() -> tuple[np.ndarray, np.ndarray]:
     raw = np.random.default_rng(20240501).integers(0, 1 << 32, (2, BITS), np.uint64).astype(np.uint32)
@@ -136,13 +151,14 @@ def signatures(docs: DataFrame, params: NearDupParams) -> DataFrame:
 
 
 _ROW = ["tree", "k0", "k1", "id", "b0", "b1", "b2", "b3"]
+_ORDER = ["a", "b", "differ", "part", "head", *_ROW]
 _FOUND = "a long, b long, differ int, part int, head boolean, " + ", ".join(f"{c} {'int' if c == 'tree' else 'long'}" for c in _ROW)
 
 
 def _pairs(rows: pd.DataFrame, first_new: int, params: NearDupParams) -> pd.DataFrame:
     """Candidates among sorted rows, of which at least the later one is at or after ``first_new``."""
     tree, k0 = rows["tree"].to_numpy(np.int64), rows["k0"].to_numpy(np.int64).view(np.uint64)
-    region = k0 >> np.uint64(16 * (4 - params.least_depth))
+    region = k0 >> np.uint64(params.region_shift)
     ids, bits = rows["id"].to_numpy(np.int64), rows[["b0", "b1", "b2", "b3"]].to_numpy(np.int64).view(np.uint64)
     found = []
     for step in range(1, min(params.window, len(rows) - 1) + 1):
@@ -157,23 +173,36 @@ def _pairs(rows: pd.DataFrame, first_new: int, params: NearDupParams) -> pd.Data
     return pd.concat(found, ignore_index=True).drop_duplicates(["a", "b"]) if found else pd.DataFrame({"a": [], "b": [], "differ": []}, dtype=np.int64)
 
 
+def _runs(batch: pd.DataFrame, params: NearDupParams) -> pd.DataFrame:
+    """Rows (``k1``) of each region (``tree, k0``) that a window does not see whole, or that may go on in another batch."""
+    tree, region = batch["tree"].to_numpy(np.int64), batch["k0"].to_numpy(np.int64).view(np.uint64) >> np.uint64(params.region_shift)
+    starts = np.flatnonzero(np.r_[True, (tree[1:] != tree[:-1]) | (region[1:] != region[:-1])])
+    length = np.diff(np.r_[starts, len(batch)])
+    wanted = length > params.window + 1
+    wanted[[0, -1]] = True
+    return pd.DataFrame({"tree": tree[starts], "k0": region[starts].view(np.int64), "k1": length})[wanted]
+
+
 def _swept(batches: Iterator[pd.DataFrame], params: NearDupParams) -> Iterator[pd.DataFrame]:
     part, tail, head_left = TaskContext.get().partitionId(), None, params.window
     for batch in batches:
+        if not len(batch):
+            continue
+        yield _runs(batch, params).assign(a=0, b=0, differ=0, part=-2, head=False, id=0, b0=0, b1=0, b2=0, b3=0)[_ORDER]
         if head_left:
             head = batch.head(head_left)
             head_left -= len(head)
             yield _ends(head, part, True)
         rows = batch if tail is None else pd.concat([tail, batch], ignore_index=True)
         found = _pairs(rows, 0 if tail is None else len(tail), params)
-        yield found.assign(part=-1, head=False, **{c: 0 for c in _ROW})
+        yield found.assign(part=-1, head=False, **{c: 0 for c in _ROW})[_ORDER]
         tail = rows.tail(params.window).reset_index(drop=True)
     if tail is not None:
         yield _ends(tail, part, False)
 
 
 def _ends(rows: pd.DataFrame, part: int, head: bool) -> pd.DataFrame:
-    return rows.assign(a=0, b=0, differ=0, part=part, head=head)[["a", "b", "differ", "part", "head", *_ROW]]
+    return rows.assign(a=0, b=0, differ=0, part=part, head=head)[_ORDER]
 
 
 def _across(rows: pd.DataFrame, params: NearDupParams) -> pd.DataFrame:
@@ -181,24 +210,75 @@ def _across(rows: pd.DataFrame, params: NearDupParams) -> pd.DataFrame:
     return _pairs(pd.concat([before, after], ignore_index=True), len(before), params)[["a", "b", "differ"]]
 
 
-def candidates(classes: DataFrame, params: NearDupParams) -> DataFrame:
-    """Distinct pairs ``a < b`` of ``id`` with ``differ``, the bits in which their sketches differ."""
-    rows = classes.select("id", "_bits", F.posexplode(F.transform(
+def _tree_rows(classes: DataFrame, params: NearDupParams, *more: str) -> DataFrame:
+    return classes.select("id", "_bits", *more, F.posexplode(F.transform(
         F.sequence(F.lit(0), F.lit(params.trees - 1)), lambda t: F.struct(F.get("_keys", 2 * t).alias("k0"), F.get("_keys", 2 * t + 1).alias("k1")))).alias("tree", "_k")) \
-        .select("tree", "_k.k0", "_k.k1", "id", *[F.get("_bits", i).alias(f"b{i}") for i in range(4)])
+        .select("tree", "_k.k0", "_k.k1", "id", *[F.get("_bits", i).alias(f"b{i}") for i in range(4)], *more)
+
+
+def candidates(classes: DataFrame, params: NearDupParams) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs ``a < b`` of ``id`` with ``differ``, the bits in which their sketches differ; and the full regions.
+
+    A full region, ``tree, region``, has more rows than a window sees from each of them.
+    """
+    rows = _tree_rows(classes, params)
     parts = max(1, classes.count() * params.trees // params.rows_per_part)
     # Unsigned order is not needed: any order in which equal prefixes stand together will do.
     ordered = rows.repartitionByRange(parts, "tree", "k0", "k1", "id").sortWithinPartitions("tree", "k0", "k1", "id")
     swept = checkpointed(ordered.mapInPandas(lambda batches: _swept(batches, params), _FOUND))
     # One number per part, as many as there are tasks.
     present = sorted(r["part"] for r in swept.where("part >= 0").select("part").distinct().collect())
-    pairs = swept.where("part < 0").select("a", "b", "differ")
+    pairs = swept.where("part = -1").select("a", "b", "differ")
+    full = swept.where("part = -2").groupBy("tree", F.col("k0").alias("region")).agg(F.sum("k1").alias("_n")).where(F.col("_n") > params.window + 1)
     if len(present) > 1:
         before = F.create_map(*[F.lit(x) for p, q in zip(present, present[1:]) for x in (q, p)])
         ends = swept.where("part >= 0").withColumn("part", F.when(F.col("head"), F.try_element_at(before, F.col("part"))).otherwise(F.col("part")))
         pairs = pairs.unionAll(ends.where("part is not null").select("part", "head", *_ROW).groupBy("part").applyInPandas(
             lambda rows: _across(rows, params), "a long, b long, differ int"))
-    return pairs.groupBy("a", "b").agg(F.min("differ").alias("differ"))
+    return pairs.groupBy("a", "b").agg(F.min("differ").alias("differ")), full.select("tree", "region")
+
+
+def _small(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def crossing(classes: DataFrame, full: DataFrame, groups: DataFrame, met: DataFrame, params: NearDupParams) -> DataFrame | None:
+    """Pairs ``a < b`` with ``differ, _ga, _gb`` of different groups in a full region that are not among ``met``.
+
+    The rows outside a region's largest group meet all its rows, in blocks of bounded size.
+    """
+    regions = checkpointed(full, 0)
+    if regions.isEmpty():
+        return None
+    label = groups.select(F.col("node").alias("id"), "component")
+    tree_rows = _tree_rows(classes, params, "n_shingles").withColumn("region", F.shiftrightunsigned("k0", params.region_shift)).drop("k0", "k1")
+    rows = checkpointed(tree_rows.join(_small(regions), ["tree", "region"]).join(label, "id", "left").withColumn("_g", F.coalesce("component", "id")).drop("component"))
+    of_group = rows.groupBy("tree", "region", "_g").agg(F.count(F.lit(1)).alias("_n"))
+    mixed = checkpointed(of_group.groupBy("tree", "region").agg(F.sum("_n").alias("_rows"), F.max(F.struct("_n", "_g")).alias("_most"))
+                         .where("_rows > _most._n").select("tree", "region", F.col("_most._g").alias("_main"),
+                                                          F.ceil(F.col("_rows") / params.rows_per_block).cast("int").alias("_right"),
+                                                          F.ceil((F.col("_rows") - F.col("_most._n")) / params.rows_per_block).cast("int").alias("_left")), 0)
+    if mixed.isEmpty():
+        return None
+    placed = rows.join(_small(mixed), ["tree", "region"])
+    value = ["id", "_g", "n_shingles", "b0", "b1", "b2", "b3"]
+
+    def blocks(side: DataFrame, own: str, other: str, name: str) -> DataFrame:
+        """Each row in one block of its side, beside every block of the other."""
+        dealt = side.withColumn(f"{own}_at", F.pmod(F.xxhash64("id"), F.col(own)).cast("int")).withColumn(f"{other}_at", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        return dealt.select("tree", "region", "_left_at", "_right_at", *[F.col(c).alias(name + c) for c in value], *(["_main"] if name == "y" else []))
+
+    left, right = blocks(placed.where("_g <> _main"), "_left", "_right", "x"), blocks(placed, "_right", "_left", "y")
+    differ = sum((F.bit_count(F.col(f"xb{i}").bitwiseXOR(F.col(f"yb{i}"))) for i in range(1, 4)), F.bit_count(F.col("xb0").bitwiseXOR(F.col("yb0"))))
+    few, many = F.least("xn_shingles", "yn_shingles"), F.greatest("xn_shingles", "yn_shingles")
+    on = [left[c] == right[c] for c in ("tree", "region", "_left_at", "_right_at")]
+    apart = (F.col("x_g") != F.col("y_g")) & ((F.col("y_g") == F.col("_main")) | (F.col("xid") < F.col("yid")))
+    near = (100 * few >= round(100 * params.similarity) * many) & (differ <= params.most_differing)
+    found = left.join(right, on[0] & on[1] & on[2] & on[3] & apart & near)
+    swap = F.col("xid") > F.col("yid")
+    pairs = found.select(F.least("xid", "yid").alias("a"), F.greatest("xid", "yid").alias("b"), differ.cast("int").alias("differ"),
+                         F.when(swap, F.col("y_g")).otherwise(F.col("x_g")).alias("_ga"), F.when(swap, F.col("x_g")).otherwise(F.col("y_g")).alias("_gb")).distinct()
+    return checkpointed(pairs.join(met.select("a", "b"), ["a", "b"], "left_anti"))
 
 
 def _linked(left: pd.Series, right: pd.Series, params: NearDupParams) -> pd.Series:
@@ -236,27 +316,52 @@ def _components(nodes: DataFrame, edges: DataFrame, rows: int) -> DataFrame:
     return checkpointed(connected_components(nodes.select(F.col("id").alias("node")), edges.select(F.col("a").alias("u"), F.col("b").alias("v"))), rows)
 
 
+def _regrouped(groups: DataFrame, links: DataFrame, rows: int) -> DataFrame:
+    """The components after more links, whose ends may be new."""
+    stars = groups.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    nodes = groups.select(F.col("node").alias("id")).unionAll(links.select(F.explode(F.array("a", "b"))))
+    return _components(nodes, links.unionAll(stars), rows)
+
+
+def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components; ids without one are their own."""
+    label = groups.select(F.col("node").alias("a"), F.col("component").alias("_ca"))
+    return pairs.join(label, "a", "left").join(label.toDF("b", "_cb"), "b", "left") \
+        .where(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).select("a", "b")
+
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    near = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
+    return checkpointed(near.groupBy("id").agg(F.min("text").alias("text")))
+
+
 def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (``doc_id``, ``text``)."""
     signed = checkpointed(signatures(docs, params))
     classes = checkpointed(signed.where("doc_id is not null and _c0 is not null").groupBy("_c0", "_c1")
-                           .agg(F.min(F.struct("doc_id", "_keys", "_bits")).alias("_m"))
-                           .select("_c0", "_c1", F.col("_m.doc_id").alias("id"), "_m._keys", "_m._bits"))
-    pairs = checkpointed(candidates(classes, params))
+                           .agg(F.min(F.struct("doc_id", "_keys", "_bits", "n_shingles")).alias("_m"))
+                           .select("_c0", "_c1", F.col("_m.doc_id").alias("id"), "_m._keys", "_m._bits", "_m.n_shingles"))
+    pairs, full = candidates(classes, params)
+    pairs = checkpointed(pairs)
     many = pairs.count()
     ids = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), many)
-    near = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
-    texts = checkpointed(near.groupBy("id").agg(F.min("text").alias("text")))
+    texts = _texts(docs, ids)
     # First the nearest and the smallest candidate of every class, then whatever could still join two groups.
     wanted = checkpointed(_best_of_each(pairs), many)
     first = checkpointed(confirmed(wanted, texts, params))
     groups = _components(ids, first, many)
-    label = groups.select(F.col("node").alias("a"), F.col("component").alias("_ga"))
-    apart = pairs.select("a", "b").join(wanted, ["a", "b"], "left_anti").join(label, "a").join(label.toDF("b", "_gb"), "b").where("_ga <> _gb")
-    second = checkpointed(confirmed(checkpointed(apart.select("a", "b")), texts, params))
+    apart = _apart(pairs.join(wanted, ["a", "b"], "left_anti"), groups)
+    second = checkpointed(confirmed(checkpointed(apart), texts, params))
     if not second.isEmpty():
-        stars = groups.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-        groups = _components(ids, second.unionAll(stars), many)
+        groups = _regrouped(groups, second, many)
+    between = crossing(classes, full, groups, pairs, params)
+    if between is not None and (more := between.count()):
+        texts = _texts(docs, between.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        wanted = checkpointed(between.groupBy(F.least("_ga", "_gb"), F.greatest("_ga", "_gb")).agg(F.min(F.struct("differ", "a", "b")).alias("_m"))
+                              .select("_m.a", "_m.b"), more)
+        groups = _regrouped(groups, checkpointed(confirmed(wanted, texts, params)), many)
+        apart = _apart(between.join(wanted, ["a", "b"], "left_anti"), groups)
+        groups = _regrouped(groups, checkpointed(confirmed(checkpointed(apart), texts, params)), many)
     of_class = classes.select("_c0", "_c1", "id").join(groups.withColumnRenamed("node", "id"), "id", "left") \
         .select("_c0", "_c1", F.coalesce("component", "id").alias("_component"))
     found = signed.select("doc_id", "n_shingles", "_c0", "_c1").join(of_class, ["_c0", "_c1"], "left")

@@ -161,6 +161,34 @@ def test_near_duplicates_across_boundaries(spark):
     assert {r["doc_id"]: r["n_shingles"] for r in got} == {i: len(s) for i, s in enumerate(sets)}
 
 
+def test_near_duplicates_link_a_fringe_to_one_member_of_a_large_group(spark):
+    """3,000 texts of which most pairs reach 0.8, and 24 that reach it with one of them alone, by no word of their own."""
+    rng = np.random.default_rng(11)
+    texts = [[f"w{i}" for i in range(100) if i not in gone] for _ in range(3000) for gone in [set(rng.choice(100, 8, False))]]
+    for m in range(0, 3000, 125):
+        gone = set(rng.choice(92, 10, False))
+        texts.append([f"f{m}w{i}" if i in gone else w for i, w in enumerate(texts[m])])
+    sets = [set(t) for t in texts]
+    assert [sum(10 * len(s & t) >= 8 * len(s | t) for t in sets[:3000]) for s in sets[3000:]] == [1] * 24
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = near_dup.near_duplicates(docs, near_dup.NearDupParams(words=1)).collect()
+    assert len(got) == len(texts) and {r["component_id"] for r in got} == {0}
+
+
+def test_near_duplicates_in_a_region_without_links_stay_apart(spark):
+    rng, base = np.random.default_rng(12), [f"w{i}" for i in range(100)]
+    texts = [" ".join(f"v{m}w{i}" if i in gone else w for i, w in enumerate(base)) for m in range(300) for gone in [set(rng.choice(100, 8, False))]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets, group = [set(t.split()) for t in texts], list(range(300))
+    for i in range(300):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs, near_dup.NearDupParams(words=1, rows_per_block=64)).collect()}
+    assert got == dict(enumerate(group))
+
+
 def test_separator_scan_stitches_blocks(spark, tmp_path):
     rng = np.random.default_rng(5)
     ids = rng.integers(1, 50, 5000).astype("<u2")
