@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from sitewise.llm.common import lookup_join
 
 UNIT = 2.0**52
+MOST = 500
 
 
 def hashed_uniform(*parts: Column | str) -> Column:
@@ -33,22 +34,29 @@ def hashed_uniform(*parts: Column | str) -> Column:
 
 
 def poisson_count(rate: Column, uniform: Column) -> Column:
-    """The smallest k whose distribution function exceeds ``uniform``.
+    """A Poisson count: the smallest k whose distribution function exceeds ``uniform``.
 
-    A rate beyond 500 is a sum of equal parts below it in law; none of the mixing rates gets there,
-    so such a rate is refused.
+    Beyond ``MOST`` the term at 0 nears the smallest double. Such a rate is drawn as the sum of as many equal
+    parts as bring each to ``MOST`` at most, which has the same law. The first part inverts at ``uniform``, each
+    other at a number hashed from it and the part.
     """
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 20).cast("int")
-    start = F.struct(F.exp(-rate).alias("term"), F.exp(-rate).alias("upto"), F.lit(0).alias("n"))
+    parts = F.greatest(F.ceil(rate / MOST), F.lit(1)).cast("int")
+    each = rate / parts
 
-    def add(acc: Column, k: Column) -> Column:
-        term = acc["term"] * rate / k
-        return F.struct(term.alias("term"), (acc["upto"] + term).alias("upto"),
-                        (acc["n"] + F.when(acc["upto"] <= uniform, 1).otherwise(0)).alias("n"))
+    def inverted(at: Column) -> Column:
+        last = F.ceil(each + 12 * F.sqrt(each) + 20).cast("int")
+        start = F.struct(F.exp(-each).alias("term"), F.exp(-each).alias("upto"), F.lit(0).alias("n"))
 
-    drawn = F.aggregate(F.sequence(F.lit(1), last), start, add, lambda acc: acc["n"])
-    checked = F.when(rate > 500, F.raise_error(F.lit("a repetition rate above 500"))).otherwise(drawn)
-    return F.when(rate > 0, checked.cast("int")).otherwise(0)
+        def add(acc: Column, k: Column) -> Column:
+            term = acc["term"] * each / k
+            return F.struct(term.alias("term"), (acc["upto"] + term).alias("upto"),
+                            (acc["n"] + F.when(acc["upto"] <= at, 1).otherwise(0)).alias("n"))
+
+        return F.aggregate(F.sequence(F.lit(1), last), start, add, lambda acc: acc["n"])
+
+    others = F.aggregate(F.sequence(F.lit(2), parts), F.lit(0), lambda n, part: n + inverted(hashed_uniform(uniform, part)))
+    drawn = inverted(uniform) + F.when(parts > 1, others).otherwise(0)
+    return F.when(rate > 0, drawn.cast("int")).otherwise(0)
 
 
 def source_mass(docs: DataFrame) -> DataFrame:

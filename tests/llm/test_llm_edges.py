@@ -113,6 +113,25 @@ def test_poisson_counts_by_inversion(spark):
     assert abs(sum(r["n2"] for r in rows) / 2000 - 7.5) < 0.3
 
 
+def test_poisson_counts_at_large_rates(spark):
+    rates = (499.9, 500.1, 1700.0)
+    rows = spark.range(3000).select(mixing.hashed_uniform("s", F.col("id")).alias("u")).select(*[mixing.poisson_count(F.lit(r), F.col("u")).alias(f"n{i}") for i, r in enumerate(rates)]).collect()
+    for i, rate in enumerate(rates):
+        drawn = np.array([r[f"n{i}"] for r in rows])
+        assert abs(drawn.mean() - rate) < 5 * (rate / 3000) ** 0.5
+        assert abs(drawn.var() / rate - 1) < 5 * (2 / 3000) ** 0.5
+
+
+def test_mix_repeats_a_one_document_source_beside_a_large_one(spark):
+    docs = spark.createDataFrame([(1, "ab", None)] + [(i, "x" * 1000, "large") for i in range(2, 1002)], "doc_id long, text string, source string")
+    mass = mixing.source_mass(docs)
+    rates = mixing.repetition_rates(mass, mixing.tempered_targets(mass))
+    rate = {r["source"]: r["rate"] for r in rates.collect()}[None]
+    assert rate > 700
+    copies = [r["_copy"] for r in mixing.mix(docs, rates).where("doc_id = 1").collect()]
+    assert sorted(copies) == list(range(1, len(copies) + 1)) and abs(len(copies) - rate) < 6 * rate ** 0.5
+
+
 def test_mix_reaches_target_shares(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3600, "big").otherwise("small").alias("source"), F.lit("x" * 10).alias("text"))
     mass = mixing.source_mass(docs)
