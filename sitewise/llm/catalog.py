@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewise.llm import language_id, licences, mixing, near_dup, packing, quality_rules, shard_table, sql, syncmers, token_scan, warc, word_ids
+from sitewise.llm import (fill_middle, importance, language_id, licences, mixing, near_dup, packing, quality_rules, shard_table, sql, syncmers, token_groups,
+                          token_scan, warc, word_ids)
 from sitewise.llm.common import scratch_folder
 
 END_OF_DOCUMENT = 50_256
@@ -96,9 +97,27 @@ def op10_warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_archives(written, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_fenwick_fim(spark: SparkSession, folder: str) -> DataFrame:
+    """Every whole text cut at lines into a fill-in-the-middle form, and rebuilt from it."""
+    made = fill_middle.transform(_table(spark, folder, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op12_crc_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents weighed towards the benchmark texts, and the draw of the highest scores."""
+    drawn = importance.resample(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_token_group_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose four-word shingles reach a similarity of 0.85."""
+    return token_groups.join(_table(spark, folder, "documents"))
+
+
 _QUERIES = {f.__name__: f for f in (
     op1_shard_table, op2_quality_rules, op3_separator_scan, op4_language_centroids, op5_best_fit, op6_poisson_mix, op7_licence_dice,
-    op8_closed_syncmers, op9_lsh_forest, op10_warc_round_trip)}
+    op8_closed_syncmers, op9_lsh_forest, op10_warc_round_trip, op11_fenwick_fim, op12_crc_resampling, op13_token_group_join)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

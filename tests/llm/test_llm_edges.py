@@ -41,13 +41,15 @@ def folder(spark, tmp_path_factory):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     pages = [(1, "http://a/\r\nX: y", "p" * 1000), (2, None, "p" * 1000), (2, None, "p" * 1000), (3, "u", "p" * 999), (4, "u", "p" * 999), (5, "", None), (6, "ü", ""), (None, "u", "p" * 1000), (7, "u", "ß" * 90_000)]
     spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("refers_to", F.lit(1)).write.parquet(f"{path}/pages.parquet")
+    spark.createDataFrame([(1, prose(30, 9)), (1, prose(30, 9)), (None, None), (2, "")], "item_id long, text string").withColumn("bucket", F.lit(1)) \
+        .write.parquet(f"{path}/benchmark.parquet")
     return path
 
 
 @pytest.fixture(scope="module")
 def empty(spark, folder, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("empty"))
-    for t in ("documents", "labels", "pages"):
+    for t in ("documents", "labels", "pages", "benchmark"):
         spark.read.parquet(f"{folder}/{t}.parquet").where("false").write.parquet(f"{path}/{t}.parquet")
     return path
 
@@ -56,7 +58,7 @@ def empty(spark, folder, tmp_path_factory):
 def test_every_query_takes_odd_rows_and_empty_tables(spark, folder, empty, name):
     rows = catalog.queries()[name](spark, folder).collect()
     assert catalog.queries()[name](spark, empty).collect() == []
-    if name.startswith(("op1_", "op2_", "op3_", "op4_", "op7_", "op8_", "op9_")):
+    if name.startswith(("op1_", "op2_", "op3_", "op4_", "op7_", "op8_", "op9_", "op11_", "op12_", "op13_")):
         assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(r[0]) for r in ROWS)
 
 
