@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from sitewise.catalog.registry import query
-from sitewise.catalog.standins import r6
+from sitewise.catalog.standins import POISSON_COUNT, draws_sql, median_sql, r6
 from sitewise.operators import inference as N
 from sitewise.operators import resample as B
 from sitewise.operators.aggregates import group_size
@@ -133,34 +133,70 @@ def _(t):
     return rows_frame(t.spark, curve)
 
 
-_REPS = 100
-_DRAWS = f"""
-k AS (SELECT *, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM gs),
-dr AS (SELECT rep, ('0x' || substr(md5('{{seed}}|' || rep || '|' || i), 1, 8))::BIGINT % n AS pick FROM k, range({_REPS}) r(rep)),
-w AS (SELECT dr.rep, k.* FROM dr JOIN k ON k.i = dr.pick)"""
+# Draws of the published analyses.
+_REPS, _MEAN_REPS, _ERROR_REPS, _MEDIAN_REPS, _FLIPS = 500, 1000, 2000, 5000, 10_000
 
 
 @query("cluster_bootstrap_means", f"""
-WITH {_D}, gs AS (SELECT g, sum(y) AS num, count(*) AS den FROM d GROUP BY g), {_DRAWS.format(seed=5)} SELECT CAST(rep AS BIGINT) AS rep, round(sum(num) / sum(den), 7) AS estimate FROM w GROUP BY rep""")
+WITH {_D}, gs AS (SELECT g, sum(y) AS num, count(*) AS den FROM d GROUP BY g),
+k AS (SELECT *, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM gs),
+dr AS (SELECT rep, ('0x' || substr(md5('5|' || rep || '|' || i), 1, 8))::BIGINT % n AS pick FROM k, range({_MEAN_REPS}) r(rep)),
+w AS (SELECT dr.rep, k.* FROM dr JOIN k ON k.i = dr.pick)
+SELECT CAST(rep AS BIGINT) AS rep, round(sum(num) / sum(den), 7) AS estimate FROM w GROUP BY rep""")
 def _(t):
-    b = B.bootstrap_ratio(_frame(t), "g", F.col("y"), F.lit(1.0), _REPS, 5)
+    b = B.bootstrap_ratio(_frame(t), "g", F.col("y"), F.lit(1.0), _MEAN_REPS, 5, "multinomial")
     return b.select(F.col("rep").cast("long").alias("rep"), r6(F.col("estimate"), 7).alias("estimate"))
 
 
-@query("poisson_bootstrap_means", f"""
-WITH {_D}, gs AS (SELECT g, sum(y) AS num, count(*) AS den FROM d GROUP BY g), u AS (SELECT rep, num, den, ('0x' || substr(md5('5|' || rep || '|' || g), 1, 8))::BIGINT / 4294967296.0 AS u FROM gs, range({_REPS}) r(rep)),
-w AS (SELECT rep, num, den, len(list_filter([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.9999988747974021, 0.9999998885745217, 0.9999999899522336, 0.9999999991684075, 0.9999999999364221], lambda q: u >= q)) AS c FROM u)
-SELECT CAST(rep AS BIGINT) AS rep, round(sum(c * num) / sum(c * den), 7) AS estimate FROM w GROUP BY rep""")
+_RATIO = f"WITH {_D}, gs AS (SELECT g, sum(y) AS num, count(*) AS den FROM d GROUP BY g), {draws_sql('dr', 'gs', 5, 'g', _ERROR_REPS)}, w AS (SELECT rep, num, den, {POISSON_COUNT} AS c FROM dr)"
+
+
+@query("poisson_bootstrap_means", f"{_RATIO} SELECT CAST(rep AS BIGINT) AS rep, round(sum(c * num) / sum(c * den), 7) AS estimate FROM w GROUP BY rep")
 def _(t):
-    b = B.bootstrap_ratio(_frame(t), "g", F.col("y"), F.lit(1.0), _REPS, 5, "poisson")
+    b = B.bootstrap_ratio(_frame(t), "g", F.col("y"), F.lit(1.0), _ERROR_REPS, 5)
     return b.select(F.col("rep").cast("long").alias("rep"), r6(F.col("estimate"), 7).alias("estimate"))
 
 
-@query("bootstrap_percentile_interval", f"""
-WITH {_D}, gs AS (SELECT g, sum(y) AS num, count(*) AS den FROM d GROUP BY g), {_DRAWS.format(seed=5)}, e AS (SELECT rep, sum(num) / sum(den) AS e FROM w GROUP BY rep)
+# One outcome in five is missing and one cluster has no key: the rule is that rows without a value take no part and a null key is a cluster.
+_GAPS = "d AS (SELECT nullif(l_suppkey, 3) AS g, CASE WHEN l_orderkey % 5 > 0 THEN l_extendedprice / 100000 END AS y, CASE WHEN l_linenumber % 4 > 0 THEN l_quantity / 50 END AS x FROM lineitem)"
+
+
+def _gapped(t):
+    return t("lineitem").select(F.nullif("l_suppkey", F.lit(3)).alias("g"), F.when(F.col("l_orderkey") % 5 > 0, F.col("l_extendedprice") / 100000).alias("y"),
+                                F.when(F.col("l_linenumber") % 4 > 0, F.col("l_quantity") / 50).alias("x"))
+
+
+@query("bootstrap_slope_with_gaps", f"""
+WITH {_GAPS}, gs AS (SELECT coalesce(g::VARCHAR, '~') AS g, count(*) AS k0, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM d WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1),
+{draws_sql("dr", "gs", 21, "g", _MEAN_REPS)}, w AS (SELECT rep, k0, sx, sy, sxx, sxy, {POISSON_COUNT} AS c FROM dr)
+SELECT CAST(rep AS BIGINT) AS rep, round((sum(c * sxy) - sum(c * sx) * sum(c * sy) / sum(c * k0)) / (sum(c * sxx) - sum(c * sx) * sum(c * sx) / sum(c * k0)), 6) AS beta FROM w GROUP BY rep""")
+def _(t):
+    r = coefficient_bootstrap(_gapped(t), {"b": _line("x")}, "y", {"b": "x"}, "g", _MEAN_REPS, 21)
+    return r.select(F.col("rep").cast("long").alias("rep"), r6(F.col("b")).alias("beta"))
+
+
+@query("sign_flip_with_gaps", f"""
+WITH {_GAPS}, v AS (SELECT coalesce(g::VARCHAR, '~') AS g, y - x - 0.02 AS e FROM d), gs AS (SELECT g, sum(e) AS s, count(*) AS n FROM v WHERE e IS NOT NULL GROUP BY g),
+o AS (SELECT sum(s) / sum(n) AS m, sum(n) AS n FROM gs), {draws_sql("dr", "gs", 23, "g", _MEAN_REPS)}, r AS (SELECT rep, sum(CASE WHEN h & 1 = 0 THEN s ELSE -s END) AS t FROM dr GROUP BY rep)
+SELECT round(any_value(m), 7) AS mean, CAST(count(*) FILTER (abs(t / n) >= abs(m) * (1 - 1e-12)) AS BIGINT) AS exceed, CAST(count(*) AS BIGINT) AS replicates FROM r, o""")
+def _(t):
+    s = B.sign_flip_test(_gapped(t), "g", F.col("y") - F.col("x") - 0.02, _MEAN_REPS, 23)
+    return s.select(r6(F.col("mean"), 7).alias("mean"), "exceed", "replicates")
+
+
+@query("paired_errors_with_gaps", f"""
+WITH {_GAPS}, gs AS (SELECT coalesce(g::VARCHAR, '~') AS g, sum(abs(y - 0.5)) AS e0, sum(abs(y - x)) AS e1, count(*) AS n1 FROM d WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1),
+{draws_sql("dr", "gs", 25, "g", _MEAN_REPS)}, w AS (SELECT rep, e0, e1, n1, {POISSON_COUNT} AS c FROM dr)
+SELECT CAST(rep AS BIGINT) AS rep, 'x_vs_m0' AS comparison, round((sum(c * e0) - sum(c * e1)) / sum(c * n1), 7) AS delta_mae FROM w GROUP BY rep""")
+def _(t):
+    b = B.paired_error_bootstrap(_gapped(t).withColumn("m0", F.lit(0.5)), "g", "y", ["m0", "x"], [("m0", "x")], _MEAN_REPS, 25)
+    return b.select(F.col("rep").cast("long").alias("rep"), "comparison", r6(F.col("delta_mae"), 7).alias("delta_mae"))
+
+
+@query("bootstrap_percentile_interval", f"""{_RATIO}, e AS (SELECT rep, sum(c * num) / sum(c * den) AS e FROM w GROUP BY rep)
 SELECT CAST(count(*) AS BIGINT) AS replicates, round(quantile_cont(e, 0.025), 7) AS ci_low, round(quantile_cont(e, 0.975), 7) AS ci_high FROM e""")
 def _(t):
-    ci = B.percentile_interval(B.bootstrap_ratio(_frame(t), "g", F.col("y"), F.lit(1.0), _REPS, 5), [], "estimate")
+    ci = B.percentile_interval(B.bootstrap_ratio(_frame(t), "g", F.col("y"), F.lit(1.0), _ERROR_REPS, 5), [], "estimate")
     return ci.select("replicates", r6(F.col("ci_low"), 7).alias("ci_low"), r6(F.col("ci_high"), 7).alias("ci_high"))
 
 
@@ -168,8 +204,9 @@ _GRAM = "count(*) AS k0, sum(x) AS sx, sum(z) AS sz, sum(y) AS sy, sum(x * x) AS
 
 
 @query("bootstrap_coefficient_difference", f"""
-WITH {_D}, gs AS (SELECT g, {_GRAM} FROM d GROUP BY g), {_DRAWS.format(seed=9)},
-b AS (SELECT rep, (sum(w.sxy) - sum(w.sx) * sum(w.sy) / sum(k0)) / (sum(w.sxx) - sum(w.sx) * sum(w.sx) / sum(k0)) AS bx, (sum(w.szy) - sum(w.sz) * sum(w.sy) / sum(k0)) / (sum(w.szz) - sum(w.sz) * sum(w.sz) / sum(k0)) AS bz FROM w GROUP BY rep)
+WITH {_D}, gs AS (SELECT g, {_GRAM} FROM d GROUP BY g), {draws_sql("dr", "gs", 9, "g", _REPS)}, w AS (SELECT *, {POISSON_COUNT} AS c FROM dr),
+s AS (SELECT rep, sum(c * k0) AS k, sum(c * sx) AS sx, sum(c * sz) AS sz, sum(c * sy) AS sy, sum(c * sxx) AS sxx, sum(c * szz) AS szz, sum(c * sxy) AS sxy, sum(c * szy) AS szy FROM w GROUP BY rep),
+b AS (SELECT rep, (sxy - sx * sy / k) / (sxx - sx * sx / k) AS bx, (szy - sz * sy / k) / (szz - sz * sz / k) AS bz FROM s)
 SELECT CAST(rep AS BIGINT) AS rep, round(bx, 6) AS beta_x, round(bx - bz, 6) AS difference FROM b""")
 def _(t):
     r = coefficient_bootstrap(_frame(t), {"bx": _line("x"), "bz": _line("z")}, "y", {"bx": "x", "bz": "z"}, "g", _REPS, 9)
@@ -177,30 +214,30 @@ def _(t):
 
 
 @query("paired_error_bootstrap", f"""
-WITH {_D}, gs AS (SELECT g, sum(abs(y - 0.5)) AS e0, sum(abs(y - x)) AS e1, sum(abs(y - (0.3 + z))) AS e2, count(*) AS n1 FROM d GROUP BY g), {_DRAWS.format(seed=3)}
-SELECT CAST(rep AS BIGINT) AS rep, 'm1_vs_m0' AS comparison, round((sum(e0) - sum(e1)) / sum(n1), 7) AS delta_mae FROM w GROUP BY rep UNION ALL SELECT CAST(rep AS BIGINT), 'm2_vs_m0', round((sum(e0) - sum(e2)) / sum(n1), 7) FROM w GROUP BY rep""")
+WITH {_D}, gs AS (SELECT g, sum(abs(y - 0.5)) AS e0, sum(abs(y - x)) AS e1, sum(abs(y - (0.3 + z))) AS e2, count(*) AS n1 FROM d GROUP BY g), {draws_sql("dr", "gs", 3, "g", _ERROR_REPS)},
+w AS (SELECT rep, sum(c * e0) AS e0, sum(c * e1) AS e1, sum(c * e2) AS e2, sum(c * n1) AS n1 FROM (SELECT *, {POISSON_COUNT} AS c FROM dr) GROUP BY rep)
+SELECT CAST(rep AS BIGINT) AS rep, 'm1_vs_m0' AS comparison, round((e0 - e1) / n1, 7) AS delta_mae FROM w UNION ALL SELECT CAST(rep AS BIGINT), 'm2_vs_m0', round((e0 - e2) / n1, 7) FROM w""")
 def _(t):
     df = _frame(t).withColumns({"m0": F.lit(0.5), "m1": F.col("x"), "m2": 0.3 + F.col("z")})
-    b = B.paired_error_bootstrap(df, "g", "y", ["m0", "m1", "m2"], [("m0", "m1"), ("m0", "m2")], _REPS, 3)
+    b = B.paired_error_bootstrap(df, "g", "y", ["m0", "m1", "m2"], [("m0", "m1"), ("m0", "m2")], _ERROR_REPS, 3)
     return b.select(F.col("rep").cast("long").alias("rep"), "comparison", r6(F.col("delta_mae"), 7).alias("delta_mae"))
 
 
 @query("sign_flip_test", f"""
 WITH {_D}, gs AS (SELECT g, sum(y - x - 0.02) AS s, count(*) AS n FROM d GROUP BY g), o AS (SELECT sum(s) / sum(n) AS m, sum(n) AS n FROM gs),
-r AS (SELECT rep, sum(CASE WHEN ('0x' || substr(md5('17|' || rep || '|' || g), 1, 8))::BIGINT % 2 = 0 THEN s ELSE -s END) AS t FROM gs, range(500) r(rep) GROUP BY rep)
+{draws_sql("dr", "gs", 17, "g", _FLIPS)}, r AS (SELECT rep, sum(CASE WHEN h & 1 = 0 THEN s ELSE -s END) AS t FROM dr GROUP BY rep)
 SELECT round(any_value(m), 7) AS mean, CAST(count(*) FILTER (abs(t / n) >= abs(m) * (1 - 1e-12)) AS BIGINT) AS exceed, CAST(count(*) AS BIGINT) AS replicates,
   round((count(*) FILTER (abs(t / n) >= abs(m) * (1 - 1e-12)) + 1) / (count(*) + 1), 8) AS p_value FROM r, o""")
 def _(t):
-    s = B.sign_flip_test(_frame(t), "g", F.col("y") - F.col("x") - 0.02, 500, 17)
+    s = B.sign_flip_test(_frame(t), "g", F.col("y") - F.col("x") - 0.02, _FLIPS, 17)
     return s.select(r6(F.col("mean"), 7).alias("mean"), "exceed", "replicates", r6(F.col("p_value"), 8).alias("p_value"))
 
 
-@query("bootstrap_median", """
-WITH u AS (SELECT rep, value, ('0x' || substr(md5('4|' || rep || '|' || event_id), 1, 8))::BIGINT / 4294967296.0 AS u FROM events, range(10) r(rep)),
-w AS (SELECT rep, value, len(list_filter([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.9999988747974021, 0.9999998885745217, 0.9999999899522336, 0.9999999991684075, 0.9999999999364221], lambda q: u >= q)) AS c FROM u)
-SELECT CAST(rep AS BIGINT) AS rep, round(median(value), 6) AS estimate FROM (SELECT rep, value, unnest(range(c)) FROM w) GROUP BY rep""")
+@query("bootstrap_median", f"""
+WITH ev AS (SELECT value::DOUBLE AS v FROM events WHERE value IS NOT NULL), {median_sql("ev", 4, _MEDIAN_REPS)}
+SELECT CAST(rep AS BIGINT) AS rep, round(estimate, 6) AS estimate FROM med""")
 def _(t):
-    b = B.bootstrap_median(t("events"), "event_id", "value", 10, 4)
+    b = B.bootstrap_median(t("events"), "value", _MEDIAN_REPS, 4)
     return b.select(F.col("rep").cast("long").alias("rep"), r6(F.col("estimate")).alias("estimate"))
 
 
@@ -230,17 +267,24 @@ def _(t):
 @query("paired_shift_endpoints", f"""
 WITH p AS (SELECT l_partkey AS k, avg(l_quantity) FILTER (l_returnflag = 'R') - avg(l_quantity) FILTER (l_returnflag = 'A') AS dq, avg(l_discount) FILTER (l_returnflag = 'R') - avg(l_discount) FILTER (l_returnflag = 'A') AS dd FROM lineitem GROUP BY 1),
 v AS (SELECT 'dq' AS e, round(dq, 6) AS d FROM p WHERE dq IS NOT NULL UNION ALL SELECT 'dd', round(dd, 6) FROM p WHERE dd IS NOT NULL), {_WILCOXON},
-m AS (SELECT e, count(*) AS n, median(d) AS md, avg(d) AS mn, stddev_samp(d) AS sd FROM v GROUP BY e)
-SELECT m.e AS endpoint, CAST(m.n AS BIGINT) AS n, round(md, 6) AS paired_median_shift, round(mn, 6) AS paired_mean_shift, round(sd, 6) AS paired_sd, round(s, 2) AS wilcoxon_statistic FROM m JOIN z ON m.e = z.e""")
+m AS (SELECT e, count(*) AS n, median(d) AS md, avg(d) AS mn, stddev_samp(d) AS sd FROM v GROUP BY e),
+v0 AS (SELECT d AS v FROM v WHERE e = 'dq'), v1 AS (SELECT d AS v FROM v WHERE e = 'dd'), {median_sql("v0", 5, _MEDIAN_REPS, "m0")}, {median_sql("v1", 6, _MEDIAN_REPS, "m1")},
+ci AS (SELECT 'dq' AS e, quantile_cont(estimate, 0.025) AS lo, quantile_cont(estimate, 0.975) AS hi FROM m0med UNION ALL SELECT 'dd', quantile_cont(estimate, 0.025), quantile_cont(estimate, 0.975) FROM m1med),
+k0 AS (SELECT k, round(dq, 6) AS s FROM p WHERE dq IS NOT NULL), k1 AS (SELECT k, round(dd, 6) AS s FROM p WHERE dd IS NOT NULL), {draws_sql("f0", "k0", 105, "k", _MEDIAN_REPS)}, {draws_sql("f1", "k1", 106, "k", _MEDIAN_REPS)},
+fr AS (SELECT 'dq' AS e, rep, sum(CASE WHEN h & 1 = 0 THEN s ELSE -s END) AS t FROM f0 GROUP BY rep UNION ALL SELECT 'dd', rep, sum(CASE WHEN h & 1 = 0 THEN s ELSE -s END) FROM f1 GROUP BY rep),
+fp AS (SELECT fr.e, (count(*) FILTER (abs(t / n) >= abs(mn) * (1 - 1e-12)) + 1) / (count(*) + 1) AS p FROM fr JOIN m USING (e) GROUP BY fr.e)
+SELECT m.e AS endpoint, CAST(m.n AS BIGINT) AS n, round(md, 6) AS paired_median_shift, round(mn, 6) AS paired_mean_shift, round(sd, 6) AS paired_sd, round(s, 2) AS wilcoxon_statistic,
+       round(z, 6) AS wilcoxon_z, round(lo, 6) AS bootstrap_ci95_low, round(hi, 6) AS bootstrap_ci95_high, NOT (lo <= 0 AND 0 <= hi) AS ci_excludes_zero, round(fp.p, 8) AS sign_flip_mean_p
+FROM m JOIN z ON m.e = z.e JOIN ci ON ci.e = m.e JOIN fp ON fp.e = m.e""")
 def _(t):
     def arm(c, f):
         return F.avg(F.when(F.col("l_returnflag") == f, F.col(c)))
 
     p = t("lineitem").groupBy(F.col("l_partkey").alias("k")).agg(
         F.round(arm("l_quantity", "R") - arm("l_quantity", "A"), 6).alias("dq"), F.round(arm("l_discount", "R") - arm("l_discount", "A"), 6).alias("dd"))
-    rows = N.paired_endpoints(p, "k", ["dq", "dd"], 20, 5)
-    return rows_frame(t.spark, rows).select("endpoint", "n", *[r6(F.col(c)).alias(c) for c in ("paired_median_shift", "paired_mean_shift", "paired_sd")],
-                                            r6(F.col("wilcoxon_statistic"), 2).alias("wilcoxon_statistic"))
+    rows = N.paired_endpoints(p, "k", ["dq", "dd"], _MEDIAN_REPS, 5)
+    return rows_frame(t.spark, rows).select("endpoint", "n", *[r6(F.col(c)).alias(c) for c in ("paired_median_shift", "paired_mean_shift", "paired_sd", "wilcoxon_z", "bootstrap_ci95_low", "bootstrap_ci95_high")],
+                                            r6(F.col("wilcoxon_statistic"), 2).alias("wilcoxon_statistic"), "ci_excludes_zero", r6(F.col("sign_flip_mean_p"), 8).alias("sign_flip_mean_p"))
 
 
 @query("isoform_estimands", """

@@ -136,3 +136,47 @@ def replicates(t) -> tuple[DataFrame, DataFrame]:
 def r6(col: Column, digits: int = 6) -> Column:
     """Rounded for comparison; adding zero turns -0.0 into 0.0."""
     return F.round(col.cast("double"), digits) + F.lit(0.0)
+
+
+def _step(x: str, shift: int, factor: int) -> str:
+    return f"(xor({x}, {x} >> {shift}) * {factor}::UBIGINT) % 4294967296::UBIGINT"
+
+
+def draws_sql(name: str, source: str, seed: int, key: str, replicates: int) -> str:
+    """CTE ``name``: every row of ``source`` per replicate ``rep`` with its uniform 32-bit number ``h``."""
+    words = ", ".join(f"('0x' || substr(md5('{seed}|' || {key}), {at}, 8))::UBIGINT AS {n}" for at, n in ((1, "hi"), (9, "lo")))
+    return f"""
+{name} AS (
+  SELECT *, (lo + rep::UBIGINT * 2654435769::UBIGINT) % 4294967296::UBIGINT AS a0, {_step("a0", 16, 2246822507)} AS a1, {_step("a1", 13, 3266489909)} AS a2,
+         xor(hi, xor(a2, a2 >> 16)) AS b0, {_step("b0", 16, 2246822507)} AS b1, {_step("b1", 13, 3266489909)} AS b2, xor(b2, b2 >> 16) AS h
+  FROM (SELECT *, {words} FROM {source}), range({replicates}) r(rep))"""
+
+
+# The distribution function of a Poisson count of mean 1 at 0 to 12.
+POISSON_ONE = "[0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.9999988747974021, 0.9999998885745217, 0.9999999899522336, 0.9999999991684075, 0.9999999999364221]"
+POISSON_COUNT = f"len(list_filter({POISSON_ONE}, lambda q: h / 4294967296.0 >= q))"
+
+
+def median_sql(source: str, seed: int, replicates: int, p: str = "") -> str:
+    """CTEs up to ``{p}med (rep, estimate)``: the bootstrap of the median of ``v`` in table ``source``."""
+    return f"""
+{p}hi0 AS (SELECT v, count(*) AS n FROM {source} GROUP BY v), {p}tot AS (SELECT sum(n) AS t, 3.5 / sqrt(sum(n)::DOUBLE) AS r FROM {p}hi0),
+{p}rk AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS k FROM {source}),
+{p}cut AS (
+  SELECT any_value(lo) AS lo, any_value(hi) AS hi FROM (
+    SELECT (SELECT v FROM {p}rk, {p}tot WHERE k = floor((t - 1) * greatest(0.0, 0.5 - r))) AS lo,
+           (SELECT v FROM {p}rk, {p}tot WHERE k = ceil((t - 1) * least(1.0, 0.5 + r))) AS hi)),
+{p}ins AS (SELECT v, n, row_number() OVER (ORDER BY v)::VARCHAR AS name FROM {p}hi0, {p}cut WHERE v BETWEEN lo AND hi),
+{p}src AS (
+  SELECT v, n, name FROM {p}ins UNION ALL SELECT CASE name WHEN 'below' THEN -1e300 ELSE 1e300 END, n, name FROM (
+    SELECT CASE WHEN v < lo THEN 'below' ELSE 'above' END AS name, sum(n) AS n FROM {p}hi0, {p}cut WHERE v < lo OR v > hi GROUP BY 1)),
+{p}pmf AS (
+  SELECT n, k, sum(exp(-n::DOUBLE + k * ln(n::DOUBLE) - lgamma(k + 1.0::DOUBLE))) OVER (PARTITION BY n ORDER BY k) AS upto
+  FROM (SELECT DISTINCT n, unnest(range(greatest(0, floor(n - 12 * sqrt(n) - 20))::BIGINT, ceil(n + 12 * sqrt(n) + 20)::BIGINT + 1)) AS k FROM {p}src)),
+{draws_sql(p + "dr", p + "src", seed, "name", replicates)},
+{p}cn AS (
+  SELECT d.rep, d.v, coalesce(c.k + 1, greatest(0, floor(d.n - 12 * sqrt(d.n) - 20)))::BIGINT AS c
+  FROM (SELECT rep, v, n, h / 4294967296.0::DOUBLE AS u FROM {p}dr) d ASOF LEFT JOIN {p}pmf c ON d.n = c.n AND d.u >= c.upto),
+{p}cum AS (SELECT rep, v, sum(c) OVER (PARTITION BY rep ORDER BY v) AS upto, sum(c) OVER (PARTITION BY rep) AS w FROM {p}cn),
+{p}med AS (
+  SELECT rep, (min(v) FILTER (upto >= (w - 1) // 2 + 1) + min(v) FILTER (upto >= w // 2 + 1)) / 2 AS estimate FROM {p}cum WHERE w > 0 GROUP BY rep)"""

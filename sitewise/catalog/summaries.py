@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from sitewise.catalog.registry import query
-from sitewise.catalog.standins import VECTORS_SQL, r6, replicates, vectors, REPLICATES_SQL
+from sitewise.catalog.standins import POISSON_COUNT, REPLICATES_SQL, VECTORS_SQL, draws_sql, r6, replicates, vectors
 from sitewise.functions.vectors import flank_coverage, main_window_valid, window_vector
 from sitewise.operators import aggregates as A
 from sitewise.operators.ordering import quantiles, spearman_frame
@@ -151,12 +151,11 @@ def _(t):
 
 @query("positional_profile_band", _QUARTILES + """,
 s AS (SELECT quartile, label, p - c AS rel, sum(v) AS s, count(v) AS n FROM vl JOIN b USING (vec_id) WHERE v IS NOT NULL AND p - c BETWEEN -20 AND 20 GROUP BY ALL),
-u AS (SELECT quartile, label, row_number() OVER (PARTITION BY quartile ORDER BY label) AS i, count(*) OVER (PARTITION BY quartile) AS k FROM (SELECT DISTINCT quartile, label FROM b JOIN vl USING (vec_id))),
-d AS (SELECT quartile, rep, ('0x' || substr(md5('8|' || rep || '|' || quartile || '|' || i), 1, 8))::BIGINT % k + 1 AS i FROM u, range(40) r(rep)),
-m AS (SELECT quartile, rel, rep, sum(s) / sum(n) AS m FROM d JOIN u USING (quartile, i) JOIN s USING (quartile, label) GROUP BY quartile, rel, rep)
+u AS (SELECT DISTINCT quartile, label FROM s), """ + draws_sql("dr", "u", 8, "quartile || '|' || label", 500) + f""",
+m AS (SELECT quartile, rel, rep, sum(c * s) / nullif(sum(c * n), 0) AS m FROM (SELECT quartile, label, rep, {POISSON_COUNT} AS c FROM dr) JOIN s USING (quartile, label) GROUP BY quartile, rel, rep)
 SELECT CAST(quartile AS BIGINT) AS quartile, CAST(rel AS BIGINT) AS relative_position, round(quantile_cont(m, 0.025), 7) AS ci_low, round(quantile_cont(m, 0.975), 7) AS ci_high FROM m GROUP BY quartile, rel""")
 def _(t):
-    p = A.profile_band(_quartile_windows(t), "quartile", "w", 20, "label", 40, 8)
+    p = A.profile_band(_quartile_windows(t), "quartile", "w", 20, "label", 500, 8)
     return p.select("quartile", F.col("relative_position").cast("long").alias("relative_position"), r6(F.col("ci_low"), 7).alias("ci_low"), r6(F.col("ci_high"), 7).alias("ci_high"))
 
 

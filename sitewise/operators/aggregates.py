@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitewise.functions.hashing import hash32
 from sitewise.functions.scalars import MISSING_TOKENS, bin_left_closed, bin_right_closed, lenient_double
 from sitewise.functions.vectors import valid_count
-from sitewise.operators.ordering import on_keys, positions, quantile_array, quantiles, spearman_frame
+from sitewise.operators.ordering import on_keys, quantile_array, quantiles, spearman_frame
+from sitewise.operators.resample import replicate_sums
 from sitewise.session import checkpointed
 
 # Fixed value: value counts are kept for columns with at most this many values.
@@ -201,21 +201,22 @@ def positional_profile(df: DataFrame, by: str, window: str, half: int, unit: str
 
 def profile_band(df: DataFrame, by: str, window: str, half: int, unit: str, replicates: int, seed: int,
                  alpha: float = 0.05) -> DataFrame:
-    """Pointwise percentile band of the positional mean, units drawn with replacement within each group.
+    """Pointwise percentile band of the positional mean, units drawn with Poisson counts within each group.
 
-    Rows become one sum and count per (group, unit, position) before any replicate is formed.
+    Rows become one array of sums and counts per (group, unit) before any replicate is formed;
+    a null element counts nowhere.
     """
     long = df.select(by, unit, F.posexplode(window).alias("_i", "_x")).where(F.col("_x").isNotNull())
-    sums = long.groupBy(by, unit, "_i").agg(F.sum("_x").alias("_s"), F.count(F.lit(1)).alias("_c"))
-    units = checkpointed(positions(df.select(by, unit).distinct(), [by], [unit], "_u"))
-    sizes = units.groupBy(by).agg(F.count(F.lit(1)).alias("_units"))
-    draws = units.join(sizes, by).select(by, "_u", "_units", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    pick = hash32(F.lit(seed), F.col("rep"), F.col(by), F.col("_u")) % F.col("_units") + 1
-    weights = draws.select(by, "rep", pick.alias("_u")).groupBy(by, "rep", "_u").agg(F.count(F.lit(1)).alias("_w"))
-    drawn = weights.join(units, [by, "_u"]).join(sums, [by, unit])
-    reps = drawn.groupBy(by, "_i", "rep").agg(
-        (F.sum(F.col("_w") * F.col("_s")) / F.sum(F.col("_w") * F.col("_c"))).alias("_m"))
-    return reps.groupBy(by, (F.col("_i") - half).alias("relative_position")).agg(
+    each = long.groupBy(by, unit, "_i").agg(F.sum("_x").alias("_s"), F.count(F.lit(1)).cast("double").alias("_c"))
+    placed = each.groupBy(by, unit).agg(F.map_from_entries(F.collect_list(F.struct("_i", F.struct("_s", "_c")))).alias("_at"))
+    at, wide = F.sequence(F.lit(0), F.lit(2 * half)), 2 * half + 1
+
+    def dense(name):
+        return F.transform(at, lambda i: F.coalesce(F.col("_at")[i][name], F.lit(0.0)))
+
+    totals = replicate_sums(placed, [by, unit], F.concat(dense("_s"), dense("_c")), replicates, seed, by=by)
+    means = totals.select(by, F.posexplode(F.transform(at, lambda i: F.try_divide(F.get("sums", i), F.get("sums", i + wide)))).alias("_i", "_m"))
+    return means.where("_m is not null").groupBy(by, (F.col("_i") - half).alias("relative_position")).agg(
         F.percentile("_m", F.lit(alpha / 2)).alias("ci_low"), F.percentile("_m", F.lit(1 - alpha / 2)).alias("ci_high"))
 
 

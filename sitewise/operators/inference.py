@@ -377,7 +377,7 @@ def paired_endpoints(df: DataFrame, row_id: str, endpoints: Sequence[str], repli
         part = df.where(F.col(e).isNotNull())
         row = part.agg(F.count(e).alias("n"), F.avg(e).alias("mean"), F.stddev_samp(e).alias("sd")).first()
         w = wilcoxon_signed_rank(part, e).first()
-        ci = percentile_interval(bootstrap_median(part, row_id, e, replicates, seed + i), [], "estimate").first()
+        ci = percentile_interval(bootstrap_median(part, e, replicates, seed + i), [], "estimate").first()
         flip = sign_flip_test(part, row_id, F.col(e), replicates, seed + 100 + i).first()
         rows.append({
             "endpoint": e, "n": row["n"], "paired_median_shift": middle[e], "bootstrap_ci95_low": ci["ci_low"],

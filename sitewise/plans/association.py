@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sitewise.operators import inference as N
 from sitewise.operators.aggregates import group_size
-from sitewise.operators.linear import Design, gram_names, rows_frame, solve_ols, unpack_gram
+from sitewise.operators.linear import Design, complete_rows, gram_names, rows_frame, solve_ols, unpack_gram
 from sitewise.operators.resample import bootstrap_fit, percentile_interval
 
 
@@ -31,12 +31,14 @@ def primary_design(df: DataFrame, p: AssociationParams, predictor: str | None =
 
 
 def coefficient_bootstrap(df: DataFrame, designs: dict[str, Design], outcome: str, predictors: dict[str, str], cluster: str,
-                          replicates: int, seed: int, weights: str = "multinomial", scale: dict[str, float] | None = None) -> DataFrame:
+                          replicates: int, seed: int, weights: str = "poisson", scale: dict[str, float] | None = None) -> DataFrame:
     """Cluster bootstrap of one coefficient per design, the same draws for all: ``rep`` and one column per design.
 
     Per-cluster cross products are formed once; a replicate only adds them up and
     solves. With two designs the difference of their columns is a paired contrast.
+    Rows that lack a value of any design or the outcome take no part in any of them.
     """
+    df = complete_rows(df, [F.col(outcome), *[c for d in designs.values() for c in d.columns]])
     scale = scale or {}
     named: dict[str, Column] = {}
     sums: list[str] = []

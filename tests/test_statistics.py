@@ -146,7 +146,7 @@ def test_bh_list_and_frame_agree(spark):
 
 def test_constant_vector_interval_and_sign_flip_power(spark):
     df = spark.createDataFrame([(i, 0.25) for i in range(30)], "i int, v double")
-    ci = B.percentile_interval(B.bootstrap_median(df, "i", "v", 30, 1), [], "estimate").first()
+    ci = B.percentile_interval(B.bootstrap_median(df, "v", 30, 1), [], "estimate").first()
     assert (ci.ci_low, ci.ci_high) == (0.25, 0.25)
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(np.linspace(0.5, 1.5, 80))], "i int, v double")
     assert B.sign_flip_test(df, "i", F.col("v"), 500, 1).first().p_value < 0.01
@@ -155,7 +155,7 @@ def test_constant_vector_interval_and_sign_flip_power(spark):
 def test_coefficient_bootstrap_matches_refits(spark, frame):
     pdf, df = frame
     d = L.Design(["Intercept", "x"], [F.lit(1.0), F.col("x")])
-    got = coefficient_bootstrap(df, {"b": d}, "y", {"b": "x"}, "g", 8, 2).toPandas().set_index("rep").b
+    got = coefficient_bootstrap(df, {"b": d}, "y", {"b": "x"}, "g", 8, 2, "multinomial").toPandas().set_index("rep").b
     draws = B.draw_counts(B.numbered(B.group_sums(df, "g", {"n": F.lit(1)}), "g"), 8, 2).toPandas()
     groups = np.sort(pdf.g.unique())
     for rep, part in draws.groupby("rep"):
@@ -167,6 +167,79 @@ def test_coefficient_bootstrap_matches_refits(spark, frame):
         assert part.weight.sum() == len(groups)
 
 
+def plain_draws(seed, key, replicates):
+    """Uniform 32-bit numbers of one key, word by word."""
+    import hashlib
+
+    def mixed(x):
+        x = (x ^ (x >> 16)) * 2246822507 % 2**32
+        x = (x ^ (x >> 13)) * 3266489909 % 2**32
+        return x ^ (x >> 16)
+
+    digest = hashlib.md5(f"{seed}|{key}".encode()).hexdigest()
+    high, low = int(digest[:8], 16), int(digest[8:16], 16)
+    return [mixed(high ^ mixed((low + r * 2654435769) % 2**32)) for r in range(replicates)]
+
+
+def plain_poisson(mean, uniform):
+    k, upto = 0, math.exp(-mean)
+    term = upto
+    while uniform >= upto and k < 1000:
+        k += 1
+        term *= mean / k
+        upto += term
+    return k
+
+
+def test_kernel_weights_follow_the_draws(spark):
+    rows = [(None if i == 7 else i, float(i), "a" if i % 3 else None) for i in range(600)]
+    df = spark.createDataFrame(rows, "g int, v double, part string").repartition(5)
+    got = {(r.part, r.rep): r.sums for r in B.replicate_sums(df, ["g"], [F.col("v"), F.lit(1.0)], 40, 6, by="part").collect()}
+    want = {}
+    for g, v, part in rows:
+        for rep, h in enumerate(plain_draws(6, "~" if g is None else g, 40)):
+            w = plain_poisson(1.0, h / 2**32)
+            sums = want.setdefault((part, rep), [0.0, 0.0])
+            sums[0] += w * v
+            sums[1] += w
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    plan = B.bootstrap_sums(df, "g", ["v"], 40, 6)._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("values", [[1.0], [1.0, 2.0], [float(v % 7) for v in range(200)], [float(v * v % 1009) for v in range(900)], [None, 3.0, 3.0, None, 8.0]])
+def test_median_bootstrap_equals_plain_counts(spark, values, monkeypatch):
+    monkeypatch.setattr(B, "ROWS_PER_PIECE", 13)
+    got = B.bootstrap_median(spark.createDataFrame([(v,) for v in values], "v double"), "v", 60, 3).toPandas().sort_values("rep").estimate.tolist()
+    held = sorted(v for v in values if v is not None)
+    n, reach = len(held), 3.5 / math.sqrt(len(held))
+    lo, hi = held[math.floor((n - 1) * max(0.0, 0.5 - reach))], held[math.ceil((n - 1) * min(1.0, 0.5 + reach))]
+    inside = sorted({v for v in held if lo <= v <= hi})
+    masses = [(v, held.count(v), str(i)) for i, v in enumerate(inside, 1)] + [(v, m, name) for v, m, name in (
+        (-math.inf, sum(x < lo for x in held), "below"), (math.inf, sum(x > hi for x in held), "above")) if m]
+    draws = [(v, m, plain_draws(3, name, 60)) for v, m, name in sorted(masses)]
+    for rep in range(60):
+        drawn = [v for v, m, h in draws for _ in range(plain_poisson(float(m), h[rep] / 2**32))]
+        want = np.median(drawn) if drawn else math.nan
+        assert got[rep] == pytest.approx(want, nan_ok=True)
+
+
+def test_missing_values_take_no_part_in_resampling(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=900)
+    rows = [(int(i % 30), float(a), None if i % 5 == 0 else float(2 * a + 1 + 0.01 * e), float(a) if i % 7 else None) for i, (a, e) in enumerate(zip(x, rng.normal(size=900)))]
+    df = spark.createDataFrame(rows, "g int, x double, y double, p double")
+    d = L.Design(["Intercept", "x"], [F.lit(1.0), F.col("x")])
+    b = coefficient_bootstrap(df, {"b": d}, "y", {"b": "x"}, "g", 200, 2).toPandas().b
+    assert b.mean() == pytest.approx(2, abs=0.01) and b.std() < 0.01
+    assert b.mean() == pytest.approx(L.fit_ols(df, d, F.col("y"), "g").term("x")[0], abs=0.005)
+    flip = B.sign_flip_test(df, "g", F.col("y"), 100, 2).first()
+    assert flip.mean == pytest.approx(np.mean([r[2] for r in rows if r[2] is not None]))
+    deltas = B.paired_error_bootstrap(df.withColumn("m", F.lit(0.0)), "g", "y", ["m", "p"], [("m", "p")], 300, 2).toPandas().delta_mae
+    both = [(y, p) for _, _, y, p in rows if y is not None and p is not None]
+    assert deltas.mean() == pytest.approx(np.mean([abs(y) - abs(y - p) for y, p in both]), abs=0.05)
+
+
 def test_pooling_two_studies(spark):
     df = spark.createDataFrame([(0.02, 0.005), (0.008, 0.002)], "e double, s double")
     rows = {r.model: r for r in A.inverse_variance_pool(df, "e", "s").collect()}
