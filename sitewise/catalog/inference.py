@@ -10,12 +10,17 @@ from sitewise.operators.aggregates import group_size
 from sitewise.operators.linear import Design, fit_ols, rows_frame
 from sitewise.operators.models import baseline_predictions
 from sitewise.operators.ordering import spearman_frame
+from sitewise.operators.variants import Variant, variant_fits
 from sitewise.plans.association import AssociationParams, coefficient_bootstrap, run_association
 
 # Outcome, predictor and covariates used throughout: scaled price on quantity, clusters are suppliers.
 _D = "d AS (SELECT l_suppkey AS g, l_extendedprice / 100000 AS y, l_quantity / 50 AS x, l_discount AS z, l_returnflag AS s FROM lineitem)"
 
 
+# Draws of the published analyses.
+_REPS, _MEAN_REPS, _ERROR_REPS, _MEDIAN_REPS, _FLIPS = 500, 1000, 2000, 5000, 10_000
+
+
 def _frame(t):
     return t("lineitem").select(F.col("l_suppkey").alias("g"), (F.col("l_extendedprice") / 100000).alias("y"), (F.col("l_quantity") / 50).alias("x"),
                                 F.col("l_discount").alias("z"), F.col("l_tax").alias("w"), F.col("l_returnflag").alias("s"),
@@ -68,10 +73,64 @@ def _(t):
     return rows_frame(t.spark, fit_ols(df, design, F.col("y"), "g").coefficient_rows())
 
 
+def _erfc_tail(z):
+    """Two-sided normal p-value by Simpson's rule."""
+    return (f"greatest(0, 1 - 2 * abs({z}) / 6000 / sqrt(2 * pi()) * (SELECT sum(CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END "
+            f"* exp(-0.5 * (abs({z}) * i / 2000) ** 2)) FROM range(2001) r(i)))")
+
+
+# Populations, outcomes, predictors and weights of the seven variants over line items.
+_VARIANTS = (
+    ("exclude_centre", "l_discount >= 0.02", "y", "x2", "1"), ("complete_coverage", "l_linenumber <= 3 AND l_tax > 0.01", "y", "x", "1"), ("replicate_1", "true", "y1", "x", "1"),
+    ("replicate_2", "true", "y2", "x", "1"), ("equal_weight_per_cluster", "true", "y", "x", "w"), ("single_isoform", "l_linenumber = 1", "y", "x", "1"),
+    ("canonical", "l_returnflag <> 'N'", "y", "x", "1"))
+_VARIANT_ROWS = """
+d0 AS (SELECT *, l_suppkey AS g, CASE WHEN l_orderkey % 9 > 0 THEN l_discount * 10 + (l_partkey % 13) / 13.0::DOUBLE END AS y, CASE WHEN l_orderkey % 5 > 0 THEN l_discount * 10 + (l_partkey % 11) / 11.0::DOUBLE END AS y1,
+  l_tax * 10 + (l_partkey % 7) / 70.0::DOUBLE AS y2, l_quantity / 50 AS x, CASE WHEN l_orderkey % 3 > 0 THEN (l_quantity + l_linenumber) / 50 END AS x2, l_extendedprice / 100000 AS z FROM lineitem),
+d AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY g) AS w FROM d0)"""
+
+
+def _variant_frame(t):
+    def share(m):
+        return (F.col("l_partkey") % m) / F.lit(float(m))
+
+    df = t("lineitem").select(
+        F.col("l_suppkey").alias("g"), F.when(F.col("l_orderkey") % 9 > 0, F.col("l_discount") * 10 + share(13)).alias("y"),
+        F.when(F.col("l_orderkey") % 5 > 0, F.col("l_discount") * 10 + share(11)).alias("y1"), (F.col("l_tax") * 10 + share(7) / 10).alias("y2"), (F.col("l_quantity") / 50).alias("x"),
+        F.when(F.col("l_orderkey") % 3 > 0, (F.col("l_quantity") + F.col("l_linenumber")) / 50).alias("x2"), (F.col("l_extendedprice") / 100000).alias("z"), "l_discount", "l_tax",
+        "l_linenumber", "l_returnflag")
+    return group_size(df, ["g"], "n_g")
+
+
+def _variants():
+    return tuple(Variant(n, y, x, None if where == "true" else F.expr(where), 1 / F.col("n_g") if w == "w" else None) for n, where, y, x, w in _VARIANTS)
+
+
+_VARIANT_SQL = f"""
+WITH {_VARIANT_ROWS}, v AS ({" UNION ALL ".join(f"SELECT {i} AS i, '{n}' AS analysis, g, {x} AS x, {y} AS y, z, {w} AS w FROM d WHERE {where} AND {x} IS NOT NULL AND {y} IS NOT NULL" for i, (n, where, y, x, w) in enumerate(_VARIANTS))}),
+m AS (SELECT i, any_value(analysis) AS analysis, count(*) AS n, stddev_samp(x) AS sd, sum(w) AS sw, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my, sum(w * z) / sum(w) AS mz FROM v GROUP BY i),
+c AS (SELECT v.i, sum(w * (z - mz) * (z - mz)) AS zz, sum(w * (z - mz) * (x - mx)) AS zx, sum(w * (z - mz) * (y - my)) AS zy FROM v JOIN m USING (i) GROUP BY v.i),
+r AS (SELECT v.i, g, w, x - mx - zx / zz * (z - mz) AS r, y - my - zy / zz * (z - mz) AS q FROM v JOIN m USING (i) JOIN c USING (i)),
+b AS (SELECT i, sum(w * r * q) / sum(w * r * r) AS b, sum(w * r * r) AS rr FROM r GROUP BY i),
+sc AS (SELECT r.i, g, sum(w * r * (q - b * r)) AS s FROM r JOIN b USING (i) GROUP BY r.i, g), k AS (SELECT i, count(*) AS k, sum(s * s) AS s FROM sc GROUP BY i),
+e AS (SELECT m.i, analysis, n, k, b, sqrt(s / (rr * rr) * k / (k - 1) * (n - 1) / (n - 3)) AS se, b * sd AS per_sd FROM m JOIN b USING (i) JOIN k USING (i)),
+p AS (SELECT *, {_erfc_tail("b / se")} AS p FROM e)"""
+
+
+@query("association_variants", f"""{_VARIANT_SQL}, a AS (SELECT *, row_number() OVER (ORDER BY p DESC) AS back, count(*) OVER () AS fits FROM p),
+q AS (SELECT *, least(1.0, min(p * fits / (fits - back + 1)) OVER (ORDER BY back)) AS q FROM a)
+SELECT analysis, CAST(n AS BIGINT) AS sites, CAST(k AS BIGINT) AS clusters, round(b, 7) AS beta_raw, round(se, 7) AS se_cluster, round(b / se, 4) AS z, round(per_sd, 7) AS beta_per_sd,
+       round(p, 7) AS p_value, round(q, 7) AS q_value FROM q""")
+def _(t):
+    fits = variant_fits(_variant_frame(t), _line("z"), _variants(), "g")
+    rows = rows_frame(t.spark, N.family_rows(t("lineitem"), fits))
+    return rows.select("analysis", "sites", "clusters", *[r6(F.col(c), 4 if c == "z" else 7).alias(c) for c in ("beta_raw", "se_cluster", "z", "beta_per_sd", "p_value", "q_value")])
+
+
 @query("association_analysis")
 def _(t):
-    df = _frame(t)
-    p = AssociationParams("y", "x", "g", {"z": F.col("z"), "q": F.col("q")}, ("q",), ("s",), 200, 11, "ls")
+    df = _variant_frame(t).withColumns({"q": F.when(F.col("l_tax") > 0, F.log1p(F.col("l_tax") * 100)), "s": F.col("l_returnflag"), "ls": F.col("l_linenumber") % 2})
+    p = AssociationParams("y", "x", "g", {"z": F.col("z"), "q": F.col("q")}, ("q",), ("s",), _MEAN_REPS, 11, "ls", _variants())
     out = run_association(df, p)
     return out["sensitivity"].unionByName(out["primary"], allowMissingColumns=True)
 
@@ -133,10 +192,6 @@ def _(t):
     return rows_frame(t.spark, curve)
 
 
-# Draws of the published analyses.
-_REPS, _MEAN_REPS, _ERROR_REPS, _MEDIAN_REPS, _FLIPS = 500, 1000, 2000, 5000, 10_000
-
-
 @query("cluster_bootstrap_means", f"""
 WITH {_D}, gs AS (SELECT g, sum(y) AS num, count(*) AS den FROM d GROUP BY g),
 k AS (SELECT *, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM gs),

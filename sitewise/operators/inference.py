@@ -13,6 +13,7 @@ from sitewise.operators.linear import (
     Design, Fit, association_row, chi2_sf, complete_rows, fit_ols, fit_ols_by, gram, normal_p, solve_ols, wald_joint,
 )
 from sitewise.operators.ordering import average_ranks, medians, on_keys, quantile_array, running
+from sitewise.operators.variants import VariantFit
 
 
 def bh_adjust(df: DataFrame, families: Sequence[str], p: str, ids: Sequence[str], name: str = "q_value") -> DataFrame:
@@ -140,20 +141,16 @@ def sample_sd(df: DataFrame, column: str) -> float:
 
 def associate(name: str, df: DataFrame, design: Design, outcome: str, predictor: str, cluster: str,
               weights: Column | None = None, z: float = 1.959963984540054, **extra) -> tuple[dict, Fit]:
-    fit = fit_ols(df, design, F.col(outcome).cast("double"), cluster, weights)
+    """One association; the predictor's scale is its spread over the rows of the fit."""
+    y = F.col(outcome).cast("double")
+    df = complete_rows(df, [*design.columns, y, *([weights] if weights is not None else [])])
+    fit = fit_ols(df, design, y, cluster, weights)
     return association_row(name, df, fit, predictor, sample_sd(df, predictor), z, outcome=outcome, **extra), fit
 
 
-def sensitivity_family(specs: Sequence[dict], design_of, cluster: str) -> list[dict]:
-    """Fit each prespecified variant and adjust their p-values as one family.
-
-    A spec has ``name, df, outcome, predictor`` and optionally ``weights``.
-    """
-    rows = []
-    for s in specs:
-        design = design_of(s["df"], s["predictor"])
-        row, _ = associate(s["name"], s["df"], design, s["outcome"], s["predictor"], cluster, s.get("weights"))
-        rows.append(row)
+def family_rows(df: DataFrame, fits: Sequence[VariantFit]) -> list[dict]:
+    """Result rows of a family of variants, their p-values adjusted together."""
+    rows = [association_row(f.variant.name, df, f.fit, f.variant.predictor, f.predictor_sd, outcome=f.variant.outcome) for f in fits]
     for row, q in zip(rows, bh_list([r["p_value"] for r in rows])):
         row["q_value"] = q
     return rows
@@ -161,17 +158,23 @@ def sensitivity_family(specs: Sequence[dict], design_of, cluster: str) -> list[d
 
 def stratified_fits(df: DataFrame, stratum: str, design: Design, outcome: str, predictor: str, cluster: str,
                     min_rows: int = 200, min_clusters: int = 100) -> list[dict]:
-    """One fit per large enough stratum, adjusted as one family."""
-    sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(cluster).alias("g"))
+    """One fit per large enough stratum, adjusted as one family.
+
+    Rows are complete rows of the design and the outcome throughout: in the sizes, the
+    fits and the scale of the predictor. A stratum without any is not fitted.
+    """
+    y = F.col(outcome).cast("double")
+    whole = complete_rows(df, [*design.columns, y])
+    # A null cluster counts as one; a null stratum is a stratum.
+    sizes = whole.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), (F.count_distinct(cluster) + F.max(F.col(cluster).isNull().cast("int"))).alias("g"),
+                                       F.stddev_samp(predictor).alias("sd"))
     use = sizes.where((F.col("n") >= min_rows) & (F.col("g") >= min_clusters)).orderBy(stratum).collect()
     if not use:
         return []
-    y = F.col(outcome).cast("double")
-    keep = [r[stratum] for r in use]
-    part = complete_rows(df.join(use_frame(df.sparkSession, stratum, df.schema[stratum].dataType.simpleString(), keep), stratum, "left_semi"), [*design.columns, y])
+    keep = use_frame(df.sparkSession, "_stratum", df.schema[stratum].dataType.simpleString(), [r[stratum] for r in use])
+    part = whole.join(keep, F.col(stratum).eqNullSafe(F.col("_stratum")), "left_semi")
     fits = fit_ols_by(part, stratum, design, y, cluster)
-    spread = {r[stratum]: r["sd"] for r in part.groupBy(stratum).agg(F.stddev_samp(predictor).alias("sd")).collect()}
-    rows = [association_row(f"{stratum}_{s}", part, fits[s], predictor, spread[s]) for s in keep]
+    rows = [association_row(f"{stratum}_{r[stratum]}", part, fits[r[stratum]], predictor, r["sd"]) for r in use]
     for row, q in zip(rows, bh_list([r["p_value"] for r in rows])):
         row["q_value"] = q
     return rows
@@ -314,6 +317,7 @@ def spline_columns(x: Column, t: np.ndarray) -> list[Column]:
 def spline_sensitivity(df: DataFrame, design: Design, predictor: str, outcome: str, cluster: str,
                        points: int = 140) -> tuple[dict, list[dict]]:
     """Replace the linear predictor by a spline: joint Wald test and the adjusted curve with its band."""
+    df = complete_rows(df, [*design.columns, F.col(outcome)])
     names, cols, t, centre = spline_basis(df, predictor)
     base = design.without([predictor])
     full = Design([*base.names, *names], [*base.columns, *cols])

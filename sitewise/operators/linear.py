@@ -61,7 +61,8 @@ def gram_arrays(df: DataFrame, features: str, p: int, by: str | None = None) ->
             x = x.astype(float)
             keys = pdf[by].to_numpy() if by else np.zeros(len(pdf), dtype=int)
             for k in pd.unique(keys):
-                part = x[keys == k]
+                part = x[pd.isna(keys) if pd.isna(k) else keys == k]
+                k = None if pd.isna(k) else k
                 sums[k] = sums.get(k, 0) + part.T @ part
         for k, m in sums.items():
             yield pd.DataFrame({"_k": [k] * p, "_i": range(p), "_row": list(m)})

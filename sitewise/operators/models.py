@@ -22,9 +22,10 @@ from sitewise.operators.aggregates import regression_metrics
 from sitewise.operators.encoding import Encoder, FeatureSpec, RawLayout, fit_encoder, fold_medians, raw_features
 from sitewise.operators.groups import group_folds
 from sitewise.operators.inference import bh_list
-from sitewise.operators.linear import fit_ols, Design, gram_arrays
+from sitewise.operators.linear import Design, complete_rows, fit_ols, gram_arrays
 from sitewise.operators.ordering import positions
 from sitewise.operators.resample import sign_flip_test
+from sitewise.session import checkpointed
 
 
 class BoundaryError(ValueError):
@@ -153,9 +154,17 @@ def _median_columns(spec: FeatureSpec) -> dict[str, Column]:
 
 def prepare(df: DataFrame, spec: FeatureSpec, responses: Sequence[str], group: str, folds: int,
             fold_table: DataFrame | None = None, levels: dict | None = None) -> Prepared:
-    """Assign folds, build raw features and collect per-fold cross products."""
-    table = fold_table if fold_table is not None else group_folds(df, group, folds).select(group, "fold")
-    rows, layout, levels = raw_features(df.join(table, group), spec, levels=levels)
+    """Assign folds, build raw features and collect per-fold cross products.
+
+    Rows without one of the responses take no part, in folds or fits. A null group is a
+    group. The raw features are written once, beside what the caller's rows hold; every
+    later pass reads them from there.
+    """
+    df = complete_rows(df, [F.col(r) for r in responses])
+    table = (fold_table if fold_table is not None else group_folds(df, group, folds)).select(F.col(group).alias("_g"), "fold")
+    joined = df.join(table, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+    rows, layout, levels = raw_features(joined, spec, levels=levels)
+    rows = checkpointed(rows)
     ids = list(range(1, folds + 1))
     p = len(layout.names)
     cross = gram_arrays(_with_ones(rows, "raw", responses, ["fold"]), "_v", 1 + p + len(responses), "fold")

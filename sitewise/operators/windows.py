@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitewise.operators.intervals import first_hit_per
 from sitewise.operators.ordering import on_keys, positions
+from sitewise.session import checkpointed
 
 
 def rank_candidates(df: DataFrame, key: Sequence[str], order: Sequence[Column | str], rank: str = "rank",
@@ -47,16 +49,17 @@ def sample_with_fill(df: DataFrame, strata: Sequence[str], order: Sequence[str],
     """Per-stratum first rows, topped up to ``total`` with other good rows, then failures.
 
     Adds ``fill``: 1 stratum rows, 2 extra rows, 3 failures. The stratum rows are never cut.
+    ``order`` tells rows apart; nulls in it equal each other. Rows whose ``failed`` is null
+    are neither good nor failures.
     """
     good, bad = df.where(~failed), df.where(failed)
-    base = stratified_sample(good, strata, order, per_stratum)
-    extra = good.join(base.select(*order), list(order), "left_anti").orderBy(*order).limit(total)
-    fails = bad.orderBy(*order).limit(max_failures)
-    pool = base.withColumn("fill", F.lit(1)).unionByName(extra.withColumn("fill", F.lit(2))) \
-        .unionByName(fails.withColumn("fill", F.lit(3)))
-    # At most strata * per_stratum + total + max_failures rows are left here.
-    n = F.row_number().over(Window.orderBy("fill", *order))
-    return pool.withColumn("_n", n).where((F.col("fill") == 1) | (F.col("_n") <= total)).drop("_n")
+    base = checkpointed(stratified_sample(good, strata, order, per_stratum))
+    room = max(0, total - base.count())
+    taken = base.select(*[F.col(c).alias(f"_t{i}") for i, c in enumerate(order)])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_t{i}")) for i, c in enumerate(order)])
+    extra = checkpointed(good.join(taken, same, "left_anti").orderBy(*order).limit(room))
+    fails = bad.orderBy(*order).limit(min(max_failures, room - extra.count()))
+    return base.withColumn("fill", F.lit(1)).unionByName(extra.withColumn("fill", F.lit(2))).unionByName(fails.withColumn("fill", F.lit(3)))
 
 
 def count_order(df: DataFrame, by: str, count: str = "count") -> DataFrame:

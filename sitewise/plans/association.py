@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewise.operators import inference as N
-from sitewise.operators.aggregates import group_size
-from sitewise.operators.linear import Design, complete_rows, gram_names, rows_frame, solve_ols, unpack_gram
+from sitewise.operators.linear import Design, association_row, complete_rows, gram_names, rows_frame, solve_ols, unpack_gram
 from sitewise.operators.resample import bootstrap_fit, percentile_interval
+from sitewise.operators.variants import Variant, variant_fits
+from sitewise.session import checkpointed
 
 
 @dataclass(frozen=True)
@@ -24,6 +25,7 @@ class AssociationParams:
     replicates: int = 1000
     seed: int = 1
     stratum: str | None = None
+    variants: tuple[Variant, ...] = ()
 
 
 def primary_design(df: DataFrame, p: AssociationParams, predictor: str | None = None, stats=None, levels=None) -> Design:
@@ -61,31 +63,43 @@ def coefficient_bootstrap(df: DataFrame, designs: dict[str, Design], outcome: st
     return bootstrap_fit(per_cluster, "_cluster", order, solve, list(designs), replicates, seed, weights)
 
 
+PRIMARY = "primary"
+
+
 def run_association(df: DataFrame, p: AssociationParams) -> dict[str, DataFrame]:
-    """Primary fit, bootstrap interval, sensitivity family, diagnostics and strata as result tables."""
+    """Primary fit, bootstrap interval, sensitivity family, diagnostics and strata as result tables.
+
+    The covariates are evaluated once into a narrow table that all later passes read. The
+    primary fit and the sensitivity family come from one pair of passes; the family's
+    p-values are adjusted together, without the primary one.
+    """
     spark = df.sparkSession
-    stats = N.design_stats(df, p.continuous)
-    levels = N.levels_of(df, p.categorical)
-    design = primary_design(df, p, stats=stats, levels=levels)
-    row, fit = N.associate("primary", df, design, p.outcome, p.predictor, p.cluster)
-    reps = coefficient_bootstrap(df, {"beta": fit.design}, p.outcome, {"beta": p.predictor}, p.cluster, p.replicates, p.seed)
+    design = primary_design(df, p)
+    named = {f"_d{i}": c.cast("double") for i, c in enumerate(design.columns[2:])}
+    used = dict.fromkeys(n for v in p.variants for n in (v.outcome, v.predictor))
+    kept = dict.fromkeys([p.cluster, p.outcome, p.predictor, *used, *([p.stratum] if p.stratum else [])])
+    flags = {f"_p{i}": F.coalesce(v.where, F.lit(False)) for i, v in enumerate(p.variants) if v.where is not None}
+    weights = {f"_v{i}": v.weight for i, v in enumerate(p.variants) if v.weight is not None}
+    rows = checkpointed(df.select(*kept, *[c.alias(n) for n, c in (named | flags | weights).items()]))
+    covariates = Design([design.names[0], *design.names[2:]], [F.lit(1.0), *[F.col(n) for n in named]])
+    family = [replace(v, where=F.col(f"_p{i}") if v.where is not None else None, weight=F.col(f"_v{i}") if v.weight is not None else None)
+              for i, v in enumerate(p.variants)]
+    fits = variant_fits(rows, covariates, [Variant(PRIMARY, p.outcome, p.predictor), *family], p.cluster)
+    row, fit = association_row(PRIMARY, rows, fits[0].fit, p.predictor, fits[0].predictor_sd, outcome=p.outcome), fits[0].fit
+    reps = coefficient_bootstrap(rows, {"beta": fit.design}, p.outcome, {"beta": p.predictor}, p.cluster, p.replicates, p.seed)
     ci = percentile_interval(reps, [], "beta").first()
     row |= {"bootstrap_ci95_low": ci["ci_low"], "bootstrap_ci95_high": ci["ci_high"], "bootstrap_replicates": ci["replicates"]}
-    sized = group_size(df, [p.cluster], "_cluster_size")
-    family = N.sensitivity_family([
-        {"name": "primary_population", "df": df, "outcome": p.outcome, "predictor": p.predictor},
-        {"name": "equal_weight_per_cluster", "df": sized, "outcome": p.outcome, "predictor": p.predictor, "weights": 1 / F.col("_cluster_size")},
-    ], lambda part, x: primary_design(part, p, x, stats, levels), p.cluster)
-    diag = N.residual_diagnostics(df, fit, F.col(p.outcome).cast("double"))
-    spline, curve = N.spline_sensitivity(df, fit.design, p.predictor, p.outcome, p.cluster)
+    diag = N.residual_diagnostics(rows, fit, F.col(p.outcome).cast("double"))
+    spline, curve = N.spline_sensitivity(rows, fit.design, p.predictor, p.outcome, p.cluster)
     out = {
         "primary": rows_frame(spark, [row]), "coefficients": rows_frame(spark, fit.coefficient_rows()),
-        "sensitivity": rows_frame(spark, family),
         "diagnostics": rows_frame(spark, [{"metric": k, "value": float(v)} for k, v in (diag | spline).items()]),
         "spline_curve": rows_frame(spark, curve),
     }
+    if family:
+        out["sensitivity"] = rows_frame(spark, N.family_rows(rows, fits[1:]))
     if p.stratum:
-        strata = N.stratified_fits(df, p.stratum, fit.design, p.outcome, p.predictor, p.cluster)
+        strata = N.stratified_fits(rows, p.stratum, fit.design, p.outcome, p.predictor, p.cluster)
         if strata:
             out["strata"] = rows_frame(spark, strata)
     return out
