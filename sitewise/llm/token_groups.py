@@ -8,27 +8,29 @@ look at the union bounds the overlap with all members. Only groups that reach th
 are opened, and their members' intersections are counted as one product of two small
 0/1 matrices.
 
-*Which classes may have a partner.* Sizes fall in levels that grow by ``1 / t``, so two
+*Which classes may have a partner.* Sizes fall in levels wider than ``1 / t``, so two
 linked sets lie in one level or in neighbouring ones. For a level, two linked sets differ
 in at most ``d`` tokens. Tokens are dealt by hash into ``d + 1`` segments and one or two
 more; each token that differs spoils one segment, so at least the others are alike. A
-class has a fingerprint per segment that is not empty, in the schemes of its own level and
-of the one below. Should so many of its segments be empty that the alike ones could all
+class has a fingerprint per segment that is not empty, in the scheme of its own level and,
+if it is small enough to have partners there, of the one below. Should so many of its segments be empty that the alike ones could all
 be, the tokens of its prefix (the smallest hashes, one of which linked sets share) are
 fingerprints too; its partner is then in the same case. So linked sets share a fingerprint
 always, while a passage that many documents have in common makes none by itself.
 
-*Groups.* Classes that share a fingerprint are range-sorted by two MinHash values, and
-neighbours with the same first value become a group, up to ``members`` classes or
+*Groups.* Each class that shares a fingerprint takes the smallest class it shares one with
+as its hub, and that one's hub in turn. Classes are range-sorted by hub and two MinHash
+values, and neighbours with one hub become a group, up to ``members`` classes or
 ``tokens`` tokens. A larger family spreads over many groups and tasks. Links inside a
 group are found where it is built.
 
-*Between groups.* A pair of groups is a candidate when they share a fingerprint. First each
-group meets only the smallest group of every fingerprint, which joins a family of close
-copies in steps linear in its groups. Then, with components known, every pair of groups
-that shares a fingerprint whose holders are not all of one component meets. No pair of
-documents is ever a row; rows of this step grow with the square of the number of *groups*
-of a family that does not hang together, 1 / members ** 2 of its pairs.
+*Between groups.* A pair of groups is a candidate when they share a fingerprint; the queries
+are those members of one group that hold it. First each group meets only the smallest
+group of every fingerprint, which joins a family of close copies in steps linear in its
+groups. Then, with components known, every pair of groups that shares a fingerprint whose
+holders are not all of one component meets. No pair of documents is ever a row; rows of
+this step grow with the square of the number of *groups* of a family that does not hang
+together, 1 / members ** 2 of its pairs.
 
 Words are runs of bytes other than the six ASCII blanks, A-Z lower-cased. A text with
 fewer words than a shingle is one shingle; null or empty text has none and is linked with
@@ -52,11 +54,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewise.llm.near_dup import _mix, _Words, shingle_set
+from sitewise.llm.shingles import chunks, mix, shingle_sets
 from sitewise.operators.groups import connected_components
 from sitewise.session import checkpointed
 
 _SMALL_LEVEL = 64
+BROADCAST_CLASSES = 100_000
+"""Classes that may have a partner, and pairs of groups, are broadcast, 40 bytes each, only if they are counted to be no more."""
 _GOLDEN = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -65,54 +69,66 @@ _MASK = (1 << 64) - 1
 class JoinParams:
     words: int = 4
     percent: int = 85
-    members: int = 256
-    tokens: int = 1 << 16
+    members: int = 256  # at most; a mask has that many bits
+    tokens: int = 1 << 15
     rows_per_part: int = 100_000
 
 
 @cache
-def _levels(percent: int) -> list[int]:
-    """Smallest sizes of the levels."""
+def _levels(percent: int) -> np.ndarray:
+    """Smallest sizes of the levels; each is half as wide again as the one before, and wide enough for partners."""
     found = [1]
     while found[-1] < 1 << 40:
-        found.append(100 * found[-1] // percent + 1)
-    return found
+        found.append(max(100 * found[-1] // percent + 1, 3 * found[-1] // 2))
+    return np.array(found, np.int64)
 
 
-@cache
-def _scheme(level: int, percent: int) -> tuple[int, int]:
-    """How many tokens linked sets of the level and its upper neighbour may differ in, and the number of segments."""
+def _schemes(percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per level: how many tokens the smaller of two linked sets lets them differ in, and the number of segments (none if 0)."""
     first = _levels(percent)
-    differ = (100 - percent) * (first[level + 1] - 1) // percent
-    return differ, differ + (2 if first[level] < _SMALL_LEVEL else 3)
+    differ = (100 - percent) * (first[1:] - 1) // percent
+    return differ, np.where(differ > 0, differ + np.where(first[:-1] < _SMALL_LEVEL, 2, 3), 0)
 
 
 def _salted(tokens: np.ndarray, salt: int) -> np.ndarray:
-    return _mix(tokens ^ np.uint64(salt * _GOLDEN & _MASK))
-
-
-def fingerprints(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """Fingerprints of a sorted set, of which any two linked sets that are not equal share one."""
-    size, out = len(tokens), []
-    level = bisect_right(_levels(percent), size) - 1
-    for scheme in (level, level - 1):
-        if scheme < 0:
-            continue
-        differ, k = _scheme(scheme, percent)
-        if not differ:  # only equal sets are linked
-            continue
-        segment = (_salted(tokens, 1) >> np.uint64(16)) % np.uint64(k)
-        order = np.argsort(segment, kind="stable")
-        starts = np.flatnonzero(np.r_[True, np.diff(segment[order].astype(np.int64)) > 0])
-        sums = np.add.reduceat(_salted(tokens, 2)[order], starts)
-        out.append(_salted(sums + segment[order][starts] * np.uint64(_GOLDEN), 3 + scheme))
-        if k - len(starts) >= k - differ:
-            prefix = size - -(-percent * size // 100) + 1
-            out.append(_salted(tokens[:prefix], 1003 + scheme))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-
-_SIGNED = "doc_id long, n_shingles long, _c0 long, _c1 long, _m1 long, _m2 long, _prints array<long>"
+    return mix(tokens ^ np.uint64(salt * _GOLDEN & _MASK))
+
+
+def fingerprints(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
+    """Fingerprints of sorted sets, of which any two linked sets that are not equal share one."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+    first, (differ, segments) = _levels(percent), _schemes(percent)
+    own = np.searchsorted(first, sizes, side="right") - 1
+    place, value = _salted(flat, 1) >> np.uint64(32), _salted(flat, 2)
+    of_set, found, owner = np.repeat(np.arange(len(sets)), sizes), [], []
+    # A set has partners in the level below only if its size times the similarity is below its level.
+    for level, here in ((own, sizes > 0), (own - 1, (own > 0) & (percent * sizes <= 100 * (first[np.maximum(own, 0)] - 1)))):
+        k = np.where(here, segments[np.maximum(level, 0)], 0)
+        start = k.cumsum() - k
+        used = np.repeat(k > 0, sizes)
+        whose = of_set[used]
+        segment = (place[used] * k[whose].astype(np.uint64)) >> np.uint64(32)
+        at = start[whose] + segment.astype(np.int64)
+        sums = np.zeros(k.sum(), np.uint64)
+        np.add.at(sums, at, value[used])
+        full = np.bincount(at, minlength=len(sums)) > 0
+        set_of, number = np.repeat(np.arange(len(sets)), k), np.arange(len(sums)) - np.repeat(start, k)
+        salt = mix(np.repeat(level, k).astype(np.uint64) * np.uint64(_GOLDEN) + number.astype(np.uint64))
+        found.append(mix(sums ^ salt)[full])
+        owner.append(set_of[full])
+        # Alike segments could all be empty: the prefix stands in for them.
+        empty = k - np.bincount(set_of[full], minlength=len(sets))
+        for i in np.flatnonzero((k > 0) & (empty >= k - differ[np.maximum(level, 0)])):
+            prefix = int(sizes[i]) - -(-percent * int(sizes[i]) // 100) + 1
+            found.append(_salted(sets[i][:prefix], 1003 + int(level[i])))
+            owner.append(np.full(prefix, i))
+    prints, owners = np.concatenate(found), np.concatenate(owner)
+    order = np.argsort(owners, kind="stable")
+    return np.split(prints[order], np.bincount(owners, minlength=len(sets)).cumsum()[:-1]) if len(sets) else []
+
+
+_SIGNED = "doc_id long, n_shingles long, _c0 long, _c1 long, _m1 long, _m2 long"
 
 
 def _digest(tokens: np.ndarray) -> np.ndarray:
@@ -120,27 +136,43 @@ def _digest(tokens: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pd.DataFrame], params: JoinParams) -> Iterator[pd.DataFrame]:
-    words = _Words()
     for batch in batches:
-        out = []
-        for text in batch["text"]:
-            s = shingle_set(text if isinstance(text, str) else None, params.words, words)
-            if not len(s):
-                out.append((0, None, None, None, None, None))
-                continue
-            c0, c1 = _digest(s)
-            m1, m2 = (int(_salted(s, salt).min().view(np.int64)) for salt in (-1, -2))
-            out.append((len(s), int(c0), int(c1), m1, m2, fingerprints(s, params.percent).view(np.int64)))
-        frame = pd.DataFrame(out, columns=["n_shingles", "_c0", "_c1", "_m1", "_m2", "_prints"], dtype=object)
-        whole = ["n_shingles", "_c0", "_c1", "_m1", "_m2"]
-        frame[whole] = frame[whole].astype("Int64")
-        yield pd.concat([batch[["doc_id"]].astype("Int64").reset_index(drop=True), frame], axis=1)
+        texts = batch["text"].tolist()
+        for start, end in chunks(texts):
+            sets = shingle_sets(texts[start:end], params.words)
+            full = np.flatnonzero([len(s) > 0 for s in sets])
+            frame = pd.DataFrame({"doc_id": batch["doc_id"].iloc[start:end].astype("Int64").to_numpy(), "n_shingles": [len(s) for s in sets]})
+            begins = np.cumsum([0, *[len(sets[i]) for i in full]])[:-1]
+            flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+            whole = np.array([_digest(sets[i]) for i in full]).reshape(-1, 2)
+            columns = [whole[:, 0], whole[:, 1]] + [np.minimum.reduceat(_salted(flat, salt), begins).view(np.int64) if len(full) else [] for salt in (-1, -2)]
+            for name, values in zip(("_c0", "_c1", "_m1", "_m2"), columns):
+                frame[name] = pd.Series(values, index=full, dtype="Int64")
+            yield frame
+
+
+def _binary(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("decimal(20,0)").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
 
 def signatures(docs: DataFrame, params: JoinParams) -> DataFrame:
-    """Set size, class (two longs), two MinHash values and fingerprints of every row."""
-    rows = docs.select(F.col("doc_id").cast("decimal(20,0)").alias("doc_id"), "text")
-    return rows.mapInPandas(lambda b: _signed(b, params), _SIGNED)
+    """Set size, class (two longs) and two MinHash values of every row; null without a set."""
+    return _binary(docs).mapInPandas(lambda b: _signed(b, params), _SIGNED)
+
+
+def _printed(batches: Iterator[pd.DataFrame], params: JoinParams) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        texts = batch["text"].tolist()
+        for start, end in chunks(texts):
+            sets = [s for s in shingle_sets(texts[start:end], params.words) if len(s)]
+            prints = fingerprints(sets, params.percent)
+            yield pd.DataFrame({"_c0": [int(_digest(s)[0]) for s in sets], "_prints": [p.view(np.int64) for p in prints]})
+
+
+def printed(docs: DataFrame, params: JoinParams) -> DataFrame:
+    """``_c0, print``: one long of the class and a fingerprint of every row with an id."""
+    rows = _binary(docs).where("doc_id is not null and text is not null").select("text")
+    return rows.mapInPandas(lambda b: _printed(b, params), "_c0 long, _prints array<long>").select("_c0", F.explode("_prints").alias("print"))
 
 
 def _dealt(batches: Iterator[pd.DataFrame], params: JoinParams) -> Iterator[pd.DataFrame]:
@@ -148,29 +180,36 @@ def _dealt(batches: Iterator[pd.DataFrame], params: JoinParams) -> Iterator[pd.D
     name, value, members, tokens = None, None, 0, 0
     for batch in batches:
         groups = []
-        for cid, m1, n in zip(batch["cid"], batch["_m1"], batch["_n"]):
-            if name is None or m1 != value or members >= params.members or tokens + n > params.tokens:
-                name, value, members, tokens = cid, m1, 0, 0
+        for cid, hub, n in zip(batch["cid"], batch["hub"], batch["_n"]):
+            if name is None or hub != value or members >= params.members or tokens + n > params.tokens:
+                name, value, members, tokens = cid, hub, 0, 0
             members, tokens = members + 1, tokens + n
             groups.append(name)
         yield batch.assign(g=groups)[["cid", "g", "_c0", "_c1", "_least"]]
 
 
 def _sets(batches: Iterator[pd.DataFrame], params: JoinParams) -> Iterator[pd.DataFrame]:
-    words = _Words()
+    """The sets of the wanted classes, each once in a task; what it remembers grows with the classes that it has read."""
+    seen: set[int] = set()
     for batch in batches:
-        sets = [shingle_set(t, params.words, words) for t in batch["text"]]
-        whole = np.array([_digest(s) for s in sets]).reshape(-1, 2)
-        yield pd.DataFrame({"_c0": whole[:, 0], "_c1": whole[:, 1], "tokens": [s.tobytes() for s in sets]})
+        texts = batch["text"].tolist()
+        for start, end in chunks(texts):
+            rows, part = [], batch.iloc[start:end]
+            for s, g, cid, c0, c1 in zip(shingle_sets(texts[start:end], params.words), part["g"], part["cid"], part["_c0"], part["_c1"]):
+                # Rows that share an id may hold other texts than the class's.
+                if cid not in seen and tuple(_digest(s)) == (c0, c1):
+                    seen.add(cid)
+                    rows.append((g, cid, s.tobytes()))
+            yield pd.DataFrame(rows, columns=["g", "cid", "tokens"])
 
 
 @dataclass
 class Block:
-    """The members of a group."""
+    """A group: its row of the matrix, the sorted union of tokens, and where each member's tokens stand in it."""
 
     cids: np.ndarray
-    flat: np.ndarray
     ends: np.ndarray
+    places: np.ndarray
     union: np.ndarray
 
     @property
@@ -182,23 +221,20 @@ class Block:
         return np.repeat(np.arange(len(self.cids)), self.sizes)
 
 
-def _matrix(block: Block, shared: np.ndarray, kept: np.ndarray) -> np.ndarray:
-    """0/1 rows of the ``kept`` members over the ``shared`` tokens."""
+def _matrix(block: Block, column: np.ndarray, many: int, kept: np.ndarray) -> np.ndarray:
+    """0/1 rows of the ``kept`` members over ``many`` columns; ``column`` is a union token's column or -1."""
     row = np.full(len(block.cids), -1)
     row[kept] = np.arange(len(kept))
-    at = np.searchsorted(shared, block.flat)
-    at[at == len(shared)] = 0
-    here = (shared[at] == block.flat) & (row[block.owners] >= 0)
-    out = np.zeros((len(kept), len(shared)), np.float32)  # counts below 2 ** 24 are exact
-    out[row[block.owners[here]], at[here]] = 1
+    at, whose = column[block.places], row[block.owners]
+    here = (at >= 0) & (whose >= 0)
+    out = np.zeros((len(kept), many), np.float32)  # counts below 2 ** 24 are exact
+    out[whose[here], at[here]] = 1
     return out
 
 
-def _overlap(block: Block, union: np.ndarray) -> np.ndarray:
-    """How many tokens of each member lie in the union: the bound of its intersection with any set there."""
-    at = np.searchsorted(union, block.flat)
-    at[at == len(union)] = 0
-    return np.bincount(block.owners, union[at] == block.flat, len(block.cids)).astype(np.int64)
+def _overlap(block: Block, shared: np.ndarray) -> np.ndarray:
+    """How many tokens of each member lie in the other union: the bound of its intersection with any set there."""
+    return np.bincount(block.owners, shared[block.places], len(block.cids)).astype(np.int64)
 
 
 COLUMNS = 1 << 16
@@ -207,17 +243,23 @@ COLUMNS = 1 << 16
 def linked_members(x: Block, y: Block, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of all linked members of two groups; groups that miss the bound are not opened."""
     none = np.zeros(0, np.int64)
-    queries = np.flatnonzero(100 * _overlap(x, y.union) >= percent * x.sizes)
+    shared, in_x, in_y = np.intersect1d(x.union, y.union, assume_unique=True, return_indices=True)
+    columns = []
+    for block, at in ((x, in_x), (y, in_y)):
+        column = np.full(len(block.union), -1)
+        column[at] = np.arange(len(shared))
+        columns.append(column)
+    queries = np.flatnonzero(100 * _overlap(x, columns[0] >= 0) >= percent * x.sizes)
     if not len(queries):
         return none, none
-    targets = np.flatnonzero(100 * _overlap(y, x.union) >= percent * y.sizes)
+    targets = np.flatnonzero(100 * _overlap(y, columns[1] >= 0) >= percent * y.sizes)
     if not len(targets):
         return none, none
-    shared = np.intersect1d(x.union, y.union, assume_unique=True)
     both = np.zeros((len(queries), len(targets)), np.int64)
     for at in range(0, len(shared), COLUMNS):
-        some = shared[at:at + COLUMNS]
-        both += (_matrix(x, some, queries) @ _matrix(y, some, targets).T).astype(np.int64)
+        some = [np.where((c >= at) & (c < at + COLUMNS), c - at, -1) for c in columns]
+        many = min(COLUMNS, len(shared) - at)
+        both += (_matrix(x, some[0], many, queries) @ _matrix(y, some[1], many, targets).T).astype(np.int64)
     either = x.sizes[queries][:, None] + y.sizes[targets][None, :] - both
     a, b = np.nonzero((both > 0) & (100 * both >= percent * either))
     return queries[a], targets[b]
@@ -236,7 +278,12 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         low = now
 
 
-_BLOCK = "g long, cids array<long>, roots array<long>, ends array<int>, flat binary, matrix_row binary"
+_HELD = ["cids", "roots", "ends", "places", "matrix_row"]
+_BLOCK = "g long, cids array<long>, roots array<long>, ends array<int>, places binary, matrix_row binary"
+
+
+def _places_type(union: int) -> type:
+    return np.uint16 if union <= 1 << 16 else np.uint32
 
 
 def _blocks(batches: Iterator[pd.DataFrame], params: JoinParams) -> Iterator[pd.DataFrame]:
@@ -244,75 +291,113 @@ def _blocks(batches: Iterator[pd.DataFrame], params: JoinParams) -> Iterator[pd.
         for g, members in zip(batch["g"], batch["members"]):
             sets = {int(m["cid"]): np.frombuffer(m["tokens"], np.uint64) for m in members}  # repeated rows give one
             cids = np.array(sorted(sets), np.int64)
-            flat = np.concatenate([sets[int(c)] for c in cids])
-            block = Block(cids, flat, np.array([len(sets[int(c)]) for c in cids]).cumsum(), np.unique(flat))
+            union, places = np.unique(np.concatenate([sets[int(c)] for c in cids]), return_inverse=True)
+            block = Block(cids, np.array([len(sets[int(c)]) for c in cids]).cumsum(), places, union)
             roots = cids
             if len(cids) > 1:
                 roots = cids[_roots(len(cids), *linked_members(block, block, params.percent))]
             yield pd.DataFrame({"g": [g], "cids": [cids], "roots": [roots], "ends": [block.ends.astype(np.int32)],
-                                "flat": [flat.tobytes()], "matrix_row": [block.union.tobytes()]})
+                                "places": [places.astype(_places_type(len(union))).tobytes()], "matrix_row": [union.tobytes()]})
+
+
+_MASKS = [f"m{i}" for i in range(4)]
+
+
+def _block(roots, ends, places, matrix_row) -> Block:
+    union = np.frombuffer(matrix_row, np.uint64)
+    return Block(np.asarray(roots), np.asarray(ends, np.int64), np.frombuffer(places, _places_type(len(union))), union)
+
+
+def _queried(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The queries of each pair: of a group's members those with a bit in the masks."""
+    for batch in batches:
+        rows = []
+        for row in batch.itertuples(index=False):
+            block = _block(row.roots, row.ends, row.places, row.matrix_row)
+            bits = np.unpackbits(np.array([row.m0, row.m1, row.m2, row.m3], "<i8").view(np.uint8), bitorder="little")[:len(block.cids)] > 0
+            sizes = block.sizes
+            rows.append((row.h, block.cids[bits], sizes[bits].cumsum().astype(np.int32), block.union[block.places[np.repeat(bits, sizes)]].tobytes()))
+        yield pd.DataFrame(rows, columns=["h", "q_roots", "q_ends", "q_tokens"])
 
 
 def _opened(batches: Iterator[pd.DataFrame], params: JoinParams) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for row in batch.itertuples(index=False):
-            x, y = (Block(np.asarray(row[i]), np.frombuffer(row[i + 3], np.uint64), np.asarray(row[i + 2], np.int64), np.frombuffer(row[i + 4], np.uint64)) for i in (0, 5))
+            union, places = np.unique(np.frombuffer(row.q_tokens, np.uint64), return_inverse=True)
+            x, y = Block(np.asarray(row.q_roots), np.asarray(row.q_ends, np.int64), places, union), _block(row.roots, row.ends, row.places, row.matrix_row)
             a, b = linked_members(x, y, params.percent)
             # Members of one root are connected already: one link per pair of roots is enough.
-            pairs = np.unique(np.stack([np.asarray(row[1])[a], np.asarray(row[6])[b]], 1), axis=0)
+            pairs = np.unique(np.stack([x.cids[a], y.cids[b]], 1), axis=0)
             yield pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
 
 
 def links_between(pairs: DataFrame, blocks: DataFrame, params: JoinParams) -> DataFrame:
-    """``u, v``: linked roots of the paired groups ``g, h``."""
-    held = ["cids", "roots", "ends", "flat", "matrix_row"]
-    x = blocks.select("g", *[F.col(c).alias(f"x_{c}") for c in held])
-    y = blocks.select(F.col("g").alias("h"), *[F.col(c).alias(f"y_{c}") for c in held])
-    rows = pairs.join(x, "g").join(y, "h").select(*[f"x_{c}" for c in held], *[f"y_{c}" for c in held])
+    """``u, v``: linked roots of the queries of group ``g`` (masks ``m0`` to ``m3``) and the members of group ``h``."""
+    held = blocks.select("g", "roots", "ends", "places", "matrix_row")
+    few = F.broadcast if pairs.count() <= BROADCAST_CLASSES else lambda table: table
+    queries = held.join(few(pairs), "g").mapInPandas(_queried, "h long, q_roots array<long>, q_ends array<int>, q_tokens binary")
+    targets = held.withColumnRenamed("g", "h").join(few(pairs.select("h").distinct()), "h", "left_semi")
+    rows = queries.join(targets, "h")
     return checkpointed(rows.mapInPandas(lambda b: _opened(b, params), "u long, v long").distinct())
 
 
 def _mixed(held: DataFrame, label: DataFrame) -> DataFrame:
-    """Fingerprints that several groups and several components hold: ``print, g, lo, hi`` with each group's range of components."""
-    each = held.join(label, "root").groupBy("print", "g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    """Fingerprints that several groups and several components hold: with each group's range of components and holders."""
+    each = held.join(label, "root").groupBy("print", "g").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"),
+        *[F.bit_or(F.when(F.floor(F.col("pos") / 64) == i, F.expr("shiftleft(1L, pos % 64)")).otherwise(F.lit(0))).alias(m) for i, m in enumerate(_MASKS)])
     several = each.groupBy("print").agg(F.min("g").alias("_g0"), F.max("g").alias("_g1"), F.min("lo").alias("_lo"), F.max("hi").alias("_hi")) \
         .where("_g0 < _g1 and _lo < _hi").select("print", F.col("_g0").alias("first"))
     return checkpointed(each.join(several, "print"))
 
 
+def _together(pairs: DataFrame) -> DataFrame:
+    return checkpointed(pairs.groupBy("g", "h").agg(*[F.bit_or(m).alias(m) for m in _MASKS]))
+
+
 def join(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs`` (``doc_id``, ``text``)."""
     signed = checkpointed(signatures(docs, params))
     with_set = signed.where("doc_id is not null and _c0 is not null")
     classes = checkpointed(with_set.groupBy("_c0", "_c1").agg(F.min("doc_id").alias("_least"), F.min("_m1").alias("_m1"), F.min("_m2").alias("_m2"),
                                                              F.max("n_shingles").alias("_n")).withColumn("cid", F.monotonically_increasing_id()))
-    prints = with_set.select("_c0", "_c1", F.explode("_prints").alias("print"))
-    shared = prints.groupBy("print").agg(*[f(c).alias(n) for c, n0 in (("_c0", "0"), ("_c1", "1")) for f, n in ((F.min, f"_lo{n0}"), (F.max, f"_hi{n0}"))]) \
-        .where("_lo0 < _hi0 or _lo1 < _hi1").select("print")
-    held = checkpointed(prints.join(shared, "print").distinct().join(classes.select("_c0", "_c1", "cid"), ["_c0", "_c1"]).select("print", "cid"))
-    likely = checkpointed(classes.join(held.select("cid").distinct(), "cid", "left_semi"))
-    parts = max(1, likely.count() // params.rows_per_part)
-    sorted_rows = likely.repartitionByRange(parts, "_m1", "_m2", "cid").sortWithinPartitions("_m1", "_m2", "cid")
+    # One of the class's two longs tells classes apart here, so that the many unique fingerprints travel light.
+    # They are made twice: cheaper than keeping them.
+    shared = printed(docs, params).groupBy("print").agg(F.min("_c0").alias("_lo"), F.max("_c0").alias("_hi")).where("_lo < _hi").select("print")
+    entries = printed(docs, params).join(checkpointed(shared), "print").distinct()
+    held = checkpointed(entries.join(classes.select("_c0", "cid"), "_c0").select("print", "cid"))
+    lowest = held.groupBy("print").agg(F.min("cid").alias("low"))
+    hubs = checkpointed(held.join(lowest, "print").groupBy("cid").agg(F.min("low").alias("hub")))
+    hubs = hubs.join(hubs.select(F.col("cid").alias("hub"), F.col("hub").alias("_next")), "hub").select("cid", F.col("_next").alias("hub"))
+    likely = checkpointed(classes.join(hubs, "cid"))
+    many = likely.count()
+    order = ["hub", "_m1", "_m2", "cid"]
+    sorted_rows = likely.repartitionByRange(max(1, many // params.rows_per_part), *order).sortWithinPartitions(*order)
     dealt = checkpointed(sorted_rows.mapInPandas(lambda b: _dealt(b, params), "cid long, g long, _c0 long, _c1 long, _least long"))
-    wanted = dealt.select(F.col("_least").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(wanted, "doc_id", "left_semi").distinct()
-    sets = texts.select("text").mapInPandas(lambda b: _sets(b, params), "_c0 long, _c1 long, tokens binary")
-    grouped = sets.join(dealt, ["_c0", "_c1"]).groupBy("g").agg(F.collect_list(F.struct("cid", "tokens")).alias("members"))
+    wanted = dealt.withColumnRenamed("_least", "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    found = texts.join(F.broadcast(wanted) if many <= BROADCAST_CLASSES else wanted, "doc_id").drop("doc_id")
+    sets = found.mapInPandas(lambda b: _sets(b, params), "g long, cid long, tokens binary")
+    grouped = sets.groupBy("g").agg(F.collect_list(F.struct("cid", "tokens")).alias("members"))
     blocks = checkpointed(grouped.mapInPandas(lambda b: _blocks(b, params), _BLOCK))
-    root = blocks.select("g", F.inline(F.arrays_zip(F.col("cids").alias("cid"), F.col("roots").alias("root"))))
-    root = checkpointed(root)
-    held = checkpointed(held.join(root, "cid").select("print", "g", "root").distinct())
+    root = checkpointed(blocks.select("g", F.posexplode(F.arrays_zip(F.col("cids").alias("cid"), F.col("roots").alias("root"))).alias("pos", "_z"))
+                        .select("g", "pos", "_z.cid", "_z.root"))
+    held = checkpointed(held.join(root, "cid").select("print", "g", "pos", "root"))
     label = root.select("root", F.col("root").alias("component")).distinct()
     # Each group with the first group of its fingerprints, then whatever could still join two components.
-    near = checkpointed(_mixed(held, label).where("first < g").select(F.col("first").alias("g"), F.col("g").alias("h")).distinct())
+    near = _together(_mixed(held, label).where("first < g").select("g", F.col("first").alias("h"), *_MASKS))
     links = links_between(near, blocks, params)
     nodes = label.select(F.col("root").alias("node"))
     label = checkpointed(connected_components(nodes, links).withColumnRenamed("node", "root"))
     mixed = _mixed(held, label)
     x, y = mixed.alias("x"), mixed.alias("y")
     apart = ~((F.col("x.lo") == F.col("y.hi")) & (F.col("x.hi") == F.col("y.lo")))
-    far = x.join(y, (F.col("x.print") == F.col("y.print")) & (F.col("x.g") < F.col("y.g")) & apart).select(F.col("x.g").alias("g"), F.col("y.g").alias("h")).distinct()
-    far = checkpointed(far.join(near, ["g", "h"], "left_anti"))
+    far = _together(x.join(y, (F.col("x.print") == F.col("y.print")) & (F.col("x.g") > F.col("y.g")) & apart)
+                    .select(F.col("x.g").alias("g"), F.col("y.g").alias("h"), *[F.col(f"x.{m}").alias(m) for m in _MASKS]))
+    # Queries that have met a group need not meet it again.
+    met = near.select("g", "h", *[F.col(m).alias(f"_{m}") for m in _MASKS])
+    new = [F.expr(f"{m} & ~coalesce(_{m}, 0L)").alias(m) for m in _MASKS]
+    far = checkpointed(far.join(met, ["g", "h"], "left").select("g", "h", *new).where("(m0 | m1 | m2 | m3) <> 0"))
     if not far.isEmpty():
         more = links_between(far, blocks, params)
         label = checkpointed(connected_components(nodes, links.unionAll(more)).withColumnRenamed("node", "root"))

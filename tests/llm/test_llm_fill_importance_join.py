@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitewise.llm import fill_middle, importance, token_groups
-from sitewise.llm.near_dup import _Words, shingle_set
+from sitewise.llm.shingles import shingle_sets
 
 LINES = ["", "one", "one\n", "\n\n\n", "ä\nß€\n\n😀 end", "x" * 3000 + "\n" + "y" * 50, "<P> inside\nof it", "a<S\n>b\n", "<", "ends with <\n<\n", "\n".join("línea %d" % i for i in range(500))]
 
@@ -114,7 +114,8 @@ def test_linked_sets_share_a_fingerprint():
             a, b = (np.unique(np.r_[union[:size], spare[side]]) for side in (mine, ~mine))
             both = len(np.intersect1d(a, b))
             if 100 * both >= percent * (len(a) + len(b) - both) and len(spare):
-                assert np.intersect1d(token_groups.fingerprints(a, percent), token_groups.fingerprints(b, percent)).size
+                one, other = token_groups.fingerprints([a, b], percent)
+                assert np.intersect1d(one, other).size
 
 
 def variants(rng, base, many, most):
@@ -127,9 +128,24 @@ def variants(rng, base, many, most):
     return out
 
 
+def plain_shingles(text, width):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i:i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def test_shingles_of_many_texts():
+    texts = ["", None, " \t", "one", "One  two", "a b c d e", "a b c d e a b c d", "ß Ä é\x0b日本 x\u00a0y", "z" * (3 << 19) + " tail of it", " lead and trail \n", "b a b a b a", "ab c", "a bc"]
+    found = shingle_sets([None if t is None else t.encode() for t in texts], 4)
+    assert [len(s) for s in found] == [len(plain_shingles(t, 4)) for t in texts]
+    for i, s in enumerate(found):
+        assert (np.diff(s.astype(float)) >= 0).all()
+        for j, o in enumerate(found[:i]):
+            assert len(np.intersect1d(s, o)) == len(plain_shingles(texts[i], 4) & plain_shingles(texts[j], 4))
+    assert all((a == b).all() for a, b in zip(found, [shingle_sets([None if t is None else t.encode()], 4)[0] for t in texts]))
+
+
 def brute_components(texts, params):
-    words = _Words()
-    sets = [set(shingle_set(t, params.words, words).tolist()) for t in texts]
+    sets = [plain_shingles(t, params.words) for t in texts]
     low = list(range(len(texts)))
 
     def top(i):
@@ -160,8 +176,7 @@ def test_components_equal_brute_force(spark, members):
     out = token_groups.join(docs.repartition(6), params).toPandas().sort_values("doc_id")
     assert out["doc_id"].tolist() == list(range(len(texts)))
     assert out["component_id"].tolist() == brute_components(texts, params)
-    words = _Words()
-    assert out["n_shingles"].tolist() == [len(shingle_set(t, 4, words)) for t in texts]
+    assert out["n_shingles"].tolist() == [len(plain_shingles(t, 4)) for t in texts]
 
 
 def test_join_of_rows_without_id_and_repeated_rows(spark):
