@@ -1,30 +1,28 @@
 """Near-duplicate groups by an LSH forest over MinHash signatures.
 
 Each document becomes the set of its distinct word shingles. Documents with equal sets
-form a class, of which one member goes on. A class has several *trees*: each tree is the
-list of all classes sorted by a few MinHash values of its own. In sorted order the
-neighbours of a class are those with the longest common prefix, so looking at the
-``window`` rows before it adapts the depth to the region: where few share a short prefix
-all of them are met, where many do only those of longer prefixes. Prefixes of at least
-``least_depth`` values count. A 256-bit sketch travels with each row, and a pair whose
-sketches differ more than a pair at the threshold would (six standard deviations) is
-not a candidate.
-
-Candidates are confirmed on full sets. To read few texts, the nearest candidate of each
-class and that of smallest id are confirmed first. Of the others, those whose ends are
-then connected can change nothing and are left out; all the rest are confirmed too.
-Groups are connected components.
+form a class. A class has several *trees*: each tree is the list of all classes sorted by
+a few MinHash values of its own. In sorted order the neighbours of a class are those with
+the longest common prefix, so looking at the ``window`` rows before it adapts the depth to
+the region: where few share a short prefix all of them are met, where many do only those
+of longer prefixes. Prefixes of at least ``least_depth`` values count. A 256-bit sketch
+travels with each row, and a pair whose sketches differ more than a pair at the threshold
+would (six standard deviations) is not a candidate.
 
 A region, the rows of a tree with a common prefix of ``least_depth``, may hold more rows
-than a window sees. Once the groups are known, all pairs of such a region that lie in
-different groups, have not been met and pass sketch and size are made and confirmed the
-same way, so a single link to one member of a large group is found like any other. These
-pairs grow with the product of the sizes of unlinked groups in one region; pairs inside a
-group are never made.
+than a window sees. There a row takes only its nearest neighbours, and the region as a
+whole is handed on: any two of its classes are candidates, too.
+
+Candidates are confirmed on full sets, in groups: ``token_groups.link_classes`` puts
+classes with common candidates into groups of bounded size, counts intersections as
+products of small 0/1 matrices, and between groups opens only those that could still join
+two components. So pairs inside a group are never made, a single link to one member of a
+large group is found like any other, and what grows with the square of a region's size is
+its number of groups. Groups of duplicates are connected components.
 
 Rows are range partitioned by whole sort keys, so no prefix or group, however many
-share it, meets in one task, and no group is expanded into all its pairs. The rows at
-both ends of each part are matched once more across the boundary.
+share it, meets in one task. The rows at both ends of each part are matched once more
+across the boundary.
 
 Two documents at the threshold share a prefix of ``d`` values in one of ``t`` trees with
 probability ``1 - (1 - 0.8 ** d) ** t``: 0.9999994 for 20 trees and depth 3, in full
@@ -32,8 +30,8 @@ regions too.
 
 Words are runs of bytes other than the six ASCII blanks, A-Z lower-cased. A text with
 fewer words than a shingle is one shingle; null or empty text has none and is linked with
-nothing, as is a row without an id. Repeated rows share their group. ``doc_id`` is a key
-but for repeated rows.
+nothing, as is a row without an id, whose component is null. Repeated rows share their
+group. Rows that share a ``doc_id`` but not their text are linked by their own texts each.
 """
 
 from __future__ import annotations
@@ -48,14 +46,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewise.llm.common import BROADCAST_ROWS
-from sitewise.operators.groups import connected_components
+from sitewise.llm.shingles import chunks, shingle_sets
+from sitewise.llm.token_groups import JoinParams, link_classes, named_components
 from sitewise.session import checkpointed
 
 PIECES = 8  # MinHash values in a tree's key, 16 bits of each
 BITS = 256
 CHUNK = 2048
-CACHED_WORDS = 200_000
+IN_FULL = 2  # neighbours before a row that it takes in a full region
 
 
 @dataclass(frozen=True)
@@ -66,7 +64,6 @@ class NearDupParams:
     least_depth: int = 3
     window: int = 16
     rows_per_part: int = 100_000
-    rows_per_block: int = 1_000
 
     @property
     def most_differing(self) -> int:
@@ -84,36 +81,6 @@ def _multipliers() -> tuple[np.ndarray, np.ndarray]:
     return raw[0] | np.uint32(1), raw[1]
 
 
-class _Words(dict):
-    """Word to 64-bit hash; emptied when it holds many words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return value
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def shingle_set(text: str | None, width: int, words: dict) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter((words[w] for w in found), np.uint64, len(found))
-    width = min(width, len(h))
-    n = len(h) - width + 1
-    out = np.full(n, width, np.uint64)
-    for d in range(width):
-        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[d:d + n])
-    return np.unique(out)
-
-
 def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     h, least = shingles.astype(np.uint32), np.full(len(a), 0xFFFFFFFF, np.uint32)
     for at in range(0, len(h), CHUNK):
@@ -124,29 +91,30 @@ def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pd.DataFrame], params: NearDupParams) -> Iterator[pd.DataFrame]:
-    words, (a, b), used = _Words(), _multipliers(), params.trees * PIECES
+    (a, b), used = _multipliers(), params.trees * PIECES
     shifts = np.array([48, 32, 16, 0], np.uint64)
     for batch in batches:
-        out = []
-        for text in batch["text"]:
-            s = shingle_set(text if isinstance(text, str) else None, params.words, words)
-            if not len(s):
-                out.append((0, None, None, None, None))
-                continue
-            whole = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
-            v = signature(s, a, b)
-            pieces = (v[:used].astype(np.uint64) & np.uint64(0xFFFF)).reshape(-1, 4)
-            keys = (pieces << shifts).sum(1, dtype=np.uint64).view(np.int64)
-            bits = np.packbits(v >> np.uint32(31)).view(np.int64)
-            out.append((len(s), int(whole[0]), int(whole[1]), keys, bits))
-        frame = pd.DataFrame(out, columns=["n_shingles", "_c0", "_c1", "_keys", "_bits"])
-        frame[["_c0", "_c1"]] = frame[["_c0", "_c1"]].astype("Int64")
-        yield pd.concat([batch[["doc_id"]].astype("Int64").reset_index(drop=True), frame], axis=1)
+        texts = batch["text"].tolist()
+        for start, end in chunks(texts):
+            out = []
+            for s in shingle_sets(texts[start:end], params.words):
+                if not len(s):
+                    out.append((0, None, None, None, None))
+                    continue
+                whole = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
+                v = signature(s, a, b)
+                pieces = (v[:used].astype(np.uint64) & np.uint64(0xFFFF)).reshape(-1, 4)
+                keys = (pieces << shifts).sum(1, dtype=np.uint64).view(np.int64)
+                bits = np.packbits(v >> np.uint32(31)).view(np.int64)
+                out.append((len(s), int(whole[0]), int(whole[1]), keys, bits))
+            frame = pd.DataFrame(out, columns=["n_shingles", "_c0", "_c1", "_keys", "_bits"], dtype=object)
+            frame[["n_shingles", "_c0", "_c1"]] = frame[["n_shingles", "_c0", "_c1"]].astype("Int64")
+            yield pd.concat([batch[["doc_id"]].iloc[start:end].astype("Int64").reset_index(drop=True), frame], axis=1)
 
 
 def signatures(docs: DataFrame, params: NearDupParams) -> DataFrame:
     """``doc_id, n_shingles``, the class (two longs), tree keys and sketch of every document."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
+    return docs.select(F.col("doc_id").cast("decimal(20,0)").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInPandas(
         lambda batches: _signed(batches, params), "doc_id long, n_shingles long, _c0 long, _c1 long, _keys array<long>, _bits array<long>")
 
 
@@ -156,16 +124,21 @@ _FOUND = "a long, b long, differ int, part int, head boolean, " + ", ".join(f"{c
 
 
 def _pairs(rows: pd.DataFrame, first_new: int, params: NearDupParams) -> pd.DataFrame:
-    """Candidates among sorted rows, of which at least the later one is at or after ``first_new``."""
+    """Candidates among sorted rows, of which at least the later one is at or after ``first_new``.
+
+    Rows of a region that is seen to be full take only their nearest neighbours.
+    """
     tree, k0 = rows["tree"].to_numpy(np.int64), rows["k0"].to_numpy(np.int64).view(np.uint64)
     region = k0 >> np.uint64(params.region_shift)
     ids, bits = rows["id"].to_numpy(np.int64), rows[["b0", "b1", "b2", "b3"]].to_numpy(np.int64).view(np.uint64)
     found = []
+    turns = np.flatnonzero(np.r_[True, (tree[1:] != tree[:-1]) | (region[1:] != region[:-1]), True])
+    reach = np.where(np.repeat(np.diff(turns), np.diff(turns)) > params.window + 1, IN_FULL, params.window)
     for step in range(1, min(params.window, len(rows) - 1) + 1):
         at = np.flatnonzero((region[step:] == region[:-step]) & (tree[step:] == tree[:-step]))
-        at = at[at + step >= first_new]
         if not len(at):
             break
+        at = at[(at + step >= first_new) & (reach[at] >= step)]
         differ = np.bitwise_count(bits[at] ^ bits[at + step]).sum(1, dtype=np.int32)
         near = (differ <= params.most_differing) & (ids[at] != ids[at + step])
         x, y = ids[at[near]], ids[at[near] + step]
@@ -217,9 +190,9 @@ def _tree_rows(classes: DataFrame, params: NearDupParams, *more: str) -> DataFra
 
 
 def candidates(classes: DataFrame, params: NearDupParams) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs ``a < b`` of ``id`` with ``differ``, the bits in which their sketches differ; and the full regions.
+    """Distinct pairs ``a < b`` of ``id``; and the full regions, ``tree, region``.
 
-    A full region, ``tree, region``, has more rows than a window sees from each of them.
+    A full region has more rows than a window sees from each of them.
     """
     rows = _tree_rows(classes, params)
     parts = max(1, classes.count() * params.trees // params.rows_per_part)
@@ -235,136 +208,22 @@ def candidates(classes: DataFrame, params: NearDupParams) -> tuple[DataFrame, Da
         ends = swept.where("part >= 0").withColumn("part", F.when(F.col("head"), F.try_element_at(before, F.col("part"))).otherwise(F.col("part")))
         pairs = pairs.unionAll(ends.where("part is not null").select("part", "head", *_ROW).groupBy("part").applyInPandas(
             lambda rows: _across(rows, params), "a long, b long, differ int"))
-    return pairs.groupBy("a", "b").agg(F.min("differ").alias("differ")), full.select("tree", "region")
-
-
-def _small(table: DataFrame) -> DataFrame:
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-
-
-def crossing(classes: DataFrame, full: DataFrame, groups: DataFrame, met: DataFrame, params: NearDupParams) -> DataFrame | None:
-    """Pairs ``a < b`` with ``differ, _ga, _gb`` of different groups in a full region that are not among ``met``.
-
-    The rows outside a region's largest group meet all its rows, in blocks of bounded size.
-    """
-    regions = checkpointed(full, 0)
-    if regions.isEmpty():
-        return None
-    label = groups.select(F.col("node").alias("id"), "component")
-    tree_rows = _tree_rows(classes, params, "n_shingles").withColumn("region", F.shiftrightunsigned("k0", params.region_shift)).drop("k0", "k1")
-    rows = checkpointed(tree_rows.join(_small(regions), ["tree", "region"]).join(label, "id", "left").withColumn("_g", F.coalesce("component", "id")).drop("component"))
-    of_group = rows.groupBy("tree", "region", "_g").agg(F.count(F.lit(1)).alias("_n"))
-    mixed = checkpointed(of_group.groupBy("tree", "region").agg(F.sum("_n").alias("_rows"), F.max(F.struct("_n", "_g")).alias("_most"))
-                         .where("_rows > _most._n").select("tree", "region", F.col("_most._g").alias("_main"),
-                                                          F.ceil(F.col("_rows") / params.rows_per_block).cast("int").alias("_right"),
-                                                          F.ceil((F.col("_rows") - F.col("_most._n")) / params.rows_per_block).cast("int").alias("_left")), 0)
-    if mixed.isEmpty():
-        return None
-    placed = rows.join(_small(mixed), ["tree", "region"])
-    value = ["id", "_g", "n_shingles", "b0", "b1", "b2", "b3"]
-
-    def blocks(side: DataFrame, own: str, other: str, name: str) -> DataFrame:
-        """Each row in one block of its side, beside every block of the other."""
-        dealt = side.withColumn(f"{own}_at", F.pmod(F.xxhash64("id"), F.col(own)).cast("int")).withColumn(f"{other}_at", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-        return dealt.select("tree", "region", "_left_at", "_right_at", *[F.col(c).alias(name + c) for c in value], *(["_main"] if name == "y" else []))
-
-    left, right = blocks(placed.where("_g <> _main"), "_left", "_right", "x"), blocks(placed, "_right", "_left", "y")
-    differ = sum((F.bit_count(F.col(f"xb{i}").bitwiseXOR(F.col(f"yb{i}"))) for i in range(1, 4)), F.bit_count(F.col("xb0").bitwiseXOR(F.col("yb0"))))
-    few, many = F.least("xn_shingles", "yn_shingles"), F.greatest("xn_shingles", "yn_shingles")
-    on = [left[c] == right[c] for c in ("tree", "region", "_left_at", "_right_at")]
-    apart = (F.col("x_g") != F.col("y_g")) & ((F.col("y_g") == F.col("_main")) | (F.col("xid") < F.col("yid")))
-    near = (100 * few >= round(100 * params.similarity) * many) & (differ <= params.most_differing)
-    found = left.join(right, on[0] & on[1] & on[2] & on[3] & apart & near)
-    swap = F.col("xid") > F.col("yid")
-    pairs = found.select(F.least("xid", "yid").alias("a"), F.greatest("xid", "yid").alias("b"), differ.cast("int").alias("differ"),
-                         F.when(swap, F.col("y_g")).otherwise(F.col("x_g")).alias("_ga"), F.when(swap, F.col("x_g")).otherwise(F.col("y_g")).alias("_gb")).distinct()
-    return checkpointed(pairs.join(met.select("a", "b"), ["a", "b"], "left_anti"))
-
-
-def _linked(left: pd.Series, right: pd.Series, params: NearDupParams) -> pd.Series:
-    words, percent, out, last, x = _Words(), round(100 * params.similarity), [], None, None
-    for a, b in zip(left, right):
-        if a is not last:
-            last, x = a, shingle_set(a, params.words, words)
-        y = shingle_set(b, params.words, words)
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        out.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-    return pd.Series(out, dtype=bool)
-
-
-def confirmed(pairs: DataFrame, texts: DataFrame, params: NearDupParams) -> DataFrame:
-    """The pairs ``a, b`` whose full sets reach the similarity; ``texts`` has ``id, text`` once per id."""
-    b = texts.select(F.col("id").alias("b"), F.col("text").alias("_tb"))
-    a = texts.select(F.col("id").alias("a"), F.col("text").alias("_ta"))
-    linked = F.pandas_udf(lambda x, y: _linked(x, y, params), "boolean")
-    return pairs.select("a", "b").join(b, "b").join(a, "a").where(linked("_ta", "_tb")).select("a", "b")
-
-
-def _best_of_each(pairs: DataFrame) -> DataFrame:
-    """The nearest candidate of every class and the one of smallest id, as pairs.
-
-    Steps to smaller ids meet, so most of a group is one component after them; steps to
-    the nearest alone would leave it in many small ones.
-    """
-    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "differ").unionAll(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "differ"))
-    chosen = both.groupBy("id").agg(F.min(F.struct("differ", "other")).alias("_m"), F.min("other").alias("_low")) \
-        .select("id", F.explode(F.array_distinct(F.array("_m.other", "_low"))).alias("other"))
-    return chosen.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-
-
-def _components(nodes: DataFrame, edges: DataFrame, rows: int) -> DataFrame:
-    return checkpointed(connected_components(nodes.select(F.col("id").alias("node")), edges.select(F.col("a").alias("u"), F.col("b").alias("v"))), rows)
-
-
-def _regrouped(groups: DataFrame, links: DataFrame, rows: int) -> DataFrame:
-    """The components after more links, whose ends may be new."""
-    stars = groups.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    nodes = groups.select(F.col("node").alias("id")).unionAll(links.select(F.explode(F.array("a", "b"))))
-    return _components(nodes, links.unionAll(stars), rows)
-
-
-def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components; ids without one are their own."""
-    label = groups.select(F.col("node").alias("a"), F.col("component").alias("_ca"))
-    return pairs.join(label, "a", "left").join(label.toDF("b", "_cb"), "b", "left") \
-        .where(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).select("a", "b")
-
-
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    near = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
-    return checkpointed(near.groupBy("id").agg(F.min("text").alias("text")))
+    return pairs.select("a", "b").distinct(), full.select("tree", "region")
 
 
 def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (``doc_id``, ``text``)."""
     signed = checkpointed(signatures(docs, params))
-    classes = checkpointed(signed.where("doc_id is not null and _c0 is not null").groupBy("_c0", "_c1")
-                           .agg(F.min(F.struct("doc_id", "_keys", "_bits", "n_shingles")).alias("_m"))
-                           .select("_c0", "_c1", F.col("_m.doc_id").alias("id"), "_m._keys", "_m._bits", "_m.n_shingles"))
+    one = signed.where("doc_id is not null and _c0 is not null").groupBy("_c0", "_c1").agg(F.min(F.struct("doc_id", "_keys", "_bits", "n_shingles")).alias("_m"))
+    classes = checkpointed(one.select("_c0", "_c1", F.monotonically_increasing_id().alias("id"), F.col("_m.doc_id").alias("_least"), "_m._keys", "_m._bits",
+                                      F.col("_m.n_shingles").alias("_n")))
     pairs, full = candidates(classes, params)
-    pairs = checkpointed(pairs)
-    many = pairs.count()
-    ids = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), many)
-    texts = _texts(docs, ids)
-    # First the nearest and the smallest candidate of every class, then whatever could still join two groups.
-    wanted = checkpointed(_best_of_each(pairs), many)
-    first = checkpointed(confirmed(wanted, texts, params))
-    groups = _components(ids, first, many)
-    apart = _apart(pairs.join(wanted, ["a", "b"], "left_anti"), groups)
-    second = checkpointed(confirmed(checkpointed(apart), texts, params))
-    if not second.isEmpty():
-        groups = _regrouped(groups, second, many)
-    between = crossing(classes, full, groups, pairs, params)
-    if between is not None and (more := between.count()):
-        texts = _texts(docs, between.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        wanted = checkpointed(between.groupBy(F.least("_ga", "_gb"), F.greatest("_ga", "_gb")).agg(F.min(F.struct("differ", "a", "b")).alias("_m"))
-                              .select("_m.a", "_m.b"), more)
-        groups = _regrouped(groups, checkpointed(confirmed(wanted, texts, params)), many)
-        apart = _apart(between.join(wanted, ["a", "b"], "left_anti"), groups)
-        groups = _regrouped(groups, checkpointed(confirmed(checkpointed(apart), texts, params)), many)
-    of_class = classes.select("_c0", "_c1", "id").join(groups.withColumnRenamed("node", "id"), "id", "left") \
-        .select("_c0", "_c1", F.coalesce("component", "id").alias("_component"))
-    found = signed.select("doc_id", "n_shingles", "_c0", "_c1").join(of_class, ["_c0", "_c1"], "left")
-    component = F.coalesce("_component", "doc_id")
-    return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),
-                        (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))
+    pairs = pairs.select(F.xxhash64(F.lit("pair"), "a", "b").alias("print"), F.explode(F.array("a", "b")).alias("cid"))
+    placed = classes.select(F.col("id").alias("cid"), F.posexplode(F.transform(
+        F.sequence(F.lit(0), F.lit(params.trees - 1)), lambda t: F.shiftrightunsigned(F.get("_keys", 2 * t), params.region_shift))).alias("tree", "region"))
+    whole = placed.join(full, ["tree", "region"]).select(F.xxhash64(F.lit("region"), "tree", "region").alias("print"), "cid")
+    held = checkpointed(pairs.unionAll(whole))
+    narrow = classes.select("_c0", "_c1", F.col("id").alias("cid"), "_least", F.get("_keys", 0).alias("_m1"), F.get("_keys", 1).alias("_m2"), "_n")
+    linked = link_classes(docs, narrow, held, JoinParams(words=params.words, percent=round(100 * params.similarity), rows_per_part=params.rows_per_part))
+    named = named_components(signed, narrow, linked)
+    return named.withColumn("kept", F.col("doc_id").isNull() | (F.col("component_id") == F.col("doc_id")))

@@ -355,17 +355,13 @@ def _together(pairs: DataFrame) -> DataFrame:
     return checkpointed(pairs.groupBy("g", "h").agg(*[F.bit_or(m).alias(m) for m in _MASKS]))
 
 
-def join(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row of ``docs`` (``doc_id``, ``text``)."""
-    signed = checkpointed(signatures(docs, params))
-    with_set = signed.where("doc_id is not null and _c0 is not null")
-    classes = checkpointed(with_set.groupBy("_c0", "_c1").agg(F.min("doc_id").alias("_least"), F.min("_m1").alias("_m1"), F.min("_m2").alias("_m2"),
-                                                             F.max("n_shingles").alias("_n")).withColumn("cid", F.monotonically_increasing_id()))
-    # One of the class's two longs tells classes apart here, so that the many unique fingerprints travel light.
-    # They are made twice: cheaper than keeping them.
-    shared = printed(docs, params).groupBy("print").agg(F.min("_c0").alias("_lo"), F.max("_c0").alias("_hi")).where("_lo < _hi").select("print")
-    entries = printed(docs, params).join(checkpointed(shared), "print").distinct()
-    held = checkpointed(entries.join(classes.select("_c0", "cid"), "_c0").select("print", "cid"))
+def link_classes(docs: DataFrame, classes: DataFrame, held: DataFrame, params: JoinParams) -> DataFrame:
+    """``cid, component`` of all classes in ``held`` (``print, cid``): components of links among classes that share a print.
+
+    ``classes`` has ``cid``, its digest ``_c0, _c1``, the smallest id ``_least`` of its rows
+    in ``docs``, two values ``_m1, _m2`` that tend to agree for similar sets, and its size ``_n``.
+    Any two classes that share a print end up in one component if their sets are linked.
+    """
     lowest = held.groupBy("print").agg(F.min("cid").alias("low"))
     hubs = checkpointed(held.join(lowest, "print").groupBy("cid").agg(F.min("low").alias("hub")))
     hubs = hubs.join(hubs.select(F.col("cid").alias("hub"), F.col("hub").alias("_next")), "hub").select("cid", F.col("_next").alias("hub"))
@@ -401,8 +397,27 @@ def join(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     if not far.isEmpty():
         more = links_between(far, blocks, params)
         label = checkpointed(connected_components(nodes, links.unionAll(more)).withColumnRenamed("node", "root"))
-    of_class = classes.join(root.join(label, "root").select("cid", "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    return root.join(label, "root").select("cid", "component")
+
+
+def named_components(signed: DataFrame, classes: DataFrame, components: DataFrame) -> DataFrame:
+    """Rows of ``signed`` (``doc_id, n_shingles, _c0, _c1``) with ``component_id``, the smallest id of their component."""
+    of_class = classes.join(components, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = of_class.groupBy("component").agg(F.min("_least").alias("component_id"))
     named = of_class.join(least, "component").select("_c0", "_c1", "component_id")
     found = signed.select("doc_id", "n_shingles", "_c0", "_c1").join(named, ["_c0", "_c1"], "left")
     return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def join(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row of ``docs`` (``doc_id``, ``text``)."""
+    signed = checkpointed(signatures(docs, params))
+    with_set = signed.where("doc_id is not null and _c0 is not null")
+    classes = checkpointed(with_set.groupBy("_c0", "_c1").agg(F.min("doc_id").alias("_least"), F.min("_m1").alias("_m1"), F.min("_m2").alias("_m2"),
+                                                             F.max("n_shingles").alias("_n")).withColumn("cid", F.monotonically_increasing_id()))
+    # One of the class's two longs tells classes apart here, so that the many unique fingerprints travel light.
+    # They are made twice: cheaper than keeping them.
+    shared = printed(docs, params).groupBy("print").agg(F.min("_c0").alias("_lo"), F.max("_c0").alias("_hi")).where("_lo < _hi").select("print")
+    entries = printed(docs, params).join(checkpointed(shared), "print").distinct()
+    held = checkpointed(entries.join(classes.select("_c0", "cid"), "_c0").select("print", "cid"))
+    return named_components(signed, classes, link_classes(docs, classes, held, params))

@@ -206,7 +206,7 @@ def test_near_duplicates_in_a_region_without_links_stay_apart(spark):
             if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]) and group[i] != group[j]:
                 low, high = sorted((group[i], group[j]))
                 group = [low if g == high else g for g in group]
-    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs, near_dup.NearDupParams(words=1, rows_per_block=64)).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs, near_dup.NearDupParams(words=1)).collect()}
     assert got == dict(enumerate(group))
 
 
