@@ -59,6 +59,8 @@ from sitewise.operators.groups import connected_components
 from sitewise.session import checkpointed
 
 _SMALL_LEVEL = 64
+BROADCAST_PRINTS = 2_000_000
+"""Fingerprints that several classes hold are broadcast, 8 bytes each, only if they are counted to be no more."""
 BROADCAST_CLASSES = 100_000
 """Classes that may have a partner, and pairs of groups, are broadcast, 40 bytes each, only if they are counted to be no more."""
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -355,13 +357,8 @@ def _together(pairs: DataFrame) -> DataFrame:
     return checkpointed(pairs.groupBy("g", "h").agg(*[F.bit_or(m).alias(m) for m in _MASKS]))
 
 
-def link_classes(docs: DataFrame, classes: DataFrame, held: DataFrame, params: JoinParams) -> DataFrame:
-    """``cid, component`` of all classes in ``held`` (``print, cid``): components of links among classes that share a print.
-
-    ``classes`` has ``cid``, its digest ``_c0, _c1``, the smallest id ``_least`` of its rows
-    in ``docs``, two values ``_m1, _m2`` that tend to agree for similar sets, and its size ``_n``.
-    Any two classes that share a print end up in one component if their sets are linked.
-    """
+def grouped_blocks(docs: DataFrame, classes: DataFrame, held: DataFrame, params: JoinParams) -> DataFrame:
+    """The classes in ``held`` in groups of similar sets, each a block of the matrix with links inside it found."""
     lowest = held.groupBy("print").agg(F.min("cid").alias("low"))
     hubs = checkpointed(held.join(lowest, "print").groupBy("cid").agg(F.min("low").alias("hub")))
     hubs = hubs.join(hubs.select(F.col("cid").alias("hub"), F.col("hub").alias("_next")), "hub").select("cid", F.col("_next").alias("hub"))
@@ -375,7 +372,17 @@ def link_classes(docs: DataFrame, classes: DataFrame, held: DataFrame, params: J
     found = texts.join(F.broadcast(wanted) if many <= BROADCAST_CLASSES else wanted, "doc_id").drop("doc_id")
     sets = found.mapInPandas(lambda b: _sets(b, params), "g long, cid long, tokens binary")
     grouped = sets.groupBy("g").agg(F.collect_list(F.struct("cid", "tokens")).alias("members"))
-    blocks = checkpointed(grouped.mapInPandas(lambda b: _blocks(b, params), _BLOCK))
+    return checkpointed(grouped.mapInPandas(lambda b: _blocks(b, params), _BLOCK))
+
+
+def link_classes(docs: DataFrame, classes: DataFrame, held: DataFrame, params: JoinParams) -> DataFrame:
+    """``cid, component`` of all classes in ``held`` (``print, cid``): components of links among classes that share a print.
+
+    ``classes`` has ``cid``, its digest ``_c0, _c1``, the smallest id ``_least`` of its rows
+    in ``docs``, two values ``_m1, _m2`` that tend to agree for similar sets, and its size ``_n``.
+    Any two classes that share a print end up in one component if their sets are linked.
+    """
+    blocks = grouped_blocks(docs, classes, held, params)
     root = checkpointed(blocks.select("g", F.posexplode(F.arrays_zip(F.col("cids").alias("cid"), F.col("roots").alias("root"))).alias("pos", "_z"))
                         .select("g", "pos", "_z.cid", "_z.root"))
     held = checkpointed(held.join(root, "cid").select("print", "g", "pos", "root"))
@@ -409,15 +416,22 @@ def named_components(signed: DataFrame, classes: DataFrame, components: DataFram
     return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+def shared_prints(docs: DataFrame, classes: DataFrame, params: JoinParams) -> DataFrame:
+    """``print, cid`` of every fingerprint that several classes hold.
+
+    One of the class's two longs tells classes apart here, so that the many unique
+    fingerprints travel light. They are made twice: cheaper than keeping them.
+    """
+    shared = checkpointed(printed(docs, params).groupBy("print").agg(F.min("_c0").alias("_lo"), F.max("_c0").alias("_hi")).where("_lo < _hi").select("print"))
+    few = F.broadcast if shared.count() <= BROADCAST_PRINTS else lambda table: table
+    entries = printed(docs, params).join(few(shared), "print").distinct()
+    return checkpointed(entries.join(classes.select("_c0", "cid"), "_c0").select("print", "cid"))
+
+
 def join(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs`` (``doc_id``, ``text``)."""
     signed = checkpointed(signatures(docs, params))
     with_set = signed.where("doc_id is not null and _c0 is not null")
     classes = checkpointed(with_set.groupBy("_c0", "_c1").agg(F.min("doc_id").alias("_least"), F.min("_m1").alias("_m1"), F.min("_m2").alias("_m2"),
                                                              F.max("n_shingles").alias("_n")).withColumn("cid", F.monotonically_increasing_id()))
-    # One of the class's two longs tells classes apart here, so that the many unique fingerprints travel light.
-    # They are made twice: cheaper than keeping them.
-    shared = printed(docs, params).groupBy("print").agg(F.min("_c0").alias("_lo"), F.max("_c0").alias("_hi")).where("_lo < _hi").select("print")
-    entries = printed(docs, params).join(checkpointed(shared), "print").distinct()
-    held = checkpointed(entries.join(classes.select("_c0", "cid"), "_c0").select("print", "cid"))
-    return named_components(signed, classes, link_classes(docs, classes, held, params))
+    return named_components(signed, classes, link_classes(docs, classes, shared_prints(docs, classes, params), params))
