@@ -8,7 +8,7 @@ look at the union bounds the overlap with all members. Only groups that reach th
 are opened, and their members' intersections are counted as one product of two small
 0/1 matrices.
 
-*Which classes may have a partner.* Sizes fall in levels wider than ``1 / t``, so two
+*Which classes may have a partner.* Sizes fall in levels that grow by ``1 / t``, so two
 linked sets lie in one level or in neighbouring ones. For a level, two linked sets differ
 in at most ``d`` tokens. Tokens are dealt by hash into ``d + 1`` segments and one or two
 more; each token that differs spoils one segment, so at least the others are alike. A
@@ -51,7 +51,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewise.llm.shingles import chunks, mix, shingle_sets
@@ -78,10 +78,10 @@ class JoinParams:
 
 @cache
 def _levels(percent: int) -> np.ndarray:
-    """Smallest sizes of the levels; each is half as wide again as the one before, and wide enough for partners."""
+    """Smallest sizes of the levels."""
     found = [1]
     while found[-1] < 1 << 40:
-        found.append(max(100 * found[-1] // percent + 1, 3 * found[-1] // 2))
+        found.append(100 * found[-1] // percent + 1)
     return np.array(found, np.int64)
 
 
@@ -89,7 +89,7 @@ def _schemes(percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Per level: how many tokens the smaller of two linked sets lets them differ in, and the number of segments (none if 0)."""
     first = _levels(percent)
     differ = (100 - percent) * (first[1:] - 1) // percent
-    return differ, np.where(differ > 0, differ + np.where(first[:-1] < _SMALL_LEVEL, 2, 3), 0)
+    return differ, np.where(differ > 0, differ + np.where(first[:-1] < _SMALL_LEVEL, 2, 4 + 15 * differ // 100), 0)
 
 
 def _salted(tokens: np.ndarray, salt: int) -> np.ndarray:
@@ -114,14 +114,15 @@ def fingerprints(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
         at = start[whose] + segment.astype(np.int64)
         sums = np.zeros(k.sum(), np.uint64)
         np.add.at(sums, at, value[used])
-        full = np.bincount(at, minlength=len(sums)) > 0
+        least = np.where(first[np.maximum(level, 0)] < _SMALL_LEVEL, 1, 2)
+        full = np.bincount(at, minlength=len(sums)) >= np.repeat(least, k)
         set_of, number = np.repeat(np.arange(len(sets)), k), np.arange(len(sums)) - np.repeat(start, k)
         salt = mix(np.repeat(level, k).astype(np.uint64) * np.uint64(_GOLDEN) + number.astype(np.uint64))
         found.append(mix(sums ^ salt)[full])
         owner.append(set_of[full])
-        # Alike segments could all be empty: the prefix stands in for them.
-        empty = k - np.bincount(set_of[full], minlength=len(sets))
-        for i in np.flatnonzero((k > 0) & (empty >= k - differ[np.maximum(level, 0)])):
+        # Alike segments could all be short: the prefix stands in for them.
+        short = k - np.bincount(set_of[full], minlength=len(sets))
+        for i in np.flatnonzero((k > 0) & (short >= k - differ[np.maximum(level, 0)])):
             prefix = int(sizes[i]) - -(-percent * int(sizes[i]) // 100) + 1
             found.append(_salted(sets[i][:prefix], 1003 + int(level[i])))
             owner.append(np.full(prefix, i))
@@ -353,8 +354,23 @@ def _mixed(held: DataFrame, label: DataFrame) -> DataFrame:
     return checkpointed(each.join(several, "print"))
 
 
-def _together(pairs: DataFrame) -> DataFrame:
-    return checkpointed(pairs.groupBy("g", "h").agg(*[F.bit_or(m).alias(m) for m in _MASKS]))
+_OTHER = [f"w{i}" for i in range(4)]
+
+
+def _together(mixed: DataFrame, on: Column) -> DataFrame:
+    """``g, h`` of groups that share a fingerprint and meet ``on``, with masks ``m`` and ``w`` of the holders in each."""
+    x, y = mixed.alias("x"), mixed.alias("y")
+    pairs = x.join(y, (F.col("x.print") == F.col("y.print")) & (F.col("x.g") > F.col("y.g")) & on)
+    return checkpointed(pairs.groupBy(F.col("x.g").alias("g"), F.col("y.g").alias("h")).agg(
+        *[F.bit_or(f"x.{m}").alias(m) for m in _MASKS], *[F.bit_or(f"y.{m}").alias(w) for m, w in zip(_MASKS, _OTHER)]))
+
+
+def _queries_of(pairs: DataFrame) -> DataFrame:
+    """``g, h, m0`` to ``m3``: the side with fewer holders asks."""
+    many, other = (sum((F.bit_count(c) for c in names[1:]), F.bit_count(names[0])) for names in (_MASKS, _OTHER))
+    swap = other < many
+    return pairs.select(F.when(swap, F.col("h")).otherwise(F.col("g")).alias("g"), F.when(swap, F.col("g")).otherwise(F.col("h")).alias("h"),
+                        *[F.when(swap, F.col(w)).otherwise(F.col(m)).alias(m) for m, w in zip(_MASKS, _OTHER)])
 
 
 def grouped_blocks(docs: DataFrame, classes: DataFrame, held: DataFrame, params: JoinParams) -> DataFrame:
@@ -388,21 +404,18 @@ def link_classes(docs: DataFrame, classes: DataFrame, held: DataFrame, params: J
     held = checkpointed(held.join(root, "cid").select("print", "g", "pos", "root"))
     label = root.select("root", F.col("root").alias("component")).distinct()
     # Each group with the first group of its fingerprints, then whatever could still join two components.
-    near = _together(_mixed(held, label).where("first < g").select("g", F.col("first").alias("h"), *_MASKS))
-    links = links_between(near, blocks, params)
+    near = _together(_mixed(held, label), F.col("y.g") == F.col("x.first"))
+    links = links_between(_queries_of(near), blocks, params)
     nodes = label.select(F.col("root").alias("node"))
     label = checkpointed(connected_components(nodes, links).withColumnRenamed("node", "root"))
-    mixed = _mixed(held, label)
-    x, y = mixed.alias("x"), mixed.alias("y")
     apart = ~((F.col("x.lo") == F.col("y.hi")) & (F.col("x.hi") == F.col("y.lo")))
-    far = _together(x.join(y, (F.col("x.print") == F.col("y.print")) & (F.col("x.g") > F.col("y.g")) & apart)
-                    .select(F.col("x.g").alias("g"), F.col("y.g").alias("h"), *[F.col(f"x.{m}").alias(m) for m in _MASKS]))
-    # Queries that have met a group need not meet it again.
-    met = near.select("g", "h", *[F.col(m).alias(f"_{m}") for m in _MASKS])
-    new = [F.expr(f"{m} & ~coalesce(_{m}, 0L)").alias(m) for m in _MASKS]
-    far = checkpointed(far.join(met, ["g", "h"], "left").select("g", "h", *new).where("(m0 | m1 | m2 | m3) <> 0"))
+    far = _together(_mixed(held, label), apart)
+    # Pairs of groups all of whose holders have met need not meet again.
+    met = near.select("g", "h", *[F.col(c).alias(f"_{c}") for c in (*_MASKS, *_OTHER)])
+    new = " | ".join(f"({c} & ~coalesce(_{c}, 0L))" for c in (*_MASKS, *_OTHER))
+    far = checkpointed(far.join(met, ["g", "h"], "left").where(f"({new}) <> 0").select(*far.columns))
     if not far.isEmpty():
-        more = links_between(far, blocks, params)
+        more = links_between(_queries_of(far), blocks, params)
         label = checkpointed(connected_components(nodes, links.unionAll(more)).withColumnRenamed("node", "root"))
     return root.join(label, "root").select("cid", "component")
 
