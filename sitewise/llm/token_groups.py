@@ -345,13 +345,21 @@ def links_between(pairs: DataFrame, blocks: DataFrame, params: JoinParams) -> Da
 
 
 def _mixed(held: DataFrame, label: DataFrame) -> DataFrame:
-    """Fingerprints that several groups and several components hold: with each group's range of components and holders."""
+    """Fingerprints that several groups and several components hold: with each group's range of components and holders.
+
+    Fingerprints held by the same groups are taken together as one; a family's groups have
+    most of theirs in common. Should two different sets of groups hash alike, they are
+    taken together too, which only makes more pairs.
+    """
     each = held.join(label, "root").groupBy("print", "g").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"),
         *[F.bit_or(F.when(F.floor(F.col("pos") / 64) == i, F.expr("shiftleft(1L, pos % 64)")).otherwise(F.lit(0))).alias(m) for i, m in enumerate(_MASKS)])
-    several = each.groupBy("print").agg(F.min("g").alias("_g0"), F.max("g").alias("_g1"), F.min("lo").alias("_lo"), F.max("hi").alias("_hi")) \
-        .where("_g0 < _g1 and _lo < _hi").select("print", F.col("_g0").alias("first"))
-    return checkpointed(each.join(several, "print"))
+    several = each.groupBy("print").agg(F.min("g").alias("_g0"), F.max("g").alias("_g1"), F.min("lo").alias("_lo"), F.max("hi").alias("_hi"),
+                                        F.xxhash64(F.bit_xor(F.xxhash64("g")), F.count(F.lit(1))).alias("_same")) \
+        .where("_g0 < _g1 and _lo < _hi").select("print", "_same", F.col("_g0").alias("first"))
+    together = each.join(several, "print").groupBy(F.col("_same").alias("print"), "g").agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("first").alias("first"), *[F.bit_or(m).alias(m) for m in _MASKS])
+    return checkpointed(together)
 
 
 _OTHER = [f"w{i}" for i in range(4)]
