@@ -269,7 +269,7 @@ WITH {VECTORS_SQL}, s AS (SELECT vec_id, any_value(label) AS label, any_value(c)
 q AS (SELECT *, c > 10 AND c <= 54 AND lc >= 7 AND rc >= 7 AS ok, CASE WHEN c > 10 AND c <= 54 THEN (lc + rc) / 20 END AS cov FROM s)
 SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(DISTINCT label) AS BIGINT) AS sites, CAST(count(DISTINCT CASE WHEN ok THEN label END) AS BIGINT) AS valid_sites,
   round(count(DISTINCT CASE WHEN ok THEN label END) / count(DISTINCT label), 8) AS site_valid_fraction, CAST(count(*) FILTER (ok) AS BIGINT) AS valid_rows, round(avg(ok::INT), 8) AS row_valid_fraction,
-  CAST(count(centre) AS BIGINT) AS centre_available_rows, round(avg(cov), 8) AS mean_coverage FROM q""")
+  CAST(count(centre) AS BIGINT) AS centre_available_rows, round(avg(cov), 8) AS mean_coverage, round(median(cov), 8) AS median_coverage FROM q""")
 def _(t):
     v, c = F.col("values"), F.col("c").cast("int")
     x = vectors(t).select("label", main_window_valid(v, c, 10, 0.7).alias("ok"), flank_coverage(v, c, 10)[2].alias("cov"), F.get(v, c - 1).alias("centre"))
@@ -284,3 +284,17 @@ def _(t):
     x = j.select(*[F.when(F.col(f) > cut, F.col(f)).alias(f) for f, cut in (("o_totalprice", 5000), ("c_acctbal", 0))])
     a = A.field_audit(x, ["o_totalprice", "c_acctbal"])
     return a.select("field", *[r6(F.col(c)).alias(c) for c in ("minimum", "median", "maximum")], "missing")
+
+
+@query("low_n_description", """
+WITH v AS (SELECT s_nationkey % 5 AS k, s_acctbal AS x, CASE WHEN s_suppkey % 7 > 0 THEN s_suppkey * s_suppkey % 1009 / 10 END AS y FROM supplier),
+b AS (SELECT * FROM v WHERE x IS NOT NULL AND y IS NOT NULL),
+r AS (SELECT k, rank() OVER (PARTITION BY k ORDER BY x) + (count(*) OVER (PARTITION BY k, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY k ORDER BY y) + (count(*) OVER (PARTITION BY k, y) - 1) / 2 AS ry FROM b),
+c AS (SELECT k, corr(rx, ry) AS rho FROM r GROUP BY k)
+SELECT CAST(v.k AS BIGINT) AS k, CAST(count(*) AS BIGINT) AS n, round(median(x), 6) AS median_x, round(median(y), 6) AS median_y, round(any_value(rho), 6) AS spearman_rho,
+       'DESCRIPTIVE_ONLY_LOW_N' AS analysis_role, false AS inferential_p_value_reported FROM v JOIN c ON v.k = c.k GROUP BY v.k""")
+def _(t):
+    v = t("supplier").select((F.col("s_nationkey") % 5).cast("long").alias("k"), F.col("s_acctbal").alias("x"),
+                             F.when(F.col("s_suppkey") % 7 > 0, F.col("s_suppkey") * F.col("s_suppkey") % 1009 / 10).alias("y"))
+    d = A.low_n_description(v, "x", "y", ["k"])
+    return d.select("k", "n", *[r6(F.col(c)).alias(c) for c in ("median_x", "median_y", "spearman_rho")], "analysis_role", "inferential_p_value_reported")

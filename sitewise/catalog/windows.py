@@ -147,6 +147,18 @@ def _(t):
     return G.snake_folds(t("events"), "user_id", 5).select("user_id", "size", F.col("fold").cast("long").alias("fold"))
 
 
+@query("lightest_group_folds", """
+WITH RECURSIVE s AS (SELECT user_id % 997 AS g, count(*) AS size FROM events GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY size DESC, g) AS i FROM s),
+r(i, g, size, fold, load) AS (
+  SELECT 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, [0, 0, 0, 0, 0]::BIGINT[]
+  UNION ALL SELECT o.i, o.g, o.size, list_position(load, list_min(load))::BIGINT,
+    list_transform(range(1, 6), lambda k: load[k] + CASE WHEN k = list_position(load, list_min(load)) THEN o.size ELSE 0 END) FROM r JOIN o ON o.i = r.i + 1)
+SELECT g, size, fold FROM r WHERE i > 0""")
+def _(t):
+    f = G.lightest_folds(t("events").select((F.col("user_id") % 997).alias("g")), "g", 5)
+    return f.select("g", "size", F.col("fold").cast("long").alias("fold"))
+
+
 @query("balanced_group_folds", """
 WITH g AS (SELECT CASE WHEN l_suppkey % 13 <> 0 THEN l_suppkey END AS k, count(*) AS n FROM lineitem GROUP BY 1),
 r AS (SELECT n, row_number() OVER (ORDER BY n DESC, k NULLS FIRST) - 1 AS i FROM g)
@@ -154,7 +166,7 @@ SELECT CAST(CASE WHEN (i // 5) % 2 = 0 THEN i % 5 ELSE 4 - i % 5 END + 1 AS BIGI
 FROM r GROUP BY 1""")
 def _(t):
     grouped = t("lineitem").withColumn("k", F.when(F.col("l_suppkey") % 13 != 0, F.col("l_suppkey")))
-    f = G.group_folds(grouped, "k", 5)
+    f = G.group_folds(grouped, "k", 5, "snake")
     return f.groupBy(F.col("fold").cast("long").alias("fold")).agg(F.sum("size").alias("rows"), F.count(F.lit(1)).alias("groups"))
 
 

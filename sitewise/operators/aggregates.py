@@ -362,15 +362,17 @@ def delta_table(df: DataFrame, keys: Sequence[str], variant: str, metric: str,
 
 
 def coverage_summary(df: DataFrame, site: str, coverage: str, valid: str, centre: str) -> DataFrame:
-    """Valid windows at row and site level, and mean coverage."""
+    """Valid windows at row and site level, and mean and exact median coverage."""
     ok = F.col(valid)
     sites, good = F.count_distinct(site), F.count_distinct(F.when(ok, F.col(site)))
-    return df.agg(
+    middle = quantiles(df, [], coverage, {"median_coverage": 0.5})
+    whole = df.agg(
         F.count(F.lit(1)).alias("rows"), sites.alias("sites"), good.alias("valid_sites"),
         F.round(F.try_divide(good, sites), 8).alias("site_valid_fraction"),
         F.count_if(ok).alias("valid_rows"), F.round(F.avg(ok.cast("double")), 8).alias("row_valid_fraction"),
         F.count(centre).alias("centre_available_rows"), F.round(F.avg(coverage), 8).alias("mean_coverage"),
     )
+    return whole.withColumn("median_coverage", F.round(middle.select("median_coverage").scalar(), 8))
 
 
 def field_audit(df: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -382,6 +384,25 @@ def field_audit(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     return base.join(quantiles(long, ["field"], "value", {"median": 0.5}), "field", "left")
 
 
+LOW_N_ROLE = "DESCRIPTIVE_ONLY_LOW_N"
+
+
+def low_n_description(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Medians and rank correlation of sets too small for inference, which says so: ``[keys], n, analysis_role, ...``.
+
+    The medians are over the values that each column has, the correlation over rows with both.
+    """
+    keys = list(keys)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    parts = [quantiles(df, keys, c, {f"median_{c}": 0.5}) for c in (x, y)]
+    parts.append(spearman_frame(df, keys, x, y).withColumnRenamed("n", "_pairs").withColumnRenamed("spearman", "spearman_rho").drop("_pairs"))
+    out = sizes
+    for part in parts:
+        names = [c for c in part.columns if c not in keys]
+        out = out.alias("l").join(part.alias("r"), on_keys("l", "r", keys), "left").select("l.*", *[f"r.{c}" for c in names])
+    return out.withColumns({"analysis_role": F.lit(LOW_N_ROLE), "inferential_p_value_reported": F.lit(False)})
+
+
 def group_size(df: DataFrame, by: Sequence[str], name: str = "group_size") -> DataFrame:
     """Group size on every row: a combined count joined back, not a window over the group."""
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))

@@ -167,31 +167,35 @@ def fit_encoder(cross: np.ndarray, layout: RawLayout, medians: dict[str, float],
 
 
 def fold_medians(df: DataFrame, columns: dict[str, Column], fold: str, folds: Sequence[int]) -> dict[int, dict[str, float]]:
-    """Exact median of each column over the rows outside each fold, and over all rows under 0.
+    """Exact median of each column over the rows outside each fold, and over all rows under 0."""
+    return set_medians(df, columns, fold, folds, {0: (), **{f: (f,) for f in folds}})
 
-    Counts per distinct value and fold are accumulated once; the complement of a
-    fold is total minus fold.
+
+def set_medians(df: DataFrame, columns: dict[str, Column], fold: str, folds: Sequence[int], left_out: dict) -> dict:
+    """Exact median of each column per key of ``left_out``, over the rows outside its folds.
+
+    Counts per distinct value and fold are accumulated once; any set of folds is left
+    out by subtraction.
     """
     if not columns:
-        return {f: {} for f in [0, *folds]}
+        return {k: {} for k in left_out}
     pairs = F.array(*[F.struct(F.lit(n).alias("variable"), c.cast("double").alias("value")) for n, c in columns.items()])
     long = df.select(F.col(fold).alias("_f"), F.explode(pairs).alias("kv")).select("_f", "kv.*") \
         .where(F.col("value").isNotNull() & ~F.isnan("value"))
-    counts = long.groupBy("variable", "value").agg(
-        F.count(F.lit(1)).alias("c0"), *[F.count_if(F.col("_f") == f).alias(f"c{f}") for f in folds])
-    upto = running(counts, ["variable"], ["value"], {f"u{f}": ("sum", F.col(f"c{f}")) for f in [0, *folds]})
-    sizes = counts.groupBy("variable").agg(*[F.sum(f"c{f}").alias(f"n{f}") for f in [0, *folds]])
+    counts = long.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("c0"), *[F.count_if(F.col("_f") == f).alias(f"c{f}") for f in folds])
+    every = [0, *folds]
+    upto = running(counts, ["variable"], ["value"], {f"u{f}": ("sum", F.col(f"c{f}")) for f in every})
+    sizes = counts.groupBy("variable").agg(*[F.sum(f"c{f}").alias(f"n{f}") for f in every])
     j = upto.join(sizes, "variable")
     aggs = []
-    for f in [0, *folds]:
-        cum = F.col("u0") - F.col(f"u{f}") if f else F.col("u0")
-        size = F.col("n0") - F.col(f"n{f}") if f else F.col("n0")
+    for i, gone in enumerate(left_out.values()):
+        cum, size = (sum((-F.col(f"{n}{f}") for f in gone), F.col(f"{n}0")) for n in "un")
         h = (size - 1) * F.lit(0.5)
         low = F.min(F.when(cum > F.floor(h), F.col("value")))
         high = F.min(F.when(cum > F.ceil(h), F.col("value")))
-        aggs.append(((low + high) / 2).alias(f"m{f}"))
-    out: dict[int, dict[str, float]] = {f: {} for f in [0, *folds]}
+        aggs.append(((low + high) / 2).alias(f"m{i}"))
+    out: dict = {k: {} for k in left_out}
     for r in j.groupBy("variable").agg(*aggs).collect():
-        for f in out:
-            out[f][r["variable"]] = float(r[f"m{f}"]) if r[f"m{f}"] is not None else 0.0
+        for i, k in enumerate(left_out):
+            out[k][r["variable"]] = float(r[f"m{i}"]) if r[f"m{i}"] is not None else 0.0
     return out

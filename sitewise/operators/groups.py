@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewise.functions.hashing import hash32
@@ -88,22 +88,69 @@ def group_sizes(df: DataFrame, group: str) -> DataFrame:
     return df.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
 
 
+def snake_seat(place: Column, folds: int) -> Column:
+    """Fold of the 1-based ``place``, dealt forth and back."""
+    turn, seat = F.floor((place - 1) / folds), (place - 1) % folds
+    return (F.when(turn % 2 == 0, seat).otherwise(folds - 1 - seat) + 1).cast("int")
+
+
 def snake_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
     """``group, size, fold``: groups by falling size, dealt forth and back over the folds."""
     ranked = positions(group_sizes(df, group), [], [F.col("size").desc(), F.col(group)], "_i")
-    turn, seat = F.floor((F.col("_i") - 1) / folds), (F.col("_i") - 1) % folds
-    fold = F.when(turn % 2 == 0, seat).otherwise(folds - 1 - seat) + 1
-    return ranked.select(group, "size", fold.cast("int").alias("fold"))
+    return ranked.select(group, "size", snake_seat(F.col("_i"), folds).alias("fold"))
+
+
+def _phases(counts: list[tuple[int, int]], folds: int) -> list[tuple[int, int, list[int]]]:
+    """``size, first place, folds in turn`` of the deal of ``counts`` (size, groups), largest size first.
+
+    Each group goes to the lightest fold, the lowest of those. While groups of one size are
+    dealt, a fold of load ``l`` takes its turns at ``l``, ``l + size``, ``l + 2 size`` and so
+    on, and the deal is the merge of these sequences. So the lightest fold goes on alone until
+    it reaches the next one; then both take turns until they reach the third, and so on.
+    """
+    load, out = [0] * folds, []
+    for size, many in counts:
+        order, place = sorted(range(folds), key=lambda f: (load[f], f)), 0
+        for m in range(1, folds + 1):
+            if place == many:
+                break
+            turn = sorted(order[:m], key=lambda f: (load[f], f))
+            if m < folds:
+                edge = order[m]
+                takes = sum(max(0, -(-(load[edge] + (f < edge) - load[f]) // size)) for f in turn)
+            else:
+                takes = many
+            takes = min(takes, many - place)
+            if takes:
+                out.append((size, place, [f + 1 for f in turn]))
+                for i, f in enumerate(turn):
+                    load[f] += size * (takes // m + (i < takes % m))
+                place += takes
+    return out
+
+
+def lightest_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
+    """``group, size, fold``: groups from the largest to the smallest, ties by name, each to the lightest fold.
+
+    Only the distinct sizes with their numbers of groups reach the driver (fewer than the
+    root of twice the rows); there whole runs of equal sizes are dealt at once.
+    """
+    sized = checkpointed(positions(group_sizes(df, group), ["size"], [group], "_i"))
+    counts = sorted(((r["size"], r["n"]) for r in sized.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    dealt = df.sparkSession.createDataFrame([(s, first, turn) for s, first, turn in _phases(counts, folds)] or [(0, 0, [1])], "size long, _first long, _turn array<int>")
+    of_size = dealt.groupBy("size").agg(F.array_sort(F.collect_list(F.struct("_first", "_turn"))).alias("_phases"))
+    mine = F.element_at(F.filter("_phases", lambda p: p["_first"] < F.col("_i")), -1)
+    placed = sized.join(of_size, "size").withColumn("_p", mine)
+    return placed.select(group, "size", F.get("_p._turn", ((F.col("_i") - 1 - F.col("_p._first")) % F.size("_p._turn")).cast("int")).alias("fold"))
 
 
-def group_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
-    """``group, size, fold`` with whole groups and balanced folds, dealt in snake order.
+def group_folds(df: DataFrame, group: str, folds: int, deal: str = "lightest") -> DataFrame:
+    """``group, size, fold`` with whole groups and balanced folds.
 
-    The deal to the lightest fold is sequential over all groups, so it is not used at
-    any size; snake order differs from it by at most one group's rows a turn. A null
-    group is a group.
+    Dealt from the largest to the lightest fold, or in ``snake`` order, which differs by at
+    most one group's rows a turn. A null group is a group.
     """
-    dealt = checkpointed(snake_folds(df, group, folds))
+    dealt = checkpointed((lightest_folds if deal == "lightest" else snake_folds)(df, group, folds))
     if (found := dealt.count()) < folds:
         raise ValueError(f"{found} groups cannot fill {folds} folds")
     return dealt

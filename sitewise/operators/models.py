@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from sitewise.functions.hashing import hash32
 from sitewise.functions.scalars import clip
 from sitewise.operators.aggregates import regression_metrics
-from sitewise.operators.encoding import Encoder, FeatureSpec, RawLayout, fit_encoder, fold_medians, raw_features
-from sitewise.operators.groups import group_folds
+from sitewise.operators.encoding import Encoder, FeatureSpec, RawLayout, fit_encoder, raw_features, set_medians
+from sitewise.operators.groups import group_folds, snake_seat
 from sitewise.operators.inference import bh_list
 from sitewise.operators.linear import Design, complete_rows, fit_ols, gram_arrays
 from sitewise.operators.ordering import positions
@@ -122,23 +122,23 @@ class Prepared:
     spec: FeatureSpec
     folds: list[int]
     cross: dict[int, np.ndarray]
-    medians: dict[int, dict[str, float]]
+    medians: dict
     responses: list[str]
+    left_out: dict
 
     @property
     def size(self) -> int:
         return len(self.layout.names)
 
-    def train(self, fold: int) -> np.ndarray:
-        """Cross products of the rows outside ``fold`` (0 means all rows)."""
-        total = sum(self.cross.values())
-        return total - self.cross[fold] if fold else total
+    def train(self, fold) -> np.ndarray:
+        """Cross products of the rows outside ``fold`` (0 means all rows), or of another named training set."""
+        return sum(self.cross.values()) - sum(self.cross[f] for f in self.left_out[fold] if f in self.cross)
 
-    def encoder(self, fold: int, blocks: Sequence[str]) -> Encoder:
+    def encoder(self, fold, blocks: Sequence[str]) -> Encoder:
         p = self.size
         return fit_encoder(self.train(fold)[: p + 1, : p + 1], self.layout, self.medians[fold], self.layout.index(blocks))
 
-    def path(self, fold: int, blocks: Sequence[str], alphas: Sequence[float], response: int = 0):
+    def path(self, fold, blocks: Sequence[str], alphas: Sequence[float], response: int = 0):
         p, g = self.size, self.train(fold)
         return ridge_path(g[: p + 1, : p + 1], g[: p + 1, p + 1 + response], self.encoder(fold, blocks), alphas)
 
@@ -153,12 +153,13 @@ def _median_columns(spec: FeatureSpec) -> dict[str, Column]:
 
 
 def prepare(df: DataFrame, spec: FeatureSpec, responses: Sequence[str], group: str, folds: int,
-            fold_table: DataFrame | None = None, levels: dict | None = None) -> Prepared:
+            fold_table: DataFrame | None = None, levels: dict | None = None, left_out: dict | None = None) -> Prepared:
     """Assign folds, build raw features and collect per-fold cross products.
 
     Rows without one of the responses take no part, in folds or fits. A null group is a
     group. The raw features are written once, beside what the caller's rows hold; every
-    later pass reads them from there.
+    later pass reads them from there. ``left_out`` names further training sets by the folds
+    that they leave out.
     """
     df = complete_rows(df, [F.col(r) for r in responses])
     table = (fold_table if fold_table is not None else group_folds(df, group, folds)).select(F.col(group).alias("_g"), "fold")
@@ -168,8 +169,9 @@ def prepare(df: DataFrame, spec: FeatureSpec, responses: Sequence[str], group: s
     ids = list(range(1, folds + 1))
     p = len(layout.names)
     cross = gram_arrays(_with_ones(rows, "raw", responses, ["fold"]), "_v", 1 + p + len(responses), "fold")
-    medians = fold_medians(rows, _median_columns(spec), "fold", ids)
-    return Prepared(rows, layout, levels, spec, ids, {int(k): v for k, v in cross.items()}, medians, list(responses))
+    every = {0: (), **{f: (f,) for f in ids}, **(left_out or {})}
+    medians = set_medians(rows, _median_columns(spec), "fold", ids, every)
+    return Prepared(rows, layout, levels, spec, ids, {int(k): v for k, v in cross.items()}, medians, list(responses), every)
 
 
 def grid_cv(prep: Prepared, models: dict[str, Sequence[str]], alphas: Sequence[float], clipped: bool = True,
@@ -247,9 +249,15 @@ def out_of_fold(prep: Prepared, blocks: Sequence[str], alphas: Sequence[float] |
             cols.append(np.concatenate([[b0], b]))
         coefs[f] = np.column_stack(cols)
 
+    rows = _predicted(prep.df, coefs, len(names), clipped)
+    return rows.withColumns({n: F.get("_p", F.lit(i)) for i, n in enumerate(names)}).drop("_p")
+
+
+def _predicted(rows: DataFrame, coefs: dict[int, np.ndarray], width: int, clipped: bool) -> DataFrame:
+    """Rows with ``_p``: each row's predictions by its fold's columns of coefficients."""
     @F.pandas_udf("array<double>")
     def score(raw: pd.Series, fold: pd.Series) -> pd.Series:
-        out = np.zeros((len(raw), len(names)))
+        out = np.zeros((len(raw), width))
         if len(raw):
             x = np.vstack(raw.to_numpy()).astype(float)
             for f in fold.unique():
@@ -257,8 +265,7 @@ def out_of_fold(prep: Prepared, blocks: Sequence[str], alphas: Sequence[float] |
                 out[m] = coefs[int(f)][0] + x[m] @ coefs[int(f)][1:]
         return pd.Series(list(np.clip(out, 0.0, 1.0) if clipped else out))
 
-    rows = prep.df.withColumn("_p", score("raw", "fold"))
-    return rows.withColumns({n: F.get("_p", F.lit(i)) for i, n in enumerate(names)}).drop("_p")
+    return rows.withColumn("_p", score("raw", "fold"))
 
 
 def conditional_dependence(prep: Prepared, blocks: Sequence[str], alpha: float, cluster: str, group: str,
@@ -278,31 +285,59 @@ def conditional_dependence(prep: Prepared, blocks: Sequence[str], alpha: float,
     return row, res
 
 
+def nested_cells(df: DataFrame, group: str, outer: int, inner: int) -> DataFrame:
+    """``group, outer_fold, inner_fold, fold``: whole groups dealt over outer folds, and each fold's groups over inner ones.
+
+    The inner folds of a training set are the unions of equal inner cells of its outer folds.
+    """
+    sized = group_folds(df, group, outer, "snake").select(group, "size", F.col("fold").alias("outer_fold"))
+    ranked = positions(sized, ["outer_fold"], [F.col("size").desc(), F.col(group)], "_i")
+    seat = snake_seat(F.col("_i"), inner)
+    return checkpointed(ranked.select(group, "outer_fold", seat.alias("inner_fold"), ((F.col("outer_fold") - 1) * inner + seat).cast("int").alias("fold")))
+
+
 def nested_cv(df: DataFrame, spec: FeatureSpec, response: str, group: str, models: dict[str, Sequence[str]],
-              alphas: Sequence[float], outer: int, inner: int, row_id: str) -> tuple[list[dict], DataFrame]:
-    """Inner folds pick the penalty, outer folds score it. Metric rows and out-of-fold predictions."""
-    prep = prepare(df, spec, [response], group, outer)
+              alphas: Sequence[float], outer: int, inner: int, row_id: str, spearman: bool = True) -> tuple[list[dict], DataFrame]:
+    """Inner folds pick the penalty, outer folds score it. Metric rows and out-of-fold predictions.
+
+    Cross products and medians are collected once per (outer, inner) cell; every training
+    set is a sum of cells. One pass scores all inner candidates of all outer folds.
+    """
+    df = complete_rows(df, [F.col(response)])
+    cells = nested_cells(df, group, outer, inner)
+    own = {(o, j): (o - 1) * inner + j for o in range(1, outer + 1) for j in range(1, inner + 1)}
+    left_out: dict = {("outer", f): tuple(c for (o, _), c in own.items() if o == f) for f in range(1, outer + 1)}
+    left_out |= {(f, i): tuple(c for (o, j), c in own.items() if o == f or j == i) for f in range(1, outer + 1) for i in range(1, inner + 1)}
+    prep = prepare(df, spec, [response], group, outer * inner, fold_table=cells.select(group, "fold"), left_out=left_out)
+    paths = {k: [np.concatenate([[b0], b]) for m in models for b0, b in prep.path(k, models[m], alphas)] for k in left_out}
+    # A row of cell (o, j) validates inner fold j of every other outer fold; its own outer fold stands in its place.
+    coefs = {c: np.column_stack([b for f in range(1, outer + 1) for b in (paths["outer", f] if f == o else paths[f, j])]) for (o, j), c in own.items()}
+    width, place = len(models) * len(alphas), {c: k for k, c in own.items()}
+    errors: dict = {}
+    for r in _score(prep.df, "raw", response, "fold", coefs, True).collect():
+        o, j = place[r["fold"]]
+        f, at = divmod(r["candidate"], width)
+        if f + 1 != o:
+            sums = errors.setdefault((f + 1, at, j), [0.0, 0.0])
+            sums[0] += r["sae"]
+            sums[1] += r["n"]
     chosen: dict[str, dict[int, float]] = {m: {} for m in models}
-    for f in prep.folds:
-        part = df.join(prep.df.select(group, "fold").distinct().where(F.col("fold") != f).select(group), group, "left_semi")
-        _, picked = grid_cv(prepare(part, spec, [response], group, inner, levels=prep.levels), models, alphas)
-        for m in models:
-            chosen[m][f] = picked[m]["alpha"]
-    rows, frames = [], []
-    for m, blocks in models.items():
-        oof = out_of_fold(prep, blocks, chosen[m], True, ["prediction"])
-        frames.append(oof.select(F.lit(m).alias("model"), row_id, group, F.col("fold").alias("outer_fold"),
-                                 F.col(response).alias("observed"), "prediction"))
-    allrows = frames[0]
-    for f in frames[1:]:
-        allrows = allrows.unionByName(f)
-    for r in regression_metrics(allrows, ["model", "outer_fold"], "observed", "prediction").collect():
-        rows.append({"model": r["model"], "row_type": "outer_fold", "outer_fold": str(r["outer_fold"]),
-                     "selected_alpha": chosen[r["model"]][r["outer_fold"]], "n": r["n"], "mae": r["mae"],
-                     "rmse": r["rmse"], "r2": r["r2"], "spearman": r["spearman"]})
-    for r in regression_metrics(allrows, ["model"], "observed", "prediction").collect():
-        rows.append({"model": r["model"], "row_type": "overall_oof", "outer_fold": "all", "selected_alpha": None,
-                     "n": r["n"], "mae": r["mae"], "rmse": r["rmse"], "r2": r["r2"], "spearman": r["spearman"]})
+    for f in range(1, outer + 1):
+        for n, m in enumerate(models):
+            means = [(float(np.mean([s / k for (g, at, _), (s, k) in errors.items() if g == f and at == n * len(alphas) + i])), a) for i, a in enumerate(alphas)]
+            chosen[m][f] = min(means)[1]
+    final = {c: np.column_stack([paths["outer", o][n * len(alphas) + list(alphas).index(chosen[m][o])] for n, m in enumerate(models)]) for (o, _), c in own.items()}
+    scored = _predicted(prep.df, final, len(models), True)
+    pairs = F.array(*[F.struct(F.lit(m).alias("model"), F.get("_p", F.lit(i)).alias("prediction")) for i, m in enumerate(models)])
+    allrows = scored.select(row_id, group, (F.floor((F.col("fold") - 1) / inner) + 1).cast("int").alias("outer_fold"), F.col(response).alias("observed"), F.explode(pairs).alias("r")) \
+        .select("r.model", row_id, group, "outer_fold", "observed", "r.prediction")
+    rows = []
+    for keys in (["model", "outer_fold"], ["model"]):
+        for r in regression_metrics(allrows, keys, "observed", "prediction", spearman=spearman).collect():
+            fold = r["outer_fold"] if len(keys) == 2 else None
+            rows.append({"model": r["model"], "row_type": "outer_fold" if fold else "overall_oof", "outer_fold": str(fold or "all"),
+                         "selected_alpha": chosen[r["model"]][fold] if fold else None, **{k: r[k] for k in ("n", "mae", "rmse", "r2")},
+                         **({"spearman": r["spearman"]} if spearman else {})})
     return rows, allrows
 
 
@@ -359,29 +394,65 @@ def boosted_cv(prep: Prepared, blocks: Sequence[str], candidates: Sequence[dict]
 
 
 def permuted_block(rows: DataFrame, raw: str, fold: str, row_id: str, use: Sequence[int], seed: int) -> DataFrame:
-    """Within each fold, give every row the block values of another row in hashed order."""
+    """Within each fold, give every row the block values of another row in hashed order.
+
+    For models that are not sums over blocks; :func:`shifted_errors` moves one number per block instead.
+    """
     plain = positions(rows, [fold], [row_id], "_i")
     donors = positions(rows.select(fold, row_id, F.col(raw).alias("_donor")).withColumn(
-        "_h", hash32(F.lit(seed), F.col(row_id))), [fold], ["_h", row_id], "_i").select(fold, "_i", "_donor")
+        "_h", hash32(F.lit(seed), F.col(row_id))), [fold], ["_h", row_id], "_i").select(F.col(fold).alias("_f"), F.col("_i").alias("_j"), "_donor")
     chosen = F.array(*[F.lit(i) for i in use])
     mixed = F.transform(F.col(raw), lambda x, i: F.when(F.array_contains(chosen, i), F.get("_donor", i)).otherwise(x))
-    return plain.join(donors, [fold, "_i"]).withColumn(raw, mixed).drop("_i", "_donor")
+    met = plain.join(donors, F.col(fold).eqNullSafe(F.col("_f")) & (F.col("_i") == F.col("_j")))
+    return met.withColumn(raw, mixed).drop("_i", "_j", "_f", "_donor")
+
+
+def shifted_errors(rows: DataFrame, fold: str, row_id: str, y: str, scores: str, repeats: int, seed: int, clipped: bool = True) -> DataFrame:
+    """``fold, repeat, block, n, sae``: error sums with one block's scores moved to other rows of the fold; block -1 moves nothing.
+
+    ``scores`` is an array of partial scores whose sum is the prediction. The rows of a
+    fold stand in one hashed order; repeat ``r`` moves every score on by a hashed number
+    of places, so that it is a permutation without fixed points, and one join of scalars
+    serves all blocks and repeats.
+    """
+    ranked = checkpointed(positions(rows.select(F.col(fold).alias("fold"), F.col(row_id).alias("_id"), F.col(y).cast("double").alias("_y"), F.col(scores).alias("_s"))
+                                    .withColumn("_h", hash32(F.lit(seed), F.col("_id"))), ["fold"], ["_h", "_id"], "_at"))
+    sizes = ranked.groupBy("fold").agg(F.count(F.lit(1)).alias("_n"))
+    donors = ranked.join(F.broadcast(sizes), "fold").select("fold", "_at", "_n", F.col("_s").alias("_moved"), F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
+    step = F.when(F.col("_n") > 1, 1 + hash32(F.lit(seed), F.lit("shift"), F.col("repeat")) % (F.col("_n") - 1)).otherwise(F.lit(0))
+    landed = donors.select("fold", ((F.col("_at") - 1 + step) % F.col("_n") + 1).alias("_at"), "repeat", "_moved")
+    both = landed.join(ranked.select("fold", "_at", "_y", "_s"), ["fold", "_at"])
+    whole = F.aggregate("_s", F.lit(0.0), lambda a, v: a + v)
+
+    def error(value):
+        return F.abs((clip(value) if clipped else value) - F.col("_y"))
+
+    blocks = F.concat(F.array(F.struct(F.lit(-1).alias("block"), error(whole).alias("e"))), F.transform(
+        F.sequence(F.lit(0), F.size("_s") - 1), lambda i: F.struct(i.alias("block"), error(whole - F.get("_s", i) + F.get("_moved", i)).alias("e"))))
+    return both.select("fold", "repeat", F.inline(blocks)).groupBy("fold", "repeat", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("sae"))
 
 
 def permutation_importance(prep: Prepared, models: dict[str, Sequence[str]], model: str, alpha: float, row_id: str,
                            repeats: int, seed: int) -> list[dict]:
-    """Rise in validation error when one feature block is shuffled within its fold."""
-    coefs = {f: np.column_stack([np.concatenate([[b0], b]) for b0, b in prep.path(f, models[model], [alpha])])
-             for f in prep.folds}
-    y = prep.responses[0]
-    base = {r["fold"]: r["sae"] / r["n"] for r in _score(prep.df, "raw", y, "fold", coefs, True).collect()}
+    """Rise in validation error when one feature block is shuffled within its fold.
+
+    A ridge prediction is a sum over blocks, so a row is reduced to one partial score per
+    block, and only those numbers move.
+    """
+    blocks, parts = list(models[model]), {}
+    for f in prep.folds:
+        (b0, b), = prep.path(f, blocks, [alpha])
+        columns = np.zeros((prep.size + 1, len(blocks)))
+        for i, block in enumerate(blocks):
+            at = prep.layout.index([block])
+            columns[1 + np.array(at, int), i] = b[at]
+        columns[0, 0] = b0  # the intercept goes with the first block of every row alike
+        parts[f] = columns
+    scored = _predicted(prep.df, parts, len(blocks), False)
+    sums = {(r["fold"], r["repeat"], r["block"]): r["sae"] / r["n"] for r in shifted_errors(scored, "fold", row_id, prep.responses[0], "_p", repeats, seed).collect()}
     out = []
-    for b, block in enumerate(models[model]):
-        deltas = []
-        for k in range(repeats):
-            shuffled = permuted_block(prep.df.select(row_id, "raw", "fold", y), "raw", "fold", row_id,
-                                      prep.layout.index([block]), seed + 1000 * b + k)
-            deltas += [r["sae"] / r["n"] - base[r["fold"]] for r in _score(shuffled, "raw", y, "fold", coefs, True).collect()]
+    for i, block in enumerate(blocks):
+        deltas = [v - sums[f, k, -1] for (f, k, at), v in sums.items() if at == i]
         out.append({"model": model, "feature_block": block, "delta_mae_mean": float(np.mean(deltas)),
                     "delta_mae_sd": float(np.std(deltas, ddof=1)), "delta_mae_q025": float(np.quantile(deltas, 0.025)),
                     "delta_mae_q975": float(np.quantile(deltas, 0.975)), "fold_repeat_estimates": len(deltas)})

@@ -179,7 +179,7 @@ def paired_error_bootstrap(df: DataFrame, group: str, y: str, models: Sequence[s
     index = {m: i for i, m in enumerate(models)}
     rows = F.array(*[
         F.struct(F.lit(f"{a}_vs_{b}").alias("comparison"),
-                 ((F.col(f"_e{index[b]}") - F.col(f"_e{index[a]}")) / F.col("_n")).alias("delta_mae"))
+                 F.try_divide(F.col(f"_e{index[b]}") - F.col(f"_e{index[a]}"), F.col("_n")).alias("delta_mae"))
         for b, a in contrasts])
     return reps.select("rep", F.explode(rows).alias("r")).select("rep", "r.*")
 
@@ -293,7 +293,7 @@ def _middle_values(inside: DataFrame, below: np.ndarray, above: np.ndarray, repl
 def sign_flip(groups: DataFrame, group: str, total: str, denominator: Column, replicates: int, seed: int) -> DataFrame:
     """Null replicates: each group's sum gets a hashed sign. ``rep, null_mean``."""
     flipped = replicate_sums(groups, [group], [F.col(total)], replicates, seed, "sign")
-    return flipped.select("rep", (F.get("sums", 0) / denominator).alias("null_mean"))
+    return flipped.select("rep", F.try_divide(F.get("sums", 0), denominator).alias("null_mean"))
 
 
 def sign_flip_test(df: DataFrame, group: str, value: Column, replicates: int, seed: int) -> DataFrame:
@@ -303,7 +303,7 @@ def sign_flip_test(df: DataFrame, group: str, value: Column, replicates: int, se
     """
     sums = checkpointed(group_sums(with_values(df, [value]), group, {"_s": value, "_n": F.lit(1.0)}))
     n = sums.agg(F.sum("_n").alias("n")).scalar()
-    observed = sums.agg((F.sum("_s") / F.sum("_n")).alias("m"))
+    observed = sums.agg(F.try_divide(F.sum("_s"), F.sum("_n")).alias("m"))
     null = sign_flip(sums, group, "_s", n, replicates, seed)
     limit = F.abs(observed.scalar()) * (1 - 1e-12)
     hits = null.agg(F.count_if(F.abs(F.col("null_mean")) >= limit).alias("exceed"), F.count(F.lit(1)).alias("replicates"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,7 +59,8 @@ def coefficient_bootstrap(df: DataFrame, designs: dict[str, Design], outcome: st
     at = {n: designs[n].names.index(predictors[n]) for n in designs}
 
     def solve(values):
-        return {n: solve_ols(unpack_gram(values[spots[n]], sizes[n] + 1), sizes[n])[0][at[n]] * scale.get(n, 1.0) for n in spots}
+        # The first sum of a design counts the rows drawn; a replicate may have drawn none.
+        return {n: solve_ols(unpack_gram(values[spots[n]], sizes[n] + 1), sizes[n])[0][at[n]] * scale.get(n, 1.0) if values[spots[n][0]] else np.nan for n in spots}
 
     return bootstrap_fit(per_cluster, "_cluster", order, solve, list(designs), replicates, seed, weights)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sitewise.operators import matching as X
 from sitewise.operators import models as M
 from sitewise.operators.encoding import FeatureSpec
-from sitewise.operators.enrich import KEY, enrich_distinct
+from sitewise.operators.enrich import KEY, batches_of, committed, compact, enrich_distinct
 from sitewise.operators.groups import group_folds
 from sitewise.plans import prediction as P
 
@@ -92,7 +92,9 @@ def test_frozen_model_treats_unseen_levels_as_zero(spark, frame):
 def test_end_to_end_split_fit_predict(frame):
     _, df = frame
     grouped = P.assign_groups(df, "gene", "seq", 0.25, 3)
-    out, fitted, prep = P.train_and_test(grouped, spec(), "y", {"M0": ("C",), "M1": ("C", "X")}, [1.0, 10.0], 3, 50, 1, ["gene", "seq"])
+    with pytest.raises(M.BoundaryError):
+        P.train_and_test(grouped, spec(), "y", {"M0": ("C",)}, [1.0, 10.0], 3, 50, 1)
+    out, fitted, prep = P.train_and_test(grouped, spec(), "y", {"M0": ("C",), "M1": ("C", "X")}, [1.0, 10.0], 3, 50, 1, ["gene", "seq"], reject_boundary=False)
     assert out["leakage"].agg(F.sum("overlap")).first()[0] == 0
     assert {r.model for r in out["test_metrics"].collect()} == {"M0", "M1"}
     row = out["contrasts"].first()
@@ -101,6 +103,46 @@ def test_end_to_end_split_fit_predict(frame):
     assert rows.where("prediction_M0 < 0 or prediction_M0 > 1").count() == 0
     n = {r.cohort: r.n for r in metrics.where("model = 'M0'").collect()}
     assert n["all"] == 160 and n["strict"] < 160
+    boot = {r.cohort: r for r in P.transfer_contrasts(rows.withColumn("g", F.col("gene")), fitted, "y", 200, 3, "g").collect()}
+    assert set(boot) == {"all", "strict"} and all(r.ci_low <= r.ci_high for r in boot.values()) and boot["all"].replicates == 200
+
+
+def test_missing_responses_and_groups(frame):
+    pdf, df = frame
+    gapped = df.withColumn("y", F.when(F.col("i") % 5 > 0, F.col("y"))).withColumn("gene", F.nullif("gene", F.lit(pdf.gene.iloc[0])))
+    prep = M.prepare(gapped, spec(), ["y"], "gene", 4)
+    assert prep.df.count() == gapped.where("y is not null").count() and prep.df.where("gene is null").select("fold").distinct().count() == 1
+    rows, _ = M.grid_cv(prep, {"M0": ("C",)}, [1.0, 2.0])
+    assert sum(r["n"] for r in rows if r["fold"] == "mean" and r["alpha"] == 1.0) == prep.df.count()
+
+
+def test_nested_choice_matches_refitting(frame):
+    pdf, df = frame
+    alphas, models = [0.5, 5.0, 50.0], {"M0": ("C",), "M3": ("C", "X", "R")}
+    rows, oof = M.nested_cv(df, spec(), "y", "gene", models, alphas, 3, 2, "i")
+    cells = {r.gene: (r.outer_fold, r.inner_fold) for r in M.nested_cells(df, "gene", 3, 2).collect()}
+    o, j = pdf.gene.map(lambda g: cells[g][0]), pdf.gene.map(lambda g: cells[g][1])
+
+    def fitted(train, valid, blocks, alpha):
+        b0, b = dense_ridge(dense_encode(train, train, blocks), train.y.to_numpy(), alpha)
+        return np.clip(b0 + dense_encode(train, valid, blocks) @ b, 0, 1)
+
+    got = {(r["model"], r["outer_fold"]): r for r in rows}
+    for m, blocks in models.items():
+        for f in (1, 2, 3):
+            def inner(alpha):
+                return np.mean([np.abs(fitted(pdf[(o != f) & (j != i)], pdf[(o != f) & (j == i)], blocks, alpha) - pdf[(o != f) & (j == i)].y).mean() for i in (1, 2)])
+            best = min(alphas, key=lambda a: (inner(a), a))
+            pred = fitted(pdf[o != f], pdf[o == f], blocks, best)
+            assert got[m, str(f)]["selected_alpha"] == best and got[m, str(f)]["mae"] == pytest.approx(np.abs(pred - pdf[o == f].y).mean(), rel=1e-7)
+    assert oof.count() == len(models) * len(pdf)
+
+
+def test_importance_moves_one_number_per_block(frame):
+    pdf, df = frame
+    prep = M.prepare(df, spec(), ["y"], "gene", 3)
+    out = {r["feature_block"]: r for r in M.permutation_importance(prep, {"M3": ("C", "X", "R")}, "M3", 1.0, "i", 20, 4)}
+    assert set(out) == {"C", "X", "R"} and all(r["fold_repeat_estimates"] == 60 for r in out.values())
 
 
 def test_permuted_block_keeps_the_block_values_of_each_fold(spark, frame):
@@ -158,3 +200,33 @@ def test_enrichment_resumes_without_recomputing(spark, tmp_path):
     assert calls.value == 4
     enrich_distinct(df, F.col("s"), compute, store).count()
     assert calls.value == 4
+
+
+def test_enrichment_keeps_finished_batches_after_a_failure(spark, tmp_path):
+    calls, broken = spark.sparkContext.accumulator(0), []
+
+    def compute(keys):
+        if len(broken) == 2:
+            broken.append(1)
+            raise OSError("third batch")
+        broken.append(1)
+
+        def run(batches):
+            for pdf in batches:
+                calls.add(len(pdf))
+                yield pd.DataFrame({KEY: pdf[KEY], "n": pdf["content"].str.len()})
+
+        return keys.mapInPandas(run, f"{KEY} string, n long")
+
+    df = spark.createDataFrame([(i, "s" * (i % 40)) for i in range(120)], "i int, s string")
+    store = f"{tmp_path}/store"
+    with pytest.raises(OSError):
+        enrich_distinct(df, F.col("s"), compute, store, batches=4)
+    done = committed(spark, store).count()
+    assert done == calls.value > 0
+    assert [r.n for r in enrich_distinct(df, F.col("s"), compute, store, batches=4).orderBy("i").collect()] == [i % 40 for i in range(120)]
+    assert calls.value == 40 and committed(spark, store).count() == 40 == committed(spark, store).select(KEY).distinct().count()
+    # A batch that was written but never entered the log does not count.
+    committed(spark, store).write.parquet(f"{store}/batch-lost")
+    assert compact(spark, store) == 40 and committed(spark, store).count() == 40
+    assert [p.name for p in (tmp_path / "store").glob("batch-*")] == [batches_of(spark, store)[0]]

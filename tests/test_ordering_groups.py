@@ -108,3 +108,31 @@ def test_join_contracts(spark):
         J.checked_join(a, b, ["k"])
     with pytest.raises(J.ContractError):
         J.replicate_outer_join(a, a, ["k"], ["v"])
+
+
+@pytest.mark.parametrize("folds", [1, 2, 3, 5])
+def test_runs_of_equal_sizes_are_dealt_like_single_groups(folds):
+    rng = np.random.default_rng(folds)
+    for _ in range(200):
+        sizes = sorted(rng.integers(1, rng.integers(2, 60), rng.integers(1, 80)).tolist(), reverse=True)
+        counts = [(s, sizes.count(s)) for s in sorted(set(sizes), reverse=True)]
+        load, want = [0] * folds, []
+        for s in sizes:
+            f = min(range(folds), key=lambda k: (load[k], k))
+            load[f] += s
+            want.append(f + 1)
+        phases, got = G._phases(counts, folds), []
+        for s, many in counts:
+            for i in range(many):
+                first, turn = [(a, t) for size, a, t in phases if size == s and a <= i][-1]
+                got.append(turn[(i - first) % len(turn)])
+        assert got == want
+
+
+def test_largest_to_lightest_deal(spark):
+    rows = [(f"g{i % 23}" if i % 23 else None,) for i in range(400)] + [("one",), ("two",)]
+    out = G.lightest_folds(spark.createDataFrame(rows, "g string"), "g", 4).collect()
+    assert len(out) == 25 and sum(r["size"] for r in out) == len(rows)
+    load = [sum(r["size"] for r in out if r.fold == f) for f in (1, 2, 3, 4)]
+    assert max(load) - min(load) <= max(r["size"] for r in out)
+    assert G.lightest_folds(spark.createDataFrame([], "g string"), "g", 4).collect() == []
