@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitewise.llm.shingles import chunks, shingle_sets
-from sitewise.llm.token_groups import JoinParams, link_classes, named_components
+from sitewise.llm.token_groups import JoinParams, _roots, link_classes, named_components
 from sitewise.session import checkpointed
 
 PIECES = 8  # MinHash values in a tree's key, 16 bits of each
@@ -126,7 +126,9 @@ _FOUND = "a long, b long, differ int, part int, head boolean, " + ", ".join(f"{c
 def _pairs(rows: pd.DataFrame, first_new: int, params: NearDupParams) -> pd.DataFrame:
     """Candidates among sorted rows, of which at least the later one is at or after ``first_new``.
 
-    Rows of a region that is seen to be full take only their nearest neighbours.
+    Rows that are candidates of each other, directly or through others, are returned as one
+    set: a row per member, ``a`` the first of them, ``b`` the member, ``differ`` the tree. Rows
+    of a region that is seen to be full take only their nearest neighbours.
     """
     tree, k0 = rows["tree"].to_numpy(np.int64), rows["k0"].to_numpy(np.int64).view(np.uint64)
     region = k0 >> np.uint64(params.region_shift)
@@ -139,11 +141,12 @@ def _pairs(rows: pd.DataFrame, first_new: int, params: NearDupParams) -> pd.Data
         if not len(at):
             break
         at = at[(at + step >= first_new) & (reach[at] >= step)]
-        differ = np.bitwise_count(bits[at] ^ bits[at + step]).sum(1, dtype=np.int32)
-        near = (differ <= params.most_differing) & (ids[at] != ids[at + step])
-        x, y = ids[at[near]], ids[at[near] + step]
-        found.append(pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "differ": differ[near]}))
-    return pd.concat(found, ignore_index=True).drop_duplicates(["a", "b"]) if found else pd.DataFrame({"a": [], "b": [], "differ": []}, dtype=np.int64)
+        apart = np.bitwise_count(bits[at] ^ bits[at + step]).sum(1, dtype=np.int32)
+        near = (apart <= params.most_differing) & (ids[at] != ids[at + step])
+        found.append((at[near], at[near] + step))
+    x, y = (np.concatenate([np.zeros(0, np.int64), *side]) for side in (zip(*found) if found else ((), ())))
+    member = np.unique(np.concatenate([x, y]))
+    return pd.DataFrame({"a": ids[_roots(len(rows), x, y)[member]], "b": ids[member], "differ": tree[member]})
 
 
 def _runs(batch: pd.DataFrame, params: NearDupParams) -> pd.DataFrame:
@@ -190,7 +193,7 @@ def _tree_rows(classes: DataFrame, params: NearDupParams, *more: str) -> DataFra
 
 
 def candidates(classes: DataFrame, params: NearDupParams) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs ``a < b`` of ``id``; and the full regions, ``tree, region``.
+    """Sets of candidates, ``tree, a, b`` with ``a`` their first and ``b`` each member's ``id``; and the full regions, ``tree, region``.
 
     A full region has more rows than a window sees from each of them.
     """
@@ -208,7 +211,7 @@ def candidates(classes: DataFrame, params: NearDupParams) -> tuple[DataFrame, Da
         ends = swept.where("part >= 0").withColumn("part", F.when(F.col("head"), F.try_element_at(before, F.col("part"))).otherwise(F.col("part")))
         pairs = pairs.unionAll(ends.where("part is not null").select("part", "head", *_ROW).groupBy("part").applyInPandas(
             lambda rows: _across(rows, params), "a long, b long, differ int"))
-    return pairs.select("a", "b").distinct(), full.select("tree", "region")
+    return pairs.select(F.col("differ").alias("tree"), "a", "b").distinct(), full.select("tree", "region")
 
 
 def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) -> DataFrame:
@@ -217,12 +220,12 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
     one = signed.where("doc_id is not null and _c0 is not null").groupBy("_c0", "_c1").agg(F.min(F.struct("doc_id", "_keys", "_bits", "n_shingles")).alias("_m"))
     classes = checkpointed(one.select("_c0", "_c1", F.monotonically_increasing_id().alias("id"), F.col("_m.doc_id").alias("_least"), "_m._keys", "_m._bits",
                                       F.col("_m.n_shingles").alias("_n")))
-    pairs, full = candidates(classes, params)
-    pairs = pairs.select(F.xxhash64(F.lit("pair"), "a", "b").alias("print"), F.explode(F.array("a", "b")).alias("cid"))
+    near, full = candidates(classes, params)
+    near = near.select(F.xxhash64(F.lit("near"), "tree", "a").alias("print"), F.col("b").alias("cid"))
     placed = classes.select(F.col("id").alias("cid"), F.posexplode(F.transform(
         F.sequence(F.lit(0), F.lit(params.trees - 1)), lambda t: F.shiftrightunsigned(F.get("_keys", 2 * t), params.region_shift))).alias("tree", "region"))
     whole = placed.join(full, ["tree", "region"]).select(F.xxhash64(F.lit("region"), "tree", "region").alias("print"), "cid")
-    held = checkpointed(pairs.unionAll(whole))
+    held = checkpointed(near.unionAll(whole))
     narrow = classes.select("_c0", "_c1", F.col("id").alias("cid"), "_least", F.get("_keys", 0).alias("_m1"), F.get("_keys", 1).alias("_m2"), "_n")
     linked = link_classes(docs, narrow, held, JoinParams(words=params.words, percent=round(100 * params.similarity), rows_per_part=params.rows_per_part))
     named = named_components(signed, narrow, linked)
