@@ -1,9 +1,11 @@
 """Ids of a word-piece tokenizer file at corpus speed.
 
-The tokenizer splits a text into words and codes each word by itself, so the ids of a
-word are looked up once and kept. That holds for texts of printable ASCII and Latin-1
-letters, whose lower case and splitting are spelled out here; any other text, and texts
-that may hold a special token, go through the tokenizer whole.
+The tokenizer splits a text into words and codes each word by itself, so a word is coded
+once by the tokenizer's model alone and its ids are kept. That holds for texts of
+printable ASCII and Latin-1 letters, whose lower case, splitting and byte letters are
+spelled out here; any other text, and texts that may hold a special token, go through the
+tokenizer whole. Kept words are of two generations: when the newer is full it becomes the
+older, and a word that is met again moves to the newer, so frequent words stay known.
 """
 
 from __future__ import annotations
@@ -14,12 +16,16 @@ from itertools import chain
 
 import numpy as np
 
-CACHED_WORDS = 300_000
+CACHED_WORDS = 250_000
 TOGETHER = 64
 _PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
 # The file's own splitting rule for such texts: contractions, letters, single digits, other signs.
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 
+# The letters that stand for bytes outside ASCII in the file's vocabulary, by the byte-level rule:
+# a byte is its own Latin-1 letter, but those without a visible one follow from U+0121 on.
+_BYTE_LETTERS = {byte: 0x121 + byte - 0x7F for byte in range(0x7F, 0xA1)} | {0xAD: 0x143}
+
 
 class WordIds:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
@@ -28,36 +34,38 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+        self.older: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        last = np.flatnonzero(self.ends[ids]) + 1
-        if len(last) == len(words) and last[-1] == len(ids):
-            self.known.update(zip(words, (piece.tobytes() for piece in np.split(ids, last[:-1]))))
-        else:
-            self.known.update((w, self.whole(w)) for w in words)
+        code, older, ids, ends = self.model.tokenize, self.older, [], []
+        fresh = []
+        for word in words:
+            if (kept := older.get(word)) is not None:
+                self.known[word] = kept
+                continue
+            fresh.append(word)
+            ids += [piece.id for piece in code(word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+            ends.append(4 * len(ids))
+        raw = np.array(ids, "<u4").tobytes()
+        self.known.update(zip(fresh, (raw[i:j] for i, j in zip([0, *ends[:-1]], ends))))
 
     def many(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for at in range(0, len(texts), TOGETHER):
             few = texts[at:at + TOGETHER]
             split = [_WORD.findall(t.lower()) if "<|" not in t and _PLAIN.fullmatch(t) else None for t in few]
-            new = list(set(chain.from_iterable(filter(None, split))).difference(self.known))
-            if new:
-                if len(self.known) + len(new) > CACHED_WORDS:  # the few texts' words must all be known together
-                    self.known.clear()
-                    new = list(set(chain.from_iterable(filter(None, split))))
-                for start in range(0, len(new), 20_000):
-                    self._learn(new[start:start + 20_000])
-            known = self.known
-            out += [self.whole(t) if words is None else b"".join([known[w] for w in words]) for t, words in zip(few, split)]
+            words = set(chain.from_iterable(filter(None, split)))
+            new = words.difference(self.known)
+            if len(self.known) + len(new) > CACHED_WORDS:  # the few texts' words must all be known together
+                self.known, self.older, new = {}, self.known, words
+            self._learn(list(new))
+            known = self.known.__getitem__
+            out += [self.whole(t) if found is None else b"".join(map(known, found)) for t, found in zip(few, split)]
         return out
 
 
