@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitewise.functions.scalars import MISSING_TOKENS, bin_left_closed, bin_right_closed, lenient_double
 from sitewise.functions.vectors import valid_count
@@ -24,35 +28,67 @@ def _long(df: DataFrame, keys: Sequence[str], columns: Sequence[str], cast: str
 
 
 def column_profile(df: DataFrame, columns: Sequence[str], tokens: Sequence[str] = MISSING_TOKENS) -> DataFrame:
-    """Rows, missing, numeric count, minimum and maximum of each column; one aggregate."""
-    long = _long(df, [], columns, "string", "column", "value")
-    missing = F.col("value").isNull() | F.col("value").isin(*tokens)
-    number = F.when(~missing, lenient_double(F.col("value")))
-    return long.groupBy("column").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(missing).alias("missing"),
-        F.round(F.avg(missing.cast("int")), 8).alias("missing_fraction"),
-        F.count(number).alias("numeric"),
-        F.min(number).alias("minimum"),
-        F.max(number).alias("maximum"),
-    )
+    """Rows, missing, numeric count, minimum and maximum of each column; one aggregate of one row."""
+    def profile(c: str) -> Column:
+        text = F.col(c).cast("string")
+        missing = text.isNull() | text.isin(*tokens)
+        number = F.when(~missing, lenient_double(text))
+        return F.struct(
+            F.lit(c).alias("column"),
+            F.count(F.lit(1)).alias("rows"),
+            F.count_if(missing).alias("missing"),
+            F.round(F.avg(missing.cast("int")), 8).alias("missing_fraction"),
+            F.count(number).alias("numeric"),
+            F.min(number).alias("minimum"),
+            F.max(number).alias("maximum"),
+        )
+
+    return df.agg(F.array(*[profile(c) for c in columns]).alias("_c")).select(F.inline("_c"))
+
+
+_COUNTED = (T.IntegralType, T.FractionalType, T.StringType, T.BooleanType, T.DateType, T.TimestampType)
+
+
+def _few_values(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Counts of each column's values in a task; a column with more than ``most`` gives one row without a count."""
+    found: list[dict] | None = None
+    schema: pa.Schema | None = None
+    for batch in batches:
+        schema = batch.schema
+        found = [{} for _ in schema] if found is None else found
+        for column, counts in zip(batch.columns, found):
+            if len(counts) > most:
+                continue
+            for pair in pc.value_counts(column).to_pylist():
+                value = pair["values"]
+                if value is not None:
+                    value = math.nan if value != value else value  # one object, found by identity
+                    counts[value] = counts.get(value, 0) + pair["counts"]
+    rows = [(i, v, n) for i, counts in enumerate(found or ()) for v, n in (counts.items() if len(counts) <= most else ((None, None),))]
+    if rows:
+        at, values, counts = zip(*rows)
+        columns = [pa.array([v if k == i else None for k, v in zip(at, values)], field.type) for i, field in enumerate(schema)]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts, pa.int64()), *columns], ["_at", "_n", *schema.names])
 
 
 def low_cardinality_counts(df: DataFrame, columns: Sequence[str], limit: int = LOW_CARDINALITY,
                            tokens: Sequence[str] = MISSING_TOKENS) -> DataFrame:
     """Value counts of the columns with at most ``limit`` distinct values.
 
-    A sketch drops the clearly wide columns first, so their values are never shuffled.
+    One scan: a task keeps the values of a column, typed as they are, until they are too
+    many, and hands on a few counts or the mark that they were.
     """
-    sketch = df.agg(*[F.approx_count_distinct(F.col(c)).alias(c) for c in columns]).first()
-    narrow = [c for c in columns if sketch[c] <= 2 * limit + 8]
-    if not narrow:
-        return df.sparkSession.createDataFrame([], "column string, value string, count long")
-    long = _long(df, [], narrow, "string", "column", "value").where(
-        F.col("value").isNotNull() & ~F.col("value").isin(*tokens))
-    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
-    distinct = counts.groupBy("column").agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") <= limit)
-    return counts.join(distinct.select("column"), "column", "left_semi")
+    typed = df.select(*[(F.col(c) if isinstance(df.schema[c].dataType, _COUNTED) else F.col(c).cast("string")).alias(f"v{i}") for i, c in enumerate(columns)])
+    most = limit + len(tokens)  # the missing-value tokens do not count
+    schema = T.StructType([T.StructField("_at", T.IntegerType()), T.StructField("_n", T.LongType()), *[T.StructField(f.name, f.dataType) for f in typed.schema]])
+    parts = typed.mapInArrow(lambda b: _few_values(b, most), schema)
+    text = F.coalesce(*[F.col(f"v{i}").cast("string") for i in range(len(columns))])
+    counts = parts.select(F.get(F.array(*[F.lit(c) for c in columns]), F.col("_at")).alias("column"), text.alias("value"), "_n") \
+        .where(F.col("value").isNull() | ~F.col("value").isin(*tokens)).groupBy("column", "value").agg(F.sum("_n").alias("count"))
+    # A row without a value is the mark.
+    counts = checkpointed(counts)
+    narrow = counts.groupBy("column").agg(F.count(F.lit(1)).alias("_d"), F.count_if(F.col("value").isNull()).alias("_over")).where((F.col("_d") <= limit) & (F.col("_over") == 0))
+    return counts.join(narrow.select("column"), "column", "left_semi")
 
 
 def vector_profile(df: DataFrame, tid: str = "tid", length: str = "length", values: str = "values") -> DataFrame:

@@ -1,14 +1,17 @@
-"""Interval joins: points and intervals meet in fixed-width bins.
+"""Interval joins: points and intervals meet in bins of the interval's level.
 
 Joining on chromosome and strand alone would leave a few huge keys with every
-pair to test. Each interval is placed in the bins it covers and each point in
-its own bin, so the join has an equality on the bin and only near pairs are
-tested. A hot bin is split by AQE's skew join, as both sides shuffle on the key.
+pair to test. An interval is placed at the level whose bins are at least as long as
+itself, each level's eight times the last one's, so it lies in one bin or two however
+long it is. A point looks into one bin of every level that occurs. The join has an
+equality on level and bin, so only near pairs are tested. A hot bin is split by AQE's
+skew join, as both sides shuffle on the key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,30 +20,57 @@ from sitewise.functions.binding import let
 from sitewise.functions.scalars import genome_to_tx
 from sitewise.functions.vectors import valid_count, valid_mean
 from sitewise.operators.ordering import running
+from sitewise.session import checkpointed
 
 # Fixed value: width of an index bin in bases.
 BIN = 16384
 
 
-def _bin(pos: Column, width: int) -> Column:
-    return F.floor((pos - 1) / F.lit(width)).cast("long")
+# Fixed value: powers of two by which the bins of a level are wider than those of the level below.
+_STEP = 3
+
+
+def _level(start: Column, end: Column, width: int) -> Column:
+    """The lowest level whose bins are as long as the closed interval."""
+    top = (62 - width.bit_length()) // _STEP
+    longer = [(end - start >= F.lit(width << _STEP * k)).cast("int") for k in range(top)]
+    return reduce(lambda a, b: a + b, longer)
+
+
+def _bin(pos: Column, level: Column, width: int) -> Column:
+    return F.floor((pos - 1) / (F.lit(width).cast("long") * F.call_function("shiftleft", F.lit(1).cast("long"), level * _STEP))).cast("long")
+
+
+def _occurring(level: DataFrame) -> list[int]:
+    """Levels in a one-column frame; some twenty at most."""
+    return sorted(r[0] for r in level.distinct().collect() if r[0] is not None)
 
 
 def point_in_interval(points: DataFrame, intervals: DataFrame, on: Sequence[str], pos: str = "pos",
                       start: str = "start", end: str = "end", bin_size: int = BIN,
                       how: str = "inner") -> DataFrame:
-    """Every (point, interval) with equal ``on`` and ``start <= pos <= end``."""
-    p = points.withColumn("_bin", _bin(F.col(pos), bin_size)).alias("p")
-    i = intervals.withColumn(
-        "_bin", F.explode(F.sequence(_bin(F.col(start), bin_size), _bin(F.col(end), bin_size)))
-    ).alias("i")
-    keys = [F.col(f"p.{c}") == F.col(f"i.{c}") for c in [*on, "_bin"]]
+    """Every (point, interval) with equal ``on`` and ``start <= pos <= end``, or the points with or without one.
+
+    ``how`` is ``inner``, ``left_semi`` or ``left_anti``.
+    """
+    if how not in ("inner", "left_semi", "left_anti"):
+        raise ValueError(f"unknown join {how}")
+    placed = intervals.withColumn("_level", _level(F.col(start), F.col(end), bin_size))
+    levels = _occurring(placed.select("_level")) or [0]
+    if how != "inner" and len(levels) > 1:
+        # A point stands in several rows below, so the rows that hit are named first.
+        rows = checkpointed(points.withColumn("_row", F.monotonically_increasing_id()))
+        hits = point_in_interval(rows, intervals.select(*on, start, end), on, pos, start, end, bin_size).select("_row").distinct()
+        return rows.join(hits, "_row", how).drop("_row")
+    each = F.lit(levels[0]) if len(levels) == 1 else F.explode(F.array(*[F.lit(k) for k in levels]))
+    p = points.withColumn("_level", each).withColumn("_bin", _bin(F.col(pos), F.col("_level"), bin_size)).alias("p")
+    ends = F.array_distinct(F.array(*[_bin(F.col(c), F.col("_level"), bin_size) for c in (start, end)]))
+    i = placed.withColumn("_bin", F.explode(ends)).alias("i")
+    keys = [F.col(f"p.{c}") == F.col(f"i.{c}") for c in [*on, "_level", "_bin"]]
     inside = F.col(f"p.{pos}").between(F.col(f"i.{start}"), F.col(f"i.{end}"))
-    cond = keys[0]
-    for k in [*keys[1:], inside]:
-        cond = cond & k
-    if how in ("left_semi", "left_anti"):
-        return p.join(i, cond, how).drop("_bin")
+    cond = reduce(lambda a, b: a & b, [*keys, inside])
+    if how != "inner":
+        return p.join(i, cond, how).drop("_level", "_bin")
     carried = [c for c in intervals.columns if c not in on]
     return p.join(i, cond, how).select(
         *[F.col(f"p.{c}") for c in points.columns], *[F.col(f"i.{c}") for c in carried]
@@ -51,20 +81,25 @@ def interval_overlap(left: DataFrame, right: DataFrame, on: Sequence[str], left_
                      right_span: tuple[str, str], bin_size: int = BIN) -> DataFrame:
     """Every overlapping pair of closed intervals with equal ``on``, exactly once.
 
-    Both sides are placed in all bins they cover; a pair is kept only in the
-    first bin the two share, which makes a later de-duplication unnecessary.
+    An interval stands at its own level and at the higher ones that occur on the other
+    side. A pair meets at the higher of its two levels, in the first bin that both
+    share there, which makes a later de-duplication unnecessary.
     """
     ls, le = left_span
     rs, re = right_span
-
-    def binned(df: DataFrame, s: str, e: str) -> DataFrame:
-        first = _bin(F.col(s), bin_size)
-        return df.withColumn("_first", first).withColumn(
-            "_bin", F.explode(F.sequence(first, _bin(F.col(e), bin_size))))
-
-    a, b = binned(left, ls, le).alias("a"), binned(right, rs, re).alias("b")
-    cond = (F.col("a._bin") == F.col("b._bin")) & (F.col(f"a.{ls}") <= F.col(f"b.{re}")) \
-        & (F.col(f"a.{le}") >= F.col(f"b.{rs}")) \
+    spans = [df.withColumn("_own", _level(F.col(s), F.col(e), bin_size)) for df, s, e in ((left, ls, le), (right, rs, re))]
+    levels = [_occurring(df.select("_own")) for df in spans]
+
+    def binned(df: DataFrame, s: str, e: str, others: list[int]) -> DataFrame:
+        higher = F.filter(F.array(*[F.lit(k) for k in others]).cast("array<int>"), lambda k: k > F.col("_own"))
+        first, last = (_bin(F.col(c), F.col("_level"), bin_size) for c in (s, e))
+        return df.withColumn("_level", F.explode(F.concat(F.array("_own"), higher))).withColumn("_first", first) \
+            .withColumn("_bin", F.explode(F.array_distinct(F.array(F.col("_first"), last))))
+
+    a, b = binned(spans[0], ls, le, levels[1]).alias("a"), binned(spans[1], rs, re, levels[0]).alias("b")
+    cond = (F.col("a._bin") == F.col("b._bin")) & (F.col("a._level") == F.col("b._level")) \
+        & (F.col(f"a.{ls}") <= F.col(f"b.{re}")) & (F.col(f"a.{le}") >= F.col(f"b.{rs}")) \
+        & (F.col("a._level") == F.greatest(F.col("a._own"), F.col("b._own"))) \
         & (F.col("a._bin") == F.greatest(F.col("a._first"), F.col("b._first")))
     for c in on:
         cond = cond & (F.col(f"a.{c}") == F.col(f"b.{c}"))

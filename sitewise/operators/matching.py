@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitewise.functions.binding import let
-from sitewise.functions.vectors import flank_mean, valid_count
-from sitewise.operators.ordering import on_keys
+from sitewise.functions.vectors import flank_mean
+from sitewise.operators.ordering import on_keys, running
 
 
 def eligible_positions(values: Column, letters: Column, excluded: Column, flank: int, min_fraction: float) -> Column:
@@ -20,40 +20,49 @@ def eligible_positions(values: Column, letters: Column, excluded: Column, flank:
     as an array of ``(pos, letter)``.
     """
     need = math.ceil(flank * min_fraction)
-    n = F.size(values)
-    span = F.when(n >= 2 * flank + 1, F.sequence(F.lit(flank + 1), n - flank)).otherwise(F.array().cast("array<int>"))
-    def fits(v: Column, i: Column) -> Column:
-        left, right = F.slice(v, i - flank, F.lit(flank)), F.slice(v, i + 1, F.lit(flank))
-        return (valid_count(left) >= need) & (valid_count(right) >= need) & ~F.array_contains(excluded, i)
 
-    ok = let(values, lambda v: F.filter(span, lambda i: fits(v, i)))
-    return let(F.split(letters, ""), lambda text: F.transform(
-        ok, lambda i: F.named_struct(F.lit("pos"), i, F.lit("letter"), F.get(text, i - 1))))
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("letter", T.StringType())])))
+    def fitting(measured: pd.Series, text: pd.Series, taken: pd.Series) -> pd.Series:
+        return pd.Series([_fitting(m, t, x, flank, need) for m, t, x in zip(measured, text, taken)], dtype=object)
+
+    return fitting(F.transform(values, lambda v: v.isNotNull()), letters, excluded)
+
+
+def _fitting(measured, text, taken, flank: int, need: int) -> list[dict]:
+    """Both flanks of every position from one prefix sum; nothing without values or a list of exclusions."""
+    if measured is None or taken is None or len(measured) < 2 * flank + 1:
+        return []
+    total = np.concatenate([[0], np.asarray(measured, bool).cumsum()])
+    at = np.arange(flank + 1, len(measured) - flank + 1)
+    ok = (total[at - 1] - total[at - flank - 1] >= need) & (total[at + flank] - total[at] >= need)
+    ok &= ~np.isin(at, [x for x in taken if x is not None])
+    return [{"pos": int(i), "letter": text[i - 1] if text is not None and i <= len(text) else None} for i in at[ok]]
 
 
 def eligibility(df: DataFrame, key: list[str], order: str, valid: Column, flank: int, min_fraction: float,
                 excluded: Column) -> DataFrame:
     """Row form of the same test for long tables with one dense position per row.
 
-    A position sees only its own flank, so the counts come from a join on
-    neighbouring blocks and no key is held in one task.
+    Counts of a flank are differences of running counts, which range-partition, so no
+    key is held in one task. Positions of a key follow each other without a gap; a
+    missing ``valid`` is not valid.
     """
     need = math.ceil(flank * min_fraction)
-    base = df.select(*key, order, valid.cast("int").alias("_v"))
-    block = F.floor(F.col(order) / flank)
-    here = base.withColumn("_b", block)
-    near = base.where("_v = 1").select(*key, F.col(order).alias("_o"), F.explode(F.array(block - 1, block, block + 1)).alias("_b"))
-    at = [F.col(f"h.{k}") for k in key] + [F.col(f"h.{order}").alias(order)]
-    met = here.alias("h").join(near.alias("n"), on_keys("h", "n", [*key, "_b"]), "left").select(*at, F.col("n._o").alias("_o"))
-    counts = met.groupBy(*key, order).agg(
-        F.count_if(F.col("_o").between(F.col(order) - flank, F.col(order) - 1)).alias("valid_left"),
-        F.count_if(F.col("_o").between(F.col(order) + 1, F.col(order) + flank)).alias("valid_right"))
-    bounds = base.groupBy(*key).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    base = df.select(*key, order, F.coalesce(valid.cast("int"), F.lit(0)).alias("_v"))
+    total = running(base, key, [order], {"_t": ("sum", F.col("_v"))})
+    # Each running count goes to the four positions that look it up; no row meets its flank.
+    at = F.col(order)
+    looked = F.inline(F.array(*[F.struct((at + move).alias("_o"), F.lit(role).alias("_role")) for role, move in enumerate((0, 1, flank + 1, -flank))]))
+    here, before, far, ahead = (F.max(F.when(F.col("_role") == role, F.col("_t"))) for role in range(4))
+    counts = total.select(*key, "_t", looked).groupBy(*key, F.col("_o").alias(order)).agg(
+        here.alias("_here"), (F.coalesce(before, F.lit(0)) - F.coalesce(far, F.lit(0))).alias("valid_left"), ahead.alias("_ahead")).where("_here is not null")
+    bounds = base.groupBy(*key).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"), F.sum("_v").alias("_all"))
     inside = (F.col(order) - flank >= F.col("_lo")) & (F.col(order) + flank <= F.col("_hi"))
-    out = df.alias("d").join(counts.alias("c"), on_keys("d", "c", [*key, order])).select("d.*", "c.valid_left", "c.valid_right")
-    out = out.alias("d").join(bounds.alias("b"), on_keys("d", "b", key)).select("d.*", "b._lo", "b._hi")
+    out = df.alias("d").join(counts.alias("c"), on_keys("d", "c", [*key, order])).select("d.*", "c.valid_left", "c._here", "c._ahead")
+    out = out.alias("d").join(bounds.alias("b"), on_keys("d", "b", key)).select("d.*", "b._lo", "b._hi", "b._all")
+    out = out.withColumn("valid_right", F.coalesce("_ahead", "_all") - F.col("_here"))
     return out.withColumn("eligible", inside & (F.col("valid_left") >= need) & (F.col("valid_right") >= need) & ~excluded) \
-        .drop("_lo", "_hi")
+        .drop("_lo", "_hi", "_all", "_here", "_ahead")
 
 
 PAIR = T.StructType([

@@ -18,6 +18,7 @@ SAMPLE = [
     "site_dataset", "replicate_outer_join", "points_in_intervals", "interval_overlaps", "coordinate_lift", "lift_round_trip", "spliced_interval_features",
     "annotation_projection", "representative_ranking", "running_totals_skewed_key", "exact_group_quantiles", "rank_correlations", "joint_groups",
     "group_split", "fdr_adjustment", "clustered_regression", "bootstrap_coefficient_difference", "sign_flip_test", "wilcoxon_signed_rank",
+    "column_profiles", "low_cardinality_counts", "flank_eligibility_rows", "eligible_control_positions", "offset_yields",
     "nearest_matched_controls", "calibration_table", "inverse_variance_pooling", "gate_evaluation", "table_equivalence", "encoder_statistics",
 ]
 
