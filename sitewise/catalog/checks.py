@@ -153,4 +153,4 @@ def _(t):
 @query("file_inventory")
 def _(t):
     files = K.file_inventory(t.spark, t.folder, "*.parquet")
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "sha256")
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "sha256", "readable", "rows", "columns")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import gzip
+import hashlib
+import io
+import zlib
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -218,8 +223,91 @@ def formula_consistency(rows: DataFrame, checks: dict[str, tuple[Column, Column]
     return one.select(F.explode(out).alias("r")).select("r.*")
 
 
+_ARROW_STORES = ("file", "hdfs", "s3", "gs", "gcs", "abfs", "abfss")
+_FILE_FACTS = "path string, bytes long, sha256 string, readable boolean, rows long, columns int"
+
+
+def _open_file(path: str):
+    """A file in the shared store, for reading block by block inside a task."""
+    if path.startswith("file:"):
+        return open("/" + path[5:].lstrip("/"), "rb")
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(path)
+    return store.open_input_file(name)
+
+
+class _Hashed(io.RawIOBase):
+    """Bytes of ``raw``, counted and digested as they pass."""
+
+    def __init__(self, raw):
+        self.raw, self.digest, self.bytes = raw, hashlib.sha256(), 0
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        block = self.raw.read(len(into))
+        into[:len(block)] = block
+        self.digest.update(block)
+        self.bytes += len(block)
+        return len(block)
+
+
+def file_facts(path: str, raw, block: int = 1 << 20) -> dict:
+    """Size, digest, and if it can be read to its end, rows and columns of a file, of which a block is held at a time.
+
+    Rows of a text table are its lines, columns the fields of the first one by tab or else
+    by comma; a gzip file is unpacked as it streams. Other files have neither.
+    """
+    name, facts = path.lower(), {"path": path, "readable": True, "rows": None, "columns": None}
+    hashed, whole = _Hashed(raw), False
+    try:
+        stream = io.BufferedReader(hashed, block)
+        packed = name.endswith(".gz")
+        inner = gzip.GzipFile(fileobj=stream) if packed else stream
+        table = name.removesuffix(".gz").endswith((".tsv", ".csv", ".txt", ".bed"))
+        lines, last, head, headed = 0, b"\n", bytearray(), False
+        while part := inner.read(block):
+            if table:
+                lines, last = lines + part.count(b"\n"), part[-1:]
+                if not headed:
+                    headed = b"\n" in part
+                    head += part.split(b"\n", 1)[0]
+        whole = not hashed.read(block)
+        if table:
+            first = bytes(head)
+            facts |= {"rows": lines + (last != b"\n"), "columns": (first.count(b"\t") or first.count(b",")) + 1 if first else 0}
+        elif name.endswith(".parquet"):
+            from pyarrow import parquet
+
+            raw.seek(0)
+            meta = parquet.ParquetFile(raw).metadata
+            facts |= {"rows": meta.num_rows, "columns": meta.num_columns}
+    except (OSError, EOFError, ValueError, zlib.error):  # pyarrow's errors are ValueErrors or OSErrors
+        facts["readable"] = False
+        while not whole and hashed.read(block):  # what is left counts for size and digest
+            pass
+    return facts | {"bytes": hashed.bytes, "sha256": hashed.digest.hexdigest()}
+
+
 def file_inventory(spark, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
-    """Path, size and SHA-256 of every file under ``path`` (files under 2 GB)."""
+    """Path, size, SHA-256, readable flag, rows and columns of every file under ``path``.
+
+    Spark lists the files and deals them to tasks by size; a task streams each in blocks,
+    so a file of any size will do; Spark leaves out files without a byte. In a store that only Spark's readers can open, files
+    come as rows and must stay under 2 GB each.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob) \
         .option("recursiveFileLookup", str(recursive).lower()).load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    first = files.select("path").first()
+    streamed = first is None or first[0].split(":", 1)[0] in _ARROW_STORES
+
+    def audit(batches):
+        for batch in batches:
+            for at in range(len(batch)):
+                name = batch["path"].iloc[at]
+                with _open_file(name) if streamed else io.BytesIO(batch["content"].iloc[at]) as raw:
+                    yield pd.DataFrame([file_facts(name, raw)]).astype({"rows": "Int64", "columns": "Int64"})[["path", "bytes", "sha256", "readable", "rows", "columns"]]
+
+    return files.select("path", *([] if streamed else ["content"])).mapInPandas(audit, _FILE_FACTS)
