@@ -28,7 +28,7 @@ def _gates(t):
 
 @query("overall_gate_status", """
 WITH d AS (SELECT DISTINCT 'g' || (l_suppkey) AS gate FROM lineitem WHERE l_suppkey % 7 <> 3),
-o AS (SELECT 'g' || (l_suppkey) AS gate, avg(l_discount) < 0.051 AS passed FROM lineitem WHERE l_suppkey % 9 <> 4 GROUP BY l_suppkey),
+o AS (SELECT 'g' || (l_suppkey) AS gate, sum(CAST(l_discount AS DECIMAL(18, 6))) < 0.051 * count(l_discount) AS passed FROM lineitem WHERE l_suppkey % 9 <> 4 GROUP BY l_suppkey),
 s AS (SELECT coalesce(d.gate IS NOT NULL AND o.gate IS NOT NULL AND passed, false) AS ok FROM d FULL OUTER JOIN o ON d.gate = o.gate)
 SELECT CAST(count(*) AS BIGINT) AS gates, CAST(count(*) FILTER (NOT ok) AS BIGINT) AS not_passed, CASE WHEN bool_and(ok) THEN 'PASS' ELSE 'FAIL' END AS status FROM s""")
 def _(t):
