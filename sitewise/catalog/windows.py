@@ -124,7 +124,7 @@ r(n, m) AS (SELECT node, node FROM d UNION SELECT s.b, r.m FROM r JOIN s ON s.a
 
 
 @query("joint_groups", _COMPONENTS + """
-SELECT node, component, 'G' || lpad(CAST(dense_rank() OVER (ORDER BY component) AS VARCHAR), 5, '0') AS label FROM comp""")
+SELECT node, component, 'G' || CASE WHEN i < 100000 THEN lpad(CAST(i AS VARCHAR), 5, '0') ELSE CAST(i AS VARCHAR) END AS label FROM (SELECT *, dense_rank() OVER (ORDER BY component) AS i FROM comp)""")
 def _(t):
     d = t("documents").select(F.concat(F.lit("n"), F.floor(F.col("doc_id") / 4).cast("string")).alias("node"), F.sha2("text", 256).alias("v"))
     return G.component_labels(G.connected_components(d, G.shared_value_edges(d, "node", "v")))
