@@ -131,7 +131,7 @@ def _(t):
 
 
 @query("joint_group_split", _COMPONENTS + """,
-l AS (SELECT node, 'G' || lpad(CAST(dense_rank() OVER (ORDER BY component) AS VARCHAR), 5, '0') AS g FROM comp),
+l AS (SELECT node, 'G' || CASE WHEN i < 100000 THEN lpad(CAST(i AS VARCHAR), 5, '0') ELSE CAST(i AS VARCHAR) END AS g FROM (SELECT *, dense_rank() OVER (ORDER BY component) AS i FROM comp)),
 gs AS (SELECT g, count(*) AS n FROM documents JOIN l ON node = 'n' || (doc_id // 4) GROUP BY g), h AS (SELECT *, ('0x' || substr(md5('7|' || g), 1, 8))::BIGINT AS h FROM gs),
 cm AS (SELECT *, sum(n) OVER (ORDER BY h, g ROWS UNBOUNDED PRECEDING) AS cum, sum(n) OVER () AS tot FROM h), k AS (SELECT arg_min(cum, (abs(cum - tot * 0.2), cum)) AS cut FROM cm)
 SELECT g AS joint_group, CAST(n AS BIGINT) AS size, CASE WHEN cum <= cut THEN 'test' ELSE 'development' END AS split FROM cm, k""")
