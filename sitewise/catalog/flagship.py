@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from sitewise.catalog.registry import query
 from sitewise.catalog.standins import EXONS_SQL, PRICE_BIN, exons, r6, unit_price_cents, vectors
 from sitewise.plans import dataset as D
+from sitewise.session import checkpointed
 
 _PARAMS = D.DatasetParams(flank=10, display=50, min_fraction=0.7, bin_size=PRICE_BIN, disjoint_exons=True)
 
@@ -25,28 +26,32 @@ k AS (SELECT *, row_number() OVER (PARTITION BY pos, strand ORDER BY CASE WHEN o
 site AS (SELECT *, CASE WHEN NOT (d1 AND d2) THEN 'not_detected_in_both_replicates' WHEN NOT ok THEN 'insufficient_flank_coverage' ELSE '' END AS reason FROM k WHERE rn = 1)"""
 
 
-def _site_tables(t):
+def _union(t):
     agg = t("lineitem").groupBy(
         "l_linestatus", unit_price_cents().alias("pos"), F.when(F.col("l_partkey") % 2 == 0, "+").otherwise("-").alias("strand")).agg(
         F.sum("l_quantity").cast("long").alias("agcov"), F.round(F.sum(F.col("l_quantity") * F.col("l_discount")), 4).alias("acov"),
         F.concat(F.lit("Brand#"), F.min(F.col("l_partkey") % 25).cast("string")).alias("gene")).withColumn("chrom", F.lit("chr1"))
     # Keys come out of a group-by, so the uniqueness check would only repeat it.
-    union = D.replicate_union(agg.where("l_linestatus = 'O'"), agg.where("l_linestatus = 'F'"), ["agcov", "acov"], "gene", check=False)
-    mapped = D.map_sites(union, exons(t), _vectors(t), _PARAMS)
-    return union, mapped, D.site_table(mapped, _PARAMS)
+    return D.replicate_union(agg.where("l_linestatus = 'O'"), agg.where("l_linestatus = 'F'"), ["agcov", "acov"], "gene", check=False)
+
+
+def _sites(t):
+    """The replicate union, written once as two joins read it, and its site table."""
+    union = checkpointed(_union(t))
+    return union, checkpointed(D.site_table(D.best_sites(union, exons(t), _vectors(t), _PARAMS), _PARAMS))
 
 
 def _vectors(t):
     n = t("embeddings").agg(F.count(F.lit(1)).alias("n")).scalar()
-    long = vectors(t).select("vec_id", F.flatten(F.array_repeat("values", 8)).alias("values"))
-    return t("part").select(F.col("p_partkey").alias("tid"), (F.col("p_partkey") % n).alias("vec_id")).join(long, "vec_id").select("tid", "values")
+    long = D.with_masks(vectors(t).select("vec_id", F.flatten(F.array_repeat("values", 8)).alias("values")))
+    return t("part").select(F.col("p_partkey").alias("tid"), (F.col("p_partkey") % n).alias("vec_id")).join(long, "vec_id").select("tid", "values", "size", "mask")
 
 
 @query("site_dataset", _SITES + """
 SELECT CAST(pos AS BIGINT) AS pos, strand, CAST(tid AS BIGINT) AS tid, CAST(tp AS BIGINT) AS tx_pos, CAST(n AS BIGINT) AS isoform_count, round(a / ag, 6) AS combined_ratio, round(m, 8) AS signal_mean,
   CAST(n101 AS BIGINT) AS valid_count, ok AS main_window_valid, reason AS exclusion_reason, reason = '' AS included FROM site""")
 def site_dataset(t):
-    _, _, sites = _site_tables(t)
+    _, sites = _sites(t)
     return sites.select(
         "pos", "strand", "tid", "tx_pos", "isoform_count", r6(F.col("combined_ratio")).alias("combined_ratio"), r6(F.col("signal_mean_flank"), 8).alias("signal_mean"),
         F.col("valid_count_display").cast("long").alias("valid_count"), "main_window_valid", F.col("main_exclusion_reason").alias("exclusion_reason"),
@@ -57,7 +62,7 @@ def site_dataset(t):
 SELECT CAST(x.pos AS BIGINT) AS pos, x.strand, CAST(count(v) AS BIGINT) AS measured, round(coalesce(sum(round(v, 6) * (p - tp + 51)), 0), 3) AS weighted
 FROM site x LEFT JOIN v ON v.vec_id = tid % (SELECT count(*) FROM embeddings) AND p BETWEEN tp - 50 AND tp + 50 WHERE reason = '' GROUP BY x.pos, x.strand""")
 def _(t):
-    _, _, sites = _site_tables(t)
+    _, sites = _sites(t)
     w = D.add_windows(sites.where("main_analysis_included"), _vectors(t), D.DatasetParams(flank=10, display=50))
     moment = F.aggregate(F.transform("signal_window", lambda x, i: F.coalesce(x, F.lit(0.0)) * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     measured = F.aggregate("signal_mask", F.lit(0).cast("long"), lambda a, x: a + x)
@@ -67,13 +72,12 @@ def _(t):
 @query("site_isoform_table", _SITES + """
 SELECT CAST(pos AS BIGINT) AS pos, strand, CAST(tid AS BIGINT) AS tid, CAST(rn AS BIGINT) AS isoform_rank, CAST(n AS BIGINT) AS isoform_count, rn = 1 AS representative FROM k""")
 def _(t):
-    _, mapped, _ = _site_tables(t)
-    return D.isoform_table(mapped).select("pos", "strand", "tid", "isoform_rank", "isoform_count", F.col("representative_isoform").alias("representative"))
+    return D.isoform_ranks(D.candidates(_union(t), exons(t), _vectors(t), _PARAMS)).select("pos", "strand", "tid", "isoform_rank", "isoform_count", F.col("representative_isoform").alias("representative"))
 
 
 @query("site_attrition", _SITES + """, c AS (SELECT (SELECT count(*) FROM j) AS s1, count(*) AS s2, count(*) FILTER (d1 AND d2) AS s3, count(*) FILTER (reason = '') AS s4 FROM site)
 SELECT CAST(1 AS BIGINT) AS step, 'replicate_union' AS stage, CAST(s1 AS BIGINT) AS count FROM c UNION ALL SELECT 2, 'matched_to_transcript', s2 FROM c
 UNION ALL SELECT 3, 'detected_in_both', s3 FROM c UNION ALL SELECT 4, 'main_dataset', s4 FROM c UNION ALL SELECT 5, 'model_ready', s4 FROM c""")
 def _(t):
-    union, _, sites = _site_tables(t)
+    union, sites = _sites(t)
     return D.attrition(union, sites).select(F.col("step").cast("long").alias("step"), "stage", "count")
