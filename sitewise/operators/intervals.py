@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitewise.functions.binding import let
@@ -128,12 +128,22 @@ def map_to_transcripts(points: DataFrame, exons: DataFrame, point_keys: Sequence
                        bin_size: int = BIN, disjoint_exons: bool = False) -> DataFrame:
     """Points to transcript positions, one hit per (point, transcript).
 
-    Where the exons of a transcript are known not to overlap, a point cannot hit
-    two of them; ``disjoint_exons`` then saves the shuffle of all hits.
+    A point can hit two exons only of a transcript whose exons overlap; only the hits of
+    such transcripts are shuffled to find the first. Where exons are known not to overlap
+    and points not to repeat, ``disjoint_exons`` saves looking for them.
     """
-    hits = point_in_interval(points, exons, ["chrom", "strand"], pos, bin_size=bin_size)
-    if not disjoint_exons:
-        hits = first_hit_per(hits, [*point_keys, "tid"], ["tx_start"])
+    on = ["chrom", "strand"]
+    if disjoint_exons:
+        hits = point_in_interval(points, exons, on, pos, bin_size=bin_size)
+    else:
+        points = points.dropDuplicates([*point_keys])
+        transcript = Window.partitionBy(*on, "tid")
+        reached = F.max("end").over(transcript.orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
+        marked = checkpointed(exons.withColumn("_over", F.coalesce(F.col("start") <= reached, F.lit(False)))
+                              .withColumn("_over", F.max("_over").over(transcript)))
+        single, over = (point_in_interval(points, marked.where(w).drop("_over"), on, pos, bin_size=bin_size) for w in ("not _over", "_over"))
+        # The rest of a transcript may lie on another chromosome or strand, but a point hits only there where it lies.
+        hits = single.unionByName(first_hit_per(over, [*point_keys, "tid"], ["tx_start"]))
     return hits.withColumn(
         "tx_pos", genome_to_tx(F.col("start"), F.col("end"), F.col("strand"), F.col("tx_start"), F.col(pos)))
 
