@@ -48,10 +48,12 @@ def _occurring(level: DataFrame) -> list[int]:
 
 def point_in_interval(points: DataFrame, intervals: DataFrame, on: Sequence[str], pos: str = "pos",
                       start: str = "start", end: str = "end", bin_size: int = BIN,
-                      how: str = "inner") -> DataFrame:
+                      how: str = "inner", tasks: int | None = None) -> DataFrame:
     """Every (point, interval) with equal ``on`` and ``start <= pos <= end``, or the points with or without one.
 
-    ``how`` is ``inner``, ``left_semi`` or ``left_anti``.
+    ``how`` is ``inner``, ``left_semi`` or ``left_anti``. Where intervals are as many as points
+    and bins hold few of them, ``tasks`` deals both by bin into so many tasks: the planner
+    sees only the bytes of a compressed file and would send millions of intervals to every task.
     """
     if how not in ("inner", "left_semi", "left_anti"):
         raise ValueError(f"unknown join {how}")
@@ -60,12 +62,17 @@ def point_in_interval(points: DataFrame, intervals: DataFrame, on: Sequence[str]
     if how != "inner" and len(levels) > 1:
         # A point stands in several rows below, so the rows that hit are named first.
         rows = checkpointed(points.withColumn("_row", F.monotonically_increasing_id()))
-        hits = point_in_interval(rows, intervals.select(*on, start, end), on, pos, start, end, bin_size).select("_row").distinct()
+        hits = point_in_interval(rows, intervals.select(*on, start, end), on, pos, start, end, bin_size, tasks=tasks).select("_row").distinct()
         return rows.join(hits, "_row", how).drop("_row")
     each = F.lit(levels[0]) if len(levels) == 1 else F.explode(F.array(*[F.lit(k) for k in levels]))
-    p = points.withColumn("_level", each).withColumn("_bin", _bin(F.col(pos), F.col("_level"), bin_size)).alias("p")
+    p = points.withColumn("_level", each).withColumn("_bin", _bin(F.col(pos), F.col("_level"), bin_size))
     ends = F.array_distinct(F.array(*[_bin(F.col(c), F.col("_level"), bin_size) for c in (start, end)]))
-    i = placed.withColumn("_bin", F.explode(ends)).alias("i")
+    i = placed.withColumn("_bin", F.explode(ends))
+    if tasks:
+        # The only level is a constant, which is no key of the join.
+        dealt = [*on, "_bin", *(["_level"] if len(levels) > 1 else [])]
+        p, i = (df.repartition(tasks, *dealt).hint("merge") for df in (p, i))
+    p, i = p.alias("p"), i.alias("i")
     keys = [F.col(f"p.{c}") == F.col(f"i.{c}") for c in [*on, "_level", "_bin"]]
     inside = F.col(f"p.{pos}").between(F.col(f"i.{start}"), F.col(f"i.{end}"))
     cond = reduce(lambda a, b: a & b, [*keys, inside])
