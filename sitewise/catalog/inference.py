@@ -52,7 +52,7 @@ b AS (SELECT any_value(n) AS n, any_value(mx) AS mx, any_value(my) AS my, sum(w
 sc AS (SELECT g, sum(w * (x - mx) * (y - my - b * (x - mx))) AS s FROM w, b GROUP BY g), m AS (SELECT sum(s * s) AS m, count(*) AS k FROM sc)
 SELECT round(b, 7) AS beta_raw, round(sqrt(m / (sxx * sxx) * k / (k - 1) * (n - 1) / (n - 2)), 7) AS se_cluster FROM b, m""")
 def _(t):
-    df = group_size(_frame(t), ["g"], "n_g")
+    df = group_size(_frame(t), ["g"], "n_g", many=True)
     row, _ = N.associate("equal_weight", df, _line("x"), "y", "x", "g", 1 / F.col("n_g"))
     return rows_frame(t.spark, [row]).select(r6(F.col("beta_raw"), 7).alias("beta_raw"), r6(F.col("se_cluster"), 7).alias("se_cluster"))
 
@@ -99,7 +99,7 @@ def _variant_frame(t):
         F.when(F.col("l_orderkey") % 5 > 0, F.col("l_discount") * 10 + share(11)).alias("y1"), (F.col("l_tax") * 10 + share(7) / 10).alias("y2"), (F.col("l_quantity") / 50).alias("x"),
         F.when(F.col("l_orderkey") % 3 > 0, (F.col("l_quantity") + F.col("l_linenumber")) / 50).alias("x2"), (F.col("l_extendedprice") / 100000).alias("z"), "l_discount", "l_tax",
         "l_linenumber", "l_returnflag")
-    return group_size(df, ["g"], "n_g")
+    return group_size(df, ["g"], "n_g", many=True)
 
 
 def _variants():

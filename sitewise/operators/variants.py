@@ -16,12 +16,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitewise.operators.linear import Design, Fit, _robust, _varying, solve_ols
+from sitewise.operators.linear import Design, Fit, _dot, _robust, _varying, solve_ols
 from sitewise.session import checkpointed
 
 MOST_VARIANTS = 60  # bits of a mask
@@ -132,21 +132,14 @@ def _masked_meats(rows: DataFrame, solved: Sequence[tuple]) -> list[tuple[np.nda
     """Per variant the summed outer products of its clusters' scores, its rows and its clusters."""
     sizes = [len(where) for where, *_ in solved]
     starts = np.cumsum([0, *[s + 1 for s in sizes]])
-
-    @F.pandas_udf("array<double>")
-    def scores(x: pd.Series, m: pd.Series, w: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype=object)
-        xs, ws, masks = np.vstack(x.to_numpy()), np.vstack(w.to_numpy()), m.to_numpy()
-        out = np.zeros((len(xs), starts[-1]))
-        for i, (where, y, beta, s) in enumerate(solved):
-            here = (masks >> i & 1).astype(float)
-            error = here * ws[:, s] * (xs[:, y] - xs[:, where] @ beta)
-            out[:, starts[i]:starts[i] + sizes[i]] = xs[:, where] * error[:, None]
-            out[:, starts[i + 1] - 1] = here
-        return pd.Series(list(out))
-
-    per_cluster = rows.select("_cl", array_to_vector(scores("_x", "_m", "_w")).alias("_v")).groupBy("_cl").agg(Summarizer.sum(F.col("_v")).alias("_v"))
+    here = [F.col("_m").bitwiseAND(F.lit(1 << i).cast("long")) != 0 for i in range(len(solved))]
+    errors = [F.get("_w", F.lit(s)) * (F.get("_x", F.lit(y)) - _dot(beta, [F.get("_x", F.lit(j)) for j in where])) for where, y, beta, s in solved]
+    scored = rows.select("_cl", "_m", "_x", *[F.when(h, e).otherwise(F.lit(0.0)).alias(f"_e{i}") for i, (h, e) in enumerate(zip(here, errors))])
+    # Plain sums keep a row of numbers per cluster; an aggregate of vectors sorts all rows of a task once it meets more than a few clusters.
+    sums = []
+    for i, (where, *_) in enumerate(solved):
+        sums += [F.sum(F.get("_x", F.lit(j)) * F.col(f"_e{i}")) for j in where] + [F.count_if(here[i]).cast("double")]
+    per_cluster = scored.groupBy("_cl").agg(*[c.alias(f"_v{k}") for k, c in enumerate(sums)]).select(F.array(*[f"_v{k}" for k in range(len(sums))]).alias("_v"))
 
     def partial(batches):
         sums = [np.zeros((s + 2, s + 2)) for s in sizes]
@@ -162,7 +155,7 @@ def _masked_meats(rows: DataFrame, solved: Sequence[tuple]) -> list[tuple[np.nda
         for i, s in enumerate(sums):
             yield pd.DataFrame({"_i": i, "_j": range(len(s)), "_row": list(s)})
 
-    parts = per_cluster.select(vector_to_array("_v").alias("_v")).mapInPandas(partial, "_i int, _j int, _row array<double>")
+    parts = per_cluster.mapInPandas(partial, "_i int, _j int, _row array<double>")
     out = [np.zeros((s + 2, s + 2)) for s in sizes]
     for r in parts.groupBy("_i", "_j").agg(Summarizer.sum(array_to_vector("_row")).alias("_row")).collect():
         out[r["_i"]][r["_j"]] = r["_row"].toArray()
